@@ -1,0 +1,101 @@
+"""Registered queries over the driver's tables and their DuckDB twins.
+
+Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a
+DataFrame; ``ORACLE`` holds the same computation as DuckDB SQL over the
+pre-registered views.  Column names and types agree between the two.
+Queries with no SQL twin (iterative solvers, streams checked another way)
+are listed in ``QUERIES`` only and are tested in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankfold.operators import norms as N
+from rankfold.operators import product as P
+from rankfold.sources import fixtures as X
+
+# ---------------------------------------------------------------------------
+# fixed parameters of the registered queries (the same on both sides)
+# ---------------------------------------------------------------------------
+SEED = 7
+RANK = 2
+SS = 2.0
+SKETCH_K = 16
+
+
+# ---------------------------------------------------------------------------
+# SQL building blocks
+# ---------------------------------------------------------------------------
+SQL_CELLS = """
+cells AS (
+  SELECT mat, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, CAST(sum(val) AS DOUBLE) AS val
+  FROM (
+    SELECT 'A' AS mat, l_orderkey AS "row", l_partkey AS col, l_quantity AS val FROM lineitem
+    UNION ALL
+    SELECT 'B' AS mat, l_orderkey AS "row", l_suppkey AS col, l_quantity AS val FROM lineitem
+  ) t
+  WHERE "row" IS NOT NULL AND col IS NOT NULL AND val IS NOT NULL
+  GROUP BY mat, "row", col
+)"""
+
+SQL_NORMS = SQL_CELLS + """,
+norms AS (
+  SELECT mat, col, CAST(sum(val * val) AS DOUBLE) AS norm2, CAST(count(*) AS BIGINT) AS nnz
+  FROM cells GROUP BY mat, col
+)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes)
+
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+# ---------------------------------------------------------------------------
+# The minimum slice
+# ---------------------------------------------------------------------------
+@register("cells_lineitem", with_(SQL_CELLS) + "\nSELECT mat, \"row\", col, val FROM cells")
+def q_cells_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.lineitem_cells(spark, sf_dir)
+
+
+@register("col_norms", with_(SQL_NORMS) + "\nSELECT mat, col, norm2, nnz FROM norms")
+def q_col_norms(spark, sf_dir):
+    return N.col_norms2(X.lineitem_cells(spark, sf_dir))
+
+
+@register("frobenius", with_(SQL_NORMS) + """
+SELECT mat, CAST(sum(norm2) AS DOUBLE) AS fro2, CAST(count(*) AS BIGINT) AS n_cols FROM norms GROUP BY mat""")
+def q_frobenius(spark, sf_dir):
+    return N.frobenius2(N.col_norms2(X.lineitem_cells(spark, sf_dir)))
+
+
+SQL_PRODUCT = """
+product AS (
+  SELECT a.col AS i, b.col AS j, CAST(sum(a.val * b.val) AS DOUBLE) AS val
+  FROM cells a JOIN cells b ON a."row" = b."row" AND a.mat = 'A' AND b.mat = 'B'
+  GROUP BY a.col, b.col
+)"""
+
+
+@register("product_exact", with_(SQL_CELLS, SQL_PRODUCT) + "\nSELECT i, j, val FROM product")
+def q_product_exact(spark, sf_dir):
+    return P.product_exact(X.lineitem_cells(spark, sf_dir))
+
+
+@register("transpose", with_(SQL_CELLS, SQL_PRODUCT) + "\nSELECT j AS i, i AS j, val FROM product")
+def q_transpose(spark, sf_dir):
+    return P.transpose(P.product_exact(X.lineitem_cells(spark, sf_dir))).select("i", "j", "val")
