@@ -57,7 +57,7 @@ def hadamard(vec: Column, n: int) -> Column:
         return v
 
     def stage(acc: Column, s: Column) -> Column:
-        h = F.shiftleft(F.lit(1), s)
+        h = F.pow(F.lit(2), s).cast("int")
         return F.transform(
             acc,
             lambda x, i: F.when(i.bitwiseAND(h) == 0,

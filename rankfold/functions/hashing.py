@@ -75,3 +75,23 @@ def sql_gaussian(seed: int, purpose: str, *ids: str) -> str:
     u1 = sql_uniform(seed, purpose + ".r", *ids)
     u2 = sql_uniform(seed, purpose + ".t", *ids)
     return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
+
+
+# ---------------------------------------------------------------------------
+# Driver-side twins, for parameter-sized values only (k coordinates, one
+# sign per row of a dense vector): identical numbers to the Column forms.
+# ---------------------------------------------------------------------------
+
+def py_hash32(seed: int, purpose: str, *ids) -> int:
+    import hashlib
+
+    key = ":".join([str(int(seed)), purpose] + [str(i) for i in ids])
+    return int(hashlib.md5(key.encode("utf-8")).hexdigest()[:8], 16)
+
+
+def py_uniform(seed: int, purpose: str, *ids) -> float:
+    return (py_hash32(seed, purpose, *ids) + 0.5) / TWO32
+
+
+def py_sign(seed: int, purpose: str, *ids) -> float:
+    return 1.0 if py_hash32(seed, purpose, *ids) >= TWO31 else -1.0

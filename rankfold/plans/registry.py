@@ -3,18 +3,31 @@
 Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a
 DataFrame; ``ORACLE`` holds the same computation as DuckDB SQL over the
 pre-registered views.  Column names and types agree between the two.
-Queries with no SQL twin (iterative solvers, streams checked another way)
-are listed in ``QUERIES`` only and are tested in ``tests/``.
+Randomness is the md5 rule of ``functions.hashing`` on both sides, so
+samples, signs, coordinates and Gaussian entries are identical.  Where a
+result is a sum of non-integers (order-dependent in the last bits) both
+sides round to the same number of decimals.  Queries with no SQL twin
+(iterative solvers, whole jobs) are in ``QUERIES`` only and are tested in
+``tests/``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankfold.functions import hashing as H
+from rankfold.operators import factorize as FZ
+from rankfold.operators import linop as L
 from rankfold.operators import norms as N
 from rankfold.operators import product as P
+from rankfold.operators import sampling as S
+from rankfold.operators import sketch as K
+from rankfold.operators.prefix import cdf_lookup, column_cdf
 from rankfold.sources import fixtures as X
+from rankfold.sources import generate as G
 
 # ---------------------------------------------------------------------------
 # fixed parameters of the registered queries (the same on both sides)
@@ -23,10 +36,35 @@ SEED = 7
 RANK = 2
 SS = 2.0
 SKETCH_K = 16
+EMB_D = 48          # first 48 embedding coordinates: exercises padding to 64
+POWER_ITERS = 5
+ALS_ITERS = 5
+DEC = 6             # decimals kept for order-dependent sums
+DEC_FINE = 9        # decimals for values of order 1 or below
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def rnd(c, d=DEC):
+    return F.round(c, d)
 
 
 # ---------------------------------------------------------------------------
-# SQL building blocks
+# SQL building blocks (lineitem: A = order x part, B = order x supplier)
 # ---------------------------------------------------------------------------
 SQL_CELLS = """
 cells AS (
@@ -40,44 +78,132 @@ cells AS (
   GROUP BY mat, "row", col
 )"""
 
-SQL_NORMS = SQL_CELLS + """,
+SQL_NORMS = """
 norms AS (
   SELECT mat, col, CAST(sum(val * val) AS DOUBLE) AS norm2, CAST(count(*) AS BIGINT) AS nnz
   FROM cells GROUP BY mat, col
 )"""
 
+SQL_SIDES = """
+a_n AS (SELECT col AS i, norm2 AS a FROM norms WHERE mat = 'A'),
+b_n AS (SELECT col AS j, norm2 AS b FROM norms WHERE mat = 'B'),
+tot AS (
+  SELECT CAST((SELECT count(*) FROM a_n) AS DOUBLE) AS n1, CAST((SELECT count(*) FROM b_n) AS DOUBLE) AS n2,
+         CAST((SELECT sum(a) FROM a_n) AS DOUBLE) AS fa, CAST((SELECT sum(b) FROM b_n) AS DOUBLE) AS fb
+),
+bud AS (
+  SELECT CAST(ceil((n1 + n2) / 2.0::DOUBLE) AS DOUBLE) AS nbar FROM tot
+),
+bud2 AS (
+  SELECT nbar, {ss}::DOUBLE * ceil(nbar * {rank}::DOUBLE * ln(nbar)) AS m FROM bud
+)""".format(ss=repr(SS), rank=RANK)
 
-def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes)
+SQL_ALLOC = """
+alloc AS (
+  SELECT i, a, CAST(floor(m * (1.0::DOUBLE / (2.0::DOUBLE * n1) + a / (2.0::DOUBLE * fa)) + 0.5::DOUBLE) AS BIGINT) AS m_i
+  FROM a_n, tot, bud2
+),
+cdf AS (
+  SELECT j, b, CAST(row_number() OVER (ORDER BY j) - 1 AS BIGINT) AS idx,
+         coalesce(sum(b) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS lo
+  FROM b_n
+)"""
 
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+def sql_samples(seed: int = SEED) -> str:
+    ub = H.sql_uniform(seed, "branch", "d.i", "d.t")
+    uc = H.sql_uniform(seed, "col", "d.i", "d.t")
+    ubern = H.sql_uniform(seed, "bern", "h.i", "b.j")
+    return f"""
+heavy AS (SELECT alloc.* FROM alloc, tot WHERE m_i * ln(n2) / ln(2.0::DOUBLE) > n2),
+light AS (SELECT alloc.* FROM alloc, tot WHERE NOT (m_i * ln(n2) / ln(2.0::DOUBLE) > n2)),
+draws0 AS (SELECT i, a, unnest(generate_series(1, m_i)) AS t FROM light WHERE m_i >= 1),
+draws AS (SELECT d.i, d.a, d.t, {ub} AS ub, {uc} AS uc FROM draws0 d),
+uni AS (
+  SELECT d.i, c.j FROM draws d CROSS JOIN tot JOIN cdf c ON c.idx = CAST(floor(d.uc * tot.n2) AS BIGINT)
+  WHERE d.ub * (d.a * tot.n1 + tot.fa) < d.a * tot.n1
+),
+hit AS (
+  SELECT d.i, c.j FROM draws d CROSS JOIN tot JOIN cdf c
+    ON d.uc * tot.fb >= c.lo AND d.uc * tot.fb < c.lo + c.b
+  WHERE NOT (d.ub * (d.a * tot.n1 + tot.fa) < d.a * tot.n1) AND c.b > 0
+),
+bern AS (
+  SELECT h.i, b.j FROM heavy h CROSS JOIN b_n b CROSS JOIN tot
+  WHERE {ubern} < h.m_i * ((h.a / (tot.n2 * tot.fa) + b.b / (tot.n1 * tot.fb)) / (h.a / tot.fa + 1.0::DOUBLE / tot.n1))
+),
+sij AS (SELECT DISTINCT i, j FROM (SELECT * FROM uni UNION ALL SELECT * FROM hit UNION ALL SELECT * FROM bern) u),
+samples AS (
+  SELECT s.i, s.j, bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)) AS p
+  FROM sij s JOIN a_n ON a_n.i = s.i JOIN b_n ON b_n.j = s.j CROSS JOIN tot CROSS JOIN bud2
+)"""
 
 
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+SQL_OBSERVED = """
+pairs AS (
+  SELECT s.i, s.j, sum(a.val * b.val) AS v
+  FROM samples s JOIN cells a ON a.mat = 'A' AND a.col = s.i
+                 JOIN cells b ON b.mat = 'B' AND b.col = s.j AND b."row" = a."row"
+  GROUP BY s.i, s.j
+),
+observed AS (
+  SELECT s.i, s.j, s.p, CAST(coalesce(pairs.v, 0.0) AS DOUBLE) AS val, 1.0::DOUBLE AS w
+  FROM samples s LEFT JOIN pairs ON pairs.i = s.i AND pairs.j = s.j
+)"""
+
+
+def base_ctes(*extra: str) -> str:
+    return with_(SQL_CELLS, SQL_NORMS, *extra)
+
+
+def sampling_ctes(*extra: str) -> str:
+    return with_(SQL_CELLS, SQL_NORMS, SQL_SIDES, SQL_ALLOC, sql_samples(), *extra)
 
 
 # ---------------------------------------------------------------------------
-# The minimum slice
+# Spark side helpers shared by the queries
 # ---------------------------------------------------------------------------
-@register("cells_lineitem", with_(SQL_CELLS) + "\nSELECT mat, \"row\", col, val FROM cells")
+
+class _Ctx:
+    """Cells, norms, totals and budget of the lineitem pair."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.cells = X.lineitem_cells(spark, sf_dir)
+        self.norms = N.col_norms2(self.cells)
+        self.tot = N.norm_totals(self.norms)
+        self.bud = S.sample_budget(self.tot["n1"], self.tot["n2"], RANK, SS)
+        self.a_n = S.a_side(self.norms)
+        self.b_n = S.b_side(self.norms)
+
+    def args(self):
+        t = self.tot
+        return t["n1"], t["n2"], t["fro_a"], t["fro_b"]
+
+    def alloc(self):
+        return S.row_allocation(self.a_n, self.bud["m"], self.tot["n1"], self.tot["fro_a"])
+
+    def samples(self):
+        n1, n2, fa, fb = self.args()
+        return S.sample_adaptive(self.a_n, self.b_n, self.bud["m"], n1, n2, fa, fb, SEED)
+
+    def observed(self):
+        return S.weights(P.value_exact(self.cells, self.samples()), "ones")
+
+
+# ---------------------------------------------------------------------------
+# Cells, norms, exact product
+# ---------------------------------------------------------------------------
+@register("cells_lineitem", base_ctes() + 'SELECT mat, "row", col, val FROM cells')
 def q_cells_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.lineitem_cells(spark, sf_dir)
 
 
-@register("col_norms", with_(SQL_NORMS) + "\nSELECT mat, col, norm2, nnz FROM norms")
+@register("col_norms", base_ctes() + "SELECT mat, col, norm2, nnz FROM norms")
 def q_col_norms(spark, sf_dir):
     return N.col_norms2(X.lineitem_cells(spark, sf_dir))
 
 
-@register("frobenius", with_(SQL_NORMS) + """
+@register("frobenius", base_ctes() + """
 SELECT mat, CAST(sum(norm2) AS DOUBLE) AS fro2, CAST(count(*) AS BIGINT) AS n_cols FROM norms GROUP BY mat""")
 def q_frobenius(spark, sf_dir):
     return N.frobenius2(N.col_norms2(X.lineitem_cells(spark, sf_dir)))
@@ -91,11 +217,366 @@ product AS (
 )"""
 
 
-@register("product_exact", with_(SQL_CELLS, SQL_PRODUCT) + "\nSELECT i, j, val FROM product")
+@register("product_exact", base_ctes(SQL_PRODUCT) + "SELECT i, j, val FROM product")
 def q_product_exact(spark, sf_dir):
     return P.product_exact(X.lineitem_cells(spark, sf_dir))
 
 
-@register("transpose", with_(SQL_CELLS, SQL_PRODUCT) + "\nSELECT j AS i, i AS j, val FROM product")
+@register("transpose", base_ctes(SQL_PRODUCT) + "SELECT j AS i, i AS j, val FROM product")
 def q_transpose(spark, sf_dir):
     return P.transpose(P.product_exact(X.lineitem_cells(spark, sf_dir))).select("i", "j", "val")
+
+
+@register("mask_filter", sampling_ctes(SQL_PRODUCT) +
+          "SELECT p.i, p.j, p.val FROM product p WHERE EXISTS (SELECT 1 FROM samples s WHERE s.i = p.i AND s.j = p.j)")
+def q_mask_filter(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return P.mask(P.product_exact(c.cells), c.samples())
+
+
+# ---------------------------------------------------------------------------
+# Vectors, scaling, padding, Hadamard
+# ---------------------------------------------------------------------------
+SQL_EMB_CELLS = """
+emb_cells AS (
+  SELECT CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS mat, CAST(r AS BIGINT) AS "row",
+         CAST(vec_id AS BIGINT) AS col, CAST(v AS DOUBLE) AS val
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS r FROM embeddings) e
+)"""
+
+
+@register("cells_embeddings", with_(SQL_EMB_CELLS) + 'SELECT mat, "row", col, val FROM emb_cells')
+def q_cells_embeddings(spark, sf_dir):
+    return X.embeddings_cells(spark, sf_dir)
+
+
+@register("col_norms_vectors", with_(SQL_EMB_CELLS) + f"""
+SELECT mat, col, ROUND(sum(val * val), {DEC_FINE}) AS norm2 FROM emb_cells GROUP BY mat, col""")
+def q_col_norms_vectors(spark, sf_dir):
+    v = N.col_norms2_vecs(X.embeddings_vecs(spark, sf_dir))
+    return v.select("mat", "col", rnd(F.col("norm2"), DEC_FINE).alias("norm2"))
+
+
+@register("scale_rows", base_ctes() + f"""
+SELECT mat, "row", col, ROUND(val * pow("row" + 1.0::DOUBLE, -1.0::DOUBLE), {DEC_FINE}) AS val FROM cells""")
+def q_scale_rows(spark, sf_dir):
+    s = G.scale_rows(X.lineitem_cells(spark, sf_dir), 1.0)
+    return s.select("mat", "row", "col", rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+@register("pad_pow2", f"""
+SELECT CAST(vec_id AS BIGINT) AS col, CAST(r AS INTEGER) AS pos,
+       CAST(CASE WHEN r < {EMB_D} THEN embedding[r + 1] ELSE 0.0 END AS DOUBLE) AS val
+FROM embeddings, (SELECT unnest(range(64)) AS r) rr""")
+def q_pad_pow2(spark, sf_dir):
+    from rankfold.functions.arrays import pad_to
+    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
+    n = K.padded_length(EMB_D)
+    return v.select("col", F.posexplode(pad_to(F.col("vec"), EMB_D, n)).alias("pos", "val")) \
+        .select("col", F.col("pos").cast("int").alias("pos"), "val")
+
+
+@register("hadamard_vectors", f"""
+WITH e AS (SELECT vec_id, unnest(embedding[1:{EMB_D}]) AS v, unnest(range({EMB_D})) AS r FROM embeddings)
+SELECT CAST(vec_id AS BIGINT) AS col, CAST(h AS INTEGER) AS pos,
+       ROUND(sum(v * (1 - 2 * (bit_count(CAST(h AS BIGINT) & CAST(r AS BIGINT)) % 2))), {DEC_FINE}) AS val
+FROM e, (SELECT unnest(range(64)) AS h) hh GROUP BY vec_id, h""")
+def q_hadamard_vectors(spark, sf_dir):
+    from rankfold.functions.arrays import hadamard, pad_to
+    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
+    n = K.padded_length(EMB_D)
+    return v.select("col", F.posexplode(hadamard(pad_to(F.col("vec"), EMB_D, n), n)).alias("pos", "val")) \
+        .select("col", F.col("pos").cast("int").alias("pos"), rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+# ---------------------------------------------------------------------------
+# A1 / A2: generated decaying pair, shape taken from the tables
+# (rows = suppliers, columns = nations: grows with the supplier table)
+# ---------------------------------------------------------------------------
+def _decay_shape(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "supplier").count()
+    cols = X.table(spark, sf_dir, "nation").count()
+    return rows, cols
+
+
+SQL_DECAY = f"""
+shape AS (SELECT (SELECT count(*) FROM supplier) AS d, (SELECT count(*) FROM nation) AS n),
+ids AS (SELECT unnest(range(d * n)) AS id, n FROM shape),
+rc AS (SELECT CAST(id // n AS BIGINT) AS "row", CAST(id % n AS BIGINT) AS col FROM ids),
+decay AS (
+  SELECT m.mat, rc."row", rc.col,
+         {H.sql_gaussian(SEED, 'decay', 'm.mat', 'rc."row"', 'rc.col')} * pow(rc."row" + 1.0::DOUBLE, -1.0::DOUBLE) AS val
+  FROM rc, (SELECT unnest(['A', 'B']) AS mat) m
+)"""
+
+
+@register("decay_matrix", with_(SQL_DECAY) + f'SELECT mat, "row", col, ROUND(val, {DEC_FINE}) AS val FROM decay')
+def q_decay_matrix(spark, sf_dir):
+    d, n = _decay_shape(spark, sf_dir)
+    c = G.decay_matrix(spark, d, n, 1.0, SEED)
+    return c.select("mat", "row", "col", rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+@register("decay_vectors", with_(SQL_DECAY) + f"""
+SELECT mat, col, CAST(count(*) AS INTEGER) AS n_rows, ROUND(sum(val * val), {DEC_FINE}) AS norm2
+FROM decay GROUP BY mat, col""")
+def q_decay_vectors(spark, sf_dir):
+    from rankfold.functions.arrays import sum_squares
+    d, n = _decay_shape(spark, sf_dir)
+    v = G.decay_vecs(G.decay_matrix(spark, d, n, 1.0, SEED))
+    return v.select("mat", "col", F.size("vec").cast("int").alias("n_rows"),
+                    rnd(sum_squares(F.col("vec")), DEC_FINE).alias("norm2"))
+
+
+# ---------------------------------------------------------------------------
+# Shared signs and coordinates
+# ---------------------------------------------------------------------------
+SQL_NPAD = """
+npad AS (SELECT CAST(pow(2, ceil(log2(max(l_orderkey) + 1))) AS BIGINT) AS n FROM lineitem)"""
+
+
+def sql_coords(k: int = SKETCH_K, seed: int = SEED) -> str:
+    cand = K.coord_candidates(k)
+    u = H.sql_uniform(seed, "coord", "draw")
+    return f"""
+cand AS (SELECT draw, CAST(floor({u} * npad.n) AS BIGINT) AS h
+         FROM (SELECT unnest(range({cand})) AS draw) d, npad),
+firsts AS (SELECT h, min(draw) AS draw FROM cand GROUP BY h),
+coords AS (SELECT CAST(t AS INTEGER) AS t, h FROM (
+  SELECT h, row_number() OVER (ORDER BY draw) - 1 AS t FROM firsts) x WHERE t < {k})"""
+
+
+def _npad(spark, sf_dir) -> int:
+    mx = X.table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    return K.padded_length(int(mx) + 1)
+
+
+@register("pick_coords", with_(SQL_NPAD, sql_coords()) + "SELECT t, h FROM coords")
+def q_pick_coords(spark, sf_dir):
+    n = _npad(spark, sf_dir)
+    return K.coords_frame(spark, SEED, n, SKETCH_K).select(F.col("t").cast("int").alias("t"), "h")
+
+
+@register("sign_flip", base_ctes() + f"""
+SELECT "row", {H.sql_sign(SEED, 'sign', 'r."row"')} AS sign FROM (SELECT DISTINCT "row" FROM cells) r""")
+def q_sign_flip(spark, sf_dir):
+    rows = X.lineitem_cells(spark, sf_dir).select("row").distinct()
+    return rows.select("row", K.sign_column(SEED).alias("sign"))
+
+
+# ---------------------------------------------------------------------------
+# sketches
+# ---------------------------------------------------------------------------
+def sql_srht(k: int = SKETCH_K) -> str:
+    sg = H.sql_sign(SEED, "sign", 'c."row"')
+    return f"""
+srht AS (
+  SELECT c.mat, c.col, k.t,
+         CAST(sum({sg} * (1 - 2 * (bit_count(k.h & c."row") % 2)) * c.val) AS DOUBLE) * {1.0 / math.sqrt(k)!r} AS s
+  FROM cells c CROSS JOIN coords k GROUP BY c.mat, c.col, k.t
+)"""
+
+
+def _coords(spark, sf_dir):
+    return K.pick_coords(SEED, _npad(spark, sf_dir), SKETCH_K)
+
+
+@register("srht_sketch_cells", base_ctes(SQL_NPAD, sql_coords(), sql_srht()) + "SELECT mat, col, t, s FROM srht")
+def q_srht_sketch_cells(spark, sf_dir):
+    cells = X.lineitem_cells(spark, sf_dir)
+    return K.srht_sketch_cells(cells, _coords(spark, sf_dir), SEED).select("mat", "col", F.col("t").cast("int").alias("t"), "s")
+
+
+@register("sketch_norms", base_ctes(SQL_NPAD, sql_coords(), sql_srht()) + """
+SELECT mat, col, CAST(sum(s * s) AS DOUBLE) AS norm2 FROM srht GROUP BY mat, col""")
+def q_sketch_norms(spark, sf_dir):
+    cells = X.lineitem_cells(spark, sf_dir)
+    return N.sketch_norms2(K.srht_sketch_cells(cells, _coords(spark, sf_dir), SEED))
+
+
+@register("sketch_with_norms", base_ctes(SQL_NPAD, sql_coords(), sql_srht()) + """
+SELECT mat, col, t, s FROM srht
+UNION ALL SELECT mat, col, CAST(-1 AS INTEGER) AS t, norm2 AS s FROM norms""")
+def q_sketch_with_norms(spark, sf_dir):
+    """B6 + E1 in ONE scan and one aggregation (t = -1 carries the norm)."""
+    cells = X.lineitem_cells(spark, sf_dir)
+    return K.srht_sketch_cells(cells, _coords(spark, sf_dir), SEED, with_norms=True) \
+        .select("mat", "col", F.col("t").cast("int").alias("t"), "s")
+
+
+SQL_GAUSS = f"""
+ks AS (SELECT unnest(range({SKETCH_K})) AS t),
+gsk AS (
+  SELECT c.mat, c.col, CAST(ks.t AS INTEGER) AS t,
+         sum({H.sql_gaussian(SEED, 'jl', 'ks.t', 'c."row"')} * c.val) / {math.sqrt(SKETCH_K)!r} AS s
+  FROM cells c CROSS JOIN ks GROUP BY c.mat, c.col, ks.t
+)"""
+
+
+@register("gaussian_sketch", base_ctes(SQL_GAUSS) + f"SELECT mat, col, t, ROUND(s, {DEC}) AS s FROM gsk")
+def q_gaussian_sketch(spark, sf_dir):
+    g = K.gaussian_sketch_cells(X.lineitem_cells(spark, sf_dir), SKETCH_K, SEED)
+    return g.select("mat", "col", F.col("t").cast("int").alias("t"), rnd(F.col("s")).alias("s"))
+
+
+def sql_emb_srht() -> str:
+    n = K.padded_length(EMB_D)
+    coords = K.pick_coords(SEED, n, SKETCH_K)
+    vals = ", ".join(f"({t}, {h})" for t, h in enumerate(coords))
+    sg = H.sql_sign(SEED, "sign", "e.r")
+    return f"""
+ecoords AS (SELECT CAST(t AS INTEGER) AS t, CAST(h AS BIGINT) AS h FROM (VALUES {vals}) v(t, h)),
+e AS (SELECT vec_id, label, unnest(embedding[1:{EMB_D}]) AS v, CAST(unnest(range({EMB_D})) AS BIGINT) AS r FROM embeddings),
+esk AS (
+  SELECT CASE WHEN e.label < 5 THEN 'A' ELSE 'B' END AS mat, CAST(e.vec_id AS BIGINT) AS col, k.t,
+         sum({sg} * (1 - 2 * (bit_count(k.h & e.r) % 2)) * e.v) * {1.0 / math.sqrt(SKETCH_K)!r} AS s
+  FROM e CROSS JOIN ecoords k GROUP BY 1, 2, 3
+)"""
+
+
+@register("srht_sketch_vectors", with_(sql_emb_srht()) + f"SELECT mat, col, t, ROUND(s, {DEC_FINE}) AS s FROM esk")
+def q_srht_sketch_vectors(spark, sf_dir):
+    """B2+B3+B4+B5 as one projection: the coordinate table in the SQL is the
+    same hashed rule, evaluated once (N = 64 is fixed by the data width)."""
+    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
+    n = K.padded_length(EMB_D)
+    sk = K.srht_sketch_vecs(v, EMB_D, K.pick_coords(SEED, n, SKETCH_K), SEED)
+    return K.wide_to_long(sk).select("mat", "col", F.col("t").cast("int").alias("t"),
+                                     rnd(F.col("s"), DEC_FINE).alias("s"))
+
+
+# ---------------------------------------------------------------------------
+# sampling
+# ---------------------------------------------------------------------------
+@register("sample_budget", with_(SQL_CELLS, SQL_NORMS, SQL_SIDES) + """
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, CAST(nbar AS BIGINT) AS nbar, m FROM tot, bud2""")
+def q_sample_budget(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    b = c.bud
+    return spark.createDataFrame([(b["n1"], b["n2"], b["nbar"], float(b["m"]))], "n1 bigint, n2 bigint, nbar bigint, m double")
+
+
+@register("row_allocation", with_(SQL_CELLS, SQL_NORMS, SQL_SIDES, SQL_ALLOC) + "SELECT i, a, m_i FROM alloc")
+def q_row_allocation(spark, sf_dir):
+    return _Ctx(spark, sf_dir).alloc().select("i", "a", "m_i")
+
+
+@register("column_cdf", with_(SQL_CELLS, SQL_NORMS, SQL_SIDES, SQL_ALLOC) +
+          "SELECT j, b, idx, lo, lo + b AS hi FROM cdf")
+def q_column_cdf(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return column_cdf(c.b_n)
+
+
+@register("cdf_lookup", sampling_ctes() + """
+SELECT d.i, d.t, c.j FROM draws d CROSS JOIN tot JOIN cdf c
+  ON d.uc * tot.fb >= c.lo AND d.uc * tot.fb < c.lo + c.b WHERE c.b > 0""")
+def q_cdf_lookup(spark, sf_dir):
+    """D3 alone: every draw of the light rows looked up in the b-CDF."""
+    c = _Ctx(spark, sf_dir)
+    n1, n2, fa, fb = c.args()
+    light = c.alloc().where(~S.heavy_condition(n2))
+    d = S._draws(light, SEED).withColumn("_x", H.uniform(SEED, "col", F.col("i"), F.col("t")) * F.lit(float(fb)))
+    return cdf_lookup(d.select("i", "t", "_x"), "_x", column_cdf(c.b_n), "j", float(fb)).select("i", "t", "j")
+
+
+@register("sample_cdf", sampling_ctes() + "SELECT DISTINCT i, j FROM (SELECT * FROM uni UNION ALL SELECT * FROM hit) u")
+def q_sample_cdf(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    n1, n2, fa, fb = c.args()
+    light = c.alloc().where(~S.heavy_condition(n2))
+    return S.sample_cdf(light, column_cdf(c.b_n), n1, n2, fa, fb, SEED)
+
+
+@register("sample_bernoulli_row", sampling_ctes() + "SELECT i, j FROM bern")
+def q_sample_bernoulli_row(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    n1, n2, fa, fb = c.args()
+    heavy = c.alloc().where(S.heavy_condition(n2))
+    return S.sample_bernoulli_row(heavy, c.b_n, n1, n2, fa, fb, SEED)
+
+
+@register("sample_adaptive", sampling_ctes() + f"SELECT i, j, ROUND(p, {DEC_FINE}) AS p FROM samples")
+def q_sample_adaptive(spark, sf_dir):
+    return _Ctx(spark, sf_dir).samples().select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
+
+
+@register("cell_probability", sampling_ctes() + f"""
+SELECT i, CAST(count(*) AS BIGINT) AS n_samples, ROUND(sum(p), {DEC}) AS p_sum FROM samples GROUP BY i""")
+def q_cell_probability(spark, sf_dir):
+    s = _Ctx(spark, sf_dir).samples()
+    return s.groupBy("i").agg(F.count(F.lit(1)).alias("n_samples"), rnd(F.sum("p")).alias("p_sum"))
+
+
+SQL_BERNOULLI = f"""
+mask AS (
+  SELECT a_n.i, b_n.j, bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)) AS p
+  FROM a_n CROSS JOIN b_n CROSS JOIN tot CROSS JOIN bud2
+  WHERE {H.sql_uniform(SEED, 'mask', 'a_n.i', 'b_n.j')} <
+        least(bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)), 1.0::DOUBLE)
+)"""
+
+
+@register("sample_bernoulli", with_(SQL_CELLS, SQL_NORMS, SQL_SIDES, SQL_BERNOULLI) +
+          f"SELECT i, j, ROUND(p, {DEC_FINE}) AS p FROM mask")
+def q_sample_bernoulli(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    n1, n2, fa, fb = c.args()
+    m = S.sample_bernoulli(c.a_n, c.b_n, c.bud["m"], n1, n2, fa, fb, SEED)
+    return m.select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
+
+
+@register("value_exact", sampling_ctes(SQL_OBSERVED) + "SELECT i, j, val FROM observed")
+def q_value_exact(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return P.value_exact(c.cells, c.samples()).select("i", "j", "val")
+
+
+@register("observed_matrix", sampling_ctes(SQL_OBSERVED) +
+          f"SELECT i, j, val, w, ROUND(1.0 / least(p, 1.0), {DEC}) AS w_inv_p FROM observed")
+def q_observed_matrix(spark, sf_dir):
+    """G8 + H5: sampled cells with both weight choices."""
+    c = _Ctx(spark, sf_dir)
+    o = S.weights(P.value_exact(c.cells, c.samples()), "ones")
+    o = S.weights(o.withColumnRenamed("w", "w1"), "inverse_p").withColumnRenamed("w", "w_inv_p") \
+        .withColumnRenamed("w1", "w")
+    return o.select("i", "j", "val", "w", rnd(F.col("w_inv_p")).alias("w_inv_p"))
+
+
+# ---------------------------------------------------------------------------
+# Values from sketches on the sampled cells
+# ---------------------------------------------------------------------------
+SQL_SKETCH_VALUES = """
+ska AS (SELECT col AS i, t, s FROM srht WHERE mat = 'A'),
+skb AS (SELECT col AS j, t, s FROM srht WHERE mat = 'B'),
+raw AS (
+  SELECT s.i, s.j, coalesce(sum(x.s * y.s), 0.0) AS raw
+  FROM samples s LEFT JOIN ska x ON x.i = s.i LEFT JOIN skb y ON y.j = s.j AND y.t = x.t
+  GROUP BY s.i, s.j
+),
+sn AS (SELECT mat, col, sum(s * s) AS n2s FROM srht GROUP BY mat, col),
+resc AS (
+  SELECT r.i, r.j, r.raw,
+         CASE WHEN coalesce(x.n2s, 0.0) = 0 OR coalesce(y.n2s, 0.0) = 0 THEN 0.0
+              ELSE r.raw / sqrt(x.n2s) / sqrt(y.n2s) * sqrt(coalesce(na.a, 0.0)) * sqrt(coalesce(nb.b, 0.0)) END AS val
+  FROM raw r LEFT JOIN sn x ON x.mat = 'A' AND x.col = r.i LEFT JOIN sn y ON y.mat = 'B' AND y.col = r.j
+             LEFT JOIN a_n na ON na.i = r.i LEFT JOIN b_n nb ON nb.j = r.j
+)"""
+
+
+def _sketch_values(spark, sf_dir, estimator):
+    c = _Ctx(spark, sf_dir)
+    wide = K.sketch_wide(K.srht_sketch_cells(c.cells, _coords(spark, sf_dir), SEED), SKETCH_K)
+    return K.value_from_sketch(c.samples().select("i", "j"), wide, c.norms, estimator)
+
+
+@register("value_raw", sampling_ctes(SQL_NPAD, sql_coords(), sql_srht(), SQL_SKETCH_VALUES) +
+          "SELECT i, j, CAST(raw AS DOUBLE) AS val FROM raw")
+def q_value_raw(spark, sf_dir):
+    return _sketch_values(spark, sf_dir, "raw").select("i", "j", "val")
+
+
+@register("value_rescaled", sampling_ctes(SQL_NPAD, sql_coords(), sql_srht(), SQL_SKETCH_VALUES) +
+          f"SELECT i, j, ROUND(val, {DEC}) AS val FROM resc")
+def q_value_rescaled(spark, sf_dir):
+    return _sketch_values(spark, sf_dir, "rescaled").select("i", "j", rnd(F.col("val")).alias("val"))

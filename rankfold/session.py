@@ -59,5 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plans stay short and a lost executor only recomputes the current round.
     Keeps the output partitioning of ``df``.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads this, not a recompute
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
