@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import cut_lineage
+from rankfold.session import cut_lineage, ship_package
 
 FACTOR_SCHEMA = "id bigint, f array<double>"
 
@@ -65,6 +65,7 @@ def wals_half_step(observed: DataFrame, other: DataFrame, rank: int, lam: float
     ``observed`` is (i, j, val, w).  Rows i with no sample get no factor
     (factor_matrix fills zeros), as the closed form gives 0 there.
     """
+    ship_package(observed.sparkSession)
     fo = other.select(F.col("id").alias("j"), "f")
     t = observed.select("i", "j", "val", "w").join(fo, "j")
     g = t.groupBy("i").agg(*_gram_aggs(rank))

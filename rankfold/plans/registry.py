@@ -580,3 +580,421 @@ def q_value_raw(spark, sf_dir):
           f"SELECT i, j, ROUND(val, {DEC}) AS val FROM resc")
 def q_value_rescaled(spark, sf_dir):
     return _sketch_values(spark, sf_dir, "rescaled").select("i", "j", rnd(F.col("val")).alias("val"))
+
+
+# ---------------------------------------------------------------------------
+# H4 / H2 / H3 / H6 / H7: weighted ALS (rank 1 has a closed form in SQL)
+# ---------------------------------------------------------------------------
+def sql_v0(seed: int = SEED) -> str:
+    g = H.sql_gaussian(seed, "init", "b_n.j", "0")
+    return f"""
+v0g AS (SELECT b_n.j AS id, {g} AS g FROM b_n),
+v0 AS (SELECT id, 0.0::DOUBLE + g * (1.0::DOUBLE / sqrt((SELECT sum(g * g) FROM v0g))) AS f FROM v0g)"""
+
+
+def sql_half(name: str, src: str, side_key: str, other_key: str, lam: float = 0.0) -> str:
+    return f"""
+{name} AS (
+  SELECT o.{side_key} AS id,
+         CASE WHEN sum(o.w * x.f * x.f) + {lam!r}::DOUBLE = 0 THEN 0.0
+              ELSE sum(o.w * o.val * x.f) / (sum(o.w * x.f * x.f) + {lam!r}::DOUBLE) END AS f
+  FROM observed o JOIN {src} x ON x.id = o.{other_key} GROUP BY o.{side_key}
+)"""
+
+
+def sql_wals(iters: int) -> list[str]:
+    ctes, prev = [sql_v0()], "v0"
+    for k in range(1, iters + 1):
+        ctes.append(sql_half(f"u{k}", prev, "i", "j"))
+        ctes.append(sql_half(f"v{k}", f"u{k}", "j", "i"))
+        prev = f"v{k}"
+    return ctes
+
+
+def _ids(df, col):
+    return df.select(F.col(col).alias("id"))
+
+
+def _v0(c: _Ctx, rank: int = 1):
+    return FZ.random_init(_ids(c.b_n, "j"), rank, SEED)
+
+
+def _long_factor(df, side: str):
+    return df.select(F.lit(side).alias("side"), "id", F.posexplode("f").alias("k", "val")) \
+        .select("side", "id", F.col("k").cast("int").alias("k"), "val")
+
+
+@register("random_init", base_ctes() + """
+SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS g
+FROM (SELECT unnest(range(2)) AS a) x, (SELECT unnest(range(2)) AS b) y""")
+def q_random_init(spark, sf_dir):
+    """H4: the whitened random start is orthonormal (Gram = I), rank 2."""
+    c = _Ctx(spark, sf_dir)
+    v = _v0(c, 2)
+    g = v.select(F.posexplode("f").alias("a", "x"), "id", "f") \
+        .select("a", F.posexplode("f").alias("b", "y"), "x") \
+        .groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    return g.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"),
+                    (rnd(F.col("g")) + F.lit(0.0)).alias("g"))
+
+
+@register("wals_half_step", sampling_ctes(SQL_OBSERVED, *sql_wals(0), sql_half("u1", "v0", "i", "j")) +
+          f"SELECT id, ROUND(f, {DEC}) AS f FROM u1")
+def q_wals_half_step(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    u = FZ.wals_half_step(c.observed(), _v0(c), 1, 0.0)
+    return u.select("id", rnd(F.get("f", 0)).alias("f"))
+
+
+@register("wals", sampling_ctes(SQL_OBSERVED, *sql_wals(ALS_ITERS)) + f"""
+SELECT 'u' AS side, id, CAST(0 AS INTEGER) AS k, ROUND(f, {DEC - 2}) AS val FROM u{ALS_ITERS}
+UNION ALL SELECT 'v' AS side, id, CAST(0 AS INTEGER) AS k, ROUND(f, {DEC_FINE - 2}) AS val FROM v{ALS_ITERS}""")
+def q_wals(spark, sf_dir):
+    """H3: rank-1 weighted ALS, ALS_ITERS rounds, λ = 0, unit weights."""
+    c = _Ctx(spark, sf_dir)
+    u, v = FZ.wals(c.observed(), _ids(c.b_n, "j"), 1, ALS_ITERS, 0.0, SEED)
+    lu = _long_factor(u, "u").withColumn("val", rnd(F.col("val"), DEC - 2))
+    lv = _long_factor(v, "v").withColumn("val", rnd(F.col("val"), DEC_FINE - 2))
+    return lu.unionByName(lv)
+
+
+@register("factor_matrix", sampling_ctes(SQL_OBSERVED, *sql_wals(0), sql_half("u1", "v0", "i", "j")) + f"""
+SELECT CAST(p.p_partkey AS BIGINT) AS id, CAST(0 AS INTEGER) AS k, ROUND(coalesce(u1.f, 0.0), {DEC}) AS val
+FROM part p LEFT JOIN u1 ON u1.id = p.p_partkey""")
+def q_factor_matrix(spark, sf_dir):
+    """H6: the A-side factor over every part (parts never sampled get 0)."""
+    c = _Ctx(spark, sf_dir)
+    u = FZ.wals_half_step(c.observed(), _v0(c), 1, 0.0)
+    parts = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    fm = FZ.factor_matrix(parts, u, 1)
+    return fm.select("id", F.posexplode("f").alias("k", "val")) \
+        .select("id", F.col("k").cast("int").alias("k"), rnd(F.col("val")).alias("val"))
+
+
+@register("reconstruct", sampling_ctes(SQL_OBSERVED, *sql_wals(0), sql_half("u1", "v0", "i", "j")) + f"""
+SELECT s.i, s.j, ROUND(coalesce(u1.f * v0.f, 0.0), {DEC}) AS est
+FROM samples s LEFT JOIN u1 ON u1.id = s.i LEFT JOIN v0 ON v0.id = s.j""")
+def q_reconstruct(spark, sf_dir):
+    """H7: û_i·v̂_j on every sampled cell."""
+    c = _Ctx(spark, sf_dir)
+    v0 = _v0(c)
+    u = FZ.wals_half_step(c.observed(), v0, 1, 0.0)
+    return FZ.reconstruct(c.samples().select("i", "j"), u, v0).select("i", "j", rnd(F.col("est")).alias("est"))
+
+
+# ---------------------------------------------------------------------------
+# Vectors and implicit products
+# ---------------------------------------------------------------------------
+def sql_start(name: str, ids_cte: str, id_col: str, purpose: str) -> str:
+    return f"{name} AS (SELECT {id_col} AS id, {H.sql_gaussian(SEED, purpose, id_col)} AS val FROM {ids_cte})"
+
+
+def _start(c: _Ctx, side: str, purpose: str):
+    ids = _ids(c.b_n, "j") if side == "B" else _ids(c.a_n, "i")
+    return L.random_start(ids, SEED, purpose)
+
+
+@register("random_start", base_ctes(SQL_SIDES, sql_start("x", "b_n", "j", "start")) +
+          f"SELECT id, ROUND(val, {DEC_FINE}) AS val FROM x")
+def q_random_start(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return _start(c, "B", "start").select("id", rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+@register("normalize", base_ctes(SQL_SIDES, sql_start("x", "b_n", "j", "start")) + f"""
+SELECT id, ROUND(val / sqrt((SELECT sum(val * val) FROM x)), {DEC_FINE}) AS val FROM x""")
+def q_normalize(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return L.normalize(_start(c, "B", "start")).select("id", rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+@register("dot", base_ctes(SQL_SIDES, sql_start("x", "b_n", "j", "x"), sql_start("y", "b_n", "j", "y")) + f"""
+SELECT ROUND(sum(x.val * y.val), {DEC}) AS dot FROM x JOIN y ON x.id = y.id""")
+def q_dot(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return L.dot(_start(c, "B", "x"), _start(c, "B", "y")).select(rnd(F.col("dot")).alias("dot"))
+
+
+@register("axpy", base_ctes(SQL_SIDES, sql_start("x", "b_n", "j", "x"), sql_start("y", "b_n", "j", "y")) + f"""
+SELECT x.id, ROUND(x.val * 2.0 + y.val, {DEC_FINE}) AS val FROM x JOIN y ON x.id = y.id""")
+def q_axpy(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    r = L.axpy(2.0, _start(c, "B", "x"), _start(c, "B", "y"))
+    return r.select("id", rnd(F.col("val"), DEC_FINE).alias("val"))
+
+
+def sql_apply(name: str, x: str, first: str = "B") -> str:
+    """y = Aᵀ(B x) (first='B') or z = Bᵀ(A y) (first='A') over cte x(id, val)."""
+    second = "A" if first == "B" else "B"
+    return f"""
+{name}_w AS (SELECT c."row", sum(c.val * x.val) AS w FROM cells c JOIN {x} x ON x.id = c.col
+             WHERE c.mat = '{first}' GROUP BY c."row"),
+{name} AS (SELECT c.col AS id, sum(c.val * w.w) AS val FROM cells c JOIN {name}_w w ON w."row" = c."row"
+           WHERE c.mat = '{second}' GROUP BY c.col)"""
+
+
+@register("apply_product", base_ctes(SQL_SIDES, sql_start("x", "b_n", "j", "start"), sql_apply("y", "x", "B")) +
+          f"SELECT id, ROUND(val, {DEC}) AS val FROM y")
+def q_apply_product(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    ops = L.Operands(c.cells, persist=False)
+    return L.apply_product(ops, _start(c, "B", "start")).select("id", rnd(F.col("val")).alias("val"))
+
+
+@register("apply_product_t", base_ctes(SQL_SIDES, sql_start("x", "a_n", "i", "starta"), sql_apply("z", "x", "A")) +
+          f"SELECT id, ROUND(val, {DEC}) AS val FROM z")
+def q_apply_product_t(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    ops = L.Operands(c.cells, persist=False)
+    return L.apply_product_t(ops, _start(c, "A", "starta")).select("id", rnd(F.col("val")).alias("val"))
+
+
+def sql_uv() -> list[str]:
+    """rank-1 random orthonormal factors: U over A ids (seed+1), V over B ids."""
+    gu = H.sql_gaussian(SEED + 1, "init", "a_n.i", "0")
+    gv = H.sql_gaussian(SEED, "init", "b_n.j", "0")
+    return [f"""
+ug AS (SELECT a_n.i AS id, {gu} AS g FROM a_n),
+uf AS (SELECT id, 0.0::DOUBLE + g * (1.0::DOUBLE / sqrt((SELECT sum(g * g) FROM ug))) AS f FROM ug),
+vg AS (SELECT b_n.j AS id, {gv} AS g FROM b_n),
+vf AS (SELECT id, 0.0::DOUBLE + g * (1.0::DOUBLE / sqrt((SELECT sum(g * g) FROM vg))) AS f FROM vg)"""]
+
+
+def _uv(c: _Ctx):
+    u = FZ.random_init(_ids(c.a_n, "i"), 1, SEED + 1)
+    v = FZ.random_init(_ids(c.b_n, "j"), 1, SEED)
+    return u, v
+
+
+def sql_residual(name: str, x: str) -> str:
+    """(U Vᵀ − M) x for rank-1 U = uf, V = vf."""
+    return sql_apply(name + "_m", x, "B") + f""",
+{name}_c AS (SELECT sum(vf.f * x.val) AS c FROM vf JOIN {x} x ON x.id = vf.id),
+{name} AS (
+  SELECT coalesce(a.id, m.id) AS id, coalesce(a.val, 0.0) + coalesce(-1.0 * m.val, 0.0) AS val
+  FROM (SELECT uf.id, 0.0::DOUBLE + uf.f * (SELECT c FROM {name}_c) AS val FROM uf) a
+  FULL OUTER JOIN {name}_m m ON a.id = m.id
+)"""
+
+
+def sql_residual_t(name: str, y: str) -> str:
+    return sql_apply(name + "_m", y, "A") + f""",
+{name}_c AS (SELECT sum(uf.f * y.val) AS c FROM uf JOIN {y} y ON y.id = uf.id),
+{name} AS (
+  SELECT coalesce(a.id, m.id) AS id, coalesce(a.val, 0.0) + coalesce(-1.0 * m.val, 0.0) AS val
+  FROM (SELECT vf.id, 0.0::DOUBLE + vf.f * (SELECT c FROM {name}_c) AS val FROM vf) a
+  FULL OUTER JOIN {name}_m m ON a.id = m.id
+)"""
+
+
+@register("apply_residual", base_ctes(SQL_SIDES, *sql_uv(), sql_start("x", "b_n", "j", "start"),
+                                      sql_residual("rx", "x")) + f"SELECT id, ROUND(val, {DEC}) AS val FROM rx")
+def q_apply_residual(spark, sf_dir):
+    """(U Vᵀ − M) x with rank-1 random orthonormal U, V."""
+    c = _Ctx(spark, sf_dir)
+    u, v = _uv(c)
+    ops = L.Operands(c.cells, persist=False)
+    return L.apply_residual(ops, u, v, _start(c, "B", "start"), 1).select("id", rnd(F.col("val")).alias("val"))
+
+
+# ---------------------------------------------------------------------------
+# Power iteration, unrolled in SQL
+# ---------------------------------------------------------------------------
+DEC_NORM = 3
+
+
+def sql_power(iters: int, residual: bool, purpose: str, pre: str = "p") -> tuple[list[str], str]:
+    """Unrolled power iteration; CTE names start with ``pre`` so two runs can
+    share one query.  Returns (ctes, select of (round, value))."""
+    ctes = [sql_start(f"{pre}x0r", "b_n", "j", purpose),
+            f"{pre}x0 AS (SELECT id, val / sqrt((SELECT sum(val * val) FROM {pre}x0r)) AS val FROM {pre}x0r)"]
+    sel = []
+    for k in range(1, iters + 1):
+        x = f"{pre}x{k - 1}"
+        if residual:
+            ctes.append(sql_residual(f"{pre}q{k}y", x))
+            ctes.append(sql_residual_t(f"{pre}q{k}", f"{pre}q{k}y"))
+        else:
+            ctes.append(sql_apply(f"{pre}q{k}y", x, "B"))
+            ctes.append(sql_apply(f"{pre}q{k}", f"{pre}q{k}y", "A"))
+        ctes.append(f"{pre}n{k} AS (SELECT sqrt(sum(val * val)) AS nz FROM {pre}q{k})")
+        ctes.append(f"{pre}x{k} AS (SELECT id, val / (SELECT nz FROM {pre}n{k}) AS val FROM {pre}q{k})")
+        sel.append(f"SELECT CAST({k} AS INTEGER) AS round, sqrt(nz) AS value FROM {pre}n{k}")
+    return ctes, " UNION ALL ".join(sel)
+
+
+_PW_CTES, _PW_SEL = sql_power(POWER_ITERS, False, "start", "pw")
+_RS_CTES, _RS_SEL = sql_power(POWER_ITERS, True, "resid", "rs")
+
+
+@register("spectral_norm", base_ctes(SQL_SIDES, *_PW_CTES) +
+          f"SELECT round, ROUND(value, {DEC_NORM}) AS value FROM ({_PW_SEL}) t")
+def q_spectral_norm(spark, sf_dir):
+    """‖AᵀB‖₂ estimate per power round (5 rounds)."""
+    c = _Ctx(spark, sf_dir)
+    ops = L.Operands(c.cells)
+    try:
+        _, trace = L.spectral_norm(ops, POWER_ITERS, SEED)
+    finally:
+        ops.release()
+    return spark.createDataFrame([(k, round(v, DEC_NORM)) for k, v in trace], "round int, value double")
+
+
+@register("residual_norm", base_ctes(SQL_SIDES, *sql_uv(), *_RS_CTES) +
+          f"SELECT round, ROUND(value, {DEC_NORM}) AS value FROM ({_RS_SEL}) t")
+def q_residual_norm(spark, sf_dir):
+    """‖U Vᵀ − AᵀB‖₂ estimate per round, rank-1 random U, V."""
+    c = _Ctx(spark, sf_dir)
+    u, v = _uv(c)
+    ops = L.Operands(c.cells)
+    try:
+        _, trace = L.residual_norm(ops, u, v, 1, POWER_ITERS, SEED)
+    finally:
+        ops.release()
+    return spark.createDataFrame([(k, round(v, DEC_NORM)) for k, v in trace], "round int, value double")
+
+
+@register("relative_error", base_ctes(SQL_SIDES, *sql_uv(), *_PW_CTES, *_RS_CTES) + f"""
+SELECT ROUND(sqrt(a.nz), {DEC_NORM}) AS norm, ROUND(sqrt(b.nz), {DEC_NORM}) AS residual,
+       ROUND(sqrt(b.nz) / sqrt(a.nz), {DEC_FINE}) AS rel_error
+FROM pwn{POWER_ITERS} a, rsn{POWER_ITERS} b""")
+def q_relative_error(spark, sf_dir):
+    """I8: ‖U Vᵀ − AᵀB‖₂ / ‖AᵀB‖₂, same number of power rounds for both."""
+    c = _Ctx(spark, sf_dir)
+    u, v = _uv(c)
+    ops = L.Operands(c.cells)
+    try:
+        e = L.relative_error(ops, u, v, 1, POWER_ITERS, SEED)
+    finally:
+        ops.release()
+    return spark.createDataFrame([(round(e["norm"], DEC_NORM), round(e["residual"], DEC_NORM),
+                                   round(e["rel_error"], DEC_FINE))], "norm double, residual double, rel_error double")
+
+
+# ---------------------------------------------------------------------------
+# Streams over the events table (row = hour, A col = user,
+# B col = event type); the oracle is the batch answer on the same table
+# ---------------------------------------------------------------------------
+STREAM_N = 1 << 20   # padded row space of the stream: hour ids below 2**20 (until year 2089)
+DEC_STREAM = 4
+
+SQL_EVENTS = f"""
+ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS "row", CAST(value AS DOUBLE) AS val, user_id, event_type
+       FROM events WHERE value IS NOT NULL),
+contrib AS (
+  SELECT 'A' AS mat, "row", CAST(user_id AS BIGINT) AS col, val FROM ev
+  UNION ALL
+  SELECT 'B' AS mat, "row", {H.sql_hash32(0, 'etype', 'event_type')} AS col, val FROM ev
+),
+ecells AS (SELECT mat, "row", col, sum(val) AS val FROM contrib GROUP BY mat, "row", col)"""
+
+
+def sql_stream_coords() -> str:
+    coords = K.pick_coords(SEED, STREAM_N, SKETCH_K)
+    vals = ", ".join(f"({t}, {h})" for t, h in enumerate(coords))
+    return f"scoords AS (SELECT CAST(t AS INTEGER) AS t, CAST(h AS BIGINT) AS h FROM (VALUES {vals}) v(t, h))"
+
+
+def _event_contrib(spark, sf_dir):
+    from rankfold.streaming.sketch_stream import read_table_stream
+    ev = read_table_stream(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    return X.events_cells_rows(ev)
+
+
+@register("stream_sketch", with_(SQL_EVENTS, sql_stream_coords()) + f"""
+SELECT c.mat, c.col, k.t,
+       ROUND(sum({H.sql_sign(SEED, 'sign', 'c."row"')} * (1 - 2 * (bit_count(k.h & c."row") % 2)) * c.val)
+             * {1.0 / math.sqrt(SKETCH_K)!r}, {DEC_STREAM}) AS s
+FROM contrib c CROSS JOIN scoords k GROUP BY c.mat, c.col, k.t""")
+def q_stream_sketch(spark, sf_dir):
+    """Structured Streaming SRHT sketch of the event stream (final state)."""
+    from rankfold.streaming.sketch_stream import run_to_table, stream_sketch
+    coords = K.pick_coords(SEED, STREAM_N, SKETCH_K)
+    path = run_to_table(stream_sketch(_event_contrib(spark, sf_dir), coords, SEED), "stream_sketch")
+    return spark.read.parquet(path).select("mat", "col", F.col("t").cast("int").alias("t"),
+                                           rnd(F.col("s"), DEC_STREAM).alias("s"))
+
+
+@register("stream_norms", with_(SQL_EVENTS) + f"""
+SELECT mat, col, ROUND(sum(val * val), {DEC_STREAM}) AS norm2 FROM ecells GROUP BY mat, col""")
+def q_stream_norms(spark, sf_dir):
+    """Exact squared column norms from a stream in which one cell
+    (user, hour) arrives in several events."""
+    from rankfold.streaming.sketch_stream import run_to_table, stream_norms
+    path = run_to_table(stream_norms(_event_contrib(spark, sf_dir)), "stream_norms")
+    return spark.read.parquet(path).select("mat", "col", rnd(F.col("norm2"), DEC_STREAM).alias("norm2"))
+
+
+# ---------------------------------------------------------------------------
+# Whole jobs (rows-only checks; see tests/)
+# ---------------------------------------------------------------------------
+@register("factorize_als")
+def q_factorize_als(spark, sf_dir):
+    """H1: MLlib ALS (rank 2, small regParam) on the exactly valued samples."""
+    c = _Ctx(spark, sf_dir)
+    u, v = FZ.factorize_als(c.observed(), RANK, ALS_ITERS, 1e-6, SEED)
+    return _long_factor(u, "u").unionByName(_long_factor(v, "v"))
+
+
+def _emb_ops(spark, sf_dir):
+    return L.Operands(X.embeddings_cells(spark, sf_dir))
+
+
+@register("svd_exact")
+def q_svd_exact(spark, sf_dir):
+    """H8: top-3 singular values of the label<5 x label>=5 cross-product of
+    the embeddings (64 shared coordinates)."""
+    ops = _emb_ops(spark, sf_dir)
+    try:
+        sig, _, _ = L.svd_exact(ops, 3, 30, SEED)
+    finally:
+        ops.release()
+    return spark.createDataFrame([(k + 1, s) for k, s in enumerate(sig)], "k int, sigma double")
+
+
+@register("optimal_error")
+def q_optimal_error(spark, sf_dir):
+    """σ_{r+1}/σ₁ for r = 2 on the embeddings cross-product."""
+    ops = _emb_ops(spark, sf_dir)
+    try:
+        e = L.optimal_error(ops, RANK, 30, SEED)
+    finally:
+        ops.release()
+    return spark.createDataFrame([(RANK, e["opt_error"])], "rank int, opt_error double")
+
+
+@register("two_pass_lineitem")
+def q_two_pass_lineitem(spark, sf_dir):
+    """P1 on lineitem (order x part vs order x supplier quantities)."""
+    from rankfold.plans.jobs import two_pass_factorize
+    r = two_pass_factorize(spark, X.lineitem_cells(spark, sf_dir), rank=RANK, iters=ALS_ITERS, ss=SS,
+                           seed=SEED, power_iters=POWER_ITERS)
+    return r["report"]
+
+
+@register("one_pass_lineitem")
+def q_one_pass_lineitem(spark, sf_dir):
+    """P2 on lineitem, cells form: one scan builds the SRHT sketch and norms."""
+    from rankfold.plans.jobs import one_pass_factorize
+    li = X.table(spark, sf_dir, "lineitem")
+    n_rows = int(li.agg(F.max("l_orderkey")).first()[0]) + 1
+    r = one_pass_factorize(spark, X.lineitem_cells(spark, sf_dir), rank=RANK, k=64, iters=ALS_ITERS, ss=SS,
+                           seed=SEED, power_iters=POWER_ITERS, n_rows=n_rows)
+    return r["report"]
+
+
+@register("one_pass_embeddings")
+def q_one_pass_embeddings(spark, sf_dir):
+    """P2 on column-grouped vectors: fast Hadamard transform per record."""
+    from rankfold.plans.jobs import one_pass_factorize_vecs
+    r = one_pass_factorize_vecs(spark, X.embeddings_vecs(spark, sf_dir), 64, rank=RANK, k=32,
+                                iters=ALS_ITERS, ss=SS, seed=SEED)
+    return _long_factor(r["u"], "u").unionByName(_long_factor(r["v"], "v"))
+
+
+@register("compare_methods")
+def q_compare_methods(spark, sf_dir):
+    """P3 on the embeddings cross-product: optimal, one-pass, two-pass."""
+    from rankfold.plans.jobs import compare_methods
+    return compare_methods(spark, X.embeddings_cells(spark, sf_dir), rank=RANK, k=32, iters=ALS_ITERS,
+                           ss=SS, seed=SEED, power_iters=POWER_ITERS, svd_iters=30)

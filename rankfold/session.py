@@ -66,3 +66,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rankfold`` importable in Python workers (like ``--py-files``).
+
+    Only the Arrow-batched Python steps (ALS solves, keyed stream state)
+    need it.  Skipped when the workers can already import the package
+    (installed on the cluster image).
+    """
+    import importlib.util
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    spec = importlib.util.find_spec("rankfold")
+    if spec is not None and os.environ.get("PYTHONPATH", "").find(root) >= 0:
+        _SHIPPED.add(key)
+        return
+    out_dir = tempfile.mkdtemp(prefix="rankfold-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "rankfold"), "zip", root_dir=root, base_dir="rankfold")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -50,7 +50,9 @@ def event_type_id(col="event_type"):
 def events_cells_rows(events: DataFrame) -> DataFrame:
     """Un-aggregated cell contributions of the event stream: each event adds
     ``value`` to A(hour, user) and to B(hour, event type)."""
-    hour = F.floor(F.unix_seconds(F.col("ts")) / 3600).cast("bigint")
+    # hours since 1970-01-01 from the wall-clock fields: independent of the session time zone
+    hour = (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint") * F.lit(24)
+            + F.hour("ts")).cast("bigint")
     return events.select(
         hour.alias("row"), F.col("value").cast("double").alias("val"), F.col("ts"),
         F.explode(F.array(
