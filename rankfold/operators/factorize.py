@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import cut_lineage, ship_package
+from rankfold.session import Rounds, ship_package
 
 FACTOR_SCHEMA = "id bigint, f array<double>"
 
@@ -109,27 +109,22 @@ def reconstruct(cells_ij: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def wals(observed: DataFrame, v_ids: DataFrame, rank: int, iters: int = 10, lam: float = 0.0,
-         seed: int = 0, checkpoint: bool = True):
+         seed: int = 0, checkpoint_every: int = 4):
     """H3: alternate u and v for ``iters`` rounds from a random orthonormal v.
 
-    Each half-step is cut from the lineage with a reliable checkpoint, so
-    the plan stays one round deep and a lost executor redoes one round.
-    Returns (u, v) factor frames.
+    Each half-step is persisted and every ``checkpoint_every``-th one is a
+    reliable checkpoint (session.Rounds): the plan stays a few rounds deep
+    and a lost executor redoes at most those rounds.  Returns (u, v).
     """
+    rounds = Rounds(checkpoint_every)
     obs_t = observed.select(F.col("j").alias("i"), F.col("i").alias("j"), "val", "w")
-    v = random_init(v_ids, rank, seed)
-    if checkpoint:
-        v = cut_lineage(v)
+    v = rounds.keep(random_init(v_ids, rank, seed))
     u = None
     for _ in range(iters):
-        u = wals_half_step(observed, v, rank, lam)
-        if checkpoint:
-            u = cut_lineage(u)
-        v = wals_half_step(obs_t, u, rank, lam)
-        if checkpoint:
-            v = cut_lineage(v)
+        u = rounds.keep(wals_half_step(observed, v, rank, lam))
+        v = rounds.keep(wals_half_step(obs_t, u, rank, lam))
     if u is None:
-        u = wals_half_step(observed, v, rank, lam)
+        u = rounds.keep(wals_half_step(observed, v, rank, lam))
     return u, v
 
 

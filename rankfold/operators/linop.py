@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import cut_lineage
+from rankfold.session import Rounds
 from rankfold.sources.tables import split
 
 
@@ -163,14 +163,13 @@ def spectral_norm(ops: Operands, iters: int = 5, seed: int = 0, checkpoint: bool
     Returns (estimate of ‖M‖₂, trace as a list of (round, estimate)).  Each
     round ends with one scalar on the driver and a lineage cut.
     """
-    x = random_start(ops.b_ids(), seed, "start")
+    rounds = Rounds(3 if checkpoint else 10 ** 9)
+    x = rounds.keep(random_start(ops.b_ids(), seed, "start"))
     nx = math.sqrt(norm2(x))
     x = x.select("id", (F.col("val") / F.lit(nx if nx > 0 else 1.0)).alias("val"))
     est, trace = 0.0, []
     for k in range(iters):
-        z = apply_product_t(ops, apply_product(ops, x))
-        if checkpoint:
-            z = cut_lineage(z)
+        z = rounds.keep(apply_product_t(ops, apply_product(ops, x)))
         nz = math.sqrt(norm2(z))
         est = math.sqrt(nz)
         trace.append((k + 1, est))
@@ -195,17 +194,14 @@ def apply_residual_t(ops: Operands, u: DataFrame, v: DataFrame, y: DataFrame, r:
 def residual_norm(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int = 5, seed: int = 0,
                   checkpoint: bool = True):
     """Power iteration on RᵀR, R = U Vᵀ − M."""
-    x = random_start(ops.b_ids(), seed, "resid")
+    rounds = Rounds(4 if checkpoint else 10 ** 9)
+    x = rounds.keep(random_start(ops.b_ids(), seed, "resid"))
     nx = math.sqrt(norm2(x))
     x = x.select("id", (F.col("val") / F.lit(nx if nx > 0 else 1.0)).alias("val"))
     est, trace = 0.0, []
     for k in range(iters):
-        y = apply_residual(ops, u, v, x, r)
-        if checkpoint:
-            y = cut_lineage(y)
-        z = apply_residual_t(ops, u, v, y, r)
-        if checkpoint:
-            z = cut_lineage(z)
+        y = rounds.keep(apply_residual(ops, u, v, x, r))
+        z = rounds.keep(apply_residual_t(ops, u, v, y, r))
         nz = math.sqrt(norm2(z))
         est = math.sqrt(nz)
         trace.append((k + 1, est))
@@ -229,19 +225,15 @@ def svd_exact(ops: Operands, r: int, iters: int = 20, seed: int = 0, checkpoint:
     Y = M V: the r x r eigen-problem of YᵀY gives σ² and the rotation.
     Returns (sigmas, U, V) with U, V as factor frames.
     """
-    v = random_start_block(ops.b_ids(), r, seed)
+    rounds = Rounds(4 if checkpoint else 10 ** 9)
+    v = rounds.keep(random_start_block(ops.b_ids(), r, seed))
     v = orthonormalize(v, r)
     for _ in range(iters):
-        y = apply_product_block(ops, v, r)
+        y = rounds.keep(apply_product_block(ops, v, r))
         y = orthonormalize(y, r)
-        if checkpoint:
-            y = cut_lineage(y)
-        v = orthonormalize(apply_product_block_t(ops, y, r), r)
-        if checkpoint:
-            v = cut_lineage(v)
-    y = apply_product_block(ops, v, r)
-    if checkpoint:
-        y = cut_lineage(y)
+        v = rounds.keep(apply_product_block_t(ops, y, r))
+        v = orthonormalize(v, r)
+    y = rounds.keep(apply_product_block(ops, v, r))
     g = gram(y, r)
     evals, evecs = np.linalg.eigh(g)
     order = np.argsort(evals)[::-1]

@@ -36,6 +36,8 @@ def quantile_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
 
 def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
     """Range bucket by binary search over the split points (JVM-side)."""
+    if not splits:
+        return df.withColumn(out, F.lit(0))
     tmp = out + "__x"
     full = [float("-inf")] + [s for s in splits] + [float("inf")]
     b = Bucketizer(splits=full, inputCol=tmp, outputCol=out + "__d", handleInvalid="keep")

@@ -104,9 +104,11 @@ def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms
     items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
     if with_norms:
         items.append(F.struct(F.lit(-1).alias("t"), F.lit(None).cast("bigint").alias("h")))
-    e = cells.select("mat", "col", "row", "val", F.explode(F.array(*items)).alias("c"))
+    # the sign is hashed once per cell, before the k-fold expansion
+    e = cells.select("mat", "col", "row", "val", (sign_column(seed) * F.col("val")).alias("sv"),
+                     F.explode(F.array(*items)).alias("c"))
     term = F.when(F.col("c.t") < 0, F.col("val") * F.col("val")).otherwise(
-        sign_column(seed) * hadamard_entry(F.col("c.h"), F.col("row")) * F.col("val"))
+        hadamard_entry(F.col("c.h"), F.col("row")) * F.col("sv"))
     agg = e.groupBy("mat", "col", F.col("c.t").alias("t")).agg(F.sum(term).alias("s"))
     # keep the exact (integer for integer data) sum, scale last
     return agg.withColumn("s", F.when(F.col("t") < 0, F.col("s"))

@@ -119,9 +119,11 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
 
 def one_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, d: int, rank: int = 5, k: int = 64,
                             iters: int = 10, lam: float = 0.0, ss: float = 2.0, seed: int = 0,
-                            estimator: str = "rescaled", weight: str = "ones") -> dict:
+                            estimator: str = "rescaled", weight: str = "ones", cells: DataFrame | None = None,
+                            power_iters: int = 5) -> dict:
     """P2 on column-grouped input (mat, col, vec[d]): sketches and norms in
-    one projection with the fast transform, no shuffle."""
+    one projection with the fast transform, no shuffle.  ``cells`` (the same
+    data as cells) is only read to evaluate the error."""
     n = K.padded_length(d)
     coords = K.pick_coords(seed, n, k)
     sk = cut_lineage(K.srht_sketch_vecs(vecs, d, coords, seed))
@@ -131,7 +133,63 @@ def one_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, d: int, rank:
                                                          estimator), weight))
     v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
     u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
-    return {"u": u, "v": v, "observed": observed, "norms": norms, "sketch": sk}
+    rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
+            ("samples", 0, observed.count())]
+    if cells is not None:
+        rows += _errors(spark, cells, u, v, rank, power_iters, seed, None)
+    return {"u": u, "v": v, "observed": observed, "norms": norms, "sketch": sk,
+            "report": _report(spark, rows)}
+
+
+def two_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, rank: int = 5, iters: int = 10,
+                            lam: float = 0.0, ss: float = 2.0, seed: int = 0, weight: str = "ones",
+                            cells: DataFrame | None = None, power_iters: int = 5) -> dict:
+    """P1 on column-grouped (dense) input: norms in one projection (pass 1),
+    exact sampled values as array dot products (pass 2)."""
+    vecs = vecs.persist(StorageLevel.MEMORY_AND_DISK)
+    norms = cut_lineage(N.col_norms2_vecs(vecs))
+    samples, tot, bud = _sample(norms, rank, ss, seed)
+    observed = cut_lineage(S.weights(P.value_exact_vecs(vecs, samples), weight))
+    v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
+    u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
+    rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
+            ("samples", 0, observed.count())]
+    if cells is not None:
+        rows += _errors(spark, cells, u, v, rank, power_iters, seed, None)
+    vecs.unpersist()
+    return {"u": u, "v": v, "observed": observed, "norms": norms, "report": _report(spark, rows)}
+
+
+def synthetic_benchmark(spark: SparkSession, n: int, d: int, rank: int = 5, k: int = 64, iters: int = 10,
+                        ss: float = 2.0, seed: int = 0, power_iters: int = 5, svd_iters: int = 20,
+                        timer=None) -> DataFrame:
+    """The reference's published experiment at a chosen size: A, B = D·G
+    (d x n, D_ii = 1/i), best rank-r error vs two-pass vs one-pass, with
+    wall-clock seconds.  Returns (method, rel_error, seconds)."""
+    import time
+
+    from rankfold.sources.generate import decay_matrix, decay_vecs_direct
+
+    cells = decay_matrix(spark, d, n, 1.0, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    vecs = decay_vecs_direct(spark, d, n, 1.0, seed)
+    out = []
+    t0 = time.time()
+    ops = L.Operands(cells)
+    try:
+        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed)
+    finally:
+        ops.release()
+    out.append(("optimal", sig[rank] / sig[0], time.time() - t0))
+    for name, fn in (("two_pass", lambda: two_pass_factorize_vecs(
+            spark, vecs, rank, iters, 0.0, ss, seed, cells=cells, power_iters=power_iters)),
+            ("one_pass", lambda: one_pass_factorize_vecs(
+                spark, vecs, d, rank, k, iters, 0.0, ss, seed, cells=cells, power_iters=power_iters))):
+        t0 = time.time()
+        rep = {r["metric"]: r["value"] for r in fn()["report"].collect() if r["round"] == 0}
+        out.append((name, rep["rel_error"], time.time() - t0))
+    cells.unpersist()
+    return spark.createDataFrame([(m, float(e), float(t)) for m, e, t in out],
+                                 "method string, rel_error double, seconds double")
 
 
 def compare_methods(spark: SparkSession, cells: DataFrame, rank: int = 2, k: int = 64, iters: int = 10,

@@ -95,3 +95,36 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out_dir, "rankfold"), "zip", root_dir=root, base_dir="rankfold")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+class Rounds:
+    """Materialise the state of an iterative loop without re-running it.
+
+    Every round's frame is persisted (computed once, inside the next job
+    that needs it); every ``every``-th round is also written as a reliable
+    checkpoint and the earlier persisted rounds are dropped, so the plan
+    never grows beyond ``every`` rounds and a lost executor recomputes at
+    most that many from the last checkpoint.
+    """
+
+    def __init__(self, every: int = 3):
+        self.every = max(1, int(every))
+        self.count = 0
+        self.held: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        from pyspark import StorageLevel
+
+        self.count += 1
+        if self.count % self.every == 0:
+            out = cut_lineage(df)
+            self.release()
+            return out
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(out)
+        return out
+
+    def release(self) -> None:
+        for d in self.held:
+            d.unpersist()
+        self.held = []

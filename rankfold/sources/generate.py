@@ -40,3 +40,17 @@ def decay_vecs(cells: DataFrame) -> DataFrame:
     return cells.groupBy("mat", "col").agg(
         F.sort_array(F.collect_list(F.struct("row", "val"))).alias("e")) \
         .select("mat", "col", F.col("e.val").alias("vec"))
+
+
+def decay_vecs_direct(spark: SparkSession, rows: int, cols: int, alpha: float = 1.0, seed: int = 0,
+                      num_partitions: int | None = None) -> DataFrame:
+    """A2: the same pair generated column-grouped, (mat, col, vec[rows]),
+    with no shuffle: each record computes its column from the hashed rule
+    (identical values to ``decay_matrix``)."""
+    ids = spark.range(0, 2 * int(cols), 1, num_partitions) if num_partitions else spark.range(0, 2 * int(cols))
+    base = ids.select(F.when(F.col("id") < int(cols), F.lit("A")).otherwise(F.lit("B")).alias("mat"),
+                      (F.col("id") % F.lit(int(cols))).alias("col"))
+    vec = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(int(rows) - 1).cast("bigint")),
+                      lambda r: gaussian(seed, "decay", F.col("mat"), r, F.col("col"))
+                      * F.pow(r + F.lit(1.0), F.lit(-float(alpha))))
+    return base.select("mat", "col", vec.alias("vec"))

@@ -47,8 +47,9 @@ def stream_sketch(contrib: DataFrame, coords: list[int], seed: int) -> DataFrame
     """Streaming SRHT sketch (mat, col, t, s) of all contributions."""
     k = len(coords)
     items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
-    e = contrib.select("mat", "col", "row", "val", F.explode(F.array(*items)).alias("c"))
-    term = sign_column(seed) * hadamard_entry(F.col("c.h"), F.col("row")) * F.col("val")
+    e = contrib.select("mat", "col", "row", (sign_column(seed) * F.col("val")).alias("sv"),
+                       F.explode(F.array(*items)).alias("c"))
+    term = hadamard_entry(F.col("c.h"), F.col("row")) * F.col("sv")
     return e.groupBy("mat", "col", F.col("c.t").alias("t")).agg(
         (F.sum(term) * F.lit(1.0 / math.sqrt(k))).alias("s"))
 
