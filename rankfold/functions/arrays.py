@@ -42,7 +42,7 @@ def times_literal(vec: Column, values: list[float]) -> Column:
                       lambda p, q: p * q)
 
 
-def hadamard(vec: Column, n: int) -> Column:
+def hadamard(vec: Column, n: int, finish=None) -> Column:
     """Unnormalised Walsh-Hadamard transform, natural (Sylvester) order.
 
     ``y[h] = sum_r (-1)^popcount(h & r) x[r]`` for an array of length n (a
@@ -54,7 +54,7 @@ def hadamard(vec: Column, n: int) -> Column:
     stages = n.bit_length() - 1
     v = vec.cast("array<double>")
     if stages == 0:
-        return v
+        return v if finish is None else finish(v)
 
     def stage(acc: Column, s: Column) -> Column:
         h = F.pow(F.lit(2), s).cast("int")
@@ -65,7 +65,11 @@ def hadamard(vec: Column, n: int) -> Column:
             .otherwise(F.get(acc, i - h) - x),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(stages - 1)), v, stage)
+    if finish is None:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(stages - 1)), v, stage)
+    # ``finish`` sees the transformed array as a lambda variable, so reading
+    # several positions from it does not re-run the transform per position
+    return F.aggregate(F.sequence(F.lit(0), F.lit(stages - 1)), v, stage, finish)
 
 
 def gather(vec: Column, idx: list[int]) -> Column:

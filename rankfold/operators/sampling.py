@@ -26,6 +26,8 @@ from rankfold.operators.prefix import cdf_lookup, column_cdf
 
 # rows with more draws than this are generated in chunks spread over tasks
 DRAW_CHUNK = 4096
+# the independent-mask sampler (G7) enumerates every cell: small products only
+MASK_CELL_LIMIT = 10 ** 9
 
 
 def sample_budget(n1: int, n2: int, rank: int, ss: float) -> dict:
@@ -95,17 +97,20 @@ def sample_cdf(alloc: DataFrame, cdf: DataFrame, n1: int, n2: int, fro_a: float,
 
 
 def sample_bernoulli_row(heavy: DataFrame, b_norms: DataFrame, n1: int, n2: int, fro_a: float,
-                         fro_b: float, seed: int) -> DataFrame:
+                         fro_b: float, seed: int, n_heavy: int | None = None) -> DataFrame:
     """For a heavy row i, keep column j with probability m_i·q_i(j),
     q_i normalised to 1 (values >= 1 always kept).
 
-    Only rows with m_i > n2/log2(n2) come here, so there are at most
-    m·log2(n2)/n2 of them: the broadcast side is bounded by the sample
-    budget, and the rows tested (heavy rows × n2) are at most log2(n2)
-    times the cells they keep.
+    Only rows with m_i > n2/log2(n2) come here, so heavy·n2 <= m·log2(n2):
+    the rows tested are at most log2(n2) times the cells kept, and the
+    smaller of the two sides has at most sqrt(m·log2(n2)) rows.  That
+    smaller side is the one broadcast (its size is counted, not assumed).
     """
-    hb = F.broadcast(heavy.select("i", "a", "m_i"))
-    pairs = b_norms.select("j", "b").crossJoin(hb)
+    if n_heavy is None:
+        n_heavy = heavy.count()
+    h = heavy.select("i", "a", "m_i")
+    b = b_norms.select("j", "b")
+    pairs = b.crossJoin(F.broadcast(h)) if n_heavy <= n2 else h.crossJoin(F.broadcast(b))
     q = (F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a))) + F.col("b") / (F.lit(float(n1)) * F.lit(float(fro_b)))) \
         / (F.col("a") / F.lit(float(fro_a)) + F.lit(1.0) / F.lit(float(n1)))
     keep = uniform(seed, "bern", F.col("i"), F.col("j")) < F.col("m_i") * q
@@ -134,8 +139,10 @@ def sample_bernoulli(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int,
     is for small products and for the comparison job only (the pipelines
     use G6).
     """
-    hb = F.broadcast(a_norms.select("i", "a")) if n1 <= 100000 else a_norms.select("i", "a")
-    pairs = b_norms.select("j", "b").crossJoin(hb)
+    if n1 * n2 > MASK_CELL_LIMIT:
+        raise ValueError(f"sample_bernoulli tests all n1*n2 = {n1 * n2} cells; use sample_adaptive for large products")
+    a, b = a_norms.select("i", "a"), b_norms.select("j", "b")
+    pairs = b.crossJoin(F.broadcast(a)) if n1 <= n2 else a.crossJoin(F.broadcast(b))
     p = F.lit(float(m)) / F.lit(2.0) * (F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a)))
                                        + F.col("b") / (F.lit(float(n1)) * F.lit(float(fro_b))))
     keep = uniform(seed, "mask", F.col("i"), F.col("j")) < F.least(p, F.lit(1.0))

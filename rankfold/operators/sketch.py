@@ -147,8 +147,9 @@ def srht_sketch_vecs(vecs: DataFrame, d: int, coords: list[int], seed: int) -> D
     k = len(coords)
     signs = [py_sign(seed, "sign", r) for r in range(d)]
     v = AR.times_literal(F.col("vec"), signs)
-    ht = AR.hadamard(AR.pad_to(v, d, n), n)
-    picked = F.transform(AR.gather(ht, coords), lambda x: x * F.lit(1.0 / math.sqrt(k)))
+    scale = F.lit(1.0 / math.sqrt(k))
+    picked = AR.hadamard(AR.pad_to(v, d, n), n,
+                         finish=lambda acc: F.transform(AR.gather(acc, coords), lambda x: x * scale))
     return vecs.select("mat", "col", picked.alias("sk"), AR.sum_squares(F.col("vec")).alias("norm2"))
 
 
