@@ -29,9 +29,17 @@ from rankfold.sources.tables import split
 
 
 class Operands:
-    """A (row, i, a) and B (row, j, b), prepared once for repeated products."""
+    """A (row, i, a) and B (row, j, b), prepared once for repeated products.
+
+    Hot keys (a row or a column holding more than its share of cells) are
+    found once per side and key (bounded lists, see ``skew.hot_keys``);
+    every product then salts them, so no task receives a hot key whole.
+    """
+
+    def __init__(self, cells: DataFrame, partitions: int | None = None, persist: bool = True,
+                 detect_skew: bool = True, min_rows: int | None = None):
+        from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys
 
-    def __init__(self, cells: DataFrame, partitions: int | None = None, persist: bool = True):
         a, b = split(cells)
         if partitions:
             a = a.repartition(partitions, "row")
@@ -41,6 +49,22 @@ class Operands:
             b = b.persist(StorageLevel.MEMORY_AND_DISK)
         self.a, self.b = a, b
         self._persisted = persist
+        mr = DEFAULT_MIN_ROWS if min_rows is None else min_rows
+        if detect_skew:
+            self.hot = {"a_row": hot_keys(a, "row", min_rows=mr), "a_col": hot_keys(a, "i", min_rows=mr),
+                        "b_row": hot_keys(b, "row", min_rows=mr), "b_col": hot_keys(b, "j", min_rows=mr)}
+        else:
+            self.hot = {"a_row": [], "a_col": [], "b_row": [], "b_col": []}
+
+    def join(self, side: str, key: str, other: DataFrame) -> DataFrame:
+        """side ⋈ other on key ('row' or the side's column), hot keys salted."""
+        from rankfold.operators.skew import salted_join
+
+        big = self.a if side == "a" else self.b
+        col = "i" if side == "a" else "j"
+        if key == "row":
+            return salted_join(big, other, ["row"], "row", self.hot[f"{side}_row"], col)
+        return salted_join(big, other, [col], col, self.hot[f"{side}_col"], "row")
 
     def a_ids(self) -> DataFrame:
         return self.a.select(F.col("i").alias("id")).distinct()
@@ -88,17 +112,17 @@ def axpy(alpha: float, x: DataFrame, y: DataFrame) -> DataFrame:
 
 def apply_product(ops: Operands, x: DataFrame) -> DataFrame:
     """y = Aᵀ(B x); x over B's columns, y over A's columns."""
-    w = ops.b.join(x.select(F.col("id").alias("j"), F.col("val").alias("x")), "j") \
+    w = ops.join("b", "j", x.select(F.col("id").alias("j"), F.col("val").alias("x"))) \
         .groupBy("row").agg(F.sum(F.col("b") * F.col("x")).alias("w"))
-    return ops.a.join(w, "row").groupBy("i").agg(F.sum(F.col("a") * F.col("w")).alias("val")) \
+    return ops.join("a", "row", w).groupBy("i").agg(F.sum(F.col("a") * F.col("w")).alias("val")) \
         .withColumnRenamed("i", "id")
 
 
 def apply_product_t(ops: Operands, y: DataFrame) -> DataFrame:
     """z = Bᵀ(A y); y over A's columns, z over B's columns."""
-    w = ops.a.join(y.select(F.col("id").alias("i"), F.col("val").alias("y")), "i") \
+    w = ops.join("a", "i", y.select(F.col("id").alias("i"), F.col("val").alias("y"))) \
         .groupBy("row").agg(F.sum(F.col("a") * F.col("y")).alias("w"))
-    return ops.b.join(w, "row").groupBy("j").agg(F.sum(F.col("b") * F.col("w")).alias("val")) \
+    return ops.join("b", "row", w).groupBy("j").agg(F.sum(F.col("b") * F.col("w")).alias("val")) \
         .withColumnRenamed("j", "id")
 
 
@@ -111,13 +135,13 @@ def _sum_block(weight, r: int):
 
 
 def apply_product_block(ops: Operands, x: DataFrame, r: int) -> DataFrame:
-    w = ops.b.join(x.select(F.col("id").alias("j"), "f"), "j").groupBy("row").agg(_sum_block(F.col("b"), r))
-    return ops.a.join(w, "row").groupBy("i").agg(_sum_block(F.col("a"), r)).withColumnRenamed("i", "id")
+    w = ops.join("b", "j", x.select(F.col("id").alias("j"), "f")).groupBy("row").agg(_sum_block(F.col("b"), r))
+    return ops.join("a", "row", w).groupBy("i").agg(_sum_block(F.col("a"), r)).withColumnRenamed("i", "id")
 
 
 def apply_product_block_t(ops: Operands, y: DataFrame, r: int) -> DataFrame:
-    w = ops.a.join(y.select(F.col("id").alias("i"), "f"), "i").groupBy("row").agg(_sum_block(F.col("a"), r))
-    return ops.b.join(w, "row").groupBy("j").agg(_sum_block(F.col("b"), r)).withColumnRenamed("j", "id")
+    w = ops.join("a", "i", y.select(F.col("id").alias("i"), "f")).groupBy("row").agg(_sum_block(F.col("a"), r))
+    return ops.join("b", "row", w).groupBy("j").agg(_sum_block(F.col("b"), r)).withColumnRenamed("j", "id")
 
 
 def factor_times(factors: DataFrame, coeffs: list[float]) -> DataFrame:
@@ -157,11 +181,14 @@ def block_times(block: DataFrame, mat: np.ndarray) -> DataFrame:
 # spectral norms and errors
 # ---------------------------------------------------------------------------
 
-def spectral_norm(ops: Operands, iters: int = 5, seed: int = 0, checkpoint: bool = True):
+def spectral_norm(ops: Operands, iters: int = 5, seed: int = 0, checkpoint: bool = True,
+                  tol: float | None = None):
     """Power iteration on MᵀM from a hashed random unit vector.
 
     Returns (estimate of ‖M‖₂, trace as a list of (round, estimate)).  Each
-    round ends with one scalar on the driver and a lineage cut.
+    round ends with one scalar on the driver.  A few rounds give a lower
+    bound of ‖M‖₂; ``tol`` stops early once the relative change of the
+    estimate drops below it (``iters`` is then the maximum).
     """
     rounds = Rounds(3 if checkpoint else 10 ** 9)
     x = rounds.keep(random_start(ops.b_ids(), seed, "start"))
@@ -171,8 +198,10 @@ def spectral_norm(ops: Operands, iters: int = 5, seed: int = 0, checkpoint: bool
     for k in range(iters):
         z = rounds.keep(apply_product_t(ops, apply_product(ops, x)))
         nz = math.sqrt(norm2(z))
-        est = math.sqrt(nz)
+        prev, est = est, math.sqrt(nz)
         trace.append((k + 1, est))
+        if tol is not None and prev > 0 and abs(est - prev) <= tol * est:
+            break
         x = z.select("id", (F.col("val") / F.lit(nz if nz > 0 else 1.0)).alias("val"))
     return est, trace
 

@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from rankfold.sources.tables import split
 
 
-def product_exact(cells: DataFrame) -> DataFrame:
+def product_exact(cells: DataFrame, detect_skew: bool = True, min_rows: int = 200_000) -> DataFrame:
     """M = AᵀB as cells (i, j, val); only non-empty cells are produced.
 
     Work is sum over rows of nnzA(row)·nnzB(row): meant for sparse data
-    and for checks; the pipelines never form M.
+    and for checks; the pipelines never form M.  A row with many A cells is
+    salted: its A cells are spread over sub-keys, its B cells replicated.
     """
+    from rankfold.operators.skew import hot_keys, salted_join
+
     a, b = split(cells)
-    return a.join(b, "row").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
+    hot = hot_keys(a, "row", min_rows=min_rows) if detect_skew else []
+    return salted_join(a, b, ["row"], "row", hot, "i").groupBy("i", "j") \
+        .agg(F.sum(F.col("a") * F.col("b")).alias("val"))
 
 
 def transpose(df: DataFrame, left: str = "i", right: str = "j") -> DataFrame:
@@ -35,20 +40,27 @@ def mask(cells_ij: DataFrame, samples: DataFrame) -> DataFrame:
     return cells_ij.join(samples.select("i", "j"), ["i", "j"], "left_semi")
 
 
-def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A") -> DataFrame:
+def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_skew: bool = True,
+                min_rows: int = 200_000) -> DataFrame:
     """Second pass: exact M[i, j] for every sampled (i, j); zeros kept.
 
     Plan: samples ⋈ A on i (only columns that were sampled), then ⋈ B on
     (row, j), sum per (i, j), left join back so cells whose value is 0 stay
     observed.  Work is sum_i S_i·nnz(A_i) instead of the full product.
-    ``first='B'`` starts from B (cheaper when B's columns are sparser).
+    ``first='B'`` starts from B (cheaper when B's columns are sparser).  A
+    column with many cells is salted in the first join (its cells spread
+    over sub-keys, its samples replicated).
     """
+    from rankfold.operators.skew import hot_keys, salted_join
+
     a, b = split(cells)
     s = samples.select("i", "j")
     if first == "A":
-        part = s.join(a, "i").join(b, ["row", "j"])
+        hot = hot_keys(a, "i", min_rows=min_rows) if detect_skew else []
+        part = salted_join(a, s, ["i"], "i", hot, "row").join(b, ["row", "j"])
     else:
-        part = s.join(b, "j").join(a, ["row", "i"])
+        hot = hot_keys(b, "j", min_rows=min_rows) if detect_skew else []
+        part = salted_join(b, s, ["j"], "j", hot, "row").join(a, ["row", "i"])
     dots = part.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
     return samples.join(dots, ["i", "j"], "left").withColumn("val", F.coalesce(F.col("val"), F.lit(0.0)))
 

@@ -120,9 +120,13 @@ def sample_bernoulli_row(heavy: DataFrame, b_norms: DataFrame, n1: int, n2: int,
 def sample_adaptive(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int, n2: int, fro_a: float,
                     fro_b: float, seed: int, cdf: DataFrame | None = None) -> DataFrame:
     """Heavy rows by G5, the rest by G4; then G3 adds p: (i, j, p)."""
-    alloc = row_allocation(a_norms, m, n1, fro_a)
+    from pyspark import StorageLevel
+
+    # both are one row per column (n1 and n2 rows) and are read several times
+    alloc = row_allocation(a_norms, m, n1, fro_a).persist(StorageLevel.MEMORY_AND_DISK)
     if cdf is None:
         cdf = column_cdf(b_norms)
+    cdf = cdf.persist(StorageLevel.MEMORY_AND_DISK)
     heavy = alloc.where(heavy_condition(n2))
     light = alloc.where(~heavy_condition(n2))
     s = sample_cdf(light, cdf, n1, n2, fro_a, fro_b, seed) \

@@ -71,7 +71,7 @@ def two_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, ite
     samples, tot, bud = _sample(norms, rank, ss, seed)
     first = P.pick_first_side(norms)
     observed = S.weights(P.value_exact(cells, samples, first), weight)
-    observed = cut_lineage(observed)
+    observed = cut_lineage(observed, cache=True)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
             ("samples", 0, observed.count())]
@@ -107,7 +107,7 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
     wide = cut_lineage(wide)
     samples, tot, bud = _sample(norms, rank, ss, seed)
     observed = S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight)
-    observed = cut_lineage(observed)
+    observed = cut_lineage(observed, cache=True)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
             ("samples", 0, observed.count())]
@@ -130,7 +130,7 @@ def one_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, d: int, rank:
     norms = sk.select("mat", "col", "norm2")
     samples, tot, bud = _sample(norms, rank, ss, seed)
     observed = cut_lineage(S.weights(K.value_from_sketch(samples, sk.select("mat", "col", "sk"), norms,
-                                                         estimator), weight))
+                                                         estimator), weight), cache=True)
     v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
     u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
@@ -149,7 +149,7 @@ def two_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, rank: int = 5,
     vecs = vecs.persist(StorageLevel.MEMORY_AND_DISK)
     norms = cut_lineage(N.col_norms2_vecs(vecs))
     samples, tot, bud = _sample(norms, rank, ss, seed)
-    observed = cut_lineage(S.weights(P.value_exact_vecs(vecs, samples), weight))
+    observed = cut_lineage(S.weights(P.value_exact_vecs(vecs, samples), weight), cache=True)
     v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
     u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
@@ -217,7 +217,7 @@ def compare_methods(spark: SparkSession, cells: DataFrame, rank: int = 2, k: int
             ("one_pass", K.value_from_sketch(mask, wide, norms, "rescaled")),
             ("two_pass", P.value_exact(cells, mask, P.pick_first_side(norms))),
         ):
-            obs = cut_lineage(S.weights(obs, "ones"))
+            obs = cut_lineage(S.weights(obs, "ones"), cache=True)
             u, v = FZ.wals(obs, v_ids, rank, iters, lam, seed)
             res, _ = L.residual_norm(ops, u, v, rank, power_iters, seed)
             out.append((method, res / s1 if s1 > 0 else float("nan")))

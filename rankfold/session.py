@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3) before running loops")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, cache: bool = False) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
     Used once per round of every iterative loop (power iteration, ALS), so
@@ -65,6 +65,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     held = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads this, not a recompute
     out = held.checkpoint(eager=True)
     held.unpersist()
+    if cache:
+        # re-read many times (e.g. by every ALS round): keep it in executor memory too
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
     return out
 
 
