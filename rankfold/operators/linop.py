@@ -7,11 +7,12 @@ Mᵀ y the same with A and B swapped.  Vectors are DataFrames
 summed element-wise with r aggregate columns.  Only scalars (a norm per
 round) and r x r matrices reach the driver.
 
-With ``prepare`` the two sides are split once and hash-partitioned by row
-and persisted: then ``B ⋈ x`` keeps B's partitioning, the ``groupBy(row)``
-needs no shuffle, ``A ⋈ w`` is co-partitioned, and each product shuffles
-only partial sums of size O(n), never the cells.  AQE turns the ``⋈ x``
-into a broadcast when x is small at runtime.
+``Operands`` splits the pair once and persists both sides in the
+partitioning they already have (never hash-partitioned by row: a row
+holding a third of the cells would land in one task).  Each product then
+moves only partially aggregated sums of size O(n), never the cells: the
+``⋈ x`` becomes a broadcast when AQE sees a small vector at runtime, and
+keys holding more than their share of cells are salted (``skew``).
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ class Operands:
 
         a, b = split(cells)
         if partitions:
-            a = a.repartition(partitions, "row")
-            b = b.repartition(partitions, "row")
+            # spread by the whole cell key: a hot row is split, not concentrated
+            a = a.repartition(partitions, "row", "i")
+            b = b.repartition(partitions, "row", "j")
         if persist:
             a = a.persist(StorageLevel.MEMORY_AND_DISK)
             b = b.persist(StorageLevel.MEMORY_AND_DISK)

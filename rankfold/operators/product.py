@@ -44,34 +44,56 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
                 min_rows: int = 200_000) -> DataFrame:
     """Second pass: exact M[i, j] for every sampled (i, j); zeros kept.
 
-    Plan: samples ⋈ A on i (only columns that were sampled), then ⋈ B on
-    (row, j), sum per (i, j), left join back so cells whose value is 0 stay
-    observed.  Work is sum_i S_i·nnz(A_i) instead of the full product.
-    ``first='B'`` starts from B (cheaper when B's columns are sparser).  A
-    column with many cells is salted in the first join (its cells spread
-    over sub-keys, its samples replicated).
+    Three plans, all exact (``first``):
+
+    * 'A': samples ⋈ A on i (only sampled columns), then ⋈ B on (row, j);
+      work sum_i S_i·nnz(A_i).
+    * 'B': the same from B; work sum_j S_j·nnz(B_j).
+    * 'rows': pairs of A and B cells sharing a row, kept only where (i, j)
+      was sampled; work sum_row nnzA(row)·nnzB(row) (best when rows are
+      short, e.g. orders with a few lines).
+    * 'auto': the cheapest of the three by those counts (choose_plan).
+
+    Hot keys of the first join are salted (their cells spread over
+    sub-keys, the other side replicated).  The result is left-joined back
+    to the samples so cells whose value is 0 stay observed.
     """
     from rankfold.operators.skew import hot_keys, salted_join
 
+    if first == "auto":
+        first = choose_plan(cells, samples)
     a, b = split(cells)
     s = samples.select("i", "j")
     if first == "A":
         hot = hot_keys(a, "i", min_rows=min_rows) if detect_skew else []
         part = salted_join(a, s, ["i"], "i", hot, "row").join(b, ["row", "j"])
-    else:
+    elif first == "B":
         hot = hot_keys(b, "j", min_rows=min_rows) if detect_skew else []
         part = salted_join(b, s, ["j"], "j", hot, "row").join(a, ["row", "i"])
+    elif first == "rows":
+        hot = hot_keys(a, "row", min_rows=min_rows) if detect_skew else []
+        part = salted_join(a, b, ["row"], "row", hot, "i").join(s, ["i", "j"])
+    else:
+        raise ValueError("first must be 'A', 'B', 'rows' or 'auto'")
     dots = part.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
     return samples.join(dots, ["i", "j"], "left").withColumn("val", F.coalesce(F.col("val"), F.lit(0.0)))
 
 
-def pick_first_side(norms: DataFrame) -> str:
-    """Start value_exact from the side whose columns are sparser on average."""
-    r = {x["mat"]: x for x in norms.groupBy("mat").agg(F.sum("nnz").alias("nnz"),
-                                                      F.count(F.lit(1)).alias("n")).collect()}
-    if "A" not in r or "B" not in r:
-        return "A"
-    return "A" if r["A"]["nnz"] / max(r["A"]["n"], 1) <= r["B"]["nnz"] / max(r["B"]["n"], 1) else "B"
+def choose_plan(cells: DataFrame, samples: DataFrame) -> str:
+    """Pick value_exact's plan from three work estimates (two small
+    aggregate jobs; only three numbers reach the driver)."""
+    a, b = split(cells)
+    nnz_a = a.groupBy("i").agg(F.count(F.lit(1)).alias("na"))
+    nnz_b = b.groupBy("j").agg(F.count(F.lit(1)).alias("nb"))
+    s = samples.select("i", "j")
+    est = s.join(nnz_a, "i", "left").join(nnz_b, "j", "left").agg(
+        F.sum(F.coalesce("na", F.lit(0))).alias("ca"), F.sum(F.coalesce("nb", F.lit(0))).alias("cb")).first()
+    per_row = cells.groupBy("row").agg(
+        F.sum(F.when(F.col("mat") == "A", 1).otherwise(0)).alias("ra"),
+        F.sum(F.when(F.col("mat") == "B", 1).otherwise(0)).alias("rb"))
+    cr = per_row.agg(F.sum(F.col("ra").cast("double") * F.col("rb"))).first()[0] or 0.0
+    costs = {"A": float(est["ca"] or 0), "B": float(est["cb"] or 0), "rows": float(cr)}
+    return min(costs, key=costs.get)
 
 
 def value_exact_vecs(vecs: DataFrame, samples: DataFrame) -> DataFrame:

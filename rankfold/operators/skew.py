@@ -33,9 +33,11 @@ def _parts(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, key: str, parts: int | None = None, min_rows: int = DEFAULT_MIN_ROWS) -> list:
     """[(key value, n_salt)] for keys holding more than their fair share."""
     parts = parts or _parts(df)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total = df.count()  # callers pass persisted frames: a cache scan
     threshold = max(int(min_rows), int(math.ceil(total / parts)))
+    if total <= threshold:
+        return []  # no key can hold more rows than the whole frame
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > threshold).limit(parts + 1).collect()  # at most `parts` by construction
     return [(r[key], int(math.ceil(r["_n"] / threshold))) for r in hot]
 

@@ -69,8 +69,7 @@ def two_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, ite
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     norms = N.col_norms2(cells).persist(StorageLevel.MEMORY_AND_DISK)
     samples, tot, bud = _sample(norms, rank, ss, seed)
-    first = P.pick_first_side(norms)
-    observed = S.weights(P.value_exact(cells, samples, first), weight)
+    observed = S.weights(P.value_exact(cells, samples, "auto"), weight)
     observed = cut_lineage(observed, cache=True)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
@@ -215,7 +214,7 @@ def compare_methods(spark: SparkSession, cells: DataFrame, rank: int = 2, k: int
         out = [("optimal", err_opt)]
         for method, obs in (
             ("one_pass", K.value_from_sketch(mask, wide, norms, "rescaled")),
-            ("two_pass", P.value_exact(cells, mask, P.pick_first_side(norms))),
+            ("two_pass", P.value_exact(cells, mask, "auto")),
         ):
             obs = cut_lineage(S.weights(obs, "ones"), cache=True)
             u, v = FZ.wals(obs, v_ids, rank, iters, lam, seed)

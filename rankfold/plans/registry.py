@@ -529,7 +529,7 @@ def q_sample_bernoulli(spark, sf_dir):
 @register("value_exact", sampling_ctes(SQL_OBSERVED) + "SELECT i, j, val FROM observed")
 def q_value_exact(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
-    return P.value_exact(c.cells, c.samples()).select("i", "j", "val")
+    return P.value_exact(c.cells, c.samples(), "auto").select("i", "j", "val")
 
 
 @register("observed_matrix", sampling_ctes(SQL_OBSERVED) +

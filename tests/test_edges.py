@@ -81,6 +81,8 @@ def test_salted_joins_same_answer(spark):
     v1 = sorted(tuple(r) for r in P.value_exact(cells, s, detect_skew=False).collect())
     v2 = sorted(tuple(r) for r in P.value_exact(cells, s, min_rows=1).collect())
     assert v1 == v2
+    for plan in ("B", "rows"):
+        assert sorted(tuple(r) for r in P.value_exact(cells, s, plan, min_rows=1).collect()) == v1
     x = spark.createDataFrame([(j, float(j) - 7.0) for j in range(30)], "id bigint, val double")
     o1 = L.Operands(cells, persist=False, detect_skew=False)
     o2 = L.Operands(cells, persist=False, min_rows=1)

@@ -115,7 +115,7 @@ def test_value_exact_keeps_zero_cells(golden):
     s = golden.sparkSession.createDataFrame([(0, 0, 1.0), (2, 2, 1.0), (1, 1, 1.0)], "i bigint, j bigint, p double")
     got = {(r["i"], r["j"]): r["val"] for r in P.value_exact(golden, s).collect()}
     assert got == {(0, 0): 3.0, (2, 2): 3.0, (1, 1): 1.0}
-    for first in ("A", "B"):
+    for first in ("A", "B", "rows", "auto"):
         assert {(r["i"], r["j"]): r["val"] for r in P.value_exact(golden, s, first).collect()} == got
 
 
