@@ -136,15 +136,19 @@ def sample_adaptive(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int, n
 
 def sample_bernoulli(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int, n2: int, fro_a: float,
                      fro_b: float, seed: int) -> DataFrame:
-    """Every cell kept independently with min(1, p_ij).
+    """Every cell kept independently with min(1, p_ij): (i, j, p).
 
-    Implemented as G5 over *all* rows with per-row budget m_i·(the share
-    p_ij / m_i): keep if u(i, j) < min(1, p_ij).  Tests n1·n2 cells, so it
-    is for small products and for the comparison job only (the pipelines
-    use G6).
+    Up to MASK_CELL_LIMIT cells this tests each cell with its own hashed
+    uniform (reproducible cell by cell, e.g. by the SQL oracle).  Beyond it
+    the same law is drawn by ``bernoulli_thinned`` with work proportional
+    to the cells kept, never to n1·n2.
     """
+    alpha = float(m) / (2.0 * n2 * fro_a)
+    beta = float(m) / (2.0 * n1 * fro_b)
     if n1 * n2 > MASK_CELL_LIMIT:
-        raise ValueError(f"sample_bernoulli tests all n1*n2 = {n1 * n2} cells; use sample_adaptive for large products")
+        rows = a_norms.select("i", (F.col("a") * F.lit(alpha)).alias("x"), F.lit(beta).alias("w"))
+        kept = bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "mask")
+        return cell_probability(kept, a_norms, b_norms, m, n1, n2, fro_a, fro_b)
     a, b = a_norms.select("i", "a"), b_norms.select("j", "b")
     pairs = b.crossJoin(F.broadcast(a)) if n1 <= n2 else a.crossJoin(F.broadcast(b))
     p = F.lit(float(m)) / F.lit(2.0) * (F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a)))
@@ -153,6 +157,96 @@ def sample_bernoulli(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int,
     return pairs.where(keep).select("i", "j", p.alias("p"))
 
 
+# expected candidates per generator record (bounds the window group size)
+THIN_CHUNK = 65536
+ZERO_CLASS = 63
+
+
+def bernoulli_thinned(rows: DataFrame, cols: DataFrame, seed: int, purpose: str = "thin",
+                      max_rounds: int = 64) -> DataFrame:
+    """Independent Bernoulli(min(1, x_i + w_i·b_j)) for every (i, j) pair,
+    without enumerating the pairs.  ``rows`` is (i, x, w), ``cols`` (j, b).
+
+    Columns are grouped into at most 64 classes of b (factor-2 bands below
+    the largest b, plus b = 0); class c has n_c columns, ranked 0..n_c-1,
+    and a maximum bmax_c.  For row i and class c every column is first a
+    candidate with the dominating probability π = min(1, x_i + w_i·bmax_c)
+    -- an exact Bernoulli(π) process over the ranks, generated as
+    cumulative geometric skips from hashed uniforms -- then accepted with
+    p_ij/π >= 1/2.  Work ~ 2·(cells kept) + n1·(classes); a record covers
+    at most THIN_CHUNK expected candidates, and records that run out of
+    pre-drawn skips continue in another round (no cap).
+    """
+    from pyspark import StorageLevel
+
+    from rankfold.operators.prefix import prefix_sums
+
+    bmax = cols.agg(F.max("b")).first()[0] or 0.0
+    cls = F.when(F.col("b") <= 0, F.lit(ZERO_CLASS)).otherwise(
+        F.least(F.lit(ZERO_CLASS - 1), F.greatest(F.lit(0), F.floor(
+            -F.log2(F.col("b") / F.lit(float(bmax)) if bmax > 0 else F.lit(1.0))).cast("int"))))
+    c1 = cols.select("j", "b", cls.alias("c"))
+    stats = c1.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"), F.max("b").alias("bmax")).collect()  # <= 64 rows
+    stats = sorted((int(r["c"]), int(r["n_c"]), float(r["bmax"])) for r in stats)
+    offset, offs = 0, {}
+    for c, n_c, _ in stats:
+        offs[c] = offset
+        offset += n_c
+    # rank of each column inside its class: global rank in (class, j) order minus the class offset
+    idx = prefix_sums(c1, "j", {"g": F.lit(1).cast("bigint")}).withColumnRenamed("g_lo", "idx")
+    ordered = idx.withColumn("ord", F.col("c").cast("bigint") * F.lit(1 << 40) + F.col("idx"))
+    ranked = prefix_sums(ordered, "ord", {"q": F.lit(1).cast("bigint")})
+    off_col = F.element_at(F.create_map(*[x for c, o in offs.items() for x in (F.lit(c), F.lit(o))]), F.col("c"))
+    rank_tab = ranked.select("c", (F.col("q_lo") - off_col).alias("r"), "j", "b") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+    classes = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).cast("bigint").alias("n_c"),
+                                 F.lit(bm).alias("bmax")) for c, n, bm in stats])
+    rec = rows.select("i", "x", "w", F.explode(classes).alias("k")).select(
+        "i", "x", "w", F.col("k.c").alias("c"), F.col("k.n_c").alias("n_c"),
+        F.least(F.lit(1.0), F.col("x") + F.col("w") * F.col("k.bmax")).alias("pbar"))
+    rec = rec.where(F.col("pbar") > 0)
+    nch = F.greatest(F.lit(1), F.ceil(F.col("n_c") * F.col("pbar") / F.lit(THIN_CHUNK))).cast("bigint")
+    rec = rec.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), nch - 1)).alias("ch"), nch.alias("nch"))
+    rec = rec.select("i", "x", "w", "c", "ch", "pbar",
+                     F.floor(F.col("ch") * F.col("n_c") / F.col("nch")).cast("bigint").alias("lo"),
+                     F.floor((F.col("ch") + 1) * F.col("n_c") / F.col("nch")).cast("bigint").alias("hi")) \
+        .withColumn("start", F.lit(0).cast("bigint")).withColumn("k0", F.lit(0).cast("bigint"))
+    rec = rec.repartition("i", "c", "ch")
+
+    from pyspark.sql import Window
+
+    found = None
+    todo = rec
+    for _ in range(max_rounds):
+        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)
+        n_len = F.col("hi") - F.col("lo") - F.col("start")
+        expect = n_len * F.col("pbar")
+        kdraw = (F.ceil(expect + F.lit(3.0) * F.sqrt(expect)) + 1).cast("bigint")
+        d = todo.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), kdraw)).alias("k"))
+        u = uniform(seed, purpose + ".skip", F.col("i"), F.col("c"), F.col("ch"), F.col("k0") + F.col("k"))
+        skip = F.when(F.col("pbar") >= 1, F.lit(1)).otherwise(
+            F.lit(1) + F.floor(F.log(u) / F.log1p(-F.col("pbar")))).cast("bigint")
+        w = Window.partitionBy("i", "c", "ch").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("cum", F.col("start") + F.sum(skip).over(w)).persist(StorageLevel.MEMORY_AND_DISK)
+        cand = d.where(F.col("cum") <= F.col("hi") - F.col("lo")) \
+            .select("i", "x", "w", "c", "pbar", (F.col("lo") + F.col("cum") - 1).alias("r"))
+        found = cand if found is None else found.unionByName(cand)
+        last = d.groupBy("i", "c", "ch").agg(F.max("cum").alias("last"), F.max("k").alias("kmax"))
+        todo_next = todo.join(last, ["i", "c", "ch"]).where(F.col("last") < F.col("hi") - F.col("lo")) \
+            .select("i", "x", "w", "c", "ch", "pbar", "lo", "hi", F.col("last").alias("start"),
+                    (F.col("k0") + F.col("kmax")).alias("k0"))
+        if todo_next.limit(1).count() == 0:
+            break
+        todo = todo_next
+    else:
+        raise RuntimeError("bernoulli_thinned did not finish; raise max_rounds")
+    hit = found.join(rank_tab, ["c", "r"])
+    p = F.least(F.lit(1.0), F.col("x") + F.col("w") * F.col("b"))
+    keep = uniform(seed, purpose + ".acc", F.col("i"), F.col("j")) * F.col("pbar") < p
+    return hit.where(keep).select("i", "j")
+
+
 def weights(samples: DataFrame, kind: str = "ones") -> DataFrame:
     """H5: w = 1, or w = 1/min(p, 1)."""
     if kind == "ones":

@@ -526,6 +526,19 @@ def q_sample_bernoulli(spark, sf_dir):
     return m.select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
 
 
+@register("sample_bernoulli_thinned")
+def q_sample_bernoulli_thinned(spark, sf_dir):
+    """G7 at scale: the same independent mask law drawn by class thinning
+    (work ~ cells kept, no pair enumeration); rows-only, law tested in
+    tests/test_sampling.py."""
+    c = _Ctx(spark, sf_dir)
+    n1, n2, fa, fb = c.args()
+    m = c.bud["m"]
+    rows = c.a_n.select("i", (F.col("a") * F.lit(m / (2.0 * n2 * fa))).alias("x"), F.lit(m / (2.0 * n1 * fb)).alias("w"))
+    kept = S.bernoulli_thinned(rows, c.b_n.select("j", "b"), SEED, "mask")
+    return S.cell_probability(kept, c.a_n, c.b_n, m, n1, n2, fa, fb).select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
+
+
 @register("value_exact", sampling_ctes(SQL_OBSERVED) + "SELECT i, j, val FROM observed")
 def q_value_exact(spark, sf_dir):
     c = _Ctx(spark, sf_dir)

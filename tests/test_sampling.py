@@ -111,3 +111,39 @@ def test_norms_zero_column(spark):
                                   "mat string, row bigint, col bigint, val double")
     n = {(r["mat"], r["col"]): r["norm2"] for r in N.col_norms2(cells).collect()}
     assert n[("A", 0)] == 0.0 and n[("A", 1)] == 4.0 and n[("B", 5)] == 1.0
+
+
+def test_bernoulli_thinned_law(spark):
+    """Independent Bernoulli(min(1, x + w·b)) without enumerating pairs:
+    per-column frequencies over many identical rows match the law."""
+    rng = np.random.default_rng(8)
+    n_rows, n_cols = 400, 150
+    b = np.concatenate([[0.0, 0.0], rng.exponential(1.0, size=n_cols - 4), [60.0, 200.0]])
+    x, w = 0.01, 0.02
+    rows = spark.createDataFrame([(i, x, w) for i in range(n_rows)], "i bigint, x double, w double")
+    cols = spark.createDataFrame([(j, float(v)) for j, v in enumerate(b)], "j bigint, b double")
+    got = S.bernoulli_thinned(rows, cols, seed=4).collect()
+    pairs = {(r["i"], r["j"]) for r in got}
+    assert len(pairs) == len(got)  # no duplicates
+    p = np.minimum(1.0, x + w * b)
+    freq = np.zeros(n_cols)
+    for _, j in pairs:
+        freq[j] += 1
+    sd = np.sqrt(n_rows * p * (1 - p)) + 1e-9
+    assert np.all(np.abs(freq - n_rows * p) <= 5 * sd + 1e-9)
+    assert freq[-1] == n_rows and freq[-2] == n_rows  # p >= 1: always kept
+    total_sd = np.sqrt((n_rows * p * (1 - p)).sum())
+    assert abs(len(pairs) - n_rows * p.sum()) < 5 * total_sd
+
+
+def test_mask_switches_to_thinning(spark, monkeypatch):
+    a, b, a_n, b_n = _law_setup(spark, n1=80, n2=90, seed=4)
+    m = 1500.0
+    p = m / 2 * (a[:, None] / (len(b) * a.sum()) + b[None, :] / (len(a) * b.sum()))
+    monkeypatch.setattr(S, "MASK_CELL_LIMIT", 0)
+    s = S.sample_bernoulli(a_n, b_n, m, len(a), len(b), a.sum(), b.sum(), 11)
+    n = s.count()
+    mu = np.minimum(p, 1).sum()
+    sd = np.sqrt((np.minimum(p, 1) * (1 - np.minimum(p, 1))).sum())
+    assert abs(n - mu) < 5 * sd
+    assert set(s.columns) == {"i", "j", "p"}
