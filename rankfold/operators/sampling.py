@@ -105,9 +105,19 @@ def sample_bernoulli_row(heavy: DataFrame, b_norms: DataFrame, n1: int, n2: int,
     the rows tested are at most log2(n2) times the cells kept, and the
     smaller of the two sides has at most sqrt(m·log2(n2)) rows.  That
     smaller side is the one broadcast (its size is counted, not assumed).
+    Beyond MASK_CELL_LIMIT pairs the same law is drawn by class thinning
+    (``bernoulli_thinned``), with no pair enumeration at all.
     """
     if n_heavy is None:
         n_heavy = heavy.count()
+    if n_heavy * n2 > MASK_CELL_LIMIT:
+        # same law without testing every pair: m_i·q_i(j) = x_i + w_i·b_j
+        z = F.col("a") / F.lit(float(fro_a)) + F.lit(1.0) / F.lit(float(n1))
+        rows = heavy.select(
+            "i",
+            (F.col("m_i") * F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a))) / z).alias("x"),
+            (F.col("m_i") / (F.lit(float(n1)) * F.lit(float(fro_b))) / z).alias("w"))
+        return bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "bern")
     h = heavy.select("i", "a", "m_i")
     b = b_norms.select("j", "b")
     pairs = b.crossJoin(F.broadcast(h)) if n_heavy <= n2 else h.crossJoin(F.broadcast(b))

@@ -147,3 +147,20 @@ def test_mask_switches_to_thinning(spark, monkeypatch):
     sd = np.sqrt((np.minimum(p, 1) * (1 - np.minimum(p, 1))).sum())
     assert abs(n - mu) < 5 * sd
     assert set(s.columns) == {"i", "j", "p"}
+
+
+def test_adaptive_with_thinned_heavy_rows(spark, monkeypatch):
+    """Force the heavy-row branch onto class thinning: sample count follows
+    the same expectation as the per-cell branch."""
+    a, b, a_n, b_n = _law_setup(spark, n1=5, n2=40, seed=6)
+    m = 600.0
+    alloc = S.row_allocation(a_n, m, 5, a.sum()).collect()
+    assert all(r["m_i"] * np.log2(40) > 40 for r in alloc)
+    q = (a[:, None] / (40 * a.sum()) + b[None, :] / (5 * b.sum())) / (a[:, None] / a.sum() + 1 / 5)
+    mi = np.array([r["m_i"] for r in sorted(alloc, key=lambda r: r["i"])])[:, None]
+    p = np.minimum(1, mi * q)
+    mu, sd = p.sum(), np.sqrt((p * (1 - p)).sum())
+    base = S.sample_adaptive(a_n, b_n, m, 5, 40, a.sum(), b.sum(), 3).count()
+    monkeypatch.setattr(S, "MASK_CELL_LIMIT", 0)
+    thin = S.sample_adaptive(a_n, b_n, m, 5, 40, a.sum(), b.sum(), 3).count()
+    assert abs(base - mu) < 5 * sd and abs(thin - mu) < 5 * sd
