@@ -39,7 +39,7 @@ class Operands:
 
     def __init__(self, cells: DataFrame, partitions: int | None = None, persist: bool = True,
                  detect_skew: bool = True, min_rows: int | None = None):
-        from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys
+        from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys_many
 
         a, b = split(cells)
         if partitions:
@@ -53,8 +53,9 @@ class Operands:
         self._persisted = persist
         mr = DEFAULT_MIN_ROWS if min_rows is None else min_rows
         if detect_skew:
-            self.hot = {"a_row": hot_keys(a, "row", min_rows=mr), "a_col": hot_keys(a, "i", min_rows=mr),
-                        "b_row": hot_keys(b, "row", min_rows=mr), "b_col": hot_keys(b, "j", min_rows=mr)}
+            ha = hot_keys_many(a, ["row", "i"], min_rows=mr)
+            hb = hot_keys_many(b, ["row", "j"], min_rows=mr)
+            self.hot = {"a_row": ha["row"], "a_col": ha["i"], "b_row": hb["row"], "b_col": hb["j"]}
         else:
             self.hot = {"a_row": [], "a_col": [], "b_row": [], "b_col": []}
 

@@ -11,8 +11,7 @@ the same cell (events of one user in one hour).
   its running value in keyed state (``applyInPandasWithState`` keyed by
   the cell, one double per key) and emits the change of its square,
   new² − old²; a streaming sum of those changes per column is the squared
-  norm at every trigger.  Optional event-time watermark evicts the state of
-  cells whose hour is closed.
+  norm at every trigger.
 
 ``run_to_table`` drives a query with ``trigger(availableNow=True)`` and a
 checkpoint in the shared checkpoint folder; each micro-batch overwrites
@@ -55,44 +54,29 @@ def stream_sketch(contrib: DataFrame, coords: list[int], seed: int) -> DataFrame
 
 
 def _cell_square_delta(key, batches, state):
-    mat, row, col = key
-    if state.hasTimedOut:
-        state.remove()
-        return
+    mat, _row, col = key
     old = float(state.get[0]) if state.exists else 0.0
     new = old
-    latest = None
     for pdf in batches:
         new += float(pdf["val"].sum())
-        if "ts" in pdf and len(pdf):
-            mx = pd.to_datetime(pdf["ts"]).max()
-            latest = mx if latest is None or mx > latest else latest
     state.update((new,))
-    if latest is not None:
-        try:
-            # close the cell one hour after its hour starts (row = hour index)
-            state.setTimeoutTimestamp(int((int(row) + 1) * 3600 * 1000))
-        except Exception:  # noqa: BLE001  (processing-time queries have no event-time timeout)
-            pass
     yield pd.DataFrame({"mat": [mat], "col": [int(col)], "d2": [new * new - old * old]})
 
 
-def stream_norms(contrib: DataFrame, watermark: str | None = None) -> DataFrame:
+def stream_norms(contrib: DataFrame) -> DataFrame:
     """Streaming squared column norms (mat, col, norm2).
 
-    With ``watermark`` (e.g. '2 hours') on column ``ts``, a cell's state is
-    dropped once the watermark passes the end of its hour; contributions
-    later than the watermark are then not counted (Spark's usual late-data
-    rule), so leave it unset when every late contribution must count.
+    Keyed state holds one double per distinct cell, spread over the state
+    store partitions by the cell key; a late contribution to any cell is
+    still counted exactly.  (An event-time watermark would let closed hours
+    be evicted, but Spark rejects a stateful aggregation chained after
+    event-time state as a possible late-row loss, so exactness wins here.)
     """
     ship_package(contrib.sparkSession)
-    src = contrib.select("mat", "row", "col", "val", *(["ts"] if "ts" in contrib.columns else []))
-    timeout = GroupStateTimeout.NoTimeout
-    if watermark:
-        src = src.withWatermark("ts", watermark)
-        timeout = GroupStateTimeout.EventTimeTimeout
+    src = contrib.select("mat", "row", "col", "val")
     deltas = src.groupBy("mat", "row", "col").applyInPandasWithState(
-        _cell_square_delta, "mat string, col bigint, d2 double", "v double", "append", timeout)
+        _cell_square_delta, "mat string, col bigint, d2 double", "v double", "append",
+        GroupStateTimeout.NoTimeout)
     return deltas.groupBy("mat", "col").agg(F.sum("d2").alias("norm2"))
 
 

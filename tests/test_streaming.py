@@ -48,3 +48,4 @@ def test_stream_norms_and_sketch_equal_batch(spark):
 def test_events_stream_reader(spark):
     df = read_table_stream(spark, "/root/testdata/sf0.001", "events")
     assert df.isStreaming
+
