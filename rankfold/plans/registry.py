@@ -168,8 +168,12 @@ class _Ctx:
     """Cells, norms, totals and budget of the lineitem pair."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.cells = X.lineitem_cells(spark, sf_dir)
-        self.norms = N.col_norms2(self.cells)
+        from pyspark import StorageLevel
+
+        # identical plans share one cache entry, so every query of a session
+        # scans and aggregates lineitem once
+        self.cells = X.lineitem_cells(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        self.norms = N.col_norms2(self.cells).persist(StorageLevel.MEMORY_AND_DISK)
         self.tot = N.norm_totals(self.norms)
         self.bud = S.sample_budget(self.tot["n1"], self.tot["n2"], RANK, SS)
         self.a_n = S.a_side(self.norms)
