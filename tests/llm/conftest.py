@@ -1,0 +1,21 @@
+import pytest
+
+
+@pytest.fixture
+def docs_of(spark):
+    """A documents table from (doc_id, text) pairs, with columns whose names operators use themselves."""
+    def make(rows, parts=3):
+        rows = [(i, t, "en", "s", len(t or ""), "x", None) for i, t in rows]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                           "length string, component_id long").repartition(parts)
+    return make
+
+
+#: Nulls, empty and very long texts, ties and repeated rows.
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one two three"), (4, "one two three"), (None, "no id here at all"),
+       (5, "long " * 30000), (6, "ties and ties"), (7, "ties and ties"), (8, "漢字 é \U0001f600 \x85 \xa0 <|endoftext|>  x \n y")]
+
+
+@pytest.fixture
+def odd_rows():
+    return list(ODD)
