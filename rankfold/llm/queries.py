@@ -4,18 +4,69 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankfold.llm import packing
+from rankfold.llm import chat, packing, quality, secrets, token_count, toxicity
 from rankfold.llm.common import table
 
 #: Production parameters.
 PACK_VOCABULARY = "byte_bpe_50k.json"
+SCAN_VOCABULARY = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 WINDOW = 1024
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_chat(turns.withColumn("parts", chat.text_parts(F.col("text")))))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_VOCABULARY), WINDOW)
 
 
-QUERIES = {"op3_packing": op3_packing}
-ORACLE: dict[str, str] = {}
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SCAN_VOCABULARY))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op6_token_count, op8_secret_scan, op10_toxicity)}
+
+def _chat_sql() -> str:
+    # < or [ before a control string: RE2 has no look-ahead, so each string is named
+    def escaped(x):
+        x = f"replace({x}, '\\', '\\\\')"
+        for s in ("<|", "<s>", "</s>", "[INST]", "[/INST]"):
+            x = f"replace({x}, '{s}', '{s[0]}\\{s[1:]}')"
+        return x
+    marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         CAST(sum({marks} + length({escaped('role')}) + length({escaped('text')})) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+
+ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql()}
