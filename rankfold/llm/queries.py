@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, packing, quality, secrets, token_count, toxicity
+from rankfold.llm import chat, minhash, packing, quality, secrets, token_count, toxicity
 from rankfold.llm.common import table
 
 #: Production parameters.
@@ -35,6 +35,10 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SCAN_VOCABULARY))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op6_token_count, op8_secret_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op6_token_count, op7_minhash, op8_secret_scan, op10_toxicity)}
 
 def _chat_sql() -> str:
     # < or [ before a control string: RE2 has no look-ahead, so each string is named
