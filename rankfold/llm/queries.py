@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, minhash, packing, quality, secrets, token_count, toxicity
+from rankfold.llm import chat, minhash, packing, quality, secrets, suffixes, token_count, toxicity
 from rankfold.llm.common import table
 
 #: Production parameters.
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_VOCABULARY), WINDOW)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op6_token_count, op7_minhash, op8_secret_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan, op10_toxicity)}
 
 def _chat_sql() -> str:
     # < or [ before a control string: RE2 has no look-ahead, so each string is named
