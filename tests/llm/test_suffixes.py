@@ -65,11 +65,11 @@ def test_odd_rows(docs_of, odd_rows):
 def test_drop_repeats_leaves_one_place_and_all_rows(docs_of):
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(55))
-    rows = [(i, " ".join(f"u{i}x{k}" for k in range(rng.randint(0, 20))) + "\n" + passage + " tail") for i in range(30)] + [(99, None), (98, "clean  text\n")]
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(rng.randint(0, 20))) + "\n" + passage + f" tail{i}") for i in range(30)] + [(99, None), (98, "clean  text\n")]
     out = {r.doc_id: r for r in suffixes.drop_repeats(docs_of(rows)).collect()}
     assert set(out) == {i for i, _ in rows} and out[99].text is None and out[98].text == "clean  text\n"
     assert [i for i in out if out[i].text and passage in out[i].text] == [0]
-    assert all(out[i].text.endswith(" tail") and out[i].text.startswith(rows[i][1].split("\n")[0]) for i in range(1, 30))
+    assert all(out[i].text.endswith(f" tail{i}") and out[i].text.startswith(rows[i][1].split("\n")[0]) for i in range(1, 30))
     assert out[5].component_id is None and out[5].length == "x"
 
 
