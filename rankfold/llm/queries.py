@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, minhash, packing, quality, secrets, suffixes, token_count, toxicity
+from rankfold.llm import chat, minhash, packing, quality, secrets, suffixes, token_count, toxicity, vectors
 from rankfold.llm.common import table
 
 #: Production parameters.
@@ -47,6 +47,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SCAN_VOCABULARY))
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +58,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan,
+                                  op9_embedding_neardup, op10_toxicity)}
 
 def _chat_sql() -> str:
     # < or [ before a control string: RE2 has no look-ahead, so each string is named
@@ -77,4 +82,22 @@ a AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
 
-ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql()}
+#: All pairs of rows, whose links are then followed from each row; a path carries its rows once (UNION).
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+    AND list_bool_and(list_transform(e, x -> isfinite(x))) AND list_bool_or(list_transform(e, x -> x <> 0))),
+link AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS i, vec_id AS j FROM v
+  UNION SELECT r.i, l.j FROM reach r JOIN link l ON l.i = r.j),
+least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+degree AS (SELECT i, count(*) AS n FROM link GROUP BY i)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN least c ON c.i = v.vec_id LEFT JOIN degree d ON d.i = v.vec_id"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql(), "op9_embedding_neardup": _VECTORS_SQL}
