@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, minhash, packing, quality, secrets, suffixes, token_count, toxicity, vectors
+from rankfold.llm import chat, lattice, minhash, packing, quality, secrets, suffixes, token_count, toxicity, vectors
 from rankfold.llm.common import table
 
 #: Production parameters.
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_VOCABULARY), WINDOW)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode_vocabulary(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan,
-                                  op9_embedding_neardup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op4_sentencepiece, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan, op9_embedding_neardup, op10_toxicity)}
 
 def _chat_sql() -> str:
     # < or [ before a control string: RE2 has no look-ahead, so each string is named
@@ -88,7 +91,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 good AS (
   SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
-    AND list_bool_and(list_transform(e, x -> isfinite(x))) AND list_bool_or(list_transform(e, x -> x <> 0))),
+    AND list_bool_and(list_transform(e, lambda x: isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
 link AS (
   SELECT a.vec_id AS i, b.vec_id AS j FROM good a JOIN good b
     ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),

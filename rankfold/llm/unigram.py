@@ -3,7 +3,8 @@
 The vocabulary file at hand holds a byte-pair model.  The operators use its pieces and scores as a
 unigram model, that is, they find the segmentation with the largest sum of scores.  Pieces which the
 file marks as unusable by a score of -10^9 (runs of blanks) are left out: added up in float32, such a
-score hides all others, and they can never win.
+score hides all others, and they can never win.  The lone blank, marked so too, is needed to spell any
+text and takes the least usable score.
 
 Rules of the library's Viterbi search: starts rise, a path replaces another with the same end only if
 it is strictly better, so that of equal paths the one whose last piece is the longest stays; a character
@@ -30,13 +31,15 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float, int]], float, int]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [(sp.id_to_piece(i), sp.get_score(i), i) for i in range(sp.get_piece_size())
-              if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i)) and sp.get_score(i) > UNUSABLE]
+    normal = [(sp.id_to_piece(i), sp.get_score(i), i) for i in range(sp.get_piece_size())
+              if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
+    least = min(s for _, s, _ in normal if s > UNUSABLE)
+    pieces = [(p, max(s, least), i) for p, s, i in normal if s > UNUSABLE or p == BLANK]
     if any(BLANK in p[1:] or "\n" in p for p, _, _ in pieces):
         raise ValueError("a piece goes beyond a word, so words can't be taken one by one")
     if any(s != int(s) for _, s, _ in pieces):
         raise ValueError("scores must be whole numbers to be added exactly")
-    return pieces, min(s for _, s, _ in pieces) - UNKNOWN_PENALTY, sp.piece_to_id("<0x00>")
+    return pieces, least - UNKNOWN_PENALTY, sp.piece_to_id("<0x00>")
 
 
 def library_model(path: str):
@@ -48,8 +51,10 @@ def library_model(path: str):
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = 1  # unigram
+    least = min(p.score for p in proto.pieces if p.type == 1 and p.score > UNUSABLE)
     for piece in proto.pieces:
         if piece.type == 1 and piece.score <= UNUSABLE:
-            piece.type = 5  # unused
-            piece.score = 0.0
+            if piece.piece != BLANK:
+                piece.type = 5  # unused
+            piece.score = least
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
