@@ -235,3 +235,13 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of ``docs``, with all columns; the one with the smallest id stays.
+
+    Rows that repeat id and text are one document.  Rows with a null id are compared with nothing but
+    their own repetitions and stay.
+    """
+    gone = near_duplicates(docs, threshold_percent, k, id_col, text_col).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])

@@ -135,4 +135,4 @@ def redact_documents(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", c
         spans = sorted(base + random_spans(text, base, lambda run: len(encoding.encode_ordinary(run)), chars_per_token))
         return redacted(text, spans, mark)
 
-    return docs.withColumn(text_col, clean.asNondeterministic()(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string")))

@@ -25,10 +25,12 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.llm.common import discard, id_and_text, map_arrow, stored
+from rankfold.session import ship_package
 
 #: Fit parameters; the sample on the driver is bounded by them.
 MAX_ROWS = 6000
@@ -182,32 +184,58 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
 _KNOWN: dict = {}
 
 
+def _scorer(shared, key: int):
+    """A function from an Arrow column of texts to scores, with a store of words for this Python worker."""
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = {}
+    known, model = _KNOWN[key], shared.value
+
+    def amounts(words):
+        got = list(map(known.get, words))
+        if None in got:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            fresh = {w: model.word(w) for w in {w for w, g in zip(words, got) if g is None}}
+            known.update(fresh)
+            got = [fresh[w] if g is None else g for w, g in zip(words, got)]
+        return np.array(got, dtype=float)
+
+    def run(texts):
+        logits = np.array([model.logit(amounts(words_of(t.as_py()))) for t in texts], dtype=float)
+        return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+
+    return run
+
+
+def _share(docs: DataFrame, model: Model):
+    return docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model.amount.tobytes())  # one number for each bucket
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of every whole text."""
-    key = zlib.crc32(model.amount.tobytes())
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one number for each bucket
+    shared, key = _share(docs, model)
 
     def make():
-        if key not in _KNOWN:  # the words of a model, for all tasks of this Python worker
-            _KNOWN.clear()
-            _KNOWN[key] = {}
-        known, model = _KNOWN[key], shared.value
-
-        def amounts(words):
-            got = list(map(known.get, words))
-            if None in got:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                for w in {w for w, g in zip(words, got) if g is None}:
-                    known[w] = model.word(w)
-                got = [known[w] if g is None else g for w, g in zip(words, got)]
-            return np.array(got, dtype=float)
+        scores = _scorer(shared, key)
 
         def step(cols):
-            logits = np.array([model.logit(amounts(words_of(t.as_py()))) for t in cols["text"]], dtype=float)
-            p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+            p = scores(cols["text"])
             yield {"doc_id": cols["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
         return step
 
     return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below one half."""
+    ship_package(docs.sparkSession)
+    shared, key = _share(docs, model)
+
+    def run(batches):
+        scores = _scorer(shared, key)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
