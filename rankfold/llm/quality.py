@@ -7,9 +7,10 @@ compares two histograms of a document with the reference of its language, by Jen
 * character classes (lower and upper case, digits, blanks, line ends, punctuation, symbols, the rest);
 * common words, each with its own bin, and one bin for all other words.
 
-A language's reference is made of all its documents: the mean of their class shares, and the shares of
-the words that make up at least ``COMMON`` of its words.  Languages with less than ``RARE`` of all
-documents, and null, use the reference of all documents together, so the references are of bounded size.
+A language's reference is made of all its documents: the mean of their class shares, and the mean shares
+of the words for which it is at least ``COMMON``, so that a very long document weighs no more than others.
+Languages with less than ``RARE`` of all documents or fewer than ``LEAST``, and null, use the reference of
+all documents together, so the references are of bounded size.
 Short documents have noisy histograms, so below a length either test says nothing.
 
 Defined cases: a null or empty text has no words and fails the base rule; rows with the same id are
@@ -35,6 +36,10 @@ CLASSES = ("lower", "upper", "digit", "blank", "line", "punctuation", "symbol",
 #: Least share of a language's words for a word to be common, and least share of documents for a language.
 COMMON = 0.002
 RARE = 0.001
+#: Least number of documents for a language, and of occurrences for a common word.
+LEAST = 20
+#: A document's weight, dealt out to its words in whole numbers, which add up alike in any order.
+WEIGHT = 1_000_000_000
 #: Guards: visible characters for the class test, words for the word test.
 MIN_CHARS = 200
 MIN_WORDS = 40
@@ -125,7 +130,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     own = sums.setdefault(lang, np.zeros(len(CLASSES) + 2))
                     own[:-2] += class_shares(text)
                     own[-2] += 1
-                    own[-1] += sum(map(bool, text.split(" ")))
+                    own[-1] += any(text.split(" "))
             yield {"lang": list(sums), "sums": [v.tolist() for v in sums.values()]}
         return step
 
@@ -136,19 +141,20 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     every = by_lang.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(wide))).collect()[0]
     if not every[wide - 2]:
         return {}
-    kept = by_lang.where(F.col("lang").isNotNull() & (F.col(f"s{wide - 2}") >= RARE * every[wide - 2])).collect()
+    kept = by_lang.where(F.col("lang").isNotNull() & (F.col(f"s{wide - 2}") >= max(RARE * every[wide - 2], LEAST * 1e6))).collect()
     sums = {r["lang"]: np.array(r[1:], dtype=float) / 1e6 for r in kept} | {None: np.array(every, dtype=float) / 1e6}
 
-    words = frame.select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count()
-    bars = docs.sparkSession.createDataFrame([(k, float(COMMON * v[-1])) for k, v in sums.items() if k is not None], "lang string, bar double")
-    common = counts.join(F.broadcast(bars), "lang").where("count >= bar").select("lang", "word", "count")  # at most 1 / RARE languages
-    total = words.groupBy("word").count().where(F.col("count") >= COMMON * sums[None][-1]).select(F.lit(None).cast("string").alias("lang"), "word", "count")
+    words = frame.select("lang", F.array_remove(F.split(F.lower("text"), " "), "").alias("words"))
+    words = words.select("lang", F.explode("words").alias("word"), F.floor(F.lit(WEIGHT) / F.size("words")).alias("w"))
+    often = (F.sum("w").alias("weight"), F.count("*").alias("n"))
+    bars = docs.sparkSession.createDataFrame([(k, float(COMMON * WEIGHT * v[-1])) for k, v in sums.items() if k is not None], "lang string, bar double")
+    common = words.groupBy("lang", "word").agg(*often).join(F.broadcast(bars), "lang").where("weight >= bar").select("lang", "word", "weight", "n")  # at most 1 / RARE languages
+    total = words.groupBy("word").agg(*often).where(F.col("weight") >= COMMON * WEIGHT * sums[None][-1]).select(F.lit(None).cast("string").alias("lang"), "word", "weight", "n")
     out = {}
-    rows = common.unionByName(total).collect()  # at most 1 / COMMON words for each
+    rows = common.unionByName(total).where(F.col("n") >= LEAST).collect()  # at most 1 / COMMON words for each
     for lang, s in sums.items():
-        own = sorted(((r["count"], r["word"]) for r in rows if r["lang"] == lang), reverse=True)
-        shares = np.array([n for n, _ in own], dtype=float) / s[-1]
+        own = sorted(((r["weight"], r["word"]) for r in rows if r["lang"] == lang), reverse=True)
+        shares = np.array([n for n, _ in own], dtype=float) / max(1.0, WEIGHT * s[-1])
         out[lang] = (s[:-2] / s[:-2].sum(), {w: i for i, (_, w) in enumerate(own)}, np.append(shares, max(0.0, 1 - shares.sum())))
     return out
 
