@@ -56,8 +56,7 @@ def hadamard(vec: Column, n: int, finish=None) -> Column:
     if stages == 0:
         return v if finish is None else finish(v)
 
-    def stage(acc: Column, s: Column) -> Column:
-        h = F.pow(F.lit(2), s).cast("int")
+    def stage(acc: Column, h: Column) -> Column:
         return F.transform(
             acc,
             lambda x, i: F.when(i.bitwiseAND(h) == 0,
@@ -65,11 +64,12 @@ def hadamard(vec: Column, n: int, finish=None) -> Column:
             .otherwise(F.get(acc, i - h) - x),
         )
 
+    halves = F.array(*[F.lit(1 << s) for s in range(stages)])
     if finish is None:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(stages - 1)), v, stage)
+        return F.aggregate(halves, v, stage)
     # ``finish`` sees the transformed array as a lambda variable, so reading
     # several positions from it does not re-run the transform per position
-    return F.aggregate(F.sequence(F.lit(0), F.lit(stages - 1)), v, stage, finish)
+    return F.aggregate(halves, v, stage, finish)
 
 
 def gather(vec: Column, idx: list[int]) -> Column:

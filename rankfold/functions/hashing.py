@@ -2,7 +2,8 @@
 
 Every random quantity in the library is a pure function of
 ``(seed, purpose, ids...)``: the key string is md5-hashed and the first
-32 bits give an integer ``h`` in ``[0, 2**32)``.  The same value is
+52 bits (13 hex digits) give an integer ``h`` in ``[0, 2**52)``, so that
+``h + 0.5`` is still an exact double.  The same value is
 produced for any partitioning, any retry of a lost task and by the DuckDB
 twins below (``sql_*``), which is what lets the oracle reproduce sampled
 and sketched results exactly.
@@ -15,8 +16,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
-TWO31 = 2147483648
+TWO52 = 4503599627370496.0
+TWO51 = 2251799813685248
+HEX_DIGITS = 13
 
 
 def _as_col(x) -> Column:
@@ -28,19 +30,19 @@ def hash_key(seed: int, purpose: str, *ids) -> Column:
     return F.concat_ws(":", *parts)
 
 
-def hash32(seed: int, purpose: str, *ids) -> Column:
-    """Integer in [0, 2**32) from the first 8 hex digits of md5(key)."""
-    return F.conv(F.substring(F.md5(hash_key(seed, purpose, *ids)), 1, 8), 16, 10).cast("bigint")
+def hash52(seed: int, purpose: str, *ids) -> Column:
+    """Integer in [0, 2**52) from the first 13 hex digits of md5(key)."""
+    return F.conv(F.substring(F.md5(hash_key(seed, purpose, *ids)), 1, HEX_DIGITS), 16, 10).cast("bigint")
 
 
 def uniform(seed: int, purpose: str, *ids) -> Column:
     """Uniform in the open interval (0, 1)."""
-    return (hash32(seed, purpose, *ids) + F.lit(0.5)) / F.lit(TWO32)
+    return (hash52(seed, purpose, *ids) + F.lit(0.5)) / F.lit(TWO52)
 
 
 def sign(seed: int, purpose: str, *ids) -> Column:
     """+1.0 or -1.0 with equal probability."""
-    return F.when(hash32(seed, purpose, *ids) >= F.lit(TWO31), F.lit(1.0)).otherwise(F.lit(-1.0))
+    return F.when(hash52(seed, purpose, *ids) >= F.lit(TWO51), F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
 def gaussian(seed: int, purpose: str, *ids) -> Column:
@@ -59,16 +61,16 @@ def sql_hash_key(seed: int, purpose: str, *ids: str) -> str:
     return "concat_ws(':', " + ", ".join(parts) + ")"
 
 
-def sql_hash32(seed: int, purpose: str, *ids: str) -> str:
-    return f"(('0x' || substr(md5({sql_hash_key(seed, purpose, *ids)}), 1, 8))::BIGINT)"
+def sql_hash52(seed: int, purpose: str, *ids: str) -> str:
+    return f"(('0x' || substr(md5({sql_hash_key(seed, purpose, *ids)}), 1, {HEX_DIGITS}))::BIGINT)"
 
 
 def sql_uniform(seed: int, purpose: str, *ids: str) -> str:
-    return f"(({sql_hash32(seed, purpose, *ids)} + 0.5) / {TWO32!r})"
+    return f"(({sql_hash52(seed, purpose, *ids)} + 0.5) / {TWO52!r})"
 
 
 def sql_sign(seed: int, purpose: str, *ids: str) -> str:
-    return f"(CASE WHEN {sql_hash32(seed, purpose, *ids)} >= {TWO31} THEN 1.0 ELSE -1.0 END)"
+    return f"(CASE WHEN {sql_hash52(seed, purpose, *ids)} >= {TWO51} THEN 1.0 ELSE -1.0 END)"
 
 
 def sql_gaussian(seed: int, purpose: str, *ids: str) -> str:
@@ -82,16 +84,16 @@ def sql_gaussian(seed: int, purpose: str, *ids: str) -> str:
 # sign per row of a dense vector): identical numbers to the Column forms.
 # ---------------------------------------------------------------------------
 
-def py_hash32(seed: int, purpose: str, *ids) -> int:
+def py_hash52(seed: int, purpose: str, *ids) -> int:
     import hashlib
 
     key = ":".join([str(int(seed)), purpose] + [str(i) for i in ids])
-    return int(hashlib.md5(key.encode("utf-8")).hexdigest()[:8], 16)
+    return int(hashlib.md5(key.encode("utf-8")).hexdigest()[:HEX_DIGITS], 16)
 
 
 def py_uniform(seed: int, purpose: str, *ids) -> float:
-    return (py_hash32(seed, purpose, *ids) + 0.5) / TWO32
+    return (py_hash52(seed, purpose, *ids) + 0.5) / TWO52
 
 
 def py_sign(seed: int, purpose: str, *ids) -> float:
-    return 1.0 if py_hash32(seed, purpose, *ids) >= TWO31 else -1.0
+    return 1.0 if py_hash52(seed, purpose, *ids) >= TWO51 else -1.0

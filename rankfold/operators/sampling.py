@@ -26,8 +26,6 @@ from rankfold.operators.prefix import cdf_lookup, column_cdf
 
 # rows with more draws than this are generated in chunks spread over tasks
 DRAW_CHUNK = 4096
-# the independent-mask sampler (G7) enumerates every cell: small products only
-MASK_CELL_LIMIT = 10 ** 9
 
 
 def sample_budget(n1: int, n2: int, rank: int, ss: float) -> dict:
@@ -97,34 +95,19 @@ def sample_cdf(alloc: DataFrame, cdf: DataFrame, n1: int, n2: int, fro_a: float,
 
 
 def sample_bernoulli_row(heavy: DataFrame, b_norms: DataFrame, n1: int, n2: int, fro_a: float,
-                         fro_b: float, seed: int, n_heavy: int | None = None) -> DataFrame:
+                         fro_b: float, seed: int) -> DataFrame:
     """For a heavy row i, keep column j with probability m_i·q_i(j),
     q_i normalised to 1 (values >= 1 always kept).
 
-    Only rows with m_i > n2/log2(n2) come here, so heavy·n2 <= m·log2(n2):
-    the rows tested are at most log2(n2) times the cells kept, and the
-    smaller of the two sides has at most sqrt(m·log2(n2)) rows.  That
-    smaller side is the one broadcast (its size is counted, not assumed).
-    Beyond MASK_CELL_LIMIT pairs the same law is drawn by class thinning
-    (``bernoulli_thinned``), with no pair enumeration at all.
+    m_i·q_i(j) = x_i + w_i·b_j, drawn by class thinning at every size: no
+    pair is enumerated that is not at least half likely to be kept.
     """
-    if n_heavy is None:
-        n_heavy = heavy.count()
-    if n_heavy * n2 > MASK_CELL_LIMIT:
-        # same law without testing every pair: m_i·q_i(j) = x_i + w_i·b_j
-        z = F.col("a") / F.lit(float(fro_a)) + F.lit(1.0) / F.lit(float(n1))
-        rows = heavy.select(
-            "i",
-            (F.col("m_i") * F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a))) / z).alias("x"),
-            (F.col("m_i") / (F.lit(float(n1)) * F.lit(float(fro_b))) / z).alias("w"))
-        return bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "bern")
-    h = heavy.select("i", "a", "m_i")
-    b = b_norms.select("j", "b")
-    pairs = b.crossJoin(F.broadcast(h)) if n_heavy <= n2 else h.crossJoin(F.broadcast(b))
-    q = (F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a))) + F.col("b") / (F.lit(float(n1)) * F.lit(float(fro_b)))) \
-        / (F.col("a") / F.lit(float(fro_a)) + F.lit(1.0) / F.lit(float(n1)))
-    keep = uniform(seed, "bern", F.col("i"), F.col("j")) < F.col("m_i") * q
-    return pairs.where(keep).select("i", "j")
+    z = F.col("a") / F.lit(float(fro_a)) + F.lit(1.0) / F.lit(float(n1))
+    rows = heavy.select(
+        "i",
+        (F.col("m_i") * F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a))) / z).alias("x"),
+        (F.col("m_i") / (F.lit(float(n1)) * F.lit(float(fro_b))) / z).alias("w"))
+    return bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "bern")
 
 
 def sample_adaptive(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int, n2: int, fro_a: float,
@@ -148,23 +131,13 @@ def sample_bernoulli(a_norms: DataFrame, b_norms: DataFrame, m: float, n1: int,
                      fro_b: float, seed: int) -> DataFrame:
     """Every cell kept independently with min(1, p_ij): (i, j, p).
 
-    Up to MASK_CELL_LIMIT cells this tests each cell with its own hashed
-    uniform (reproducible cell by cell, e.g. by the SQL oracle).  Beyond it
-    the same law is drawn by ``bernoulli_thinned`` with work proportional
-    to the cells kept, never to n1·n2.
+    Drawn by class thinning at every size: work in proportion to the cells
+    kept (and n1 times the classes), never to n1·n2.
     """
-    alpha = float(m) / (2.0 * n2 * fro_a)
-    beta = float(m) / (2.0 * n1 * fro_b)
-    if n1 * n2 > MASK_CELL_LIMIT:
-        rows = a_norms.select("i", (F.col("a") * F.lit(alpha)).alias("x"), F.lit(beta).alias("w"))
-        kept = bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "mask")
-        return cell_probability(kept, a_norms, b_norms, m, n1, n2, fro_a, fro_b)
-    a, b = a_norms.select("i", "a"), b_norms.select("j", "b")
-    pairs = b.crossJoin(F.broadcast(a)) if n1 <= n2 else a.crossJoin(F.broadcast(b))
-    p = F.lit(float(m)) / F.lit(2.0) * (F.col("a") / (F.lit(float(n2)) * F.lit(float(fro_a)))
-                                       + F.col("b") / (F.lit(float(n1)) * F.lit(float(fro_b))))
-    keep = uniform(seed, "mask", F.col("i"), F.col("j")) < F.least(p, F.lit(1.0))
-    return pairs.where(keep).select("i", "j", p.alias("p"))
+    rows = a_norms.select("i", (F.col("a") * F.lit(float(m) / (2.0 * n2 * fro_a))).alias("x"),
+                          F.lit(float(m) / (2.0 * n1 * fro_b)).alias("w"))
+    kept = bernoulli_thinned(rows, b_norms.select("j", "b"), seed, "mask")
+    return cell_probability(kept, a_norms, b_norms, m, n1, n2, fro_a, fro_b)
 
 
 # expected candidates per generator record (bounds the window group size)
@@ -192,9 +165,9 @@ def bernoulli_thinned(rows: DataFrame, cols: DataFrame, seed: int, purpose: str
     from rankfold.operators.prefix import prefix_sums
 
     bmax = cols.agg(F.max("b")).first()[0] or 0.0
-    cls = F.when(F.col("b") <= 0, F.lit(ZERO_CLASS)).otherwise(
-        F.least(F.lit(ZERO_CLASS - 1), F.greatest(F.lit(0), F.floor(
-            -F.log2(F.col("b") / F.lit(float(bmax)) if bmax > 0 else F.lit(1.0))).cast("int"))))
+    # the number of halvings of the largest b that b is still not above (exact comparisons)
+    halves = F.array(*[F.lit(float(bmax) * 0.5 ** s) for s in range(1, ZERO_CLASS)])
+    cls = F.when(F.col("b") <= 0, F.lit(ZERO_CLASS)).otherwise(F.size(F.filter(halves, lambda h: F.col("b") <= h)))
     c1 = cols.select("j", "b", cls.alias("c"))
     stats = c1.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"), F.max("b").alias("bmax")).collect()  # <= 64 rows
     stats = sorted((int(r["c"]), int(r["n_c"]), float(r["bmax"])) for r in stats)

@@ -32,11 +32,6 @@ def sign_column(seed: int, row_col="row"):
     return sign(seed, "sign", F.col(row_col))
 
 
-def coord_candidates(k: int) -> int:
-    """Number of hashed candidates scanned for k distinct coordinates."""
-    return 4 * int(k) + 64
-
-
 def pick_coords(seed: int, n: int, k: int) -> list[int]:
     """K distinct coordinates of 0..n-1, uniformly at random.
 
@@ -50,8 +45,8 @@ def pick_coords(seed: int, n: int, k: int) -> list[int]:
     k, n = int(k), int(n)
     if k > n:
         raise ValueError(f"sketch size k={k} exceeds padded length N={n}")
-    if n > 2 ** 32:
-        raise ValueError("padded length above 2**32 is not supported")
+    if n > 2 ** 52:
+        raise ValueError("padded length above 2**52: hashed uniforms have 52 bits")
     if n <= 2 * k:
         ranked = sorted(range(n), key=lambda h: (py_uniform(seed, "rank", h), h))
         return ranked[:k]
@@ -66,21 +61,16 @@ def pick_coords(seed: int, n: int, k: int) -> list[int]:
 
 
 def coords_frame(spark: SparkSession, seed: int, n: int, k: int) -> DataFrame:
-    """The same rule as :func:`pick_coords`, as a Spark job: (t, h)."""
-    from pyspark.sql import Window
+    """The coordinates of :func:`pick_coords` as a table (t, h) of k rows."""
+    return spark.createDataFrame(list(enumerate(pick_coords(seed, n, k))), "t bigint, h bigint")
 
-    if k > n:
-        raise ValueError(f"sketch size k={k} exceeds padded length N={n}")
-    if n <= 2 * k:
-        r = spark.range(n).select(F.col("id").alias("h"), uniform(seed, "rank", F.col("id")).alias("u"))
-        w = Window.orderBy("u", "h")  # n <= 2k rows: bounded
-        return r.select((F.row_number().over(w) - 1).alias("t"), "h").where(F.col("t") < k)
-    cand = spark.range(coord_candidates(k)).select(
-        F.col("id").alias("draw"),
-        F.floor(uniform(seed, "coord", F.col("id")) * F.lit(n)).cast("bigint").alias("h"))
-    first = cand.groupBy("h").agg(F.min("draw").alias("draw"))
-    w = Window.orderBy("draw")  # at most 4k+64 rows: bounded
-    return first.select((F.row_number().over(w) - 1).alias("t"), "h").where(F.col("t") < k)
+
+def checked_row(n: int, row_col: str = "row"):
+    """The row id, or an error if it is not in 0..n-1: a larger or negative
+    one would silently share another row's Hadamard column."""
+    r = F.col(row_col)
+    return F.when((r >= 0) & (r < F.lit(int(n))), r).otherwise(F.raise_error(F.concat(
+        F.lit(f"row id outside 0..{int(n) - 1}: "), r.cast("string"))))
 
 
 def padded_length(d: int) -> int:
@@ -97,10 +87,14 @@ def hadamard_entry(h_col, row_col):
 # SRHT / Gaussian sketches, cells form
 # ---------------------------------------------------------------------------
 
-def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms: bool = False) -> DataFrame:
+def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms: bool = False,
+                      n: int | None = None) -> DataFrame:
     """B6 (cells): long sketch (mat, col, t, s); with_norms adds the exact
-    squared column norm as t = -1 from the same scan (one aggregation)."""
+    squared column norm as t = -1 from the same scan (one aggregation).
+    With the padded length ``n``, row ids outside 0..n-1 are an error."""
     k = len(coords)
+    if n is not None:
+        cells = cells.withColumn("row", checked_row(n))
     items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
     if with_norms:
         items.append(F.struct(F.lit(-1).alias("t"), F.lit(None).cast("bigint").alias("h")))

@@ -36,7 +36,8 @@ SEED = 7
 RANK = 2
 SS = 2.0
 SKETCH_K = 16
-EMB_D = 48          # first 48 embedding coordinates: exercises padding to 64
+EMB_D = 64          # coordinates of an embedding
+HOURS = 24          # a user's vector of event values by hour of day: padded to 32
 POWER_ITERS = 5
 ALS_ITERS = 5
 DEC = 6             # decimals kept for order-dependent sums
@@ -110,10 +111,43 @@ cdf AS (
 )"""
 
 
+def sql_thinned(purpose: str, seed: int = SEED) -> str:
+    """Twin of sampling.bernoulli_thinned: ``<purpose>_rows`` (i, x, w) and
+    ``b_n`` to ``<purpose>`` (i, j).  Skips are drawn far beyond need and cut
+    at the end of their record, which gives the candidates of all rounds."""
+    skip = H.sql_uniform(seed, purpose + ".skip", "i", "c", "ch", "k")
+    acc = H.sql_uniform(seed, purpose + ".acc", "h.i", "q.j")
+    return f"""
+{purpose}_cls AS (
+  SELECT j, b, CASE WHEN b <= 0 THEN 63 ELSE CAST(len(list_filter(range(1, 63), lambda s: b <= bm * pow(0.5::DOUBLE, s))) AS INTEGER) END AS c
+  FROM b_n, (SELECT max(b) AS bm FROM b_n)
+),
+{purpose}_rank AS (SELECT c, j, b, row_number() OVER (PARTITION BY c ORDER BY j) - 1 AS r FROM {purpose}_cls),
+{purpose}_st AS (SELECT c, count(*) AS n_c, max(b) AS bmax FROM {purpose}_cls GROUP BY c),
+{purpose}_rec AS (
+  SELECT i, x, w, c, n_c, pbar, CAST(greatest(1, ceil(n_c * pbar / {S.THIN_CHUNK})) AS BIGINT) AS nch FROM (
+    SELECT i, x, w, c, n_c, least(1.0::DOUBLE, x + w * bmax) AS pbar FROM {purpose}_rows, {purpose}_st) z WHERE pbar > 0
+),
+{purpose}_ch AS (SELECT i, x, w, c, n_c, pbar, nch, unnest(range(nch)) AS ch FROM {purpose}_rec),
+{purpose}_lim AS (
+  SELECT i, x, w, c, ch, pbar, CAST(floor(ch * n_c / nch) AS BIGINT) AS lo, CAST(floor((ch + 1) * n_c / nch) AS BIGINT) AS hi FROM {purpose}_ch
+),
+{purpose}_k AS (
+  SELECT *, unnest(generate_series(1, CAST(ceil((hi - lo) * pbar + 12 * sqrt((hi - lo) * pbar) + 40) AS BIGINT))) AS k FROM {purpose}_lim
+),
+{purpose}_cum AS (
+  SELECT i, x, w, c, ch, pbar, lo, hi, sum(CASE WHEN pbar >= 1 THEN 1 ELSE 1 + floor(ln({skip}) / (-2.0::DOUBLE * atanh(pbar / (2.0::DOUBLE - pbar)))) END)
+         OVER (PARTITION BY i, c, ch ORDER BY k) AS cum FROM {purpose}_k
+),
+{purpose} AS (
+  SELECT h.i, q.j FROM {purpose}_cum h JOIN {purpose}_rank q ON q.c = h.c AND q.r = h.lo + h.cum - 1
+  WHERE h.cum <= h.hi - h.lo AND {acc} * h.pbar < least(1.0::DOUBLE, h.x + h.w * q.b)
+)"""
+
+
 def sql_samples(seed: int = SEED) -> str:
     ub = H.sql_uniform(seed, "branch", "d.i", "d.t")
     uc = H.sql_uniform(seed, "col", "d.i", "d.t")
-    ubern = H.sql_uniform(seed, "bern", "h.i", "b.j")
     return f"""
 heavy AS (SELECT alloc.* FROM alloc, tot WHERE m_i * ln(n2) / ln(2.0::DOUBLE) > n2),
 light AS (SELECT alloc.* FROM alloc, tot WHERE NOT (m_i * ln(n2) / ln(2.0::DOUBLE) > n2)),
@@ -128,10 +162,11 @@ hit AS (
     ON d.uc * tot.fb >= c.lo AND d.uc * tot.fb < c.lo + c.b
   WHERE NOT (d.ub * (d.a * tot.n1 + tot.fa) < d.a * tot.n1) AND c.b > 0
 ),
-bern AS (
-  SELECT h.i, b.j FROM heavy h CROSS JOIN b_n b CROSS JOIN tot
-  WHERE {ubern} < h.m_i * ((h.a / (tot.n2 * tot.fa) + b.b / (tot.n1 * tot.fb)) / (h.a / tot.fa + 1.0::DOUBLE / tot.n1))
+bern_rows AS (
+  SELECT i, m_i * a / (n2 * fa) / (a / fa + 1.0::DOUBLE / n1) AS x, m_i / (n1 * fb) / (a / fa + 1.0::DOUBLE / n1) AS w
+  FROM heavy, tot
 ),
+{sql_thinned('bern', seed).strip()},
 sij AS (SELECT DISTINCT i, j FROM (SELECT * FROM uni UNION ALL SELECT * FROM hit UNION ALL SELECT * FROM bern) u),
 samples AS (
   SELECT s.i, s.j, bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)) AS p
@@ -269,15 +304,18 @@ def q_scale_rows(spark, sf_dir):
 
 
 @register("pad_pow2", f"""
-SELECT CAST(vec_id AS BIGINT) AS col, CAST(r AS INTEGER) AS pos,
-       CAST(CASE WHEN r < {EMB_D} THEN embedding[r + 1] ELSE 0.0 END AS DOUBLE) AS val
-FROM embeddings, (SELECT unnest(range(64)) AS r) rr""")
+WITH h AS (SELECT CAST(user_id AS BIGINT) AS col, CAST(extract(hour FROM ts) AS INTEGER) AS pos, sum(CAST(value AS DOUBLE)) AS val
+           FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT u.col, CAST(r.pos AS INTEGER) AS pos, ROUND(coalesce(h.val, 0.0), {DEC}) AS val
+FROM (SELECT DISTINCT col FROM h) u CROSS JOIN (SELECT unnest(range(32)) AS pos) r
+LEFT JOIN h ON h.col = u.col AND h.pos = r.pos""")
 def q_pad_pow2(spark, sf_dir):
+    """B3 on vectors whose length is no power of two: events of a user by hour of day."""
     from rankfold.functions.arrays import pad_to
-    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
-    n = K.padded_length(EMB_D)
-    return v.select("col", F.posexplode(pad_to(F.col("vec"), EMB_D, n)).alias("pos", "val")) \
-        .select("col", F.col("pos").cast("int").alias("pos"), "val")
+    n = K.padded_length(HOURS)
+    v = X.user_hour_vecs(spark, sf_dir)
+    return v.select("col", F.posexplode(pad_to(F.col("vec"), HOURS, n)).alias("pos", "val")) \
+        .select("col", F.col("pos").cast("int").alias("pos"), rnd(F.col("val")).alias("val"))
 
 
 @register("hadamard_vectors", f"""
@@ -340,7 +378,7 @@ npad AS (SELECT CAST(pow(2, ceil(log2(max(l_orderkey) + 1))) AS BIGINT) AS n FRO
 
 
 def sql_coords(k: int = SKETCH_K, seed: int = SEED) -> str:
-    cand = K.coord_candidates(k)
+    cand = 64 * k  # far more draws than k distinct values need
     u = H.sql_uniform(seed, "coord", "draw")
     return f"""
 cand AS (SELECT draw, CAST(floor({u} * npad.n) AS BIGINT) AS h
@@ -424,24 +462,21 @@ def q_gaussian_sketch(spark, sf_dir):
 
 
 def sql_emb_srht() -> str:
-    n = K.padded_length(EMB_D)
-    coords = K.pick_coords(SEED, n, SKETCH_K)
-    vals = ", ".join(f"({t}, {h})" for t, h in enumerate(coords))
     sg = H.sql_sign(SEED, "sign", "e.r")
     return f"""
-ecoords AS (SELECT CAST(t AS INTEGER) AS t, CAST(h AS BIGINT) AS h FROM (VALUES {vals}) v(t, h)),
+npad AS (SELECT {K.padded_length(EMB_D)} AS n),
+{sql_coords().strip()},
 e AS (SELECT vec_id, label, unnest(embedding[1:{EMB_D}]) AS v, CAST(unnest(range({EMB_D})) AS BIGINT) AS r FROM embeddings),
 esk AS (
   SELECT CASE WHEN e.label < 5 THEN 'A' ELSE 'B' END AS mat, CAST(e.vec_id AS BIGINT) AS col, k.t,
          sum({sg} * (1 - 2 * (bit_count(k.h & e.r) % 2)) * e.v) * {1.0 / math.sqrt(SKETCH_K)!r} AS s
-  FROM e CROSS JOIN ecoords k GROUP BY 1, 2, 3
+  FROM e CROSS JOIN coords k GROUP BY 1, 2, 3
 )"""
 
 
 @register("srht_sketch_vectors", with_(sql_emb_srht()) + f"SELECT mat, col, t, ROUND(s, {DEC_FINE}) AS s FROM esk")
 def q_srht_sketch_vectors(spark, sf_dir):
-    """B2+B3+B4+B5 as one projection: the coordinate table in the SQL is the
-    same hashed rule, evaluated once (N = 64 is fixed by the data width)."""
+    """B2+B3+B4+B5 as one projection (N = 64 is the data's width)."""
     v = X.embeddings_vecs(spark, sf_dir, EMB_D)
     n = K.padded_length(EMB_D)
     sk = K.srht_sketch_vecs(v, EMB_D, K.pick_coords(SEED, n, SKETCH_K), SEED)
@@ -513,16 +548,18 @@ def q_cell_probability(spark, sf_dir):
 
 
 SQL_BERNOULLI = f"""
-mask AS (
-  SELECT a_n.i, b_n.j, bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)) AS p
-  FROM a_n CROSS JOIN b_n CROSS JOIN tot CROSS JOIN bud2
-  WHERE {H.sql_uniform(SEED, 'mask', 'a_n.i', 'b_n.j')} <
-        least(bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)), 1.0::DOUBLE)
+mask_rows AS (
+  SELECT i, a * (m / (2.0::DOUBLE * n2 * fa)) AS x, m / (2.0::DOUBLE * n1 * fb) AS w FROM a_n, tot, bud2
+),
+{sql_thinned('mask').strip()},
+mask_p AS (
+  SELECT s.i, s.j, bud2.m / 2.0::DOUBLE * (a_n.a / (tot.n2 * tot.fa) + b_n.b / (tot.n1 * tot.fb)) AS p
+  FROM mask s JOIN a_n ON a_n.i = s.i JOIN b_n ON b_n.j = s.j CROSS JOIN tot CROSS JOIN bud2
 )"""
 
 
 @register("sample_bernoulli", with_(SQL_CELLS, SQL_NORMS, SQL_SIDES, SQL_BERNOULLI) +
-          f"SELECT i, j, ROUND(p, {DEC_FINE}) AS p FROM mask")
+          f"SELECT i, j, ROUND(p, {DEC_FINE}) AS p FROM mask_p")
 def q_sample_bernoulli(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
     n1, n2, fa, fb = c.args()
@@ -530,19 +567,6 @@ def q_sample_bernoulli(spark, sf_dir):
     return m.select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
 
 
-@register("sample_bernoulli_thinned")
-def q_sample_bernoulli_thinned(spark, sf_dir):
-    """G7 at scale: the same independent mask law drawn by class thinning
-    (work ~ cells kept, no pair enumeration); rows-only, law tested in
-    tests/test_sampling.py."""
-    c = _Ctx(spark, sf_dir)
-    n1, n2, fa, fb = c.args()
-    m = c.bud["m"]
-    rows = c.a_n.select("i", (F.col("a") * F.lit(m / (2.0 * n2 * fa))).alias("x"), F.lit(m / (2.0 * n1 * fb)).alias("w"))
-    kept = S.bernoulli_thinned(rows, c.b_n.select("j", "b"), SEED, "mask")
-    return S.cell_probability(kept, c.a_n, c.b_n, m, n1, n2, fa, fb).select("i", "j", rnd(F.col("p"), DEC_FINE).alias("p"))
-
-
 @register("value_exact", sampling_ctes(SQL_OBSERVED) + "SELECT i, j, val FROM observed")
 def q_value_exact(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
@@ -892,7 +916,6 @@ def q_relative_error(spark, sf_dir):
 # Streams over the events table (row = hour, A col = user,
 # B col = event type); the oracle is the batch answer on the same table
 # ---------------------------------------------------------------------------
-STREAM_N = 1 << 20   # padded row space of the stream: hour ids below 2**20 (until year 2089)
 DEC_STREAM = 4
 
 SQL_EVENTS = f"""
@@ -901,15 +924,20 @@ ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS "row", CAST(value AS DO
 contrib AS (
   SELECT 'A' AS mat, "row", CAST(user_id AS BIGINT) AS col, val FROM ev
   UNION ALL
-  SELECT 'B' AS mat, "row", {H.sql_hash32(0, 'etype', 'event_type')} AS col, val FROM ev
+  SELECT 'B' AS mat, "row", {H.sql_hash52(0, 'etype', 'event_type')} AS col, val FROM ev
 ),
 ecells AS (SELECT mat, "row", col, sum(val) AS val FROM contrib GROUP BY mat, "row", col)"""
 
 
-def sql_stream_coords() -> str:
-    coords = K.pick_coords(SEED, STREAM_N, SKETCH_K)
-    vals = ", ".join(f"({t}, {h})" for t, h in enumerate(coords))
-    return f"scoords AS (SELECT CAST(t AS INTEGER) AS t, CAST(h AS BIGINT) AS h FROM (VALUES {vals}) v(t, h))"
+# the padded row space follows the data: hours up to the last event's
+SQL_STREAM_N = """
+npad AS (SELECT CAST(pow(2, ceil(log2(max("row") + 1))) AS BIGINT) AS n FROM ev)"""
+
+
+def _fresh(name: str) -> str:
+    """A query starts its stream anew; a job that resumes gives a stable name."""
+    import uuid
+    return f"{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _event_contrib(spark, sf_dir):
@@ -918,16 +946,18 @@ def _event_contrib(spark, sf_dir):
     return X.events_cells_rows(ev)
 
 
-@register("stream_sketch", with_(SQL_EVENTS, sql_stream_coords()) + f"""
+@register("stream_sketch", with_(SQL_EVENTS, SQL_STREAM_N, sql_coords()) + f"""
 SELECT c.mat, c.col, k.t,
        ROUND(sum({H.sql_sign(SEED, 'sign', 'c."row"')} * (1 - 2 * (bit_count(k.h & c."row") % 2)) * c.val)
              * {1.0 / math.sqrt(SKETCH_K)!r}, {DEC_STREAM}) AS s
-FROM contrib c CROSS JOIN scoords k GROUP BY c.mat, c.col, k.t""")
+FROM contrib c CROSS JOIN coords k GROUP BY c.mat, c.col, k.t""")
 def q_stream_sketch(spark, sf_dir):
     """Structured Streaming SRHT sketch of the event stream (final state)."""
     from rankfold.streaming.sketch_stream import run_to_table, stream_sketch
-    coords = K.pick_coords(SEED, STREAM_N, SKETCH_K)
-    path = run_to_table(stream_sketch(_event_contrib(spark, sf_dir), coords, SEED), "stream_sketch")
+    hours = X.events_cells_rows(X.table(spark, sf_dir, "events")).agg(F.max("row")).first()[0]
+    n = K.padded_length(int(hours or 0) + 1)
+    coords = K.pick_coords(SEED, n, SKETCH_K)
+    path = run_to_table(stream_sketch(_event_contrib(spark, sf_dir), coords, SEED, n), _fresh("stream_sketch"))
     return spark.read.parquet(path).select("mat", "col", F.col("t").cast("int").alias("t"),
                                            rnd(F.col("s"), DEC_STREAM).alias("s"))
 
@@ -937,9 +967,9 @@ SELECT mat, col, ROUND(sum(val * val), {DEC_STREAM}) AS norm2 FROM ecells GROUP
 def q_stream_norms(spark, sf_dir):
     """Exact squared column norms from a stream in which one cell
     (user, hour) arrives in several events."""
-    from rankfold.streaming.sketch_stream import run_to_table, stream_norms
-    path = run_to_table(stream_norms(_event_contrib(spark, sf_dir)), "stream_norms")
-    return spark.read.parquet(path).select("mat", "col", rnd(F.col("norm2"), DEC_STREAM).alias("norm2"))
+    from rankfold.streaming.sketch_stream import norms_of, run_updates, stream_cells
+    path = run_updates(stream_cells(_event_contrib(spark, sf_dir)), _fresh("stream_norms"))
+    return norms_of(spark, path).select("mat", "col", rnd(F.col("norm2"), DEC_STREAM).alias("norm2"))
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.functions.hashing import hash32
+from rankfold.functions.hashing import hash52
 from rankfold.sources.tables import cells_from_vectors, cells_pair_from_table, vecs_from_table
 
 
@@ -44,7 +44,7 @@ def embeddings_cells(spark: SparkSession, sf_dir: str, d: int | None = None) ->
 
 def event_type_id(col="event_type"):
     """Stable BIGINT id for an event type (same md5 rule as all hashing)."""
-    return hash32(0, "etype", F.col(col))
+    return hash52(0, "etype", F.col(col))
 
 
 def events_cells_rows(events: DataFrame) -> DataFrame:
@@ -60,3 +60,13 @@ def events_cells_rows(events: DataFrame) -> DataFrame:
             F.struct(F.lit("B").alias("mat"), event_type_id().alias("col")),
         )).alias("c"),
     ).select(F.col("c.mat").alias("mat"), "row", F.col("c.col").alias("col"), "val", "ts")
+
+
+def user_hour_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vecs(mat, col, vec): a user's event values summed by hour of day (24 entries)."""
+    ev = table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    h = ev.groupBy(F.col("user_id").cast("bigint").alias("col"), F.hour("ts").alias("h")).agg(
+        F.sum(F.col("value").cast("double")).alias("v"))
+    by_user = h.groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))  # 24 entries at most
+    return by_user.select(F.lit("A").alias("mat"), "col", F.transform(
+        F.sequence(F.lit(0), F.lit(23)), lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0))).alias("vec"))

@@ -7,44 +7,53 @@ the same cell (events of one user in one hour).
 * J1 sketch: linear, so every contribution goes straight into
   ``groupBy(mat, col, t).sum`` (streaming state = one running sum per
   sketch entry, n·k entries).
-* J2 norms: squares are not additive over contributions.  Each cell keeps
-  its running value in keyed state (``applyInPandasWithState`` keyed by
-  the cell, one double per key) and emits the change of its square,
-  new² − old²; a streaming sum of those changes per column is the squared
-  norm at every trigger.
-
-``run_to_table`` drives a query with ``trigger(availableNow=True)`` and a
-checkpoint in the shared checkpoint folder; each micro-batch overwrites
-the result table with the current full state (``complete`` mode), so the
-table is always a consistent snapshot and restarts resume from the
-checkpoint.
+* J2 norms: squares are not additive over contributions, so the running
+  value of every cell is a native streaming sum (``update`` mode); each
+  micro-batch writes only the cells that changed, in a folder of its own,
+  and the norms are the sums of the squares of the latest values.  With a
+  watermark the state of hours that are past is dropped.
+
+Both drivers use ``trigger(availableNow=True)`` and keep table and
+checkpoint under a stable name that the caller gives, so the same call
+resumes after a stop.  Every micro-batch writes a folder named by its id,
+which a repeated batch writes again: nothing is lost or counted twice, and
+no table is missing while a write is under way.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from rankfold.operators.sketch import hadamard_entry, sign_column
-from rankfold.session import ensure_checkpoint_dir, ship_package
+from rankfold.operators.sketch import checked_row, hadamard_entry, sign_column
+from rankfold.session import ensure_checkpoint_dir
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
-    """Stream the parquet file(s) ``name`` from a folder as they arrive."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
-def stream_sketch(contrib: DataFrame, coords: list[int], seed: int) -> DataFrame:
-    """Streaming SRHT sketch (mat, col, t, s) of all contributions."""
+def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
+    """Stream a Parquet table as its files arrive: one file, or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    fs, p = _file_system(spark, path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def stream_sketch(contrib: DataFrame, coords: list[int], seed: int, n: int | None = None) -> DataFrame:
+    """Streaming SRHT sketch (mat, col, t, s) of all contributions.  With
+    the padded length ``n``, row ids outside 0..n-1 are an error."""
     k = len(coords)
+    if n is not None:
+        contrib = contrib.withColumn("row", checked_row(n))
     items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
     e = contrib.select("mat", "col", "row", (sign_column(seed) * F.col("val")).alias("sv"),
                        F.explode(F.array(*items)).alias("c"))
@@ -53,46 +62,66 @@ def stream_sketch(contrib: DataFrame, coords: list[int], seed: int) -> DataFrame
         (F.sum(term) * F.lit(1.0 / math.sqrt(k))).alias("s"))
 
 
-def _cell_square_delta(key, batches, state):
-    mat, _row, col = key
-    old = float(state.get[0]) if state.exists else 0.0
-    new = old
-    for pdf in batches:
-        new += float(pdf["val"].sum())
-    state.update((new,))
-    yield pd.DataFrame({"mat": [mat], "col": [int(col)], "d2": [new * new - old * old]})
+def stream_cells(contrib: DataFrame, watermark: str | None = None, event_time: str = "ts") -> DataFrame:
+    """Running value (mat, row, col, val) of every cell.
 
+    With ``watermark`` (e.g. ``"2 hours"``) a contribution later than that is
+    dropped and the state of older windows of an hour is freed; without it
+    every contribution counts and the state has one sum per cell.
+    """
+    keys = ["mat", "row", "col"]
+    if watermark is None:
+        return contrib.groupBy(*keys).agg(F.sum("val").alias("val"))
+    timed = contrib.withWatermark(event_time, watermark)
+    return timed.groupBy(F.window(event_time, "1 hour").alias("hour"), *keys).agg(F.sum("val").alias("val")).drop("hour")
 
-def stream_norms(contrib: DataFrame) -> DataFrame:
-    """Streaming squared column norms (mat, col, norm2).
 
-    Keyed state holds one double per distinct cell, spread over the state
-    store partitions by the cell key; a late contribution to any cell is
-    still counted exactly.  (An event-time watermark would let closed hours
-    be evicted, but Spark rejects a stateful aggregation chained after
-    event-time state as a possible late-row loss, so exactness wins here.)
-    """
-    ship_package(contrib.sparkSession)
-    src = contrib.select("mat", "row", "col", "val")
-    deltas = src.groupBy("mat", "row", "col").applyInPandasWithState(
-        _cell_square_delta, "mat string, col bigint, d2 double", "v double", "append",
-        GroupStateTimeout.NoTimeout)
-    return deltas.groupBy("mat", "col").agg(F.sum("d2").alias("norm2"))
+def norms_of(spark: SparkSession, path: str) -> DataFrame:
+    """Squared column norms (mat, col, norm2) from the folders of :func:`run_updates`."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    latest = rows.groupBy("mat", "row", "col").agg(F.max_by("val", "batch").alias("val"))
+    return latest.groupBy("mat", "col").agg(F.sum(F.col("val") * F.col("val")).alias("norm2"))
 
 
-def run_to_table(stream_df: DataFrame, name: str, mode: str = "complete", base: str | None = None) -> str:
-    """Run a streaming aggregate to completion (availableNow) into a parquet
-    table under the checkpoint folder; returns the table path."""
-    spark = stream_df.sparkSession
+def _paths(spark: SparkSession, name: str, base: str | None) -> tuple[str, str]:
     root = base or ensure_checkpoint_dir(spark)
-    run = f"{name}-{uuid.uuid4().hex[:8]}"
-    out = os.path.join(root, "tables", run)
-    ckpt = os.path.join(root, "stream-ckpt", run)
+    return os.path.join(root, "tables", name), os.path.join(root, "stream-ckpt", name)
 
-    def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(out)
 
+def _run(stream_df: DataFrame, mode: str, write, ckpt: str) -> None:
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_updates(stream_df: DataFrame, name: str, base: str | None = None) -> str:
+    """Run a streaming aggregate over what is available; each micro-batch
+    writes the rows that changed to ``<table>/batch=<id>``.  Resumes where
+    the run of the same name stopped.  Returns the table path."""
+    out, ckpt = _paths(stream_df.sparkSession, name, base)
+
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    _run(stream_df, "update", write, ckpt)
     return out
+
+
+def run_to_table(stream_df: DataFrame, name: str, base: str | None = None) -> str:
+    """Run a streaming aggregate over what is available and return the path of
+    its latest full result (``complete`` mode).  Resumes where the run of the
+    same name stopped; a result that is being written never replaces the one
+    before it, which is removed afterwards."""
+    spark = stream_df.sparkSession
+    out, ckpt = _paths(spark, name, base)
+
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        fs, old = _file_system(spark, os.path.join(out, f"batch={batch_id - 2}"))
+        fs.delete(old, True)
+
+    _run(stream_df, "complete", write, ckpt)
+    fs, p = _file_system(spark, out)
+    done = [s.getPath().toString() for s in fs.listStatus(p)]
+    done = [d for d in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
+    return max(done, key=lambda d: int(d.rsplit("=", 1)[1]))

@@ -136,22 +136,18 @@ def test_bernoulli_thinned_law(spark):
     assert abs(len(pairs) - n_rows * p.sum()) < 5 * total_sd
 
 
-def test_mask_switches_to_thinning(spark, monkeypatch):
+def test_one_sample_at_every_size(spark):
+    """The mask of some rows is the same whichever other rows there are: no
+    switch by the number of cells."""
     a, b, a_n, b_n = _law_setup(spark, n1=80, n2=90, seed=4)
-    m = 1500.0
-    p = m / 2 * (a[:, None] / (len(b) * a.sum()) + b[None, :] / (len(a) * b.sum()))
-    monkeypatch.setattr(S, "MASK_CELL_LIMIT", 0)
-    s = S.sample_bernoulli(a_n, b_n, m, len(a), len(b), a.sum(), b.sum(), 11)
-    n = s.count()
-    mu = np.minimum(p, 1).sum()
-    sd = np.sqrt((np.minimum(p, 1) * (1 - np.minimum(p, 1))).sum())
-    assert abs(n - mu) < 5 * sd
-    assert set(s.columns) == {"i", "j", "p"}
+    m, some = 1500.0, F.col("i") < 10
+    args = (m, len(a), len(b), a.sum(), b.sum(), 11)
+    every = S.sample_bernoulli(a_n, b_n, *args).where(some).select("i", "j").collect()
+    few = S.sample_bernoulli(a_n.where(some), b_n, *args).select("i", "j").collect()
+    assert sorted(every) == sorted(few) and every
 
 
-def test_adaptive_with_thinned_heavy_rows(spark, monkeypatch):
-    """Force the heavy-row branch onto class thinning: sample count follows
-    the same expectation as the per-cell branch."""
+def test_adaptive_heavy_rows_follow_the_law(spark):
     a, b, a_n, b_n = _law_setup(spark, n1=5, n2=40, seed=6)
     m = 600.0
     alloc = S.row_allocation(a_n, m, 5, a.sum()).collect()
@@ -159,8 +155,12 @@ def test_adaptive_with_thinned_heavy_rows(spark, monkeypatch):
     q = (a[:, None] / (40 * a.sum()) + b[None, :] / (5 * b.sum())) / (a[:, None] / a.sum() + 1 / 5)
     mi = np.array([r["m_i"] for r in sorted(alloc, key=lambda r: r["i"])])[:, None]
     p = np.minimum(1, mi * q)
-    mu, sd = p.sum(), np.sqrt((p * (1 - p)).sum())
-    base = S.sample_adaptive(a_n, b_n, m, 5, 40, a.sum(), b.sum(), 3).count()
-    monkeypatch.setattr(S, "MASK_CELL_LIMIT", 0)
-    thin = S.sample_adaptive(a_n, b_n, m, 5, 40, a.sum(), b.sum(), 3).count()
-    assert abs(base - mu) < 5 * sd and abs(thin - mu) < 5 * sd
+    n = S.sample_adaptive(a_n, b_n, m, 5, 40, a.sum(), b.sum(), 3).count()
+    assert abs(n - p.sum()) < 5 * np.sqrt((p * (1 - p)).sum())
+
+
+def test_coordinates_beyond_two_to_the_32(spark):
+    from rankfold.operators import sketch as K
+    coords = K.pick_coords(7, 1 << 38, 300)
+    assert len(set(coords)) == 300 and max(coords) > 1 << 36 and max(coords) < 1 << 38
+    assert [r["h"] for r in K.coords_frame(spark, 7, 1 << 38, 300).orderBy("t").collect()] == coords

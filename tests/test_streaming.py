@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import norms as N
 from rankfold.operators import sketch as K
-from rankfold.streaming.sketch_stream import read_table_stream, run_to_table, stream_norms, stream_sketch
+from rankfold.streaming.sketch_stream import norms_of, read_table_stream, run_to_table, run_updates, stream_cells, stream_sketch
 
 
 def _write_parts(spark, folder):
@@ -32,14 +32,14 @@ def test_stream_norms_and_sketch_equal_batch(spark):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "part*"))
     batch_cells = allrows.groupBy("mat", "row", "col").agg(F.sum("val").alias("val"))
 
-    got = {(r["mat"], r["col"]): r["norm2"] for r in spark.read.parquet(run_to_table(stream_norms(src), "n")).collect()}
+    got = {(r["mat"], r["col"]): r["norm2"] for r in norms_of(spark, run_updates(stream_cells(src), "n", folder + "-out")).collect()}
     want = {(r["mat"], r["col"]): r["norm2"] for r in N.col_norms2(batch_cells).collect()}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
 
     coords = K.pick_coords(1, 8, 4)
     src2 = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "part*"))
-    gs = {(r["mat"], r["col"], r["t"]): r["s"] for r in spark.read.parquet(run_to_table(stream_sketch(src2, coords, 1), "s")).collect()}
+    gs = {(r["mat"], r["col"], r["t"]): r["s"] for r in spark.read.parquet(run_to_table(stream_sketch(src2, coords, 1, 8), "s", folder + "-out")).collect()}
     ws = {(r["mat"], r["col"], r["t"]): r["s"] for r in K.srht_sketch_cells(batch_cells, coords, 1).collect()}
     assert gs.keys() == ws.keys()
     assert all(math.isclose(gs[k], ws[k], abs_tol=1e-12) for k in ws)
@@ -49,3 +49,41 @@ def test_events_stream_reader(spark):
     df = read_table_stream(spark, "/root/testdata/sf0.001", "events")
     assert df.isStreaming
 
+
+
+def test_table_in_a_folder_of_files_and_resuming(spark):
+    """A folder table is streamed whole over several triggers, and a second
+    run of the same name goes on where the first stopped."""
+    folder = tempfile.mkdtemp(prefix="rankfold-stream-")
+    rows = [("A", r, c, float(r + c)) for r in range(6) for c in range(4)] * 2
+    schema = "mat string, row bigint, col bigint, val double"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{folder}/cells.parquet")
+
+    def run():
+        return norms_of(spark, run_updates(stream_cells(read_table_stream(spark, folder, "cells", 2)), "norms", folder + "-out"))
+
+    def batch():
+        cells = spark.read.parquet(f"{folder}/cells.parquet").groupBy("mat", "row", "col").agg(F.sum("val").alias("val"))
+        return {(r["mat"], r["col"]): r["norm2"] for r in N.col_norms2(cells).collect()}
+
+    assert {(r["mat"], r["col"]): r["norm2"] for r in run().collect()} == batch()
+    spark.createDataFrame([("A", 0, 1, 5.0), ("B", 2, 2, 1.0)], schema).write.mode("append").parquet(f"{folder}/cells.parquet")
+    assert {(r["mat"], r["col"]): r["norm2"] for r in run().collect()} == batch()
+
+
+def test_watermark_frees_state_and_keeps_closed_hours(spark):
+    folder = tempfile.mkdtemp(prefix="rankfold-stream-")
+    schema = "mat string, row bigint, col bigint, val double, ts timestamp"
+    for k in range(4):
+        spark.sql(f"SELECT 'A' AS mat, {k}L AS row, 1L AS col, {k + 1}D AS val, timestamp'2024-01-01 0{2 * k}:30:00' AS ts") \
+            .coalesce(1).write.parquet(f"{folder}/p{k}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p*")
+    got = norms_of(spark, run_updates(stream_cells(src, "1 hour"), "wm", folder + "-out")).collect()
+    assert [(r["col"], r["norm2"]) for r in got] == [(1, 30.0)]
+
+
+def test_row_ids_outside_the_row_space_are_errors(spark):
+    import pytest
+    bad = spark.createDataFrame([("A", 8, 1, 1.0)], "mat string, row bigint, col bigint, val double")
+    with pytest.raises(Exception, match="row id outside"):
+        K.srht_sketch_cells(bad, K.pick_coords(1, 8, 4), 1, n=8).collect()
