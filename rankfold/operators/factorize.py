@@ -132,21 +132,30 @@ def factorize_als(observed: DataFrame, rank: int, iters: int = 10, reg: float =
                   implicit: bool = False):
     """H1: Spark MLlib ALS on the sampled cells.
 
-    MLlib needs INT ids and a positive ``regParam`` when some row has fewer
-    than r samples; factors come back as FLOAT and are cast to DOUBLE.
-    Its λ is scaled by the number of ratings per row (unlike H2).
+    MLlib needs INT ids, so the ids of each side are densified first, and a
+    positive ``regParam``; it computes in FLOAT, and the factors are cast to
+    DOUBLE.  Its λ is scaled by the number of ratings per row (unlike H2).
     """
     from pyspark.ml.recommendation import ALS
 
-    bounds = observed.agg(F.max(F.greatest(F.abs("i"), F.abs("j"))).alias("mx")).first()["mx"]
-    if bounds is not None and bounds >= 2 ** 31:
-        raise ValueError("MLlib ALS needs ids that fit INT; use wals() for BIGINT ids")
-    data = observed.select(F.col("i").cast("int").alias("user"), F.col("j").cast("int").alias("item"),
-                           F.col("val").cast("float").alias("rating"))
+    from rankfold.operators.prefix import prefix_sums
+
+    if reg <= 0:
+        raise ValueError("MLlib ALS needs a positive reg")
+
+    def dense(col: str, out: str) -> DataFrame:
+        ids = observed.select(F.col(col).cast("bigint").alias(col)).distinct()
+        return prefix_sums(ids, col, {out: F.lit(1).cast("bigint")}).select(col, F.col(out + "_lo").cast("int").alias(out))
+
+    users, items = dense("i", "user").cache(), dense("j", "item").cache()
+    data = observed.select("i", "j", F.col("val").cast("float").alias("rating")).join(users, "i").join(items, "j") \
+        .select("user", "item", "rating")
     als = ALS(rank=rank, maxIter=iters, regParam=reg, seed=seed, implicitPrefs=implicit,
               userCol="user", itemCol="item", ratingCol="rating", nonnegative=False,
               coldStartStrategy="nan")
     model = als.fit(data)
-    u = model.userFactors.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("f"))
-    v = model.itemFactors.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("f"))
+    u = model.userFactors.join(users.withColumnRenamed("user", "id"), "id").select(
+        F.col("i").alias("id"), F.col("features").cast("array<double>").alias("f"))
+    v = model.itemFactors.join(items.withColumnRenamed("item", "id"), "id").select(
+        F.col("j").alias("id"), F.col("features").cast("array<double>").alias("f"))
     return u, v

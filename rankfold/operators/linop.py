@@ -249,32 +249,52 @@ def relative_error(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int
             "norm_trace": t1, "residual_trace": t2}
 
 
-def svd_exact(ops: Operands, r: int, iters: int = 20, seed: int = 0, checkpoint: bool = True):
+def svd(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7, oversample: int = 5,
+        checkpoint: bool = True) -> dict:
     """H8: top-r singular triplets of M by block subspace iteration.
 
-    Each round: Y = M V (n1 x r), orthonormalise through its r x r Gram
-    matrix, Z = Mᵀ Y, orthonormalise.  Finish with a Rayleigh-Ritz step on
-    Y = M V: the r x r eigen-problem of YᵀY gives σ² and the rotation.
-    Returns (sigmas, U, V) with U, V as factor frames.
+    The block has ``oversample`` more columns than asked for.  Each round:
+    Y = M V = Q R with Q orthonormal (two passes), the SVD of the small R
+    rotates both sides onto the current singular vectors (Rayleigh-Ritz),
+    V = orthonormal basis of Mᵀ Q.  After that rotation the columns come in
+    falling size, so small singular values are not swamped by large ones.
+    Directions lost to rounding are replaced by fresh random ones.  Stops
+    when no wanted σ moves by more than ``tol`` of itself (σ below 1e-13 of
+    the largest count as zero).
+
+    Returns {'sigmas', 'u', 'v', 'converged', 'rounds'}.
     """
     rounds = Rounds(4 if checkpoint else 10 ** 9)
-    v = rounds.keep(random_start_block(ops.b_ids(), r, seed))
-    v = orthonormalize(v, r)
-    for _ in range(iters):
-        y = rounds.keep(apply_product_block(ops, v, r))
-        y = orthonormalize(y, r)
-        v = rounds.keep(apply_product_block_t(ops, y, r))
-        v = orthonormalize(v, r)
-    y = rounds.keep(apply_product_block(ops, v, r))
-    g = gram(y, r)
-    evals, evecs = np.linalg.eigh(g)
-    order = np.argsort(evals)[::-1]
-    evals, evecs = evals[order], evecs[:, order]
-    sig = np.sqrt(np.maximum(evals, 0.0))
-    inv = np.where(sig > 0, 1.0 / np.where(sig > 0, sig, 1.0), 0.0)
-    u = block_times(y, evecs * inv[None, :])
-    vv = block_times(v, evecs)
-    return [float(s) for s in sig], u, vv
+    q = max(1, min(int(r) + int(oversample), ops.a_ids().count(), ops.b_ids().count()))
+    v, _ = orthonormalize(rounds.keep(random_start_block(ops.b_ids(), q, seed)), q)
+    v, prev, converged, k = refill(rounds.keep(v), q, seed, 0, rounds), None, False, 0
+    for k in range(1, int(iters) + 1):
+        y, root = orthonormalize(rounds.keep(apply_product_block(ops, v, q)), q)
+        left, sig, right = np.linalg.svd(root)
+        sig = np.where(sig > 1e-13 * sig[0], sig, 0.0) if sig[0] > 0 else sig
+        u = rounds.keep(block_times(y, left))
+        now = sig[:r]
+        converged = prev is not None and bool(np.all(np.abs(now - prev) <= tol * np.maximum(now, 1e-13 * max(sig[0], 1e-300))))
+        if converged or k == iters or sig[0] == 0:
+            converged = converged or sig[0] == 0
+            break
+        prev = now
+        z, _ = orthonormalize(rounds.keep(apply_product_block_t(ops, u, q)), q)
+        v = refill(rounds.keep(z), q, seed, k, rounds)
+    take = min(int(r), q)
+    nonzero = np.where(sig[:take] > 0, 1.0, 0.0)
+    return {"sigmas": [float(x) for x in sig[:take]] + [0.0] * (int(r) - take),
+            "u": block_times(u, np.eye(q)[:, :take] * nonzero), "v": block_times(v, right.T[:, :take]),
+            "converged": converged, "rounds": k}
+
+
+def svd_exact(ops: Operands, r: int, iters: int = 60, seed: int = 0, checkpoint: bool = True, tol: float = 1e-7):
+    """H8: (sigmas, U, V) of :func:`svd`; an error if ``iters`` rounds do not
+    reach ``tol``."""
+    got = svd(ops, r, iters, seed, tol, checkpoint=checkpoint)
+    if not got["converged"]:
+        raise RuntimeError(f"singular values still move by more than {tol} after {iters} rounds; raise iters or tol")
+    return got["sigmas"], got["u"], got["v"]
 
 
 def random_start_block(ids: DataFrame, r: int, seed: int) -> DataFrame:
@@ -282,15 +302,59 @@ def random_start_block(ids: DataFrame, r: int, seed: int) -> DataFrame:
                       F.array(*[gaussian(seed, "block", F.col("id"), F.lit(a)) for a in range(r)]).alias("f"))
 
 
-def orthonormalize(block: DataFrame, r: int) -> DataFrame:
-    """X G^{-1/2}: orthonormal columns spanning X (G = XᵀX, r x r)."""
+def _orthonormal_factor(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """T and R with X T orthonormal and X = (X T) R, from G = XᵀX.
+
+    Columns are scaled to length one and taken in falling size (Cholesky of
+    a graded matrix); one that depends on those before it gives a zero column.
+    """
+    n = len(g)
+    d = np.sqrt(np.maximum(np.diag(g), 0.0))
+    order = np.argsort(-d, kind="stable")
+    live = d > 1e-14 * (d.max() if n else 0.0)
+    safe = np.where(live, d, 1.0)
+    c = g / safe[:, None] / safe[None, :]
+    t, root = np.zeros((n, n)), np.zeros((n, n))
+    basis: list[int] = []
+    for j in order:
+        if not live[j]:
+            continue
+        part = np.array([t[:, b] @ c[:, j] for b in basis])  # coefficients on the basis so far
+        column = np.zeros(n)
+        column[j] = 1.0
+        for b, x in zip(basis, part):
+            column -= x * t[:, b]
+            root[b, j] = x * d[j]
+        left = column @ c @ column
+        if left > 1e-13:
+            t[:, j] = column / math.sqrt(left)
+            root[j, j] = math.sqrt(left) * d[j]
+            basis.append(j)
+    return t / safe[:, None], root
+
+
+def orthonormalize(block: DataFrame, r: int) -> tuple[DataFrame, np.ndarray]:
+    """(Q, R) with X = Q R and orthonormal (or zero) columns of Q.  Two passes
+    over r x r Gram matrices: the second takes away what rounding left."""
+    t1, r1 = _orthonormal_factor(gram(block, r))
+    once = block_times(block, t1)
+    t2, r2 = _orthonormal_factor(gram(once, r))
+    return block_times(once, t2), r2 @ r1
+
+
+def refill(block: DataFrame, r: int, seed: int, turn: int, rounds: Rounds) -> DataFrame:
+    """Put fresh random columns, orthonormal to the others, where ``block``
+    has zero columns."""
     g = gram(block, r)
-    evals, evecs = np.linalg.eigh(g)
-    scale = np.where(evals > 1e-300 * max(1.0, float(np.max(np.abs(evals)))), 1.0 / np.sqrt(np.maximum(evals, 1e-300)), 0.0)
-    return block_times(block, (evecs * scale[None, :]) @ evecs.T)
+    gone = [a for a in range(r) if g[a, a] < 0.5]
+    if not gone:
+        return block
+    cols = [gaussian(seed, "refill", F.col("id"), F.lit(turn * r + a)) * F.lit(1e-3) if a in gone else F.get("f", a) for a in range(r)]
+    mixed = rounds.keep(block.select("id", F.array(*cols).alias("f")))
+    return rounds.keep(orthonormalize(mixed, r)[0])
 
 
-def optimal_error(ops: Operands, r: int, iters: int = 20, seed: int = 0) -> dict:
+def optimal_error(ops: Operands, r: int, iters: int = 60, seed: int = 0) -> dict:
     """σ_{r+1}/σ₁, the error of the best rank-r approximation."""
     sig, _, _ = svd_exact(ops, r + 1, iters, seed)
     return {"sigmas": sig, "opt_error": sig[r] / sig[0] if sig and sig[0] > 0 else float("nan")}

@@ -109,13 +109,16 @@ def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms
                           .otherwise(F.col("s") * F.lit(1.0 / math.sqrt(k))))
 
 
-def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int) -> DataFrame:
+def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int, with_norms: bool = False) -> DataFrame:
     """T = randn(k, d)/√k applied to every column; T[t, r] is hashed from
-    (seed, t, r) on the fly and never stored."""
-    e = cells.select("mat", "col", "row", "val", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("t"))
+    (seed, t, r) on the fly and never stored.  with_norms adds the exact
+    squared column norm as t = -1 from the same scan."""
+    e = cells.select("mat", "col", "row", "val", F.explode(F.sequence(F.lit(-1 if with_norms else 0), F.lit(k - 1))).alias("t"))
     term = gaussian(seed, "jl", F.col("t"), F.col("row")) * F.col("val")
+    if with_norms:
+        term = F.when(F.col("t") < 0, F.col("val") * F.col("val")).otherwise(term)
     return e.groupBy("mat", "col", "t").agg(F.sum(term).alias("s")) \
-        .withColumn("s", F.col("s") / F.lit(math.sqrt(k)))
+        .withColumn("s", F.when(F.col("t") < 0, F.col("s")).otherwise(F.col("s") / F.lit(math.sqrt(k))))
 
 
 def sketch_wide(sketch_long: DataFrame, k: int) -> DataFrame:

@@ -44,7 +44,9 @@ def _factorize(observed: DataFrame, norms: DataFrame, rank: int, iters: int, lam
         v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
         return FZ.wals(observed, v_ids, rank, iters, lam, seed)
     if solver == "mllib":
-        return FZ.factorize_als(observed, rank, iters, max(lam, 1e-6), seed)
+        if lam <= 0:
+            raise ValueError("solver 'mllib' needs lam > 0")
+        return FZ.factorize_als(observed, rank, iters, lam, seed)
     raise ValueError("solver must be 'wals' or 'mllib'")
 
 
@@ -60,6 +62,16 @@ def _errors(spark, cells, u, v, rank, power_iters, seed, partitions):
     return rows
 
 
+def _estimator_error(observed: DataFrame, norms: DataFrame, k: int) -> list:
+    """What a sketch of size k can tell: the root mean square of the values on
+    the sampled cells, and of the estimator's own spread ‖aᵢ‖‖bⱼ‖/√k there.
+    Where the spread is not well below the values, the answer is noise and k
+    must grow."""
+    got = observed.join(S.a_side(norms), "i").join(S.b_side(norms), "j").agg(
+        F.sqrt(F.avg(F.col("val") * F.col("val"))).alias("v"), F.sqrt(F.avg(F.col("a") * F.col("b")) / F.lit(float(k))).alias("e")).first()
+    return [("value_rms", 0, float(got["v"] or 0.0)), ("estimator_spread", 0, float(got["e"] or 0.0))]
+
+
 def two_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, iters: int = 10,
                        lam: float = 0.0, ss: float = 2.0, seed: int = 0, power_iters: int = 5,
                        weight: str = "ones", solver: str = "wals", evaluate: bool = True,
@@ -97,8 +109,8 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
         norms = long.where(F.col("t") < 0).select("mat", "col", F.col("s").alias("norm2"))
         wide = K.sketch_wide(long, k)
     elif sketch == "gaussian":
-        long = K.gaussian_sketch_cells(cells, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-        norms = N.col_norms2(cells).select("mat", "col", "norm2")
+        long = K.gaussian_sketch_cells(cells, k, seed, with_norms=True).persist(StorageLevel.MEMORY_AND_DISK)
+        norms = long.where(F.col("t") < 0).select("mat", "col", F.col("s").alias("norm2"))
         wide = K.sketch_wide(long, k)
     else:
         raise ValueError("sketch must be 'srht' or 'gaussian'")
@@ -110,6 +122,7 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
             ("samples", 0, observed.count())]
+    rows += _estimator_error(observed, norms, k)
     if evaluate:
         rows += _errors(spark, cells, u, v, rank, power_iters, seed, partitions)
     return {"u": u, "v": v, "observed": observed, "report": _report(spark, rows), "norms": norms,

@@ -109,3 +109,42 @@ def test_product_ids_beyond_int(spark):
                                   "mat string, row bigint, col bigint, val double")
     got = [(r["i"], r["j"], r["val"]) for r in P.product_exact(cells).collect()]
     assert got == [(big + 1, 7, 6.0)]
+
+
+def _pair_with(spark, sigma, n=14):
+    """Cells of A = I·U·diag(σ) form: AᵀB has exactly these singular values."""
+    rng = np.random.default_rng(3)
+    u, _ = np.linalg.qr(rng.normal(size=(n, n)))
+    v, _ = np.linalg.qr(rng.normal(size=(n, n)))
+    r = len(sigma)
+    cells = [("A", t, i, float(u[i, t])) for t in range(r) for i in range(n)]
+    cells += [("B", t, j, float(v[j, t] * sigma[t])) for t in range(r) for j in range(n)]
+    return spark.createDataFrame(cells, "mat string, row bigint, col bigint, val double").repartition(2).cache()
+
+
+def test_svd_small_values_rank_deficit_and_flat_tail(spark):
+    for sigma, wanted in (((1.0, 1e-4, 1e-9), 3), ((2.0, 0.5), 3), ((1.0, 0.25, 0.24, 0.23, 0.22), 3)):
+        ops = L.Operands(_pair_with(spark, sigma), detect_skew=False)
+        got = L.svd(ops, wanted, iters=60, seed=2)
+        truth = (list(sigma) + [0.0] * wanted)[:wanted]
+        assert got["converged"]
+        assert np.allclose(got["sigmas"], truth, rtol=0.01, atol=1e-12), got
+        assert np.allclose(got["sigmas"], truth, atol=1e-6 * truth[0])
+        ops.release()
+
+
+def test_svd_says_when_it_has_not_converged(spark):
+    import pytest
+    ops = L.Operands(_pair_with(spark, [1.0 - 0.001 * k for k in range(14)]), detect_skew=False)
+    with pytest.raises(RuntimeError, match="still move"):
+        L.svd_exact(ops, 2, iters=2, tol=1e-12)
+    ops.release()
+
+
+def test_mllib_als_takes_any_ids(spark):
+    big = 5_000_000_000
+    obs = spark.createDataFrame([(big + i, j - big, float((i + 1) * (j + 1)), 1.0) for i in range(6) for j in range(5)],
+                                "i bigint, j bigint, val double, w double")
+    u, v = FZ.factorize_als(obs, 1, 10, 1e-6, 1)
+    uf, vf = {x["id"]: x["f"][0] for x in u.collect()}, {x["id"]: x["f"][0] for x in v.collect()}
+    assert set(uf) == {big + i for i in range(6)} and abs(uf[big + 5] * vf[4 - big] - 30.0) < 0.5
