@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,33 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of an :func:`id_bitmap`.
+BITMAP = 24
+
+
+def id_slot(col: str = "doc_id"):
+    return F.pmod(F.xxhash64(col), F.lit(1 << BITMAP))
+
+
+def id_bitmap(ids: DataFrame, col: str = "doc_id"):
+    """Broadcast bitmap of the hash slots of ``ids``, of 2 MB whatever their number.
+
+    A first filter before a join by id, so that texts without a partner aren't shuffled.  Slots of
+    other ids may be set too, so the join must follow; the more ids, the less the filter saves.
+    """
+    words = ids.select(id_slot(col).alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 31 AS int))")).alias("bits")).collect()
+    bitmap = np.zeros(1 << (BITMAP - 5), dtype=np.uint32)
+    for r in words:
+        bitmap[r["word"]] = r["bits"]
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def in_bitmap(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
+    s = slots.to_numpy(zero_copy_only=False)
+    return (bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str) -> DataFrame:
     """``mapInArrow`` with plain Python columns.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, id_and_text, map_arrow, stored
+from rankfold.llm.common import discard, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
 from rankfold.llm.components import components
 
 K = 256
@@ -63,9 +63,14 @@ def class_of(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) >> 1
 
 
+def least_size(threshold: float) -> float:
+    """A smaller set is near to itself only: n / (n + 1) stays below the threshold."""
+    return threshold / (1 - threshold) - 1e-9
+
+
 def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, cls, sketch (null where no other set can be near, or a copy was sketched in this task)."""
-    least = 1 / (1 - threshold) - 1  # a smaller set is near to itself only: n / (n + 1) stays below the threshold
+    least = least_size(threshold)
 
     def make():
         seen: set[int] = set()
@@ -194,24 +199,27 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
         "j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     meetings = dealt.select("leader", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("block"), "cls", "rep")
 
+    # texts stay where they are: a bitmap of fixed size tells most that aren't wanted, the join the rest
     wanted = members.select("cls", F.col("rep").alias("doc_id")).distinct()
+    bitmap = id_bitmap(wanted)
 
     def make():
         def step(cols):
-            out = {"cls": [], "values": []}
-            done = set()
-            for cls, value in zip(cols["cls"].to_pylist(), cols["text"]):
-                values = shingles(value.as_py())
-                if class_of(values) == cls and cls not in done:  # rows with the same id may have other texts
-                    done.add(cls)
-                    out["cls"].append(cls)
+            out = {"doc_id": [], "cls": [], "values": []}
+            ids = cols["doc_id"].to_pylist()
+            for at in np.flatnonzero(in_bitmap(bitmap.value, cols["slot"])):
+                values = shingles(cols["text"][at].as_py())
+                if len(values) >= least:
+                    out["doc_id"].append(ids[at])
+                    out["cls"].append(class_of(values))
                     out["values"].append(values.tobytes())
             yield out
 
         return step
 
-    sets = map_arrow(read.join(wanted, "doc_id").select("cls", "text"), make, "cls bigint, values binary")
-    sets = stored(sets.dropDuplicates(["cls"]), "sets")
+    least = least_size(t)
+    sets = map_arrow(read.where("doc_id IS NOT NULL").withColumn("slot", id_slot()), make, "doc_id bigint, cls bigint, values binary")
+    sets = stored(sets.join(wanted, ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", "values"), "sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(found: pa.Table) -> pa.Table:

@@ -27,11 +27,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import WORD_PATTERN, id_and_text, map_arrow, stored
+from rankfold.llm.common import WORD_PATTERN, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
 
 MIN_WORDS, GRAM = 50, 8
 SEEN = 500_000
@@ -145,7 +146,16 @@ def windows_of(docs: DataFrame, wanted: DataFrame, min_words: int, gram: int) ->
 
         return step
 
-    return map_arrow(docs.join(wanted, "doc_id"), make, "h bigint, rep bigint, cls bigint, pos bigint")
+    bitmap = id_bitmap(wanted)
+
+    def sieve(batches):
+        for batch in batches:
+            near = in_bitmap(bitmap.value, batch.column(2))
+            yield batch.filter(pa.array(near)).select([0, 1])
+
+    # texts without a suffix that is left mostly aren't shuffled to the join
+    texts = docs.withColumn("slot", id_slot()).mapInArrow(sieve, "doc_id bigint, text string")
+    return map_arrow(texts.join(wanted, "doc_id"), make, "h bigint, rep bigint, cls bigint, pos bigint")
 
 
 def runs(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -168,7 +178,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
 
     suffixes = texts.where("keys IS NOT NULL").select("cls", F.explode(F.arrays_zip("keys", "positions")).alias("s"))
     found = shared_suffixes(suffixes.select(F.col("s.keys").alias("key"), "cls", F.col("s.positions").alias("pos")))
-    wanted = found.groupBy("cls").agg(F.collect_set("pos").alias("positions")).join(classes, "cls").select("cls", F.col("rep").alias("doc_id"), "positions")
+    wanted = stored(found.groupBy("cls").agg(F.collect_set("pos").alias("positions")).join(classes, "cls").select(
+        "cls", F.col("rep").alias("doc_id"), "positions"), "wanted")
     # repeated rows hold the same window; it is one place
     windows = stored(windows_of(read, wanted, min_words, gram), "windows")
     places = windows.groupBy("h").agg(F.min(F.struct("rep", "cls", "pos")).alias("lo"), F.max(F.struct("rep", "cls", "pos")).alias("hi"))
