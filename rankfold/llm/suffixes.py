@@ -131,7 +131,11 @@ def shared_suffixes(suffixes: DataFrame) -> DataFrame:
 
 
 def windows_of(docs: DataFrame, wanted: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(h, rep, cls, pos) of the windows whose minimiser is among ``wanted`` (cls, doc_id, positions)."""
+    """(h, rep, cls, pos, again) of the windows whose minimiser is among ``wanted`` (cls, doc_id, positions).
+
+    One row for each text and hash, with its first position and the others, so that a text which says
+    the same words thousands of times makes no hot group.
+    """
 
     def make():
         def step(cols):
@@ -141,8 +145,13 @@ def windows_of(docs: DataFrame, wanted: DataFrame, min_words: int, gram: int) ->
                     continue  # another text with the same id
                 at, _ = minimisers(ids, min_words, gram)
                 pos = np.flatnonzero(np.isin(at, positions.values.to_numpy(zero_copy_only=False)))
-                full = np.ones(len(pos), dtype=np.int64)
-                yield {"h": _signed(window_hashes(ids, min_words)[pos]), "rep": full * doc_id, "cls": full * cls, "pos": pos}
+                h, first, which = np.unique(window_hashes(ids, min_words)[pos], return_index=True, return_inverse=True)
+                again: dict[int, list[int]] = {}
+                if len(h) < len(pos):
+                    for i in np.setdiff1d(np.arange(len(pos)), first):
+                        again.setdefault(int(which[i]), []).append(int(pos[i]))
+                full = np.ones(len(h), dtype=np.int64)
+                yield {"h": _signed(h), "rep": full * doc_id, "cls": full * cls, "pos": pos[first], "again": [again.get(i) for i in range(len(h))]}
 
         return step
 
@@ -155,7 +164,7 @@ def windows_of(docs: DataFrame, wanted: DataFrame, min_words: int, gram: int) ->
 
     # texts without a suffix that is left mostly aren't shuffled to the join
     texts = docs.withColumn("slot", id_slot()).mapInArrow(sieve, "doc_id bigint, text string")
-    return map_arrow(texts.join(wanted, "doc_id"), make, "h bigint, rep bigint, cls bigint, pos bigint")
+    return map_arrow(texts.join(wanted, "doc_id"), make, "h bigint, rep bigint, cls bigint, pos bigint, again array<bigint>")
 
 
 def runs(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -182,18 +191,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         "cls", F.col("rep").alias("doc_id"), "positions"), "wanted")
     # repeated rows hold the same window; it is one place
     windows = stored(windows_of(read, wanted, min_words, gram), "windows")
-    places = windows.groupBy("h").agg(F.min(F.struct("rep", "cls", "pos")).alias("lo"), F.max(F.struct("rep", "cls", "pos")).alias("hi"))
-    twice = places.where("lo <> hi").select("h", "lo")
+    places = windows.groupBy("h").agg(F.min(F.struct("rep", "cls", "pos")).alias("lo"), F.max(F.struct("rep", "cls", "pos")).alias("hi"),
+                                       F.bool_or(F.col("again").isNotNull()).alias("again"))
+    twice = places.where("lo <> hi OR again").select("h", "lo")
     hits = windows.join(twice, "h").select("cls", F.struct(
-        "pos", (F.struct("rep", "cls", "pos") != F.col("lo")).alias("later"), F.col("lo.rep").alias("first")).alias("w"))
+        "pos", (F.struct("rep", "cls", "pos") != F.col("lo")).alias("later"), F.col("lo.rep").alias("first"), "again").alias("w"))
     marked = classes.join(hits.groupBy("cls").agg(F.sort_array(F.collect_list("w")).alias("ws")), "cls", "left").where("ws IS NOT NULL OR copied")
-    marked = marked.select("rep", "n", "copied", F.col("ws.pos").alias("pos"), F.col("ws.later").cast("array<int>").alias("later"), F.col("ws.first").alias("first"))
+    marked = marked.select("rep", "n", "copied", F.col("ws.pos").alias("pos"), F.col("ws.later").cast("array<int>").alias("later"), F.col("ws.first").alias("first"), F.col("ws.again").alias("again"))
 
     def make():
         def step(cols):
             out = {n: [] for n in ("doc_id", "start", "end", "removed", "first_doc_id")}
-            for rep, n, copied, pos, later, first in zip(*(cols[c].to_pylist() for c in ("rep", "n", "copied", "pos", "later", "first"))):
-                pos, later, first = (np.array(x or [], dtype=np.int64) for x in (pos, later, first))
+            for rep, n, copied, pos, later, first, again in zip(*(cols[c].to_pylist() for c in ("rep", "n", "copied", "pos", "later", "first", "again"))):
+                others = [(p, 1, f) for f, more in zip(first or (), again or ()) for p in more or ()]
+                pos, later, first = (np.array((x or []) + [o[k] for o in others], dtype=np.int64) for k, x in enumerate((pos, later, first)))
                 cover = np.zeros((2, n + 1), dtype=np.int64)
                 for kind in (0, 1):
                     np.add.at(cover[kind], pos[later == kind], 1)

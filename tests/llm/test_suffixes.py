@@ -45,7 +45,7 @@ def corpus(rng, n=120):
         if rng.random() < 0.1 and rows:
             w = rng.choice(rows)[1].split()
         rows.append((i, " ".join(w)))
-    return rows
+    return rows + [(n, "again " * 40), (n + 1, "x " + "again " * 30), (n + 2, "a b c " * 20)]
 
 
 def test_equals_brute_force(docs_of):
