@@ -27,7 +27,7 @@ from rankfold.operators import product as P  # noqa: E402
 from rankfold.operators import sampling as S  # noqa: E402
 from rankfold.operators import sketch as K  # noqa: E402
 from rankfold.plans import jobs  # noqa: E402
-from rankfold.session import build_session  # noqa: E402
+from rankfold.session import build_session, cut_lineage  # noqa: E402
 from rankfold.sources import fixtures as X  # noqa: E402
 
 RANK, ITERS, SS, SEED, K_SKETCH, POWER = 5, 10, 2.0, 7, 64, 5
@@ -64,9 +64,8 @@ def main():
         norms = N.col_norms2(cells).cache()
         tot = N.norm_totals(norms)
         bud = S.sample_budget(tot["n1"], tot["n2"], RANK, SS)
-        s = S.sample_adaptive(S.a_side(norms), S.b_side(norms), bud["m"], tot["n1"], tot["n2"],
-                              tot["fro_a"], tot["fro_b"], SEED)
-        run(s)
+        s = cut_lineage(S.sample_adaptive(S.a_side(norms), S.b_side(norms), bud["m"], tot["n1"], tot["n2"],
+                              tot["fro_a"], tot["fro_b"], SEED))
         return norms, s
 
     norms, samples = timed("sample_adaptive", sampler)
@@ -91,6 +90,7 @@ def main():
     rep1 = {r["metric"]: r["value"] for r in r1["report"].collect() if r["round"] == 0}
     extra["two_pass_rel_error"] = rep2.get("rel_error")
     extra["one_pass_rel_error"] = rep1.get("rel_error")
+    extra["one_pass_value_rms"], extra["one_pass_estimator_spread"] = rep1.get("value_rms"), rep1.get("estimator_spread")
     extra["samples"] = rep2.get("samples")
     extra["one_vs_two_pass"] = round(times["two_pass"] / times["one_pass"], 3) if times["one_pass"] else None
 
@@ -100,7 +100,7 @@ def main():
     # sketch size of the published run (2000), capped at half the padded length
     k_syn = min(2000, K.padded_length(n_syn) // 2)
     syn = jobs.synthetic_benchmark(spark, n_syn, n_syn, rank=RANK, k=k_syn, iters=ITERS, ss=SS, seed=SEED,
-                                   power_iters=POWER, svd_iters=10).collect()
+                                   power_iters=POWER).collect()
     extra["synthetic_k"] = k_syn
     for r in syn:
         times[f"synthetic_{r['method']}"] = round(r["seconds"], 3)

@@ -267,7 +267,7 @@ def svd(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7
     rounds = Rounds(4 if checkpoint else 10 ** 9)
     q = max(1, min(int(r) + int(oversample), ops.a_ids().count(), ops.b_ids().count()))
     v, _ = orthonormalize(rounds.keep(random_start_block(ops.b_ids(), q, seed)), q)
-    v, prev, converged, k = refill(rounds.keep(v), q, seed, 0, rounds), None, False, 0
+    v, prev, converged, k = rounds.keep(v), None, False, 0
     for k in range(1, int(iters) + 1):
         y, root = orthonormalize(rounds.keep(apply_product_block(ops, v, q)), q)
         left, sig, right = np.linalg.svd(root)
@@ -279,8 +279,8 @@ def svd(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7
             converged = converged or sig[0] == 0
             break
         prev = now
-        z, _ = orthonormalize(rounds.keep(apply_product_block_t(ops, u, q)), q)
-        v = refill(rounds.keep(z), q, seed, k, rounds)
+        z, back = orthonormalize(rounds.keep(apply_product_block_t(ops, u, q)), q)
+        v = refill(rounds.keep(z), q, [a for a in range(q) if back[a, a] == 0], seed, k, rounds)
     take = min(int(r), q)
     nonzero = np.where(sig[:take] > 0, 1.0, 0.0)
     return {"sigmas": [float(x) for x in sig[:take]] + [0.0] * (int(r) - take),
@@ -302,8 +302,9 @@ def random_start_block(ids: DataFrame, r: int, seed: int) -> DataFrame:
                       F.array(*[gaussian(seed, "block", F.col("id"), F.lit(a)) for a in range(r)]).alias("f"))
 
 
-def _orthonormal_factor(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """T and R with X T orthonormal and X = (X T) R, from G = XᵀX.
+def _orthonormal_factor(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """T and R with X T orthonormal and X = (X T) R, from G = XᵀX, and the
+    smallest share of a column that was new.
 
     Columns are scaled to length one and taken in falling size (Cholesky of
     a graded matrix); one that depends on those before it gives a zero column.
@@ -314,39 +315,41 @@ def _orthonormal_factor(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     live = d > 1e-14 * (d.max() if n else 0.0)
     safe = np.where(live, d, 1.0)
     c = g / safe[:, None] / safe[None, :]
-    t, root = np.zeros((n, n)), np.zeros((n, n))
+    t, root, least = np.zeros((n, n)), np.zeros((n, n)), 1.0
     basis: list[int] = []
     for j in order:
         if not live[j]:
             continue
-        part = np.array([t[:, b] @ c[:, j] for b in basis])  # coefficients on the basis so far
         column = np.zeros(n)
         column[j] = 1.0
-        for b, x in zip(basis, part):
+        for b in basis:
+            x = t[:, b] @ c[:, j]  # coefficient on the basis so far
             column -= x * t[:, b]
             root[b, j] = x * d[j]
         left = column @ c @ column
         if left > 1e-13:
             t[:, j] = column / math.sqrt(left)
             root[j, j] = math.sqrt(left) * d[j]
+            least = min(least, left)
             basis.append(j)
-    return t / safe[:, None], root
+    return t / safe[:, None], root, least
 
 
 def orthonormalize(block: DataFrame, r: int) -> tuple[DataFrame, np.ndarray]:
-    """(Q, R) with X = Q R and orthonormal (or zero) columns of Q.  Two passes
-    over r x r Gram matrices: the second takes away what rounding left."""
-    t1, r1 = _orthonormal_factor(gram(block, r))
+    """(Q, R) with X = Q R and orthonormal (or zero) columns of Q, by r x r
+    Gram matrices; a second pass takes away the rounding that columns close
+    to each other leave."""
+    t1, r1, least = _orthonormal_factor(gram(block, r))
     once = block_times(block, t1)
-    t2, r2 = _orthonormal_factor(gram(once, r))
+    if least > 0.1:
+        return once, r1
+    t2, r2, _ = _orthonormal_factor(gram(once, r))
     return block_times(once, t2), r2 @ r1
 
 
-def refill(block: DataFrame, r: int, seed: int, turn: int, rounds: Rounds) -> DataFrame:
-    """Put fresh random columns, orthonormal to the others, where ``block``
-    has zero columns."""
-    g = gram(block, r)
-    gone = [a for a in range(r) if g[a, a] < 0.5]
+def refill(block: DataFrame, r: int, gone: list[int], seed: int, turn: int, rounds: Rounds) -> DataFrame:
+    """Put fresh random columns, orthonormal to the others, in the place of
+    the zero columns ``gone``."""
     if not gone:
         return block
     cols = [gaussian(seed, "refill", F.col("id"), F.lit(turn * r + a)) * F.lit(1e-3) if a in gone else F.get("f", a) for a in range(r)]
@@ -354,7 +357,7 @@ def refill(block: DataFrame, r: int, seed: int, turn: int, rounds: Rounds) -> Da
     return rounds.keep(orthonormalize(mixed, r)[0])
 
 
-def optimal_error(ops: Operands, r: int, iters: int = 60, seed: int = 0) -> dict:
+def optimal_error(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7) -> dict:
     """σ_{r+1}/σ₁, the error of the best rank-r approximation."""
-    sig, _, _ = svd_exact(ops, r + 1, iters, seed)
+    sig, _, _ = svd_exact(ops, r + 1, iters, seed, tol=tol)
     return {"sigmas": sig, "opt_error": sig[r] / sig[0] if sig and sig[0] > 0 else float("nan")}

@@ -173,7 +173,7 @@ def two_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, rank: int = 5,
 
 
 def synthetic_benchmark(spark: SparkSession, n: int, d: int, rank: int = 5, k: int = 64, iters: int = 10,
-                        ss: float = 2.0, seed: int = 0, power_iters: int = 5, svd_iters: int = 20,
+                        ss: float = 2.0, seed: int = 0, power_iters: int = 5, svd_iters: int = 60, svd_tol: float = 1e-4,
                         timer=None) -> DataFrame:
     """The reference's published experiment at a chosen size: A, B = D·G
     (d x n, D_ii = 1/i), best rank-r error vs two-pass vs one-pass, with
@@ -188,7 +188,7 @@ def synthetic_benchmark(spark: SparkSession, n: int, d: int, rank: int = 5, k: i
     t0 = time.time()
     ops = L.Operands(cells)
     try:
-        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed)
+        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed, tol=svd_tol)
     finally:
         ops.release()
     out.append(("optimal", sig[rank] / sig[0], time.time() - t0))
@@ -206,14 +206,14 @@ def synthetic_benchmark(spark: SparkSession, n: int, d: int, rank: int = 5, k: i
 
 def compare_methods(spark: SparkSession, cells: DataFrame, rank: int = 2, k: int = 64, iters: int = 10,
                     lam: float = 0.0, ss: float = 2.0, seed: int = 0, power_iters: int = 5,
-                    svd_iters: int = 30) -> DataFrame:
+                    svd_iters: int = 60, svd_tol: float = 1e-4) -> DataFrame:
     """Best rank-r error, one-pass (Gaussian sketch, rescaled values)
     and two-pass (exact values) on the SAME Bernoulli mask, all relative to
     σ₁.  Returns (method, rel_error)."""
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     ops = L.Operands(cells)
     try:
-        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed)
+        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed, tol=svd_tol)
         s1 = sig[0]
         err_opt = sig[rank] / s1 if s1 > 0 else float("nan")
         norms = N.col_norms2(cells).persist(StorageLevel.MEMORY_AND_DISK)

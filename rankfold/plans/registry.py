@@ -225,8 +225,13 @@ class _Ctx:
         n1, n2, fa, fb = self.args()
         return S.sample_adaptive(self.a_n, self.b_n, self.bud["m"], n1, n2, fa, fb, SEED)
 
+    def drawn(self):
+        """The samples, drawn once: the choice of plan and the plan read them."""
+        from rankfold.session import cut_lineage
+        return cut_lineage(self.samples())
+
     def observed(self):
-        return S.weights(P.value_exact(self.cells, self.samples()), "ones")
+        return S.weights(P.value_exact(self.cells, self.drawn()), "ones")
 
 
 # ---------------------------------------------------------------------------
@@ -270,7 +275,7 @@ def q_transpose(spark, sf_dir):
           "SELECT p.i, p.j, p.val FROM product p WHERE EXISTS (SELECT 1 FROM samples s WHERE s.i = p.i AND s.j = p.j)")
 def q_mask_filter(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
-    return P.mask(P.product_exact(c.cells), c.samples())
+    return P.mask(P.product_exact(c.cells), c.drawn())
 
 
 # ---------------------------------------------------------------------------
@@ -570,7 +575,7 @@ def q_sample_bernoulli(spark, sf_dir):
 @register("value_exact", sampling_ctes(SQL_OBSERVED) + "SELECT i, j, val FROM observed")
 def q_value_exact(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
-    return P.value_exact(c.cells, c.samples(), "auto").select("i", "j", "val")
+    return P.value_exact(c.cells, c.drawn(), "auto").select("i", "j", "val")
 
 
 @register("observed_matrix", sampling_ctes(SQL_OBSERVED) +
@@ -578,7 +583,7 @@ def q_value_exact(spark, sf_dir):
 def q_observed_matrix(spark, sf_dir):
     """G8 + H5: sampled cells with both weight choices."""
     c = _Ctx(spark, sf_dir)
-    o = S.weights(P.value_exact(c.cells, c.samples()), "ones")
+    o = S.weights(P.value_exact(c.cells, c.drawn()), "ones")
     o = S.weights(o.withColumnRenamed("w", "w1"), "inverse_p").withColumnRenamed("w", "w_inv_p") \
         .withColumnRenamed("w1", "w")
     return o.select("i", "j", "val", "w", rnd(F.col("w_inv_p")).alias("w_inv_p"))
@@ -993,7 +998,7 @@ def q_svd_exact(spark, sf_dir):
     the embeddings (64 shared coordinates)."""
     ops = _emb_ops(spark, sf_dir)
     try:
-        sig, _, _ = L.svd_exact(ops, 3, 30, SEED)
+        sig, _, _ = L.svd_exact(ops, 3, 80, SEED, tol=1e-4)
     finally:
         ops.release()
     return spark.createDataFrame([(k + 1, s) for k, s in enumerate(sig)], "k int, sigma double")
@@ -1004,7 +1009,7 @@ def q_optimal_error(spark, sf_dir):
     """σ_{r+1}/σ₁ for r = 2 on the embeddings cross-product."""
     ops = _emb_ops(spark, sf_dir)
     try:
-        e = L.optimal_error(ops, RANK, 30, SEED)
+        e = L.optimal_error(ops, RANK, 80, SEED, tol=1e-4)
     finally:
         ops.release()
     return spark.createDataFrame([(RANK, e["opt_error"])], "rank int, opt_error double")
@@ -1044,4 +1049,4 @@ def q_compare_methods(spark, sf_dir):
     """P3 on the embeddings cross-product: optimal, one-pass, two-pass."""
     from rankfold.plans.jobs import compare_methods
     return compare_methods(spark, X.embeddings_cells(spark, sf_dir), rank=RANK, k=32, iters=ALS_ITERS,
-                           ss=SS, seed=SEED, power_iters=POWER_ITERS, svd_iters=30)
+                           ss=SS, seed=SEED, power_iters=POWER_ITERS, svd_iters=80)

@@ -22,7 +22,7 @@ def test_two_pass_exact_rank_small_error(spark):
 
 def test_synthetic_errors_ordered(spark):
     out = {r["method"]: r["rel_error"] for r in
-           jobs.synthetic_benchmark(spark, 48, 48, rank=3, k=32, iters=8, seed=1, power_iters=6, svd_iters=25).collect()}
+           jobs.synthetic_benchmark(spark, 48, 48, rank=3, k=32, iters=8, seed=1, power_iters=6).collect()}
     assert out["optimal"] > 0
     assert out["two_pass"] < 3 * out["optimal"]
     assert out["one_pass"] < 1.0
@@ -44,4 +44,5 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs)
     assert len(qs) >= 40
     df = E.entry(spark)
-    assert df.count() >= 0 and "metric" in df.columns
+    rows = {r["metric"] for r in df.collect()}
+    assert {"budget", "samples", "rel_error"} <= rows
