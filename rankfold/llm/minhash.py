@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.llm.common import discard, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
@@ -39,7 +39,7 @@ from rankfold.llm.components import components
 K = 256
 DEVIATIONS = 6.5
 #: Rows of a block at least and at most, and blocks of a group up to the largest block.
-BLOCK, LARGEST_BLOCK, BLOCKS = 128, 4096, 32
+BLOCK, LARGEST_BLOCK, BLOCKS = 256, 4096, 32
 #: Sets that a task remembers to have sketched, so that copies in it are sketched once.
 SEEN = 500_000
 
@@ -180,11 +180,10 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
     known = scan.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
 
-    # inverted lists; one exchange by value serves the removal of copies and the window
+    # inverted lists; one exchange by value serves the removal of copies and the count
     lists = scan.where("sketch IS NOT NULL AND doc_id IS NOT NULL").select("cls", F.explode("sketch").alias("value"))
     lists = lists.repartition("value").dropDuplicates(["value", "cls"])
-    counted = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = lists.join(counted, "value")
+    shared = lists.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
     own = shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held")).join(classes, "cls")
     need = least_overlap(F.col("n"), k, t)
     kept = own.where(F.size("held") >= need).select("cls", "rep", F.explode(F.slice("held", F.lit(1), F.size("held") - need + 1)).alias("h"))
@@ -219,7 +218,8 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
 
     least = least_size(t)
     sets = map_arrow(read.where("doc_id IS NOT NULL").withColumn("slot", id_slot()), make, "doc_id bigint, cls bigint, values binary")
-    sets = stored(sets.join(wanted, ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", "values"), "sets")
+    # partitioned by class, as the meetings are joined; the join by class needs the id as well, which may have other texts
+    sets = sets.join(wanted.withColumnRenamed("doc_id", "rep"), "cls").where("doc_id = rep").select("cls", "values").dropDuplicates(["cls"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(found: pa.Table) -> pa.Table:
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
         F.min("rep").alias("a"), F.max("rep").alias("b"), F.countDistinct("rep").alias("m"), F.collect_set("rep").alias("reps"))
     bound = twice.where("m > 1").select("a", F.explode("reps").alias("b"))
     found = stored(links.union(bound), "near")
-    discard(sets, members, prefix)
+    discard(members, prefix)
     labels = components(found).select(F.col("id").alias("rep"), F.col("component_id").alias("label"))
 
     out = scan.select("doc_id", "n_shingles", "cls").join(classes.select("cls", "rep"), "cls", "left").join(labels, "rep", "left")
