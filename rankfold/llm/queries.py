@@ -103,4 +103,24 @@ degree AS (SELECT i, count(*) AS n FROM link GROUP BY i)
 SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN least c ON c.i = v.vec_id LEFT JOIN degree d ON d.i = v.vec_id"""
 
-ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql(), "op9_embedding_neardup": _VECTORS_SQL}
+#: Shingle sets, all pairs that share a shingle, links followed from each row.
+_MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+size AS (SELECT doc_id, len(s) AS n FROM sets),
+item AS (SELECT doc_id, md5_number(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM sets)),
+pair AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (
+  SELECT i, j FROM pair JOIN size p ON p.doc_id = i JOIN size q ON q.doc_id = j WHERE 100 * c >= 85 * (p.n + q.n - c)),
+link AS (SELECT i, j FROM near UNION ALL SELECT j, i FROM near),
+reach AS (
+  SELECT doc_id AS i, doc_id AS j FROM sets
+  UNION SELECT r.i, l.j FROM reach r JOIN link l ON l.i = r.j),
+least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+SELECT s.doc_id, s.n AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM size s JOIN least l ON l.i = s.doc_id"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql(), "op7_minhash": _MINHASH_SQL, "op9_embedding_neardup": _VECTORS_SQL}
