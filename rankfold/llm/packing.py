@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, id_and_text, map_arrow, stored
+from rankfold.llm.common import id_and_text, map_arrow, stored
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Where a cut at every blank would be wrong.
@@ -266,6 +266,3 @@ def padding(packed: DataFrame, window: int = 1024) -> DataFrame:
     whole = F.expr("bit_count(fill) = 1")
     return fill.agg(F.count("*").alias("sequences"), F.sum("fill").alias("tokens"),
                     F.sum(F.when(whole, 0).otherwise(window - F.col("fill"))).alias("padding"))
-
-
-__all__ = ["WordEncoder", "discard", "pack", "pack_documents", "padding", "plan_windows", "token_pieces"]
