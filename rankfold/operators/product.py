@@ -18,14 +18,14 @@ def product_exact(cells: DataFrame, detect_skew: bool = True, min_rows: int = 20
     """M = AᵀB as cells (i, j, val); only non-empty cells are produced.
 
     Work is sum over rows of nnzA(row)·nnzB(row): meant for sparse data
-    and for checks; the pipelines never form M.  A row with many A cells is
-    salted: its A cells are spread over sub-keys, its B cells replicated.
+    and for checks; the pipelines never form M.  A row with many pairs,
+    whichever side they come from, is laid out on a grid of tasks.
     """
-    from rankfold.operators.skew import hot_keys, salted_join
+    from rankfold.operators.skew import grid_join, hot_products
 
     a, b = split(cells)
-    hot = hot_keys(a, "row", min_rows=min_rows) if detect_skew else []
-    return salted_join(a, b, ["row"], "row", hot, "i").groupBy("i", "j") \
+    hot = hot_products(a, b, "row", min_pairs=min_rows) if detect_skew else []
+    return grid_join(a, b, "row", "i", "j", hot).drop("_line", "_column").groupBy("i", "j") \
         .agg(F.sum(F.col("a") * F.col("b")).alias("val"))
 
 
@@ -58,7 +58,7 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
     sub-keys, the other side replicated).  The result is left-joined back
     to the samples so cells whose value is 0 stay observed.
     """
-    from rankfold.operators.skew import hot_keys, salted_join
+    from rankfold.operators.skew import grid_join, hot_keys, hot_products, salted_join
 
     if first == "auto":
         first = choose_plan(cells, samples)
@@ -71,8 +71,8 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
         hot = hot_keys(b, "j", min_rows=min_rows) if detect_skew else []
         part = salted_join(b, s, ["j"], "j", hot, "row").join(a, ["row", "i"])
     elif first == "rows":
-        hot = hot_keys(a, "row", min_rows=min_rows) if detect_skew else []
-        part = salted_join(a, b, ["row"], "row", hot, "i").join(s, ["i", "j"])
+        hot = hot_products(a, b, "row", min_pairs=min_rows) if detect_skew else []
+        part = grid_join(a, b, "row", "i", "j", hot).drop("_line", "_column").join(s, ["i", "j"])
     else:
         raise ValueError("first must be 'A', 'B', 'rows' or 'auto'")
     dots = part.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))

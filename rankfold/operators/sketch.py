@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.functions import arrays as AR
-from rankfold.functions.hashing import gaussian, py_sign, py_uniform, sign, uniform
+from rankfold.functions.hashing import gaussian, py_sign, py_uniform, sign
 
 
 # ---------------------------------------------------------------------------

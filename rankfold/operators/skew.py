@@ -11,6 +11,12 @@ plain hash join sends every cell of that key to one task.  Here:
    ``n_salt`` sub-keys (hash of another column, deterministic) and
    replicates only the hot keys of the other side ``n_salt`` times.
 
+3. Where both sides of a join have many rows of a key, the work is the
+   product of both counts.  ``hot_products`` finds keys by that product,
+   whichever side makes it large, and ``grid_join`` lays their pairs out on
+   a grid: the left side's rows are dealt over its lines, the right side's
+   over its columns, and each is replicated along the other direction.
+
 Cold keys keep salt 0, so for data without hot keys this is an ordinary
 equi-join with one extra constant column.  AQE's runtime skew splitting
 stays on as a second line of defence.
@@ -32,14 +38,7 @@ def _parts(df: DataFrame) -> int:
 
 def hot_keys(df: DataFrame, key: str, parts: int | None = None, min_rows: int = DEFAULT_MIN_ROWS) -> list:
     """[(key value, n_salt)] for keys holding more than their fair share."""
-    parts = parts or _parts(df)
-    total = df.count()  # callers pass persisted frames: a cache scan
-    threshold = max(int(min_rows), int(math.ceil(total / parts)))
-    if total <= threshold:
-        return []  # no key can hold more rows than the whole frame
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > threshold).limit(parts + 1).collect()  # at most `parts` by construction
-    return [(r[key], int(math.ceil(r["_n"] / threshold))) for r in hot]
+    return hot_keys_many(df, [key], parts, min_rows)[key]
 
 
 def salt_table(spark, key: str, hot: list, key_type: str = "bigint") -> DataFrame:
@@ -82,3 +81,36 @@ def hot_keys_many(df: DataFrame, keys: list[str], parts: int | None = None,
     for r in hot:
         out[r["kn"]].append((r["kv"], int(math.ceil(r["_n"] / threshold))))
     return out
+
+
+def hot_products(left: DataFrame, right: DataFrame, key: str, parts: int | None = None,
+                 min_pairs: int = DEFAULT_MIN_ROWS) -> list:
+    """[(key value, lines, columns)] for keys whose pairs are more than a
+    task's fair share of all pairs.  At most ``parts`` keys."""
+    parts = parts or _parts(left)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(
+        right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key).withColumn("_w", F.col("_l").cast("double") * F.col("_r"))
+    total = counts.agg(F.sum("_w")).first()[0] or 0.0
+    share = max(float(min_pairs), total / parts)
+    out = []
+    for r in counts.where(F.col("_w") > share).limit(parts + 1).collect():
+        pieces = math.ceil(r["_w"] / share)
+        lines = min(r["_l"], max(1, round(math.sqrt(pieces * r["_l"] / r["_r"]))))
+        out.append((r[key], int(lines), int(min(r["_r"], math.ceil(pieces / lines)))))
+    return out
+
+
+def grid_join(left: DataFrame, right: DataFrame, key: str, spread_left: str, spread_right: str, hot: list) -> DataFrame:
+    """``left ⋈ right`` on ``key`` with the pairs of hot keys laid out on grids."""
+    if not hot:
+        return left.join(right, key)
+    grid = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {dict(left.dtypes)[key]}, _lines int, _columns int"))  # <= parts rows
+
+    def laid(df: DataFrame, spread: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
+        return df.join(grid, key, "left") \
+            .withColumn(own, F.when(F.col(own_n).isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col(own_n))).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1))).drop("_lines", "_columns")
+
+    a = laid(left, spread_left, "_line", "_column", "_lines", "_columns")
+    b = laid(right, spread_right, "_column", "_line", "_columns", "_lines")
+    return a.join(b, [key, "_line", "_column"])

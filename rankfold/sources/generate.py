@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.functions.arrays import next_pow2  # noqa: F401  (re-export for callers)
 from rankfold.functions.hashing import gaussian
 
 

@@ -90,3 +90,26 @@ def test_salted_joins_same_answer(spark):
     y1 = {r["id"]: r["val"] for r in L.apply_product(o1, x).collect()}
     y2 = {r["id"]: r["val"] for r in L.apply_product(o2, x).collect()}
     assert y1.keys() == y2.keys() and all(abs(y1[k] - y2[k]) < 1e-9 for k in y1)
+
+
+def test_rows_hot_on_either_or_both_sides_are_laid_out_on_a_grid(spark):
+    from rankfold.operators.skew import grid_join, hot_products
+
+    rows = [("A", 0, i, 1.0) for i in range(60)] + [("B", 0, j, float(j)) for j in range(60)]  # hot in both
+    rows += [("A", 1, 3, 2.0)] + [("B", 1, j, 1.0) for j in range(400)]                        # hot in B alone
+    rows += [("A", 2 + k, k, 1.0) for k in range(20)] + [("B", 2 + k, k, 1.0) for k in range(20)]
+    cells = spark.createDataFrame(rows, "mat string, row bigint, col bigint, val double")
+    got = {(r["i"], r["j"]): r["val"] for r in P.product_exact(cells, min_rows=100).collect()}
+    want = {(r["i"], r["j"]): r["val"] for r in P.product_exact(cells, detect_skew=False).collect()}
+    assert got == want
+    from rankfold.sources.tables import split
+    a, b = split(cells)
+    hot = hot_products(a, b, "row", parts=16, min_pairs=100)
+    assert {h[0] for h in hot} == {0, 1}
+    pairs = grid_join(a, b, "row", "i", "j", hot).groupBy("row", "_line", "_column").count().collect()
+    share = sum(r["count"] for r in pairs) / 16
+    assert sum(r["count"] for r in pairs) == 60 * 60 + 400 + 20
+    assert max(r["count"] for r in pairs) < 4 * share
+    samples = spark.createDataFrame([(i, j) for i in range(0, 60, 7) for j in range(0, 60, 5)], "i bigint, j bigint")
+    exact = {(r["i"], r["j"]): r["val"] for r in P.value_exact(cells, samples, "rows", min_rows=100).collect()}
+    assert exact == {k: want.get(k, 0.0) for k in exact} and len(exact) == samples.count()
