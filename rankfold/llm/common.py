@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -77,7 +78,25 @@ def in_bitmap(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
     return (bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str) -> DataFrame:
+_REMEMBERED: dict = {}
+
+
+def remembered(name: str, make: Callable):
+    """What this Python worker remembers between tasks, of one operator at a time: that of others goes,
+    so that a worker which serves several operators doesn't hold them all."""
+    if name not in _REMEMBERED:
+        forget()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
+def forget() -> None:
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, remembers: bool = False) -> DataFrame:
     """``mapInArrow`` with plain Python columns.
 
     ``make()`` runs once per task and gives a function from a dict of lists to an iterator of dicts
@@ -87,6 +106,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]
     arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in _parse(schema)])
 
     def run(batches):
+        if not remembers:
+            forget()
         step = make()
         for batch in batches:
             for out in step({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):

@@ -19,24 +19,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import id_and_text, map_arrow, stored
+from rankfold.llm.common import id_and_text, map_arrow, remembered, stored
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Where a cut at every blank would be wrong.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
-#: Parts whose ids a Python worker remembers, for each of two generations (about 200 MB in all).
-CACHE_WORDS = 600_000
-
-
-@lru_cache(maxsize=2)
-def _encoder(blob: str) -> "WordEncoder":
-    return WordEncoder(blob)  # one for each Python worker, so that what it knows serves all its tasks
+#: Parts whose ids a Python worker remembers, for each of two generations (about 150 MB in all).
+CACHE_WORDS = 450_000
 
 
 class WordEncoder:
@@ -109,7 +103,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, window: int = 1024, end_i
         blob = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, of fixed size
 
     def make():
-        encoder = _encoder(blob.value)
+        encoder = remembered(f"ids-{zlib.crc32(blob.value.encode())}", lambda: WordEncoder(blob.value))
 
         def step(cols):
             out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -129,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, window: int = 1024, end_i
 
         return step
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, PIECES + (", ids array<int>" if keep_ids else ""))
+    return map_arrow(id_and_text(docs, id_col, text_col), make, PIECES + (", ids array<int>" if keep_ids else ""), remembers=True)
 
 
 def combinations(window: int, depth: int) -> np.ndarray:

@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rankfold.llm import unigram
-from rankfold.llm.common import id_and_text, map_arrow
+from rankfold.llm.common import id_and_text, map_arrow, remembered
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class PieceCounter:
@@ -70,19 +70,13 @@ class PieceCounter:
         return sum([g[0] for g in got]), sum([g[1] for g in got])
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, score (sum of the piece scores of the best segmentation) of every text."""
     pieces, unknown, _ = unigram.vocabulary(model_path)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, unknown))  # the vocabulary, of fixed size
 
     def make():
-        if model_path not in _COUNTERS:  # one for each Python worker, so that what it knows serves all its tasks
-            _COUNTERS.clear()
-            _COUNTERS[model_path] = PieceCounter(*shared.value)
-        counter = _COUNTERS[model_path]
+        counter = remembered(f"count-{model_path}", lambda: PieceCounter(*shared.value))
 
         def step(cols):
             got = [counter.text(t.as_py()) for t in cols["text"]]
@@ -90,4 +84,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
         return step
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, n_tokens bigint, score double")
+    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, n_tokens bigint, score double", remembers=True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, id_and_text, map_arrow, stored
+from rankfold.llm.common import discard, id_and_text, map_arrow, remembered, stored
 from rankfold.session import ship_package
 
 #: Fit parameters; the sample on the driver is bounded by them.
@@ -39,7 +39,7 @@ BUCKETS = 1 << 17
 DIM = 8
 SPAN = 8
 EPOCHS = 12
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 LETTERS = re.compile(r"[^\W_]+")
 
@@ -181,15 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     return fit([t for _, _, t in rows], np.array([y for _, y, _ in rows], dtype=float), **how)
 
 
-_KNOWN: dict = {}
-
-
 def _scorer(shared, key: int):
     """A function from an Arrow column of texts to scores, with a store of words for this Python worker."""
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = {}
-    known, model = _KNOWN[key], shared.value
+    known, model = remembered(f"toxic-{key}", dict), shared.value
 
     def amounts(words):
         got = list(map(known.get, words))
@@ -225,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         return step
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, score double, predicted int")
+    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, score double, predicted int", remembers=True)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
