@@ -46,8 +46,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(queries.PACK_VOCABULARY), queries.WINDOW)
+    """Packs all documents into sequences; workers that have served four stages remember fewer words."""
+    return packing.pack_documents(docs, public_tokenizers.path(queries.PACK_VOCABULARY), queries.WINDOW, cache_words=150_000)
 
 
 #: The stages in their order; each takes (spark, docs, sf_dir) and gives a DataFrame.

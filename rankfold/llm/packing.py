@@ -42,9 +42,10 @@ class WordEncoder:
     Blanks next to other white space are not cut at.  Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, blob: str):
+    def __init__(self, blob: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache_words = cache_words
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -58,7 +59,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.young) + len(parts) > CACHE_WORDS:
+        if len(self.young) + len(parts) > self.cache_words:
             self.young, self.old = {}, self.young
         new = []
         for part in parts:
@@ -97,13 +98,13 @@ class WordEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, window: int = 1024, end_id: int = 0, keep_ids: bool = False,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of at most ``window`` ids of every text; with ``keep_ids`` the ids too."""
     with open(tokenizer_json, encoding="utf-8") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, of fixed size
 
     def make():
-        encoder = remembered(f"ids-{zlib.crc32(blob.value.encode())}", lambda: WordEncoder(blob.value))
+        encoder = remembered(f"ids-{zlib.crc32(blob.value.encode())}", lambda: WordEncoder(blob.value, cache_words))
 
         def step(cols):
             out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -248,9 +249,10 @@ def pack(pieces: DataFrame, window: int = 1024, depth: int = 3, buckets: int = 2
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, window: int = 1024, depth: int = 3, keep_ids: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Whole texts to packed pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    pieces = stored(token_pieces(docs, tokenizer_json, window, keep_ids=keep_ids, id_col=id_col, text_col=text_col), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer_json, window, keep_ids=keep_ids, id_col=id_col, text_col=text_col,
+                                 cache_words=cache_words), "pieces")
     return pack(pieces, window, depth)
 
 
