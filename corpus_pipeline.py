@@ -29,8 +29,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return minhash.drop_near_duplicates(docs)
+    """Keeps one document of each group of near copies (five words, a similarity of 0.8 or more)."""
+    return minhash.drop_near_duplicates(docs, threshold_percent=80)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold_percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of ``docs``, with all columns; the one with the smallest id stays.
 
     Rows that repeat id and text are one document.  Rows with a null id are compared with nothing but

@@ -44,7 +44,7 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

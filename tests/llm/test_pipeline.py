@@ -49,3 +49,19 @@ def test_stages(spark, tmp_path):
     assert set(seen["secret_scan"]) == set(cut) and not any("hunter2" in (r.text or "") for r in seen["secret_scan"].values())
     assert set(seen["packing"]) == set(cut)
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(spark.read.parquet(f"{tmp_path}/packing").collect())
+
+
+def test_near_dedup_stage_takes_copies_from_080_on(spark, tmp_path):
+    from test_minhash import brute
+    rng = random.Random(8)
+    rows = []
+    for i, (n, changed) in enumerate([(1000, 17), (1000, 19), (1000, 24), (300, 5), (300, 8), (100, 2), (100, 3)]):
+        w = ["".join(rng.choices("abcdefgilmnorst", k=8)) for _ in range(n)]
+        copy = list(w)
+        for k in range(changed):
+            copy[(k + 1) * n // (changed + 1)] = f"changed{k}"
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    wanted = {i for i, _, _, kept in brute(rows, 80) if kept}
+    assert got == wanted and wanted < {i for i, _, _, kept in brute(rows, 85) if kept}
