@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm import unigram
-from rankfold.llm.common import id_and_text
+from rankfold.llm.common import id_and_text, stored
+
+#: Words with at least one in so many of all occurrences are broadcast with their encodings.
+HOT = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -113,14 +116,30 @@ def encode_vocabulary(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids (null for a null text).  Rows with the same id and text are one row.
+    """One row per document: doc_id, n_pieces, ids, decodes.  Rows with the same id and text are one row.
+
+    ``decodes`` tells whether the ids read back are the text (after the blank that the first word gets);
+    a text that holds the sign for a blank doesn't.  All three are null for a null text.
 
-    Shuffles every occurrence of a word to its encoding and back to its document.
+    Every occurrence of a word meets its encoding and goes back to its document.  Words with at least one
+    in :data:`HOT` of all occurrences, so at most that many, are broadcast with their encodings; they need no
+    exchange and make no hot group.  The other words are joined by an exchange.
     """
-    frame = id_and_text(docs, id_col, text_col).distinct().withColumn("row", F.xxhash64("doc_id", "text"))
-    seen = frame.select("row", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
-    coded = encode_words(seen.groupBy("word").agg(F.count("*").alias("n")), model_path).select("word", "ids")
-    lists = seen.join(coded, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
-    joined = frame.join(lists, "row", "left")
-    ids = F.coalesce(F.flatten(F.col("found.ids")), F.array().cast("array<int>"))
-    return joined.select("doc_id", F.when(F.col("text").isNotNull(), ids).alias("ids"))
+    spark = docs.sparkSession
+    frame = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    seen = frame.select("doc_id", "h", F.col("text").isNull().alias("none"), F.posexplode_outer(words_of(F.col("text"))).alias("at", "word"))
+    counts = stored(seen.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")), "words")
+    bar = (counts.agg(F.sum("n")).collect()[0][0] or 0) / HOT
+    encode = lambda rows: encode_words(rows.repartition("word"), model_path).select("word", "ids")
+    hot = counts.where(F.col("n") >= bar)
+    # a null or empty text has one row without a word
+    near = seen.join(F.broadcast(encode(hot)), "word", "left").where("ids IS NOT NULL OR word IS NULL")
+    far = seen.where("word IS NOT NULL").join(F.broadcast(hot.select("word")), "word", "left_anti").join(encode(counts.where(F.col("n") < bar)), "word")
+    place = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
+    lists = near.unionByName(far).groupBy("doc_id", "h", "none").agg(F.sort_array(F.collect_list(place)).alias("found"))
+    # a repeated row gives every place again
+    once = F.filter("found", lambda x, i: (i == 0) | (F.get(F.col("found"), i - 1)["at"] != x["at"]))
+    whole = lists.select("doc_id", "h", F.when(~F.col("none"), F.flatten(F.transform(once, lambda x: x["ids"]))).alias("ids"))
+    decoded = F.when(F.size("ids") == 0, "").otherwise(F.substr(decode_ids(F.col("ids"), spark, model_path), F.lit(2)))
+    return whole.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"), "ids",
+                        F.when(F.col("ids").isNotNull(), F.xxhash64(decoded) == F.col("h")).alias("decodes"))

@@ -32,7 +32,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.encode_vocabulary(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return lattice.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,18 @@ def test_counts_and_lattice_agree_on_scores(docs_of):
     for r in token_count.count_tokens(docs_of(rows), PATH).where(F.col("n_tokens") > 0).collect():
         own = [words[w] for w in rows[r.doc_id][1].replace("\n", " \n").split(" ")]
         assert (sum(n for n, _ in own), sum(s for _, s in own)) == (r.n_tokens, r.score)
+
+
+def test_query_encodes_and_decodes_whole_documents(spark, tmp_path, monkeypatch):
+    from rankfold.llm import queries
+    library = unigram.library_model(PATH)
+    rows = list(enumerate(texts(5, 120))) + [(7, texts(5, 120)[7]), (500, None), (501, ""), (502, "the " * 900), (None, "\nno id"), (503, "a ▁ b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = sorted({(i, None if t is None else tuple(library.encode(t)), None if t is None else "▁" not in t) for i, t in rows}, key=str)
+    for hot in (1, 20, 20_000):  # few words, some and all are broadcast
+        monkeypatch.setattr(lattice, "HOT", hot)
+        out = queries.op4_sentencepiece(spark, str(tmp_path)).collect()
+        assert sorted(((r.doc_id, None if r.ids is None else tuple(r.ids), r.decodes) for r in out), key=str) == wanted
+        assert all(r.n_pieces == (None if r.ids is None else len(r.ids)) for r in out)
+    plan = queries.op4_sentencepiece(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
