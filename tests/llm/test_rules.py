@@ -97,3 +97,20 @@ def test_scan(docs_of, odd_rows):
 
 def test_overlapping_spans_are_cut_once():
     assert secrets.redacted("abcdefghij", [(1, 0, 5), (3, 2, 7), (8, 3, 9)], "_") == "a_h_j"
+
+
+def test_random_strings_of_all_alphabets_and_lengths():
+    import string
+    rng = random.Random(6)
+    with open(VOCABULARY, "rb") as f:
+        encoding = secrets._encoding(f.read())
+    count = lambda run: len(encoding.encode_ordinary(run))
+    found = lambda run: secrets.random_spans(f"a {run} b", [], count, secrets.CHARS_PER_TOKEN) == [(2, 3, 2 + len(run))]
+    letters, digits = string.ascii_letters, string.digits
+    # least recall by alphabet and length
+    for alphabet, floors in ((letters, {12: 0.8, 16: 0.95, 20: 0.99, 64: 0.99}), (letters + digits, {12: 0.9, 16: 0.95, 20: 0.99, 64: 0.99}),
+                             (string.ascii_lowercase, {16: 0.8, 20: 0.95, 64: 0.99}), (letters + digits + "+/", {12: 0.9, 16: 0.95, 20: 0.99})):
+        for n, floor in floors.items():
+            assert sum(found("".join(rng.choices(alphabet, k=n))) for _ in range(400)) >= floor * 400, (alphabet, n)
+    for word in ("internationalisation", "Documentation", "characteristics", "straightforward-implementation", "2024-01-01T00:00:00Z", "12345678901234567890", "=" * 30):
+        assert not found(word)
