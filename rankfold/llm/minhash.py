@@ -6,7 +6,7 @@ first ``k`` of them are its sketch.
 1. Documents with the same set form a class; only classes are compared.
 2. Inverted lists: a value's list holds the classes that retain it.  Values in one class only are
    dropped.  Two sets with Jaccard similarity J share at least a certain number of retained values:
-   for sets of up to 0.85 k shingles exactly J n, beyond that J k less 6.5 standard deviations of the
+   for sets of up to J k shingles exactly J n, beyond that J k less 6.5 standard deviations of the
    number of shared values among the smallest k of the union (missed with a chance below 10^-10 for
    a pair).  A class with fewer shared values has no partner.  The others keep their rarest values,
    as many as a pair with that overlap can't both avoid.

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from rankfold.llm.common import map_arrow
 
 SPACE = b" \t\n\v\f\r"
+#: The same for Spark.
+SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "line", "punctuation", "symbol", "other")
 
@@ -53,7 +55,7 @@ def class_table() -> np.ndarray:
     """Class of every code point."""
     kinds = {"Ll": 0, "Lu": 1, "Lt": 1, "Nd": 2, "Zs": 3, "Lo": 7, "Lm": 7}
     table = np.full(0x110000, 7, dtype=np.uint8)
-    for c in range(0x3000):
+    for c in range(0x110000):
         k = unicodedata.category(chr(c))
         table[c] = kinds.get(k, 5 if k[0] == "P" else 6 if k[0] == "S" else 7)
     table[[9]] = 3
@@ -130,7 +132,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     own = sums.setdefault(lang, np.zeros(len(CLASSES) + 2))
                     own[:-2] += class_shares(text)
                     own[-2] += 1
-                    own[-1] += any(text.split(" "))
+                    own[-1] += bool(text.strip(SPACE.decode()))
             yield {"lang": list(sums), "sums": [v.tolist() for v in sums.values()]}
         return step
 
@@ -144,7 +146,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     kept = by_lang.where(F.col("lang").isNotNull() & (F.col(f"s{wide - 2}") >= max(RARE * every[wide - 2], LEAST * 1e6))).collect()
     sums = {r["lang"]: np.array(r[1:], dtype=float) / 1e6 for r in kept} | {None: np.array(every, dtype=float) / 1e6}
 
-    words = frame.select("lang", F.array_remove(F.split(F.lower("text"), " "), "").alias("words"))
+    words = frame.select("lang", F.array_remove(F.split(F.lower("text"), SPLIT), "").alias("words"))
     words = words.select("lang", F.explode("words").alias("word"), F.floor(F.lit(WEIGHT) / F.size("words")).alias("w"))
     often = (F.sum("w").alias("weight"), F.count("*").alias("n"))
     bars = docs.sparkSession.createDataFrame([(k, float(COMMON * WEIGHT * v[-1])) for k, v in sums.items() if k is not None], "lang string, bar double")
@@ -155,7 +157,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     for lang, s in sums.items():
         own = sorted(((r["weight"], r["word"]) for r in rows if r["lang"] == lang), reverse=True)
         shares = np.array([n for n, _ in own], dtype=float) / max(1.0, WEIGHT * s[-1])
-        out[lang] = (s[:-2] / s[:-2].sum(), {w: i for i, (_, w) in enumerate(own)}, np.append(shares, max(0.0, 1 - shares.sum())))
+        out[lang] = (s[:-2] / s[:-2].sum(), {w.encode(): i for i, (_, w) in enumerate(own)}, np.append(shares, max(0.0, 1 - shares.sum())))
     return out
 
 
@@ -163,7 +165,7 @@ def divergence(text: str, reference: tuple) -> tuple[float | None, float | None]
     """Class and word distance of a text; None where it is too short to tell."""
     classes, place, shares = reference
     by_class = distance(class_shares(text), classes) if len(text) >= MIN_CHARS else None
-    words = [w for w in text.lower().split(" ") if w]
+    words = text.lower().encode("utf-8", "replace").split()  # at the white space of base_counts
     if len(words) < MIN_WORDS:
         return by_class, None
     rest = len(place)

@@ -99,6 +99,19 @@ def test_overlapping_spans_are_cut_once():
     assert secrets.redacted("abcdefghij", [(1, 0, 5), (3, 2, 7), (8, 3, 9)], "_") == "a_h_j"
 
 
+def test_words_end_at_any_white_space_and_all_code_points_have_a_class(docs_of):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 120).replace(" ", " \n\t\r\v\f"[i % 6])) for i in range(60)]
+    junk = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(300)]
+    rows += [(100 + k, space.join(junk)) for k, space in enumerate([" ", "\n", "\t", "\r\n"])]
+    out = {r.doc_id: r for r in quality.quality(docs_of(rows)).collect()}
+    assert all(r.word_distance is not None for r in out.values())
+    assert len({round(out[100 + k].word_distance, 9) for k in range(4)}) == 1
+    assert all(out[i].kept == (i < 100) for i in out)
+    names = {c: quality.CLASSES[quality.class_table()[ord(c)]] for c in "\U0001f600，。Ａａ１漢\u3000"}
+    assert list(names.values()) == ["symbol", "punctuation", "punctuation", "upper", "lower", "digit", "other", "blank"]
+
+
 def test_random_strings_of_all_alphabets_and_lengths():
     import string
     rng = random.Random(6)
