@@ -69,7 +69,7 @@ def least_size(threshold: float) -> float:
 
 
 def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls, sketch (null where no other set can be near, or a copy was sketched in this task)."""
+    """doc_id, n_shingles, cls, sketch (null where no other set can be near, a copy was sketched in this task, or doc_id is null)."""
     least = least_size(threshold)
 
     def make():
@@ -77,10 +77,10 @@ def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id",
 
         def step(cols):
             out = {n: [] for n in ("n_shingles", "cls", "sketch")}
-            for value in cols["text"]:
+            for known, value in zip(cols["doc_id"].is_valid().to_pylist(), cols["text"]):
                 values = shingles(value.as_py())
                 cls = class_of(values) if len(values) else None
-                new = cls is not None and cls not in seen and len(values) >= least
+                new = known and cls is not None and cls not in seen and len(values) >= least
                 if new:
                     if len(seen) >= SEEN:
                         seen.clear()

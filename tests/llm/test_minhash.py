@@ -60,6 +60,16 @@ def test_one_large_group_meets_in_blocks(docs_of, monkeypatch):
     check(docs_of, near_copies(rng, 120, [f"w{i}" for i in range(50)], 1, 9))
 
 
+def test_a_copy_with_a_null_id_ahead_takes_no_sketch_away(spark):
+    rng = random.Random(11)
+    w = [f"w{rng.randrange(500)}" for _ in range(200)]
+    near = w[:100] + ["changed"] + w[101:]
+    rows = [(None, " ".join(w)), (1, " ".join(w)), (2, " ".join(near)), (None, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == brute(rows) and [c for i, _, c, _ in got if i is not None] == [1, 1]
+
+
 def test_empty_table(docs_of):
     assert minhash.near_duplicates(docs_of([(1, "x")]).limit(0)).count() == 0
 
