@@ -8,6 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from matrices import dense_cells  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,21 +29,6 @@ def spark():
     s.stop()
 
 
-# golden 4 x 3 example (FIXTURES.md §3)
-A_ROWS = [(1, 2, 0), (0, 1, 3), (2, 0, 1), (1, 1, 1)]
-B_ROWS = [(2, 0, 1), (1, 1, 0), (0, 3, 1), (1, 0, 2)]
-
-
-def dense_cells(spark, a_rows=A_ROWS, b_rows=B_ROWS, keep_zeros=False):
-    data = []
-    for mat, rows in (("A", a_rows), ("B", b_rows)):
-        for r, vals in enumerate(rows):
-            for c, v in enumerate(vals):
-                if v != 0 or keep_zeros:
-                    data.append((mat, r, c, float(v)))
-    return spark.createDataFrame(data, "mat string, row bigint, col bigint, val double")
-
-
 @pytest.fixture
 def golden(spark):
     return dense_cells(spark)

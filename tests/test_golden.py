@@ -13,7 +13,7 @@ from rankfold.operators import product as P
 from rankfold.operators import sampling as S
 from rankfold.operators import sketch as K
 
-from conftest import A_ROWS, B_ROWS
+from matrices import A_ROWS, B_ROWS
 
 
 def as_dense(rows, n1=3, n2=3, key=("i", "j"), val="val"):

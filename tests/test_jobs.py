@@ -5,7 +5,7 @@ import numpy as np
 from rankfold.plans import jobs
 from rankfold.sources.generate import decay_matrix, decay_vecs_direct
 
-from conftest import dense_cells
+from matrices import dense_cells
 
 
 def test_two_pass_exact_rank_small_error(spark):

@@ -7,7 +7,7 @@ from rankfold.operators import factorize as FZ
 from rankfold.operators import linop as L
 from rankfold.operators import product as P
 
-from conftest import dense_cells
+from matrices import dense_cells
 
 
 def _pair(spark, d=30, n1=12, n2=9, seed=0, rank=None):
