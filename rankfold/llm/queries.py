@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, lattice, minhash, packing, quality, secrets, suffixes, token_count, toxicity, vectors
+from rankfold.llm import chat, lattice, merkle, minhash, packing, periods, quality, ring, secrets, suffixes, token_count, toxicity, vectors
 from rankfold.llm.common import table
 
 #: Production parameters.
@@ -14,6 +14,7 @@ PACK_VOCABULARY = "byte_bpe_50k.json"
 SCAN_VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
 WINDOW = 1024
+SHARDS = 40
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_packing, op4_sentencepiece, op5_suffix_array, op6_token_count, op7_minhash, op8_secret_scan, op9_embedding_neardup, op10_toxicity)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proofs = merkle.climb(merkle.build(docs, merkle.tamper_every_fifth(docs)))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"), plant=periods.planted)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_format, op2_quality_rules, op3_packing, op4_sentencepiece, op5_suffix_array, op6_token_count, op7_minhash,
+    op8_secret_scan, op9_embedding_neardup, op10_toxicity, op11_merkle_manifest, op12_hash_ring, op13_periodic_runs)}
+
 
 def _chat_sql() -> str:
     # < or [ before a control string: RE2 has no look-ahead, so each string is named
@@ -123,4 +142,54 @@ reach AS (
 least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
 SELECT s.doc_id, s.n AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM size s JOIN least l ON l.i = s.doc_id"""
 
-ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql(), "op7_minhash": _MINHASH_SQL, "op9_embedding_neardup": _VECTORS_SQL}
+#: crc32 by bits, then the levels of each source (low) and of the subroots (high), and a climb per leaf.
+_MERKLE_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+texts AS (
+  SELECT d.doc_id, source, lang, n_chars, text,
+    CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+  FROM documents d LEFT JOIN crc USING (doc_id)),
+parts AS (
+  SELECT doc_id, source, changed, text,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS front FROM texts),
+hashed AS (
+  SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(front || coalesce(strlen(changed) || ':' || changed, '-')) AS changed FROM parts),
+sources AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+leaves AS (
+  SELECT h.doc_id, h.leaf, h.changed, s.tree, s.n, row_number() OVER (PARTITION BY s.tree ORDER BY h.doc_id NULLS FIRST, h.leaf) - 1 AS idx
+  FROM hashed h JOIN sources s ON s.source IS NOT DISTINCT FROM h.source),
+low AS (
+  SELECT tree, 0 AS lv, idx, leaf AS digest, n AS rest FROM leaves
+  UNION ALL
+  SELECT tree, lv + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (rest + 15) // 16 FROM low WHERE rest > 1 GROUP BY tree, lv, idx // 16, rest),
+subroots AS (SELECT tree, lv, digest FROM low WHERE rest = 1),
+high AS (
+  SELECT 0 AS lv, tree AS idx, digest, (SELECT count(*) FROM sources) AS rest FROM subroots
+  UNION ALL
+  SELECT lv + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (rest + 15) // 16 FROM high WHERE rest > 1 GROUP BY lv, idx // 16, rest),
+runs AS (
+  SELECT tree, lv, idx // 16 AS run, list(digest ORDER BY idx) AS kids FROM low WHERE rest > 1 GROUP BY tree, lv, idx // 16
+  UNION ALL SELECT -1, lv, idx // 16, list(digest ORDER BY idx) FROM high WHERE rest > 1 GROUP BY lv, idx // 16),
+climb AS (
+  SELECT doc_id, leaf, tree AS home, idx AS no, tree, 0 AS lv, idx, changed AS fold, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.home, c.no, CASE WHEN r.kids IS NULL THEN -1 ELSE c.tree END, CASE WHEN r.kids IS NULL THEN 0 ELSE c.lv + 1 END,
+    CASE WHEN r.kids IS NULL THEN c.home ELSE c.idx // 16 END,
+    CASE WHEN r.kids IS NULL THEN c.fold ELSE sha256(array_to_string(r.kids[1:c.idx % 16], '') || c.fold || array_to_string(r.kids[c.idx % 16 + 2:], '')) END,
+    CASE WHEN r.kids IS NULL THEN c.siblings ELSE c.siblings || array_to_string(r.kids[1:c.idx % 16], '') || array_to_string(r.kids[c.idx % 16 + 2:], '') END
+  FROM climb c LEFT JOIN runs r ON r.tree = c.tree AND r.lv = c.lv AND r.run = c.idx // 16
+  WHERE c.tree >= 0 OR r.kids IS NOT NULL),
+root AS (SELECT digest FROM high WHERE rest = 1),
+ends AS (SELECT c.* FROM climb c WHERE c.tree = -1 AND c.lv = (SELECT max(lv) FROM high))
+SELECT e.doc_id, e.leaf, s.digest AS subroot, r.digest AS root, sha256(e.siblings) AS proof_sha256, e.fold AS folded_root, e.fold = r.digest AS verified
+FROM ends e JOIN subroots s ON s.tree = e.home, root r"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _chat_sql(), "op7_minhash": _MINHASH_SQL, "op9_embedding_neardup": _VECTORS_SQL,
+                          "op11_merkle_manifest": _MERKLE_SQL}
