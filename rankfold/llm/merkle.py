@@ -3,11 +3,12 @@
 Building: leaves are numbered inside their source (ranges, no window over a hot source), and every level groups
 runs of 16 consecutive nodes of the level below, until each source has one node left, its subroot.  The subroots,
 in the order of their sources, are the leaves of one more tree, whose last node is the root.  The levels are stored
-as node rows that name their parent: (node, up, ord, salts, salt, top, children).
+as node rows that name their parent: (node, up, ord, up_salts, salt, top, children).  Digests are held as 32 bytes; what
+is hashed, and what is given out, is their hex text.
 
 Climbing: a recursive query (``WITH RECURSIVE``) ascends from the leaves to the root.  The leaves of one run share
-all siblings above it, so they climb in one row that holds a folded hash for each of them; every step joins the
-rows with the parents, appends the parent's other children to the siblings and folds each hash.  Many rows meet few
+all siblings above it, so they climb in one row that holds the different hashes folded from them; every step joins
+the rows with the parents, appends the parent's other children to the siblings and folds each hash.  Many rows meet few
 nodes near the root: a node stands there once for every 32 rows below it, and a row takes the copy of its own hash.
 
 Defined cases: a null in any column enters a leaf as ``-``; a null source is a source of its own, before all others;
@@ -17,6 +18,7 @@ equal in all columns are leaves of their own; an empty table gives no rows and a
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,23 @@ SHARE = 32
 
 
 def leaf_hash(values: dict[str, Column]) -> Column:
-    """Hash of the values in the order of ``FIELDS``: ``-`` for null, else UTF-8 byte count, ``:``, value."""
+    """Hash (32 bytes) of the values in the order of ``FIELDS``: ``-`` for null, else UTF-8 byte count, ``:``, value."""
     def framed(c: Column) -> Column:
         s = c.cast("string")
         return F.coalesce(F.concat(F.octet_length(s).cast("string"), F.lit(":"), s), F.lit("-"))
-    return F.sha2(F.concat(*(framed(values[f]) for f in FIELDS)), 256)
+    return F.unhex(F.sha2(F.concat(*(framed(values[f]) for f in FIELDS)), 256))
+
+
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def _joined(digests: Column) -> Column:
+    return F.array_join(F.transform(digests, _hex), "")
+
+
+def _node_hash(children: Column) -> Column:
+    return F.unhex(F.sha2(_joined(children), 256))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -61,120 +75,146 @@ class Manifest:
     root: str | None
 
 
-def _level(nodes: DataFrame, label: str) -> DataFrame:
+_MEMBERS = "array<struct<doc_id:bigint,leaf:binary,changed:binary>>"
+_EMPTY = (f"node string, digest binary, top boolean, children array<binary>, members {_MEMBERS}, up string, ord int, up_salts int, "
+          "salt int")
+
+
+def _by_ord(run: str) -> Column:
+    return F.array_sort(run, lambda a, b: a["ord"] - b["ord"])
+
+
+def _ord() -> Column:
+    return F.col("idx").bitwiseAND(F.lit(FAN - 1)).cast("int").alias("ord")
+
+
+def _name(depth: int) -> Column:
+    return F.concat_ws("/", F.lit(str(depth)), F.col("tree").cast("string"), F.col("idx").cast("string"))
+
+
+def _fewer(count: str) -> Column:
+    return F.floor((F.col(count) + FAN - 1) / FAN).cast("long")
+
+
+def _copies() -> Column:
+    return F.ceil(F.col("w") / SHARE).cast("int")
+
+
+def _level(nodes: DataFrame, depth: int) -> DataFrame:
     """One row per run of 16 nodes of a tree, with the run's nodes in ``kids``."""
-    kid = F.struct(F.col("idx").bitwiseAND(F.lit(FAN - 1)).cast("int").alias("ord"), "node", "digest", "w", "top", "children", "members", "salts")
-    up = nodes.withColumn("idx_up", F.shiftright("idx", _BITS))
-    up = up.groupBy("tree", "idx_up", "left").agg(F.collect_list(kid).alias("kids"), F.sum("w").alias("w"))  # 16 at most
-    kids = F.array_sort("kids", lambda a, b: a["ord"] - b["ord"])
-    return stored(up.select(
-        "tree", F.col("idx_up").alias("idx"), F.floor((F.col("left") + FAN - 1) / FAN).cast("long").alias("left"), kids.alias("kids"), "w"), label)
+    kid = F.struct(_ord(), "node", "digest", "top", "children", "members", "copies")
+    up = nodes.groupBy("tree", F.shiftright("idx", _BITS).alias("idx"), "left").agg(
+        F.collect_list(kid).alias("kids"), F.sum("w").alias("w"))  # 16 at most
+    return stored(up.select("tree", "idx", _fewer("left").alias("left"), _by_ord("kids").alias("kids"), "w"), f"level{depth}")
 
 
 def _parents(level: DataFrame, depth: int) -> DataFrame:
     """The level's own rows, shaped as nodes of the next step."""
     children = F.transform("kids", lambda k: k["digest"])
     return level.select(
-        F.concat_ws("/", F.lit(depth).cast("string"), F.col("tree").cast("string"), F.col("idx").cast("string")).alias("node"),
-        "tree", "idx", "left", F.sha2(F.array_join(children, ""), 256).alias("digest"), "w", (F.col("tree") < 0).alias("top"),
-        children.alias("children"), F.lit(None).cast(_MEMBERS).alias("members"), F.ceil(F.col("w") / SHARE).cast("int").alias("salts"))
-
-
-_MEMBERS = "array<struct<ord:int,doc_id:bigint,leaf:string,tampered:string>>"
+        _name(depth).alias("node"), "tree", "idx", "left", _node_hash(children).alias("digest"), "w", (F.col("tree") < 0).alias("top"),
+        children.alias("children"), F.lit(None).cast(_MEMBERS).alias("members"), _copies().alias("copies"))
 
 
 def _linked(level: DataFrame, depth: int) -> DataFrame:
     """The kids of a level, each with its parent, its place in the run and the number of the parent's copies."""
-    up = F.concat_ws("/", F.lit(depth).cast("string"), F.col("tree").cast("string"), F.col("idx").cast("string"))
-    return level.select(F.explode("kids").alias("k"), up.alias("up"), F.ceil(F.col("w") / SHARE).cast("int").alias("up_salts")) \
-        .select("k.node", "k.top", "k.children", "k.members", "k.salts", "k.digest", "up", F.col("k.ord").alias("ord"), "up_salts")
+    return level.select(F.explode("kids").alias("k"), _name(depth).alias("up"), _copies().alias("up_salts")) \
+        .select("k.node", "k.digest", "k.top", "k.children", "k.members", "k.copies", "up", F.col("k.ord").alias("ord"), "up_salts")
 
 
-def build(docs: DataFrame, tampered: Column | None = None) -> Manifest:
-    """The manifest of ``docs`` (columns ``FIELDS``); ``tampered`` is a text to fold in place of each row's own.
-
-    The driver sees the number of levels and the root.  Every level is written as Parquet, so a lost executor costs
-    the level at hand.
-    """
+def _numbered(docs: DataFrame, tampered: Column | None) -> tuple[DataFrame, int]:
+    """Leaves with the number of their source and their own in it (tree, idx, size), and the number of sources."""
     values = {f: F.col(f) for f in FIELDS}
     leaf = leaf_hash(values)
-    other = leaf if tampered is None else leaf_hash({**values, "text": tampered})
-    leaves = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                                leaf.alias("leaf"), other.alias("tampered")), "leaves")
+    other = F.lit(None).cast("binary") if tampered is None else leaf_hash({**values, "text": tampered})
+    leaves = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), leaf.alias("leaf"),
+                                other.alias("other")).select("doc_id", "source", "leaf", F.nullif("other", "leaf").alias("changed")), "leaves")
     rows, offsets = placed(leaves, ["source"], ["doc_id", "leaf"], "ranked_leaves")
     offsets = stored(offsets, "leaf_offsets")
     # the number of a source in the order of sources; one row per source
     sources, source_offsets = placed(offsets.select("source").distinct(), [], ["source"], "sources")
-    numbered = sources.join(F.broadcast(source_offsets), "_range").select("source", (F.col("_at") + F.col("_offset")).alias("tree"))
-    offsets = offsets.withColumnRenamed("source", "s1").withColumnRenamed("_range", "r1")
-    offsets = offsets.join(numbered.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
-    ranked = rows.join(offsets, rows["source"].eqNullSafe(offsets["s1"]) & (rows["_range"] == offsets["r1"])).select(
-        "tree", (F.col("_at") + F.col("_offset")).alias("idx"), F.col("_size").alias("size"), "doc_id", "leaf", "tampered")
-
-    member = F.struct(F.col("idx").bitwiseAND(F.lit(FAN - 1)).cast("int").alias("ord"), "doc_id", "leaf", "tampered")
-    runs = ranked.groupBy("tree", F.shiftright("idx", _BITS).alias("idx"), "size").agg(F.collect_list(member).alias("members"))
-    runs = runs.withColumn("members", F.array_sort("members", lambda a, b: a["ord"] - b["ord"]))
+    trees = sources.join(F.broadcast(source_offsets), "_range").select(F.col("source").alias("s2"), (F.col("_at") + F.col("_offset")).alias("tree"))
+    offsets = offsets.select(F.col("source").alias("s1"), F.col("_range").alias("r1"), "_offset", F.col("_size").alias("size"))
+    offsets = offsets.join(trees, F.col("s1").eqNullSafe(F.col("s2")))
+    ranked = rows.join(offsets, rows["source"].eqNullSafe(offsets["s1"]) & (rows["_range"] == offsets["r1"]))
+    return ranked.select("tree", (F.col("_at") + F.col("_offset")).alias("idx"), "size", "doc_id", "leaf", "changed"), sources.count()
+
+
+def build(docs: DataFrame, tampered: Column | None = None) -> Manifest:
+    """The manifest of ``docs`` (columns ``FIELDS``); ``tampered`` is a text to fold in place of each row's own.
+
+    The driver sees the number of levels, of sources and the root.  Every level is written as Parquet, so a lost
+    executor costs the level at hand.
+    """
+    ranked, n_sources = _numbered(docs, tampered)
+    runs = ranked.groupBy("tree", F.shiftright("idx", _BITS).alias("idx"), "size").agg(
+        F.collect_list(F.struct(_ord(), "doc_id", "leaf", "changed")).alias("members"))
+    runs = runs.withColumn("members", F.transform(_by_ord("members"), lambda m: F.struct(
+        m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), m["changed"].alias("changed"))))
     children = F.transform("members", lambda m: m["leaf"])
     nodes = stored(runs.select(
-        F.concat_ws("/", F.lit("1"), F.col("tree").cast("string"), F.col("idx").cast("string")).alias("node"), "tree", "idx",
-        F.floor((F.col("size") + FAN - 1) / FAN).cast("long").alias("left"),
-        F.when(F.col("size") == 1, F.get(children, F.lit(0))).otherwise(F.sha2(F.array_join(children, ""), 256)).alias("digest"),
-        F.lit(1).cast("long").alias("w"), F.lit(False).alias("top"), children.alias("children"), F.col("members").cast(_MEMBERS).alias("members"),
-        F.lit(1).alias("salts")), "runs")
+        _name(1).alias("node"), "tree", "idx", _fewer("size").alias("left"),
+        F.when(F.col("size") == 1, F.get(children, F.lit(0))).otherwise(_node_hash(children)).alias("digest"),
+        F.lit(1).cast("long").alias("w"), F.lit(False).alias("top"), F.lit(None).cast("array<binary>").alias("children"), "members",
+        F.lit(1).alias("copies")), "runs")
 
     linked, subroots, depth = [], [], 1
     left = nodes.agg(F.max("left")).first()[0] or 0
+    if not left:
+        none = docs.sparkSession.createDataFrame([], _EMPTY)
+        return Manifest(none, none, None)
     while left > 0:  # levels below the subroots; a source that has one node left waits for the others
         subroots.append(nodes.where("left = 1"))
         if left > 1:
             depth += 1
-            level = _level(nodes.where("left > 1"), f"level{depth}")
+            level = _level(nodes.where("left > 1"), depth)
             linked.append(_linked(level, depth))
             nodes = _parents(level, depth)
         left = 0 if left == 1 else -(-left // FAN)
-    if not subroots:
-        none = docs.sparkSession.createDataFrame([], f"node string, top boolean, children array<string>, members {_MEMBERS}, salts int, "
-                                                     "digest string, up string, ord int, up_salts int, salt int")
-        return Manifest(none, none, None)
-    nodes = subroots[0]
-    for s in subroots[1:]:
-        nodes = nodes.unionByName(s)
-    left = sources.count()
+    nodes = functools.reduce(DataFrame.unionByName, subroots)
+    left = n_sources
     nodes = nodes.withColumn("idx", F.col("tree")).withColumn("tree", F.lit(-1).cast("long")).withColumn("left", F.lit(left).cast("long"))
     while left > 1:  # the tree over the subroots
         depth += 1
-        level = _level(nodes, f"level{depth}")
+        level = _level(nodes, depth)
         linked.append(_linked(level, depth))
         nodes = _parents(level, depth)
         left = -(-left // FAN)
-    last = nodes.select("node", "top", "children", "members", "salts", "digest", F.lit(None).cast("string").alias("up"),
+    last = nodes.select("node", "digest", "top", "children", "members", "copies", F.lit(None).cast("string").alias("up"),
                         F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("up_salts"))
     root = last.first()["digest"]
-    for part in linked:
-        last = last.unionByName(part)
-    all_nodes = stored(last, "nodes")
-    climbing = all_nodes.where(F.col("members").isNotNull())
-    above = all_nodes.where(F.col("members").isNull()).drop("members", "digest") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return Manifest(climbing, stored(above, "copied_nodes"), root)
+    every = stored(functools.reduce(DataFrame.unionByName, linked, last), "nodes")
+    above = every.where(F.col("members").isNull()).drop("members", "digest")
+    above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return Manifest(every.where(F.col("members").isNotNull()).drop("children", "copies"), stored(above, "copied_nodes"), bytes(root).hex())
+
+
+def _first_folds(runs: DataFrame) -> DataFrame:
+    """The rows as they stand at their run's node: the different hashes folded there, and each leaf's place among them."""
+    own = F.transform("members", lambda m: m["leaf"])
+    lone = (F.size("members") == 1) & (F.get(own, F.lit(0)) == F.col("digest"))
+    fold = F.transform("members", lambda m, i: F.unhex(F.sha2(F.concat(
+        _joined(F.slice(own, F.lit(1), i)), _hex(F.coalesce(m["changed"], m["leaf"])), _joined(F.slice(own, i + 2, F.lit(FAN)))), 256)))
+    at_leaf = F.transform("members", lambda m: F.coalesce(m["changed"], m["leaf"]))
+    rows = runs.withColumn("every", F.when(lone, at_leaf).otherwise(fold)).withColumn("folds", F.array_distinct("every"))
+    leaves = F.transform("members", lambda m, i: F.struct(
+        m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), F.array_position("folds", F.get("every", i)).cast("int").alias("fold")))
+    return rows.select(F.col("node").alias("run"), leaves.alias("leaves"), "folds", "up", "ord", F.pmod(F.xxhash64("node"), "up_salts").cast("int").alias("salt"))
 
 
 _CLIMB = """
-WITH RECURSIVE climb (run, members, own, folds, above, subroot, up, ord, salt) AS (
-  SELECT node, members, children,
-         transform(members, m -> IF(size(children) = 1 AND digest = children[0], m.tampered, sha2(concat(
-             array_join(slice(children, 1, m.ord), ''), m.tampered, array_join(slice(children, m.ord + 2, {fan}), '')), 256))),
-         '', CAST(NULL AS STRING), up, ord, CAST(pmod(xxhash64(node), up_salts) AS INT)
-  FROM {runs}
+WITH RECURSIVE climb (run, leaves, folds, above, subroot, up, ord, salt) AS (
+  SELECT run, leaves, folds, CAST(array() AS ARRAY<BINARY>), CAST(NULL AS BINARY), up, ord, salt FROM {starts}
   UNION ALL
-  SELECT c.run, c.members, c.own,
-         transform(c.folds, f -> sha2(concat(
-             array_join(slice(n.children, 1, c.ord), ''), f, array_join(slice(n.children, c.ord + 2, {fan}), '')), 256)),
-         concat(c.above, array_join(slice(n.children, 1, c.ord), ''), array_join(slice(n.children, c.ord + 2, {fan}), '')),
+  SELECT c.run, c.leaves,
+         transform(c.folds, f -> unhex(sha2(concat(
+             array_join(transform(slice(n.children, 1, c.ord), x -> lower(hex(x))), ''), lower(hex(f)),
+             array_join(transform(slice(n.children, c.ord + 2, {fan}), x -> lower(hex(x))), '')), 256))),
+         concat(c.above, slice(n.children, 1, c.ord), slice(n.children, c.ord + 2, {fan})),
          coalesce(c.subroot, IF(n.top, n.children[c.ord], NULL)),
          n.up, n.ord, CAST(pmod(xxhash64(c.run), n.up_salts) AS INT)
   FROM climb c JOIN {nodes} n ON c.up = n.node AND c.salt = n.salt)
-SELECT members, own, folds, above, subroot FROM climb WHERE up IS NULL LIMIT ALL
+SELECT leaves, folds, above, subroot FROM climb WHERE up IS NULL LIMIT ALL
 """
 
 
@@ -186,11 +226,12 @@ def climb(manifest: Manifest) -> DataFrame:
     as deep as the trees are high; it has no limit of rows (LIMIT ALL).
     """
     spark = manifest.runs.sparkSession
-    top = spark.sql(_CLIMB, runs=manifest.runs, nodes=manifest.nodes, fan=FAN)
-    each = top.select("own", "above", "subroot", F.posexplode(F.arrays_zip("members", "folds")).alias("at", "m"))
-    others = F.concat(F.array_join(F.slice("own", F.lit(1), F.col("at")), ""), F.array_join(F.slice("own", F.col("at") + 2, F.lit(FAN)), ""))
+    top = spark.sql(_CLIMB, starts=_first_folds(manifest.runs), nodes=manifest.nodes, fan=FAN)
+    top = top.withColumn("own", F.transform("leaves", lambda m: m["leaf"])).withColumn("rest", _joined(F.col("above")))
+    each = top.select("own", "rest", "subroot", "folds", F.posexplode("leaves").alias("at", "m"))
+    others = F.concat(_joined(F.slice("own", F.lit(1), F.col("at"))), _joined(F.slice("own", F.col("at") + 2, F.lit(FAN))))
     root = F.lit(manifest.root).cast("string")
+    fold = _hex(F.get("folds", F.col("m.fold") - 1))
     return each.select(
-        F.col("m.members.doc_id").alias("doc_id"), F.col("m.members.leaf").alias("leaf"), F.coalesce("subroot", root).alias("subroot"),
-        root.alias("root"), F.concat(others, "above").alias("siblings"), F.col("m.folds").alias("folded_root"),
-        (F.col("m.folds") == root).alias("verified"))
+        F.col("m.doc_id").alias("doc_id"), _hex(F.col("m.leaf")).alias("leaf"), F.coalesce(_hex(F.col("subroot")), root).alias("subroot"),
+        root.alias("root"), F.concat(others, "rest").alias("siblings"), fold.alias("folded_root"), (fold == root).alias("verified"))
