@@ -6,10 +6,11 @@ in the order of their sources, are the leaves of one more tree, whose last node
 as node rows that name their parent: (node, up, ord, up_salts, salt, top, children).  Digests are held as 32 bytes; what
 is hashed, and what is given out, is their hex text.
 
-Climbing: a recursive query (``WITH RECURSIVE``) ascends from the leaves to the root.  The leaves of one run share
-all siblings above it, so they climb in one row that holds the different hashes folded from them; every step joins
-the rows with the parents, appends the parent's other children to the siblings and folds each hash.  Many rows meet few
-nodes near the root: a node stands there once for every 32 rows below it, and a row takes the copy of its own hash.
+Climbing: a recursive query (``WITH RECURSIVE``) ascends from the leaves to the root.  The leaves of one block of two
+levels (256 at most) share all siblings above it, so they climb in one row that holds the different hashes folded from
+them; every step joins the rows with the parents, appends the parent's other children to the siblings and folds each
+hash.  Many rows meet few nodes near the root: a node stands there once for every 32 rows below it, and a row takes
+the copy of its own hash.
 
 Defined cases: a null in any column enters a leaf as ``-``; a null source is a source of its own, before all others;
 rows with a null id come before those with ids, rows that repeat an id are ordered by their leaf, and rows that are
@@ -67,17 +68,18 @@ def tamper_every_fifth(docs: DataFrame) -> Column:
 
 @dataclass
 class Manifest:
-    """``runs``: the rows that climb, one per run of leaves (members with their leaves and tampered leaves);
-    ``nodes``: the parent-linked rows above them; ``root``: hex digest, None for an empty table."""
+    """``blocks``: the leaves by blocks of 256 (members, digests of the runs, hashes folded up to the block);
+    ``starts``: the blocks' places below their parents, from where they climb; ``nodes``: the parent-linked rows above
+    them; ``root``: hex digest, None for an empty table."""
 
-    runs: DataFrame
+    blocks: DataFrame
+    starts: DataFrame
     nodes: DataFrame
     root: str | None
 
 
-_MEMBERS = "array<struct<doc_id:bigint,leaf:binary,changed:binary>>"
-_EMPTY = (f"node string, digest binary, top boolean, children array<binary>, members {_MEMBERS}, up string, ord int, up_salts int, "
-          "salt int")
+_BLOCK = "node string, members array<struct<doc_id:bigint,leaf:binary,fold:int>>, digests array<binary>, folds array<binary>"
+_NODE = "node string, top boolean, children array<binary>, folds array<binary>, up string, ord int, up_salts int, salt int"
 
 
 def _by_ord(run: str) -> Column:
@@ -102,7 +104,7 @@ def _copies() -> Column:
 
 def _level(nodes: DataFrame, depth: int) -> DataFrame:
     """One row per run of 16 nodes of a tree, with the run's nodes in ``kids``."""
-    kid = F.struct(_ord(), "node", "digest", "top", "children", "members", "copies")
+    kid = F.struct(_ord(), "node", "digest", "top", "children", "folds", "copies")
     up = nodes.groupBy("tree", F.shiftright("idx", _BITS).alias("idx"), "left").agg(
         F.collect_list(kid).alias("kids"), F.sum("w").alias("w"))  # 16 at most
     return stored(up.select("tree", "idx", _fewer("left").alias("left"), _by_ord("kids").alias("kids"), "w"), f"level{depth}")
@@ -113,13 +115,13 @@ def _parents(level: DataFrame, depth: int) -> DataFrame:
     children = F.transform("kids", lambda k: k["digest"])
     return level.select(
         _name(depth).alias("node"), "tree", "idx", "left", _node_hash(children).alias("digest"), "w", (F.col("tree") < 0).alias("top"),
-        children.alias("children"), F.lit(None).cast(_MEMBERS).alias("members"), _copies().alias("copies"))
+        children.alias("children"), F.lit(None).cast("array<binary>").alias("folds"), _copies().alias("copies"))
 
 
 def _linked(level: DataFrame, depth: int) -> DataFrame:
     """The kids of a level, each with its parent, its place in the run and the number of the parent's copies."""
     return level.select(F.explode("kids").alias("k"), _name(depth).alias("up"), _copies().alias("up_salts")) \
-        .select("k.node", "k.digest", "k.top", "k.children", "k.members", "k.copies", "up", F.col("k.ord").alias("ord"), "up_salts")
+        .select("k.node", "k.digest", "k.top", "k.children", "k.folds", "k.copies", "up", F.col("k.ord").alias("ord"), "up_salts")
 
 
 def _numbered(docs: DataFrame, tampered: Column | None) -> tuple[DataFrame, int]:
@@ -147,22 +149,17 @@ def build(docs: DataFrame, tampered: Column | None = None) -> Manifest:
     executor costs the level at hand.
     """
     ranked, n_sources = _numbered(docs, tampered)
-    runs = ranked.groupBy("tree", F.shiftright("idx", _BITS).alias("idx"), "size").agg(
-        F.collect_list(F.struct(_ord(), "doc_id", "leaf", "changed")).alias("members"))
-    runs = runs.withColumn("members", F.transform(_by_ord("members"), lambda m: F.struct(
-        m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), m["changed"].alias("changed"))))
-    children = F.transform("members", lambda m: m["leaf"])
-    nodes = stored(runs.select(
-        _name(1).alias("node"), "tree", "idx", _fewer("size").alias("left"),
-        F.when(F.col("size") == 1, F.get(children, F.lit(0))).otherwise(_node_hash(children)).alias("digest"),
-        F.lit(1).cast("long").alias("w"), F.lit(False).alias("top"), F.lit(None).cast("array<binary>").alias("children"), "members",
-        F.lit(1).alias("copies")), "runs")
-
-    linked, subroots, depth = [], [], 1
+    blocks = stored(_blocks(ranked), "blocks")
+    nodes = blocks.select(
+        "node", "tree", "idx", F.ceil(F.col("size") / (FAN * FAN)).cast("long").alias("left"), "digest", F.lit(1).cast("long").alias("w"),
+        F.lit(False).alias("top"), F.lit(None).cast("array<binary>").alias("children"), "folds", F.lit(1).alias("copies"))
+    blocks = blocks.select("node", "members", "digests", "folds")
+
+    linked, subroots, depth = [], [], 2
     left = nodes.agg(F.max("left")).first()[0] or 0
     if not left:
-        none = docs.sparkSession.createDataFrame([], _EMPTY)
-        return Manifest(none, none, None)
+        none = docs.sparkSession.createDataFrame([], _NODE)
+        return Manifest(blocks, none, none, None)
     while left > 0:  # levels below the subroots; a source that has one node left waits for the others
         subroots.append(nodes.where("left = 1"))
         if left > 1:
@@ -180,41 +177,67 @@ def build(docs: DataFrame, tampered: Column | None = None) -> Manifest:
         linked.append(_linked(level, depth))
         nodes = _parents(level, depth)
         left = -(-left // FAN)
-    last = nodes.select("node", "digest", "top", "children", "members", "copies", F.lit(None).cast("string").alias("up"),
+    last = nodes.select("node", "digest", "top", "children", "folds", "copies", F.lit(None).cast("string").alias("up"),
                         F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("up_salts"))
     root = last.first()["digest"]
     every = stored(functools.reduce(DataFrame.unionByName, linked, last), "nodes")
-    above = every.where(F.col("members").isNull()).drop("members", "digest")
+    above = every.where(F.col("folds").isNull()).drop("folds", "digest")
     above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    return Manifest(every.where(F.col("members").isNotNull()).drop("children", "copies"), stored(above, "copied_nodes"), bytes(root).hex())
+    starts = every.where(F.col("folds").isNotNull()).select("node", "folds", "up", "ord", F.pmod(F.xxhash64("node"), "up_salts").cast("int").alias("salt"))
+    return Manifest(blocks, starts, stored(above, "copied_nodes"), bytes(root).hex())
+
+
+def _others(run: Column, at: Column) -> tuple[Column, Column]:
+    """Hex text of what stands before and after place ``at`` (from 0) of a run."""
+    return _joined(F.slice(run, F.lit(1), at)), _joined(F.slice(run, at + 2, F.lit(FAN)))
+
+
+def _replaced(run: Column, at: Column, digest: Column) -> Column:
+    before, after = _others(run, at)
+    return F.unhex(F.sha2(F.concat(before, _hex(digest), after), 256))
+
+
+def _run_of(leaves: Column, i: Column) -> Column:
+    return F.slice(leaves, F.shiftright(i, _BITS) * FAN + 1, F.lit(FAN))
+
+
+def _place(i: Column) -> Column:
+    return i.bitwiseAND(F.lit(FAN - 1))
 
 
-def _first_folds(runs: DataFrame) -> DataFrame:
-    """The rows as they stand at their run's node: the different hashes folded there, and each leaf's place among them."""
-    own = F.transform("members", lambda m: m["leaf"])
-    lone = (F.size("members") == 1) & (F.get(own, F.lit(0)) == F.col("digest"))
-    fold = F.transform("members", lambda m, i: F.unhex(F.sha2(F.concat(
-        _joined(F.slice(own, F.lit(1), i)), _hex(F.coalesce(m["changed"], m["leaf"])), _joined(F.slice(own, i + 2, F.lit(FAN)))), 256)))
-    at_leaf = F.transform("members", lambda m: F.coalesce(m["changed"], m["leaf"]))
-    rows = runs.withColumn("every", F.when(lone, at_leaf).otherwise(fold)).withColumn("folds", F.array_distinct("every"))
-    leaves = F.transform("members", lambda m, i: F.struct(
-        m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), F.array_position("folds", F.get("every", i)).cast("int").alias("fold")))
-    return rows.select(F.col("node").alias("run"), leaves.alias("leaves"), "folds", "up", "ord", F.pmod(F.xxhash64("node"), "up_salts").cast("int").alias("salt"))
+def _blocks(ranked: DataFrame) -> DataFrame:
+    """Leaves by blocks of 256: the digests of the block's runs, its own, and the different hashes folded up to it."""
+    member = F.struct(F.col("idx").bitwiseAND(F.lit(FAN * FAN - 1)).cast("int").alias("ord"), "doc_id", "leaf", "changed")
+    rows = ranked.groupBy("tree", F.shiftright("idx", 2 * _BITS).alias("idx"), "size").agg(F.collect_list(member).alias("every"))
+    rows = rows.withColumn("every", _by_ord("every")).withColumn("leaves", F.transform("every", lambda m: m["leaf"]))
+    run_hash = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("leaves") - 1, _BITS)), lambda r: _node_hash(
+        F.slice("leaves", r * FAN + 1, F.lit(FAN))))
+    # a source of one leaf has no run, one of up to 16 leaves no level above its run
+    rows = rows.withColumn("digests", F.when(F.col("size") == 1, F.col("leaves")).otherwise(run_hash))
+    low = F.transform("every", lambda m, i: F.when(F.col("size") == 1, F.coalesce(m["changed"], m["leaf"])).otherwise(
+        _replaced(_run_of(F.col("leaves"), i), _place(i), F.coalesce(m["changed"], m["leaf"]))))
+    rows = rows.withColumn("low", low)
+    high = F.transform("low", lambda f, i: F.when(F.col("size") <= FAN, f).otherwise(_replaced(F.col("digests"), F.shiftright(i, _BITS), f)))
+    rows = rows.withColumn("high", high).withColumn("folds", F.array_distinct("high"))
+    members = F.transform("every", lambda m, i: F.struct(
+        m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), F.array_position("folds", F.get("high", i)).cast("int").alias("fold")))
+    digest = F.when(F.col("size") <= FAN, F.get("digests", F.lit(0))).otherwise(_node_hash(F.col("digests")))
+    return rows.select(_name(2).alias("node"), "tree", "idx", "size", digest.alias("digest"), members.alias("members"), "digests", "folds")
 
 
 _CLIMB = """
-WITH RECURSIVE climb (run, leaves, folds, above, subroot, up, ord, salt) AS (
-  SELECT run, leaves, folds, CAST(array() AS ARRAY<BINARY>), CAST(NULL AS BINARY), up, ord, salt FROM {starts}
+WITH RECURSIVE climb (block, folds, above, subroot, up, ord, salt) AS (
+  SELECT node, folds, CAST(array() AS ARRAY<BINARY>), CAST(NULL AS BINARY), up, ord, salt FROM {starts}
   UNION ALL
-  SELECT c.run, c.leaves,
+  SELECT c.block,
          transform(c.folds, f -> unhex(sha2(concat(
              array_join(transform(slice(n.children, 1, c.ord), x -> lower(hex(x))), ''), lower(hex(f)),
              array_join(transform(slice(n.children, c.ord + 2, {fan}), x -> lower(hex(x))), '')), 256))),
          concat(c.above, slice(n.children, 1, c.ord), slice(n.children, c.ord + 2, {fan})),
          coalesce(c.subroot, IF(n.top, n.children[c.ord], NULL)),
-         n.up, n.ord, CAST(pmod(xxhash64(c.run), n.up_salts) AS INT)
+         n.up, n.ord, CAST(pmod(xxhash64(c.block), n.up_salts) AS INT)
   FROM climb c JOIN {nodes} n ON c.up = n.node AND c.salt = n.salt)
-SELECT leaves, folds, above, subroot FROM climb WHERE up IS NULL LIMIT ALL
+SELECT block, folds, above, subroot FROM climb WHERE up IS NULL LIMIT ALL
 """
 
 
@@ -225,13 +248,15 @@ def climb(manifest: Manifest) -> DataFrame:
     digests of the siblings from the leaf's run up to the root, left to right, 64 hex digits each.  The recursion is
     as deep as the trees are high; it has no limit of rows (LIMIT ALL).
     """
-    spark = manifest.runs.sparkSession
-    top = spark.sql(_CLIMB, starts=_first_folds(manifest.runs), nodes=manifest.nodes, fan=FAN)
-    top = top.withColumn("own", F.transform("leaves", lambda m: m["leaf"])).withColumn("rest", _joined(F.col("above")))
-    each = top.select("own", "rest", "subroot", "folds", F.posexplode("leaves").alias("at", "m"))
-    others = F.concat(_joined(F.slice("own", F.lit(1), F.col("at"))), _joined(F.slice("own", F.col("at") + 2, F.lit(FAN))))
-    root = F.lit(manifest.root).cast("string")
-    fold = _hex(F.get("folds", F.col("m.fold") - 1))
+    spark = manifest.starts.sparkSession
+    top = spark.sql(_CLIMB, starts=manifest.starts, nodes=manifest.nodes, fan=FAN)
+    top = top.select(F.col("block").alias("node"), F.transform("folds", _hex).alias("ends"), _joined(F.col("above")).alias("rest"), "subroot")
+    rows = manifest.blocks.drop("folds").join(top, "node").withColumn("leaves", F.transform("members", lambda m: m["leaf"]))
+    rows = rows.withColumn("rests", F.transform("digests", lambda d, r: F.concat(*_others(F.col("digests"), r), F.col("rest"))))
+    each = rows.select("leaves", "rests", "subroot", "ends", F.posexplode("members").alias("i", "m"))
+    own = _others(_run_of(F.col("leaves"), F.col("i")), _place(F.col("i")))
+    root, fold = F.lit(manifest.root).cast("string"), F.get("ends", F.col("m.fold") - 1)
     return each.select(
         F.col("m.doc_id").alias("doc_id"), _hex(F.col("m.leaf")).alias("leaf"), F.coalesce(_hex(F.col("subroot")), root).alias("subroot"),
-        root.alias("root"), F.concat(others, "rest").alias("siblings"), fold.alias("folded_root"), (fold == root).alias("verified"))
+        root.alias("root"), F.concat(*own, F.get("rests", F.shiftright("i", _BITS))).alias("siblings"), fold.alias("folded_root"),
+        (fold == root).alias("verified"))

@@ -78,7 +78,7 @@ def some_rows(n, sources, seed=1):
 
 def test_proofs_equal_brute_force(spark):
     # a hot source, a null one, single leaves, repeated rows, null ids; more than 16 sources: two levels over the subroots
-    rows = some_rows(700, ["a"] * 60 + ["b", None, "é", "z"] + [f"s{k}" for k in range(20)])
+    rows = some_rows(1200, ["a"] * 60 + ["b", None, "é", "z"] + [f"s{k}" for k in range(20)])
     rows += [rows[3]] * 20 + [(5000, "T", "en", "alone", 1)]
     m, out = proofs(spark, rows)
     want = expected(rows)
@@ -86,7 +86,7 @@ def test_proofs_equal_brute_force(spark):
     assert m.root == want[0][3] and 0 < sum(not r[-1] for r in want) < len(want)
 
 
-@pytest.mark.parametrize("n", [1, 2, 16, 17])
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 256, 257])
 def test_small_trees(spark, n):
     rows = [(i, f"Text {i}", "en", "s", 1) for i in range(n)]
     assert ordered(proofs(spark, rows)[1].collect()) == ordered(expected(rows))
