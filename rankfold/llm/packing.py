@@ -17,10 +17,15 @@ empty result.
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,98 +34,148 @@ from rankfold.llm.common import id_and_text, map_arrow, remembered, stored
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Where a cut at every blank would be wrong.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
-#: Parts whose ids a Python worker remembers, for each of two generations (about 150 MB in all).
-CACHE_WORDS = 450_000
-
-
-class WordEncoder:
-    """Ids of whole texts for a byte-level BPE tokenizer that never joins a word to the blank after it.
-
-    Such a tokenizer starts a new unit at every single blank between two visible characters, so a text
-    may be cut there, and the ids of the parts follow one another.  Parts repeat, so their ids are kept,
-    in two generations: when the young one is full it becomes the old one, whose hits come back.
-    Blanks next to other white space are not cut at.  Strings of special tokens are ordinary text.
+#: White space other than blank and line feed.
+RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: How a byte-level tokenizer cuts texts into units.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of the texts that are encoded at a time.
+BATCH_CHARS = 12_000_000
+#: Parts whose ids are looked up at a time.
+CHUNK = 100_000
+
+
+def odd_space(text: str) -> bool:
+    """Whether white space stands next to white space or at an end; other texts may be cut at every blank."""
+    if RARE_SPACE.search(text):
+        return ODD_SPACE.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+
+
+def _byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of every token with its id, if the tokenizer (a ``tokenizers`` JSON) is plain byte-level BPE whose merges come
+    in the order of their ids; such a one merges by the least id.  Otherwise None."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "fuse_unk", "byte_fallback")):
+        return None
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    letters, special = _byte_characters(), {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    made = set(made)
+    single = [t for t, i in ranks.items() if i not in made]
+    return ranks if len(single) == 256 and all(len(t) == 1 for t in single) else None
+
+
+class TextEncoder:
+    """Ids of whole texts, as ``tokenizers`` gives them without special tokens, each with a closing id.
+
+    A plain byte-level tokenizer (:func:`byte_level_ranks`) starts a new unit at every single blank between two
+    visible characters, so a text may be cut there, and the ids of the parts follow one another.  The different parts
+    of a batch of texts are encoded together, once, by ``tiktoken`` with the same tokens, and looked up from there.
+    The first part of a text, which has no blank before it, and texts with other blanks are encoded each by itself.
+    Any other tokenizer encodes whole texts itself.  Strings of special tokens are ordinary text.  Nothing is
+    remembered between batches.
     """
 
-    def __init__(self, blob: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.cache_words = cache_words
-        self.tokenizer = Tokenizer.from_str(blob)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for token, i in vocabulary.items():
-            self.id_bytes[i] = len(token)  # a byte-level token has one character for each byte
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.young) + len(parts) > self.cache_words:
-            self.young, self.old = {}, self.young
-        new = []
-        for part in parts:
-            if (got := self.old.get(part)) is not None:
-                self.young[part] = got
-            elif not part or part[-1].isspace():
-                self.young[part] = self._ids(" " + part).tobytes()
-            else:
-                new.append(part)
-        if new:  # with their blanks they are a text again, whose ids are cut by bytes
-            text = " " + " ".join(new)
-            ids = self._ids(text)
-            ends = np.cumsum([len(p) + 1 for p in new] if text.isascii() else [len(p.encode()) + 1 for p in new])
-            cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, side="left") + 1
-            raw, a = ids.tobytes(), 0
-            for part, b in zip(new, (cuts * 4).tolist()):
-                self.young[part] = raw[a:b]
-                a = b
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the text.  ``parts`` leaves out the blank that each part but the first begins with."""
-        parts = text.split(" ")
-        if ODD_SPACE.search(text):
-            words, parts = parts, parts[:1]
-            for left, right in zip(words, words[1:]):
-                if left == "" or right == "" or left[-1].isspace() or right[0].isspace():
-                    parts[-1] += " " + right
-                else:
-                    parts.append(right)
-        got = list(map(self.young.get, parts))
-        got[0] = self._ids(parts[0]).tobytes()
-        if None in got:
-            self._learn(list({p for p, g in zip(parts, got) if g is None}))
-            got = [self.young[p] if g is None else g for p, g in zip(parts, got)]
-        return np.frombuffer(b"".join(got), dtype="<u4")
+    def __init__(self, blob: str, end_id: int = 0):
+        self.end = np.array([end_id], dtype="<u4")
+        ranks = byte_level_ranks(json.loads(blob))
+        if ranks is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_str(blob)
+            whole.encode_special_tokens = True
+            self._ids = lambda text: np.array(whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            self._cut = lambda text: False
+            return
+        import tiktoken
+
+        core = tiktoken.Encoding("packing", pat_str=UNITS, mergeable_ranks=ranks, special_tokens={})
+        self._ids = lambda text: core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        self._cut = lambda text: not odd_space(text)
+        self.id_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, i in ranks.items():
+            self.id_bytes[i] = len(token)
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts with a blank before each, one after the other, and the end of each."""
+        if not len(parts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        ids = self._ids(" " + " ".join(parts.to_pylist()))
+        ends = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        return ids, np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, side="left") + 1
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text with the closing id."""
+        cut = [self._cut(t) for t in texts]
+        lists = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.string()), " ")
+        offsets, flat = lists.offsets.to_numpy(), lists.flatten()
+        rest = np.ones(len(flat), dtype=bool)
+        rest[offsets[:-1]] = False  # every text has a first part, the empty one too
+        heads = [self._ids(t.split(" ", 1)[0] if c else t) for t, c in zip(texts, cut)]
+        coded = flat.filter(pa.array(rest)).dictionary_encode()
+        ids, ends = self._parts(coded.dictionary)
+        starts = np.concatenate([[0], ends]).astype(np.int32)
+        sizes = np.diff(starts)
+        part = coded.indices.to_numpy(zero_copy_only=False)
+        at = (offsets - np.arange(len(texts) + 1)).tolist()  # of each text's parts but the first
+        first = 0
+        while first < len(texts):  # some CHUNK parts at a time, so that arrays stay small
+            last = max(first + 1, bisect.bisect_right(at, at[first] + CHUNK) - 1)
+            some = part[at[first]:at[last]]
+            size = sizes[some]
+            after = np.cumsum(size, dtype=np.int32)
+            got = ids[np.repeat(starts[some] - (after - size), size) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+            begin = 0
+            for k in range(first, last):
+                n = at[k + 1] - at[first]
+                end = int(after[n - 1]) if n else 0
+                yield np.concatenate([heads[k], got[begin:end], self.end])
+                begin = end
+            first = last
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, window: int = 1024, end_id: int = 0, keep_ids: bool = False,
-                 id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Pieces of at most ``window`` ids of every text; with ``keep_ids`` the ids too."""
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of at most ``window`` ids of every text; with ``keep_ids`` the ids too.
+
+    Texts are encoded in batches of some BATCH_CHARS characters, one text at least.
+    """
     with open(tokenizer_json, encoding="utf-8") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, of fixed size
 
     def make():
-        encoder = remembered(f"ids-{zlib.crc32(blob.value.encode())}", lambda: WordEncoder(blob.value, cache_words))
+        encoder = remembered(f"ids-{zlib.crc32(blob.value.encode())}-{end_id}", lambda: TextEncoder(blob.value, end_id))
 
-        def step(cols):
+        def pieces(doc_ids, texts):
             out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            held = 0
-            for doc_id, text in zip(cols["doc_id"].to_pylist(), cols["text"]):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
                 for a in range(0, len(ids), window):
                     part = ids[a:a + window]
-                    for n, v in zip(out, (doc_id, a, len(part), zlib.crc32(part.tobytes()), len(ids),
-                                          part.astype(np.int32) if keep_ids else None)):
+                    for n, v in zip(out, (doc_id, a, len(part), zlib.crc32(part), len(ids), part.astype(np.int32) if keep_ids else None)):
                         out[n].append(v)
-                    held += len(part)
-                if keep_ids and held > 2_000_000:
-                    yield out
-                    out, held = {n: [] for n in out}, 0
-            yield out
+            return out
+
+        def step(cols):
+            held, doc_ids, texts = 0, [], []
+            for doc_id, text in zip(cols["doc_id"].to_pylist(), cols["text"]):
+                texts.append(text.as_py() or "")
+                doc_ids.append(doc_id)
+                held += len(texts[-1])
+                if held >= BATCH_CHARS:
+                    yield pieces(doc_ids, texts)
+                    held, doc_ids, texts = 0, [], []
+            if texts:
+                yield pieces(doc_ids, texts)
 
         return step
 
@@ -249,10 +304,9 @@ def pack(pieces: DataFrame, window: int = 1024, depth: int = 3, buckets: int = 2
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, window: int = 1024, depth: int = 3, keep_ids: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole texts to packed pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    pieces = stored(token_pieces(docs, tokenizer_json, window, keep_ids=keep_ids, id_col=id_col, text_col=text_col,
-                                 cache_words=cache_words), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer_json, window, keep_ids=keep_ids, id_col=id_col, text_col=text_col), "pieces")
     return pack(pieces, window, depth)
 
 

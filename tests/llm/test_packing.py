@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -16,13 +17,45 @@ def library_ids(texts):
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_word_encoder_equals_the_library_on_odd_spacing():
+def odd_texts():
     rng = random.Random(5)
-    alphabet = [" ", "  ", "\n", "a", "the", "é", "1", "22", "'s", "!!", "\xa0", "　", "\t", "<|endoftext|>", "漢", "x", "\0"]
+    alphabet = [" ", "  ", "\n", "a", "the", "é", "1", "22", "'s", "!!", "\xa0", "　", "\t", "<|endoftext|>", "漢", "x", "\0", " \x1c", "\x85"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    return texts + [" ".join(rng.choice(alphabet[3:]) for _ in range(rng.randint(1, 40))) for _ in range(500)] + ["\n".join("ab c" for _ in range(9))]
+
+
+def test_encoder_equals_the_library_on_odd_spacing(monkeypatch):
+    texts = odd_texts()
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.TextEncoder(f.read())
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    assert [list(x) for x in encoder.encode(texts)] == library_ids(texts)
+    assert list(encoder.encode([])) == []
+
+
+def test_encoder_equals_the_library_on_the_vocabulary():
+    t = Tokenizer.from_file(PATH)
+    words = [t.decode([i]) for i in range(0, t.get_vocab_size(), 3)]
+    texts = [w + x for w in words for x in ("", "s", " " + w)]
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.TextEncoder(f.read())
+    assert [list(x) for x in encoder.encode(texts)] == library_ids(texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
     with open(PATH, encoding="utf-8") as f:
-        encoder = packing.WordEncoder(f.read())
-    assert [list(encoder.encode(t)) + [0] for t in texts] == library_ids(texts)
+        spec = json.load(f)
+    assert len(packing.byte_level_ranks(spec)) == 50256
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}},
+                   {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        other = {**spec, **change}
+        assert packing.byte_level_ranks(other) is None
+        library = Tokenizer.from_str(json.dumps(other))
+        library.encode_special_tokens = True
+        texts = odd_texts()[::20] + ["The  THE the", " a"]
+        want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [list(x) for x in packing.TextEncoder(json.dumps(other)).encode(texts)] == want
+    assert packing.byte_level_ranks({**spec, "model": {**spec["model"], "merges": spec["model"]["merges"][::-1]}}) is None
 
 
 def test_plan_uses_the_histogram_exactly_with_little_padding():
