@@ -96,14 +96,17 @@ def choose_plan(cells: DataFrame, samples: DataFrame) -> str:
     return min(costs, key=costs.get)
 
 
-def value_exact_vecs(vecs: DataFrame, samples: DataFrame) -> DataFrame:
-    """D1 for column-grouped (dense) data: each sample meets column i of A
-    and column j of B as whole arrays and takes their dot product inside
-    the JVM (zip_with + aggregate).  Shuffles m·2 arrays instead of m·d
-    cells; no aggregation needed."""
-    from rankfold.functions.arrays import dot
-
-    va = vecs.where(F.col("mat") == "A").select(F.col("col").alias("i"), F.col("vec").alias("va"))
-    vb = vecs.where(F.col("mat") == "B").select(F.col("col").alias("j"), F.col("vec").alias("vb"))
-    t = samples.join(va, "i", "left").join(vb, "j", "left")
-    return t.withColumn("val", F.coalesce(dot(F.col("va"), F.col("vb")), F.lit(0.0))).drop("va", "vb")
+def value_exact_vecs(vecs: DataFrame, samples: DataFrame, size: int = 4096) -> DataFrame:
+    """D1 for column-grouped (dense) data: columns are cut into chunks of ``size`` numbers, and samples and chunks meet
+    on a grid of tiles (operators.tiles), where numpy takes the dot products; the chunks' parts are added up."""
+    from rankfold.operators.hadamard import chunked
+
+    return value_exact_chunks(chunked(vecs, size), samples, size)
+
+
+def value_exact_chunks(chunks: DataFrame, samples: DataFrame, size: int) -> DataFrame:
+    """The same for columns in chunks (mat, col, chunk, vec); samples are distinct (i, j)."""
+    from rankfold.operators.tiles import tiled_dots, with_values
+
+    dots = tiled_dots(samples, chunks, size)
+    return with_values(samples, dots.groupBy("i", "j").agg(F.sum("dot").alias("dot"), F.first("rest").alias("rest")), F.col("dot"))

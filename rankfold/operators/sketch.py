@@ -5,11 +5,10 @@ natural order (H[h, r] = (-1)^popcount(h & r)), P picks k of the N padded
 coordinates.  The signs and the k coordinates are shared by A and B, which
 is what makes Ãᵀ B̃ an unbiased estimate of AᵀB.
 
-Two physical forms:
-* cells (sparse, long rows): each cell contributes to its k coordinates,
-  summed per (mat, col, t) with map-side partial aggregation; cost nnz·k.
-* vecs (dense columns in one record): sign, pad, fast transform and pick
-  in one projection (higher-order functions, no shuffle); cost N log N.
+Two physical forms, both by blocks (operators.hadamard):
+* cells (sparse, long rows): exchanged once by column; a block of 512 rows is transformed as a whole or, with few
+  cells, by tables of signs.
+* vecs (dense columns, whole or in chunks): sign, pad, fast transform and pick per chunk; chunks are added up.
 """
 
 from __future__ import annotations
@@ -20,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.functions import arrays as AR
-from rankfold.functions.hashing import gaussian, py_sign, py_uniform, sign
+from rankfold.functions.hashing import gaussian, py_uniform, sign
+from rankfold.operators import hadamard as HD
+from rankfold.operators import tiles as T
 
 
 # ---------------------------------------------------------------------------
@@ -87,26 +88,23 @@ def hadamard_entry(h_col, row_col):
 # SRHT / Gaussian sketches, cells form
 # ---------------------------------------------------------------------------
 
-def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms: bool = False,
-                      n: int | None = None) -> DataFrame:
-    """B6 (cells): long sketch (mat, col, t, s); with_norms adds the exact
-    squared column norm as t = -1 from the same scan (one aggregation).
+def srht_sketch_wide(cells: DataFrame, coords: list[int], seed: int, n: int | None = None) -> DataFrame:
+    """B6 (cells): (mat, col, sk[k], norm2), sketch and exact squared norm of every column from one scan.
     With the padded length ``n``, row ids outside 0..n-1 are an error."""
-    k = len(coords)
     if n is not None:
         cells = cells.withColumn("row", checked_row(n))
-    items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
-    if with_norms:
-        items.append(F.struct(F.lit(-1).alias("t"), F.lit(None).cast("bigint").alias("h")))
-    # the sign is hashed once per cell, before the k-fold expansion
-    e = cells.select("mat", "col", "row", "val", (sign_column(seed) * F.col("val")).alias("sv"),
-                     F.explode(F.array(*items)).alias("c"))
-    term = F.when(F.col("c.t") < 0, F.col("val") * F.col("val")).otherwise(
-        hadamard_entry(F.col("c.h"), F.col("row")) * F.col("sv"))
-    agg = e.groupBy("mat", "col", F.col("c.t").alias("t")).agg(F.sum(term).alias("s"))
-    # keep the exact (integer for integer data) sum, scale last
-    return agg.withColumn("s", F.when(F.col("t") < 0, F.col("s"))
-                          .otherwise(F.col("s") * F.lit(1.0 / math.sqrt(k))))
+    # bits of a row above those of all coordinates don't change a sign
+    return HD.sketch_cells(cells, coords, seed, n or padded_length(max(coords, default=0) + 1))
+
+
+def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms: bool = False,
+                      n: int | None = None) -> DataFrame:
+    """B6 (cells): long sketch (mat, col, t, s); with_norms adds the exact
+    squared column norm as t = -1 from the same scan."""
+    wide = srht_sketch_wide(cells, coords, seed, n)
+    if not with_norms:
+        return wide_to_long(wide)
+    return wide.select("mat", "col", F.posexplode(F.concat(F.array("norm2"), "sk")).alias("t", "s")).withColumn("t", F.col("t") - 1)
 
 
 def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int, with_norms: bool = False) -> DataFrame:
@@ -137,17 +135,20 @@ def sketch_wide(sketch_long: DataFrame, k: int) -> DataFrame:
 # SRHT, vecs form (B2 -> B3 -> B4 -> B5 in one projection)
 # ---------------------------------------------------------------------------
 
-def srht_sketch_vecs(vecs: DataFrame, d: int, coords: list[int], seed: int) -> DataFrame:
-    """(mat, col, vec[d]) -> (mat, col, sk[k], norm2): one projection, no
-    shuffle.  The d signs and k coordinates are parameter-sized literals."""
-    n = padded_length(d)
-    k = len(coords)
-    signs = [py_sign(seed, "sign", r) for r in range(d)]
-    v = AR.times_literal(F.col("vec"), signs)
-    scale = F.lit(1.0 / math.sqrt(k))
-    picked = AR.hadamard(AR.pad_to(v, d, n), n,
-                         finish=lambda acc: F.transform(AR.gather(acc, coords), lambda x: x * scale))
-    return vecs.select("mat", "col", picked.alias("sk"), AR.sum_squares(F.col("vec")).alias("norm2"))
+#: Rows of a chunk of a dense column.
+CHUNK = 4096
+
+
+def srht_sketch_chunks(chunks: DataFrame, d: int, coords: list[int], seed: int, size: int = CHUNK) -> DataFrame:
+    """(mat, col, chunk, vec) -> (mat, col, sk[k], norm2); ``size``: rows of a chunk, a power of two."""
+    return HD.sketch_chunks(chunks, d, coords, seed, max(padded_length(d), size), size)
+
+
+def srht_sketch_vecs(vecs: DataFrame, d: int, coords: list[int], seed: int, size: int = CHUNK) -> DataFrame:
+    """(mat, col, vec[d]) -> (mat, col, sk[k], norm2).  Columns are cut into chunks where they lie; up to one chunk
+    there is no exchange.  The plan doesn't grow with d."""
+    size = min(size, padded_length(d))
+    return srht_sketch_chunks(HD.chunked(vecs, size), d, coords, seed, size)
 
 
 def wide_to_long(wide: DataFrame, arr: str = "sk") -> DataFrame:
@@ -162,28 +163,22 @@ def value_from_sketch(samples: DataFrame, sketch: DataFrame, norms: DataFrame |
                       estimator: str = "raw") -> DataFrame:
     """For each sampled (i, j) the estimate of M[i, j] from the sketches.
 
-    ``sketch`` is wide (mat, col, sk); the sample set joins A's sketch on i
-    and B's on j, so each sample row meets exactly two k-arrays.
+    ``sketch`` is wide (mat, col, sk); samples and sketches meet on a grid of tiles (operators.tiles), so that a
+    sketch moves once per tile and not once per sample.
     raw (B10) = ãᵢ·b̃ⱼ; rescaled (B9) = raw/(‖ãᵢ‖‖b̃ⱼ‖)·‖aᵢ‖‖bⱼ‖ (0 if a
     sketched norm is 0); the rescaled form needs the exact ``norms``.
     """
-    sa = sketch.where(F.col("mat") == "A").select(F.col("col").alias("i"), F.col("sk").alias("ska"))
-    sb = sketch.where(F.col("mat") == "B").select(F.col("col").alias("j"), F.col("sk").alias("skb"))
-    t = samples.join(sa, "i", "left").join(sb, "j", "left")
-    raw = F.coalesce(AR.dot(F.col("ska"), F.col("skb")), F.lit(0.0))
-    if estimator == "raw":
-        return t.withColumn("val", raw).drop("ska", "skb")
-    if estimator != "rescaled":
+    if estimator not in ("raw", "rescaled"):
         raise ValueError("estimator must be 'raw' or 'rescaled'")
-    if norms is None:
+    if estimator == "rescaled" and norms is None:
         raise ValueError("the rescaled estimator needs the exact column norms")
-    na = norms.where(F.col("mat") == "A").select(F.col("col").alias("i"), F.col("norm2").alias("a"))
-    nb = norms.where(F.col("mat") == "B").select(F.col("col").alias("j"), F.col("norm2").alias("b"))
-    t = t.withColumn("raw", raw) \
-        .withColumn("sa2", F.coalesce(AR.sum_squares(F.col("ska")), F.lit(0.0))) \
-        .withColumn("sb2", F.coalesce(AR.sum_squares(F.col("skb")), F.lit(0.0))) \
-        .join(na, "i", "left").join(nb, "j", "left")
-    val = F.when((F.col("sa2") == 0) | (F.col("sb2") == 0), F.lit(0.0)).otherwise(
-        F.col("raw") / F.sqrt("sa2") / F.sqrt("sb2") * F.sqrt(F.coalesce("a", F.lit(0.0)))
-        * F.sqrt(F.coalesce("b", F.lit(0.0))))
-    return t.withColumn("val", val).drop("ska", "skb", "raw", "sa2", "sb2", "a", "b")
+    if estimator == "rescaled" and "norm2" not in sketch.columns:  # the exact norms travel with the sketches
+        sketch = sketch.join(norms.select("mat", "col", "norm2"), ["mat", "col"], "left")
+    length = sketch.agg(F.max(F.size("sk"))).first()[0] or 1
+    given = [F.coalesce("norm2", F.lit(0.0)).alias("norm2")] if estimator == "rescaled" else []
+    dots = T.tiled_dots(samples, sketch.select("mat", "col", F.lit(0).alias("chunk"), F.col("sk").alias("vec"), *given), length)
+    if estimator == "raw":
+        return T.with_values(samples, dots, F.col("dot"))
+    none = (F.col("sa2") == 0) | (F.col("sb2") == 0)
+    return T.with_values(samples, dots, F.when(none, F.lit(0.0)).otherwise(
+        F.col("dot") / F.sqrt("sa2") / F.sqrt("sb2") * F.sqrt("a2") * F.sqrt("b2")))

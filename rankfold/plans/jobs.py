@@ -105,17 +105,15 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
             n_rows = int(cells.agg(F.max("row")).first()[0]) + 1
         n = K.padded_length(n_rows)
         coords = K.pick_coords(seed, n, k)
-        long = K.srht_sketch_cells(cells, coords, seed, with_norms=True).persist(StorageLevel.MEMORY_AND_DISK)
-        norms = long.where(F.col("t") < 0).select("mat", "col", F.col("s").alias("norm2"))
-        wide = K.sketch_wide(long, k)
+        wide = cut_lineage(K.srht_sketch_wide(cells, coords, seed, n))
+        norms = wide.select("mat", "col", "norm2")
     elif sketch == "gaussian":
         long = K.gaussian_sketch_cells(cells, k, seed, with_norms=True).persist(StorageLevel.MEMORY_AND_DISK)
         norms = long.where(F.col("t") < 0).select("mat", "col", F.col("s").alias("norm2"))
-        wide = K.sketch_wide(long, k)
+        norms = cut_lineage(norms)
+        wide = cut_lineage(K.sketch_wide(long, k))
     else:
         raise ValueError("sketch must be 'srht' or 'gaussian'")
-    norms = cut_lineage(norms)
-    wide = cut_lineage(wide)
     samples, tot, bud = _sample(norms, rank, ss, seed)
     observed = S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight)
     observed = cut_lineage(observed, cache=True)
@@ -141,8 +139,7 @@ def one_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, d: int, rank:
     sk = cut_lineage(K.srht_sketch_vecs(vecs, d, coords, seed))
     norms = sk.select("mat", "col", "norm2")
     samples, tot, bud = _sample(norms, rank, ss, seed)
-    observed = cut_lineage(S.weights(K.value_from_sketch(samples, sk.select("mat", "col", "sk"), norms,
-                                                         estimator), weight), cache=True)
+    observed = cut_lineage(S.weights(K.value_from_sketch(samples, sk, norms, estimator), weight), cache=True)
     v_ids = norms.where(F.col("mat") == "B").select(F.col("col").alias("id"))
     u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
