@@ -68,10 +68,14 @@ def bound(length: int, chars_per_token: float) -> float:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], count, chars_per_token: float) -> list[tuple[int, int, int]]:
-    found = []
+    """Runs that meet no span of ``taken`` (in order) and have few characters for each token."""
+    found, at, end = [], 0, 0
     for m in RUN.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():  # both lists are in order: each span is met once
+            end = max(end, taken[at][2])
+            at += 1
         run = m[0]
-        if IDENTIFIER.fullmatch(run) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        if end > m.start() or IDENTIFIER.fullmatch(run):
             continue
         if len(run) < bound(len(run), chars_per_token) * count(run):
             found.append((m.start(), 3, m.end()))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -127,3 +128,24 @@ def test_random_strings_of_all_alphabets_and_lengths():
             assert sum(found("".join(rng.choices(alphabet, k=n))) for _ in range(400)) >= floor * 400, (alphabet, n)
     for word in ("internationalisation", "Documentation", "characteristics", "straightforward-implementation", "2024-01-01T00:00:00Z", "12345678901234567890", "=" * 30):
         assert not found(word)
+
+
+def test_random_spans_are_linear_and_keep_off_base_spans():
+    """100,000 assignments in one text: each base span is met once; what lies between them is found."""
+    def count(run):
+        return len(run)
+
+    line = 'password = "hunter2hunter2" xkQz9RtLwP2mVb7nYc '
+    text = line * 100_000
+    base = sorted(secrets.base_spans(text))
+    began = time.time()
+    found = secrets.random_spans(text, base, count, 2.2)
+    assert time.time() - began < 20
+    assert len(base) == 100_000 and [a for a, _, _ in found] == [k * len(line) + line.index("xkQz") for k in range(100_000)]
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["abcdefgh", " ", "AKIA" + "Q" * 14, "token=abcdefghij", "0" * 9, "f" * 33, "'"]) for _ in range(12))
+        base = sorted(secrets.base_spans(text))
+        want = [(m.start(), 3, m.end()) for m in secrets.RUN.finditer(text)
+                if not secrets.IDENTIFIER.fullmatch(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert secrets.random_spans(text, base, count, 2.2) == want
