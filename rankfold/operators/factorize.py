@@ -4,59 +4,146 @@ Factor frames are ``(id BIGINT, f ARRAY<DOUBLE>)`` of length r.
 
 A weighted ALS half-step solves, for every row i independently,
     min_u  sum_j w_ij (val_ij - u·v_j)^2 + λ‖u‖²
-i.e. (Σ w v vᵀ + λI) u = Σ w val v.  The r(r+1)/2 Gram sums and the r
-right-hand sums are plain ``sum`` aggregates over ``groupBy(i)`` (partial
-aggregation map-side, so a row with many samples is never gathered in one
-place); only the r x r solves run in Python, batched with numpy over Arrow
-record batches (``mapInPandas``).  Singular systems (λ = 0 and fewer than r
-samples) get the least-norm solution.
+i.e. (Σ w v vᵀ + λI) u = Σ w val v.
+
+The observed cells are blocked once by i and once by j (:func:`blocks`) and stay where they are for all rounds.  A
+routing table names the blocks that use a factor, and a half-step ships each factor to those blocks only, where numpy
+forms the r x r sums of every row.  A row with many samples is spread over several blocks, whose sums are then added.
+Singular systems (λ = 0 and fewer than r samples) get the least-norm solution.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import Rounds, ship_package
+from rankfold.session import Rounds, ensure_checkpoint_dir, ship_package
 
 FACTOR_SCHEMA = "id bigint, f array<double>"
 
 
-def _gram_aggs(rank: int):
-    aggs = []
-    for a in range(rank):
-        for b in range(a, rank):
-            aggs.append(F.sum(F.col("w") * F.get("f", a) * F.get("f", b)).alias(f"g{a}_{b}"))
-    for a in range(rank):
-        aggs.append(F.sum(F.col("w") * F.col("val") * F.get("f", a)).alias(f"h{a}"))
-    return aggs
+#: Cells of a block, about; one task holds one block at a time.
+BLOCK_CELLS = 500_000
+
+
+@dataclass
+class Blocks:
+    """``cells``: (block, i, j, val, w), bucketed by block; ``routes``: (id, to), the blocks that use a factor of the other side, bucketed by id; ``split``: some row lies in
+    several blocks."""
+
+    cells: DataFrame
+    routes: DataFrame
+    split: bool
+
+    names: tuple[str, str]
+
+    def release(self) -> None:
+        """Forget the tables; their files stay in the checkpoint folder for frames that still read them."""
+        for name in self.names:
+            self.cells.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _solver(rank: int, lam: float):
+def blocks(observed: DataFrame, own: str = "i", other: str = "j", block_cells: int = BLOCK_CELLS) -> Blocks:
+    """The observed cells by blocks of ``own``, with the routing table of the factors of ``other``.
+
+    A row with more than half a block's cells is dealt to several blocks by a hash of ``other``.
+    """
+    from rankfold.operators.skew import hot_keys, salt_table
+
+    cells = observed.select(F.col(own).cast("bigint").alias("i"), F.col(other).cast("bigint").alias("j"),
+                            F.col("val").cast("double").alias("val"), F.col("w").cast("double").alias("w"))
+    least = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, math.ceil(observed.count() / block_cells))
+    hot = hot_keys(cells, "i", n, max(1, block_cells // 2))
+    spread = F.lit(0).cast("bigint")
+    if hot:  # at most one row per block
+        cells = cells.join(F.broadcast(salt_table(observed.sparkSession, "i", hot)), "i", "left")
+        spread = F.coalesce(F.pmod(F.xxhash64("j"), F.col("_nsalt")), F.lit(0)).cast("bigint")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("i") + spread, F.lit(n)).cast("int")).select("block", "i", "j", "val", "w")
+    cells, c_name = _bucketed(cells, "block", n)
+    routes, r_name = _bucketed(cells.select(F.col("j").alias("id"), F.col("block").alias("to")).distinct(), "id", n)
+    return Blocks(cells, routes, bool(hot), (c_name, r_name))
+
+
+def _bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
+    """``df`` written below the checkpoint folder in n buckets of ``key``: later steps find it lying by that key.
+
+    A persisted or checkpointed frame would not do, as adaptive execution forgets how it is partitioned.
+    """
+    spark = df.sparkSession
+    name = f"rankfold_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _solved(ids: np.ndarray, g: np.ndarray, h: np.ndarray, lam: float) -> pa.Table:
+    """Factors from the sums g (n, r, r) and h (n, r)."""
+    r = h.shape[1]
+    if r == 1:
+        den = g[:, 0, 0] + lam
+        x = np.where(den != 0, h[:, 0] / np.where(den != 0, den, 1.0), 0.0)[:, None]
+    else:
+        x = np.einsum("nij,nj->ni", np.linalg.pinv(g + lam * np.eye(r)[None], hermitian=True), h) if len(ids) else h
+    return pa.table({"id": pa.array(ids, pa.int64()), "f": _lists(x)})
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    n, r = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * r), pa.array(rows.ravel()))
+
+
+def _block_sums(rank: int):
+    """Of a block's cells and the factors shipped to it: the rows' ids and sums."""
+    def sums(cells: pa.Table, shipped: pa.Table):
+        i, j, val, w = (cells.column(n).to_numpy() for n in ("i", "j", "val", "w"))
+        known = shipped.column("id").to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        f = shipped.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)[order]
+        at = np.minimum(np.searchsorted(known, j), max(0, len(known) - 1))
+        ok = known[at] == j if len(known) else np.zeros(len(j), dtype=bool)
+        i, val, w, f = i[ok], val[ok], w[ok], f[at[ok]]
+        ids, code = np.unique(i, return_inverse=True)
+        g, h = np.zeros((len(ids), rank, rank)), np.zeros((len(ids), rank))
+        for a in range(rank):
+            wf = w * f[:, a]
+            h[:, a] = np.bincount(code, wf * val, len(ids))
+            for b in range(a, rank):
+                g[:, a, b] = g[:, b, a] = np.bincount(code, wf * f[:, b], len(ids))
+        return ids, g, h
+    return sums
+
+
+def half_step(by: Blocks, other: DataFrame, rank: int, lam: float = 0.0) -> DataFrame:
+    """H2 on blocked cells: factors of the blocks' rows given ``other`` (id, f).  Only factors are exchanged, and the
+    sums of rows where some row lies in several blocks."""
+    ship_package(other.sparkSession)
+    shipped = by.routes.join(other, "id").select("to", "id", "f")
+    met = by.cells.groupBy("block").cogroup(shipped.groupBy("to"))
+    sums = _block_sums(rank)
+    if not by.split:
+        return met.applyInArrow(lambda cells, f: _solved(*sums(cells, f), float(lam)), FACTOR_SCHEMA)
+    n = rank * rank + rank
+
+    def partial(cells: pa.Table, f: pa.Table) -> pa.Table:
+        ids, g, h = sums(cells, f)
+        return pa.table({"id": pa.array(ids, pa.int64()), "s": _lists(np.concatenate([g.reshape(len(ids), -1), h], axis=1))})
+
+    added = met.applyInArrow(partial, FACTOR_SCHEMA.replace("f ", "s ")).groupBy("id").agg(F.array(*[F.sum(F.get("s", k)) for k in range(n)]).alias("s"))
+
     def solve(batches):
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            g = np.zeros((n, rank, rank))
-            for a in range(rank):
-                for b in range(a, rank):
-                    v = pdf[f"g{a}_{b}"].to_numpy(dtype=float)
-                    g[:, a, b] = v
-                    g[:, b, a] = v
-            h = np.stack([pdf[f"h{a}"].to_numpy(dtype=float) for a in range(rank)], axis=1)
-            if rank == 1:
-                den = g[:, 0, 0] + lam
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    x = np.where(den != 0, h[:, 0] / den, 0.0)[:, None]
-            else:
-                g = g + lam * np.eye(rank)[None, :, :]
-                x = np.einsum("nij,nj->ni", np.linalg.pinv(g, hermitian=True), h)
-            yield pd.DataFrame({"id": pdf["i"].to_numpy(dtype="int64"), "f": list(x)})
-    return solve
+        for b in batches:
+            s = b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            yield from _solved(b.column("id").to_numpy(), s[:, :rank * rank].reshape(-1, rank, rank), s[:, rank * rank:], float(lam)).to_batches()
+
+    return added.mapInArrow(solve, FACTOR_SCHEMA)
 
 
 def wals_half_step(observed: DataFrame, other: DataFrame, rank: int, lam: float = 0.0) -> DataFrame:
@@ -65,11 +152,7 @@ def wals_half_step(observed: DataFrame, other: DataFrame, rank: int, lam: float
     ``observed`` is (i, j, val, w).  Rows i with no sample get no factor
     (factor_matrix fills zeros), as the closed form gives 0 there.
     """
-    ship_package(observed.sparkSession)
-    fo = other.select(F.col("id").alias("j"), "f")
-    t = observed.select("i", "j", "val", "w").join(fo, "j")
-    g = t.groupBy("i").agg(*_gram_aggs(rank))
-    return g.mapInPandas(_solver(rank, float(lam)), FACTOR_SCHEMA)
+    return half_step(blocks(observed), other, rank, lam)
 
 
 def random_init(ids: DataFrame, rank: int, seed: int, id_col: str = "id") -> DataFrame:
@@ -112,19 +195,23 @@ def wals(observed: DataFrame, v_ids: DataFrame, rank: int, iters: int = 10, lam:
          seed: int = 0, checkpoint_every: int = 4):
     """H3: alternate u and v for ``iters`` rounds from a random orthonormal v.
 
-    Each half-step is persisted and every ``checkpoint_every``-th one is a
-    reliable checkpoint (session.Rounds): the plan stays a few rounds deep
-    and a lost executor redoes at most those rounds.  Returns (u, v).
+    The cells are exchanged twice, into blocks by i and by j; the rounds
+    exchange factors only.  Each half-step is persisted and every
+    ``checkpoint_every``-th one is a reliable checkpoint (session.Rounds):
+    the plan stays a few rounds deep and a lost executor redoes at most
+    those rounds.  Returns (u, v).
     """
     rounds = Rounds(checkpoint_every)
-    obs_t = observed.select(F.col("j").alias("i"), F.col("i").alias("j"), "val", "w")
+    by_i, by_j = blocks(observed, "i", "j"), blocks(observed, "j", "i")
     v = rounds.keep(random_init(v_ids, rank, seed))
     u = None
     for _ in range(iters):
-        u = rounds.keep(wals_half_step(observed, v, rank, lam))
-        v = rounds.keep(wals_half_step(obs_t, u, rank, lam))
+        u = rounds.keep(half_step(by_i, v, rank, lam))
+        v = rounds.keep(half_step(by_j, u, rank, lam))
     if u is None:
-        u = rounds.keep(wals_half_step(observed, v, rank, lam))
+        u = rounds.keep(half_step(by_i, v, rank, lam))
+    by_i.release()
+    by_j.release()
     return u, v
 
 

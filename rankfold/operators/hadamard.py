@@ -260,7 +260,7 @@ def chunk_norms(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("mat", "col").agg(F.sum(square).alias("norm2"))
 
 
-def _chunk_batches(coords: list[int], size: int, seed: int, d: int, scale: float):
+def _chunk_batches(coords: list[int], size: int, seed: int, scale: float):
     """Chunks to sums of k numbers, one row for the chunks of a column that follow each other."""
     def run(batches):
         h = np.array(coords, dtype=np.int64)
@@ -268,7 +268,7 @@ def _chunk_batches(coords: list[int], size: int, seed: int, d: int, scale: float
 
         @lru_cache(maxsize=max(1, (1 << 23) // size))  # 64 MB of signs
         def signs(chunk):
-            rows = range(chunk * size, min(d, (chunk + 1) * size))
+            rows = range(chunk * size, (chunk + 1) * size)
             # the hash is in its upper half if and only if its first bit is set
             return np.array([1.0 if hashlib.md5(f"{seed}:sign:{r}".encode()).digest()[0] > 127 else -1.0 for r in rows])
 
@@ -313,13 +313,17 @@ def _add_up(scale: float):
     return run
 
 
-def sketch_chunks(chunks: DataFrame, d: int, coords: list[int], seed: int, n: int, size: int) -> DataFrame:
-    """(mat, col, sk[k], norm2) of chunked columns of length d, padded to n; chunks hold ``size`` rows, a power of two.
+def sketch_chunks(chunks: DataFrame, coords: list[int], seed: int, n: int, size: int) -> DataFrame:
+    """(mat, col, sk[k], norm2) of chunked columns, padded to length n; chunks hold ``size`` rows, a power of two.
 
-    Chunks of a column that lie together are added up before the exchange, which moves k numbers for each.
+    Chunks of a column that lie together are added up before the exchange, which moves k numbers for each.  Columns of
+    one chunk aren't exchanged.
     """
     if size & (size - 1) or size > n:
         raise ValueError(f"chunks of {size} rows: not a power of two up to {n}")
     ship_package(chunks.sparkSession)
-    parts = chunks.select("mat", "col", "chunk", "vec").mapInArrow(_chunk_batches(coords, size, seed, d, 1.0), WIDE)
-    return parts.repartition("mat", "col").sortWithinPartitions("mat", "col").mapInArrow(_add_up(1.0 / math.sqrt(len(coords))), WIDE)
+    scale = 1.0 / math.sqrt(len(coords))
+    parts = chunks.select("mat", "col", "chunk", "vec").mapInArrow(_chunk_batches(coords, size, seed, scale if size == n else 1.0), WIDE)
+    if size == n:
+        return parts
+    return parts.repartition("mat", "col").sortWithinPartitions("mat", "col").mapInArrow(_add_up(scale), WIDE)

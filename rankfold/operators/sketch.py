@@ -141,7 +141,7 @@ CHUNK = 4096
 
 def srht_sketch_chunks(chunks: DataFrame, d: int, coords: list[int], seed: int, size: int = CHUNK) -> DataFrame:
     """(mat, col, chunk, vec) -> (mat, col, sk[k], norm2); ``size``: rows of a chunk, a power of two."""
-    return HD.sketch_chunks(chunks, d, coords, seed, max(padded_length(d), size), size)
+    return HD.sketch_chunks(chunks, coords, seed, max(padded_length(d), size), size)
 
 
 def srht_sketch_vecs(vecs: DataFrame, d: int, coords: list[int], seed: int, size: int = CHUNK) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import py_sign
+from rankfold.operators import factorize as FZ
 from rankfold.operators import hadamard as HD
 from rankfold.operators import product as P
 from rankfold.operators import sketch as K
@@ -134,3 +135,45 @@ def test_sketches_move_once_per_tile(spark):
     lines, columns = T.grid(40, 40, 16, 8)
     rows = T.tiled_dots(samples, vecs, 16, (lines, columns))
     assert rows.count() == 1600 and 40 * columns + 40 * lines < 2 * 1600
+
+
+def als_case(spark):
+    rng = np.random.default_rng(0)
+    u, v = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
+    m = u @ v.T
+    cells = [(i, j, float(m[i, j]), float(1 + (i + j) % 3)) for i in range(40) for j in range(30) if i == 3 or rng.random() < 0.5]
+    observed = spark.createDataFrame(cells, "i bigint, j bigint, val double, w double").repartition(5)
+    other = spark.createDataFrame([(j, v[j].tolist()) for j in range(25)], "id bigint, f array<double>")  # some have no factor
+    want = {}
+    for i in range(40):
+        g, h = 0.1 * np.eye(3), np.zeros(3)
+        for a, j, x, w in cells:
+            if a == i and j < 25:
+                g += w * np.outer(v[j], v[j])
+                h += w * x * v[j]
+        want[i] = np.linalg.solve(g, h)
+    return observed, other, want, m
+
+
+@pytest.mark.parametrize("cells, split", [(500_000, False), (12, True)])
+def test_half_step_on_blocks(spark, cells, split):
+    observed, other, want, _ = als_case(spark)
+    by = FZ.blocks(observed, "i", "j", cells)
+    assert by.split == split
+    step = FZ.half_step(by, other, 3, 0.1)
+    got = {r.id: np.array(r.f) for r in step.collect()}
+    assert set(got) == set(want)
+    for i, f in want.items():
+        np.testing.assert_allclose(got[i], f, atol=1e-9)
+    plan = step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(block" not in plan and "Exchange hashpartitioning(to" in plan
+    by.release()
+
+
+def test_als_on_blocks_finds_the_factors(spark):
+    observed, _, _, m = als_case(spark)
+    u, v = FZ.wals(observed, spark.range(30), 3, iters=12)
+    uu, vv = ({r.id: np.array(r.f) for r in x.collect()} for x in (u, v))
+    assert max(abs(uu[i] @ vv[j] - m[i, j]) for i in range(40) for j in range(30)) < 0.02
+    none = observed.where("i < 0")
+    assert FZ.wals_half_step(none, v, 3).collect() == []
