@@ -27,7 +27,7 @@ role and then text, repeated rows stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -71,43 +71,42 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """
     c = lambda name: F.col(f"`{name}`")
     parts = F.coalesce(c(parts_col).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
-    rows = turns.select(c(conv_col).alias("conv_id"), F.struct(
-        c(turn_col).alias("turn"), F.coalesce(c(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    # the visitor: attachments of all turns in order, then each turn's content with its placeholders
-    attached = F.flatten(F.transform("turns", lambda t, i: F.transform(
-        F.filter(t["parts"], _is_attachment), lambda p: F.struct(
-            i.alias("turn_index"), p["type"].alias("type"), p["ref"].alias("ref"),
-            _tokens(p, patch, audio_rate, page_tokens).alias("n_tokens")))))
-    grouped = grouped.withColumn("attached", attached)
-    before = lambda i: F.size(F.filter("attached", lambda a: a["turn_index"] < i))
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("k"))
-    content = lambda t, i: F.aggregate(t["parts"], empty, lambda acc, p: F.struct(
-        F.concat(acc["text"], F.when(_is_attachment(p), F.concat(
-            F.lit("<|"), p["type"], F.lit(":"), (before(i) + acc["k"]).cast("string"), F.lit("|>")))
-            .otherwise(escape(F.coalesce(p["text"], F.lit(""))))).alias("text"),
+    rows = turns.select(c(conv_col).alias("conv_id"), c(turn_col).alias("turn"),
+                        F.coalesce(c(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
+    # running sums over a conversation's turns: the attachments and the characters before each
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.filter("parts", _is_attachment)).select(
+        "conv_id", "role", "parts", "own", (F.row_number().over(order) - 1).alias("turn_index"),
+        F.coalesce(F.sum(F.size("own")).over(before), F.lit(0)).cast("int").alias("k"))
+
+    # the visitor: each turn's content with its placeholders, and what these stand for
+    empty = F.struct(F.lit("").alias("text"), F.col("k").alias("k"))
+    content = F.aggregate("parts", empty, lambda acc, p: F.struct(
+        F.concat(acc["text"], F.when(_is_attachment(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), acc["k"].cast("string"), F.lit("|>")))
+                 .otherwise(escape(F.coalesce(p["text"], F.lit(""))))).alias("text"),
         (acc["k"] + _is_attachment(p).cast("int")).alias("k")))["text"]
-    simple = lambda t: F.concat_ws("", F.transform(t["parts"], lambda p: escape(F.coalesce(p["text"], F.lit("")))))
-    grouped = grouped.withColumn("pieces", F.transform("turns", lambda t, i: F.struct(
-        t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"),
-        F.when(F.size("attached") == 0, simple(t)).otherwise(content(t, i)).alias("body"))))
-    # positions in code points, of each turn's head; the fold keeps numbers only
-    starts = F.aggregate("pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(
-        F.element_at(acc, -1) + F.char_length(p["head"]) + F.char_length(p["body"]) + len(END))))
-    grouped = grouped.withColumn("starts", starts)
-    mask = F.filter(F.transform("pieces", lambda p, i: F.when(p["role"] == "assistant", F.struct(
-        (F.get("starts", i) + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length")))),
-        lambda m: m.isNotNull())
+    simple = F.concat_ws("", F.transform("parts", lambda p: escape(F.coalesce(p["text"], F.lit("")))))
+    attached = F.transform("own", lambda p, i: F.struct(
+        (F.col("k") + i).alias("k"), F.col("turn_index").alias("turn_index"), p["type"].alias("type"), p["ref"].alias("ref"),
+        F.concat(F.lit("<|"), p["type"], F.lit(":"), (F.col("k") + i).cast("string"), F.lit("|>")).alias("placeholder"),
+        _tokens(p, patch, audio_rate, page_tokens).alias("n_tokens")))
+    rows = rows.select("conv_id", "turn_index", "role", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"),
+                       F.when(F.size("own") == 0, simple).otherwise(content).alias("body"), attached.alias("attached"))
+    size = F.char_length("head") + F.char_length("body") + len(END)
+    by_turn = Window.partitionBy("conv_id").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(by_turn), F.lit(0)).cast("long"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn_index", "start", "role", "head", "body", "attached"))).alias("pieces"))
+
+    # positions in code points
+    mask = F.transform(F.filter("pieces", lambda p: p["role"] == "assistant"), lambda p: F.struct(
+        (p["start"] + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length")))
+    grouped = grouped.withColumn("attachments", F.flatten(F.transform("pieces", lambda p: p["attached"])))
     return grouped.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        "conv_id", F.size("pieces").cast("long").alias("n_turns"),
         F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END)))).alias("formatted"),
-        mask.alias("loss_mask"),
-        F.transform("attached", lambda a, k: F.struct(
-            k.alias("k"), a["turn_index"].alias("turn_index"), a["type"].alias("type"), a["ref"].alias("ref"),
-            F.concat(F.lit("<|"), a["type"], F.lit(":"), k.cast("string"), F.lit("|>")).alias("placeholder"),
-            a["n_tokens"].alias("n_tokens"))).alias("attachments"),
-        F.aggregate("attached", F.lit(0).cast("long"), lambda acc, a: acc + a["n_tokens"]).alias("expanded_tokens"))
+        mask.alias("loss_mask"), "attachments",
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda acc, a: acc + a["n_tokens"]).alias("expanded_tokens"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -125,7 +124,7 @@ def read_loss(formatted: Column, mask: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and the attachments' counts, read from the output."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read from the output."""
     read = formatted.withColumn("back", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_mask")))
     return read.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"),

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,22 @@ def test_typed_parts(spark):
 def test_no_python_in_the_plan(spark):
     plan = chat.digests(chat.format_chat(turns(spark, [(1, 0, "user", "x")]).coalesce(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_turns_of_one_conversation(spark):
+    """Offsets and placeholder numbers are running sums: 20,000 turns take seconds."""
+    n = 20_000
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text [INST] "), F.col("id").cast("string")).alias("text"))
+    parts = F.when(F.col("turn") % 4 == 0, F.concat(chat.text_parts(F.col("text")), F.transform(
+        chat.text_parts(F.col("text")), lambda p: p.withField("type", F.lit("image"))))).otherwise(chat.text_parts(F.col("text")))
+    began = time.time()
+    out = chat.format_chat(turns.withColumn("parts", parts)).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_mask")))
+    r = out.select("n_turns", F.size("loss_mask").alias("masks"), F.col("attachments.k").alias("k"), F.col("attachments.turn_index").alias("at"),
+                   F.col("formatted"), F.element_at("loss_mask", -1).alias("last")).first()
+    assert time.time() - began < 60
+    assert (r.n_turns, r.masks) == (n, n // 2)
+    assert list(r.k) == list(range(n // 4)) and list(r["at"]) == list(range(0, n, 4))
+    end = r.formatted[r.last.start:r.last.start + r.last.length]
+    assert end == f"text [\\INST] {n - 1}" and f"{n - 4}<|image:{n // 4 - 1}|>" in r.formatted
