@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
+from rankfold.llm.common import discard, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
 from rankfold.llm.components import components
 
 K = 256
@@ -251,5 +251,7 @@ def drop_near_duplicates(docs: DataFrame, threshold_percent: int = 80, k: int =
     Rows that repeat id and text are one document.  Rows with a null id are compared with nothing but
     their own repetitions and stay.
     """
-    gone = near_duplicates(docs, threshold_percent, k, id_col, text_col).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
+    name = free_name(docs, "_gone")
+    near = near_duplicates(docs, threshold_percent, k, id_col, text_col)
+    gone = near.where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti").dropDuplicates([id_col, text_col])

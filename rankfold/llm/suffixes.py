@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import WORD_PATTERN, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
+from rankfold.llm.common import WORD_PATTERN, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
 
 MIN_WORDS, GRAM = 50, 8
 SEEN = 500_000
@@ -245,15 +245,16 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM,
     Rows with the same id are cut alike where their words agree (as one document); where an id has
     several different texts, spans can't be told apart and the id's texts are left whole.
     """
+    key, found_col = free_name(docs, "_key"), free_name(docs, "_spans")
     spans = repeated_passages(docs, min_words, gram, id_col, text_col).where("removed")
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(found_col))
     texts = id_and_text(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
     lists = lists.join(texts.where("a <> b").select("doc_id"), "doc_id", "left_anti")
-    joined = docs.join(lists.withColumnRenamed("doc_id", "_key"), F.col(f"`{id_col}`").cast("long") == F.col("_key"), "left")
+    joined = docs.join(lists.withColumnRenamed("doc_id", key), F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
 
     @F.udf("string")
     def cut(text, found):  # is called for rows without spans too
         return cut_words(text, [(s["start"], s["end"]) for s in found or ()])
 
-    new = cut(F.col(f"`{text_col}`").cast("string"), "_spans")
+    new = cut(F.col(f"`{text_col}`").cast("string"), found_col)
     return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -65,3 +65,22 @@ def test_near_dedup_stage_takes_copies_from_080_on(spark, tmp_path):
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
     wanted = {i for i, _, _, kept in brute(rows, 80) if kept}
     assert got == wanted and wanted < {i for i, _, _, kept in brute(rows, 85) if kept}
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark, tmp_path):
+    rng = random.Random(2)
+    passage = " ".join(f"p{rng.randrange(10 ** 6)}" for _ in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30)) + (" " + passage if i < 2 else "")) for i in range(8)]
+    rows += [(20, rows[3][1]), (None, rows[4][1]), (None, None), (21, "")]
+    names = ["_gone", "_gone_", "_key", "_SPANS", "_words", "cls", "kept"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *names) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        assert after.columns == docs.columns
+        docs = after
+    got = docs.collect()
+    assert all(tuple(r[n] for n in names) == tuple(names) for r in got)
+    assert sorted(str(r.doc_id) for r in got) == sorted(["0", "1", "2", "3", "4", "5", "6", "7", "None", "None", "21"])
+    assert sum(passage in (r.text or "") for r in got) == 1
