@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm import minhash, packing, queries, secrets, suffixes, toxicity
-from rankfold.llm.common import stored, table
+from rankfold.llm.common import free_name, stored, table
 
 
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that have stood before out of the texts; drops documents of which nothing is left."""
-    cut = suffixes.drop_repeats(docs.withColumn("_words", F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    left = cut.where(~F.coalesce("_words", F.lit(False)) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    had_words = free_name(docs, "_words")
+    cut = suffixes.drop_repeats(docs.withColumn(had_words, F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    left = cut.where(~F.coalesce(had_words, F.lit(False)) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _counted(docs, left)
 
 
