@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -74,3 +75,31 @@ def test_query_encodes_and_decodes_whole_documents(spark, tmp_path, monkeypatch)
         assert all(r.n_pieces == (None if r.ids is None else len(r.ids)) for r in out)
     plan = queries.op4_sentencepiece(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_long_words_take_linear_work(docs_of):
+    """Words of 100,000 characters, known, unknown and mixed, in blocks: the same as the library, in seconds."""
+    library = unigram.library_model(PATH)
+    rng = random.Random(9)
+    rows = [(1, "ab" * 50_000), (2, "\U0001f600\t" * 300 + "x" * 99_400), (3, "".join(rng.choice("aeinorst漢\x01'") for _ in range(100_000)) + " and more")]
+    began = time.time()
+    got = {r.doc_id: (r.ids, r.decodes) for r in lattice.encode_documents(docs_of(rows), PATH).collect()}
+    assert time.time() - began < 90
+    assert got == {i: (library.encode(t), True) for i, t in rows}
+    words = {r.word: r.ids for r in lattice.encode_vocabulary(docs_of(rows[:1]), PATH).collect()}
+    assert words == {rows[0][1]: library.encode(rows[0][1])}
+
+
+def test_words_around_block_edges(docs_of):
+    library = unigram.library_model(PATH)
+    rows = [(n, ("international" * 60)[:n]) for n in range(lattice.BLOCK - 18, lattice.BLOCK + 18)] + [(n, "é漢" * (n // 2)) for n in range(508, 516)]
+    got = {r.doc_id: r.ids for r in lattice.encode_documents(docs_of(rows), PATH).collect()}
+    assert got == {i: library.encode(t) for i, t in rows}
+
+
+def test_texts_are_exchanged_once(docs_of):
+    """Rare words are encoded in the partitions of their documents: one exchange by document, used twice."""
+    out = lattice.encode_documents(docs_of([(1, "a rare word")] * 2), PATH)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges), exchanges
