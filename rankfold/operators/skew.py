@@ -86,12 +86,16 @@ def hot_keys_many(df: DataFrame, keys: list[str], parts: int | None = None,
 def hot_products(left: DataFrame, right: DataFrame, key: str, parts: int | None = None,
                  min_pairs: int = DEFAULT_MIN_ROWS) -> list:
     """[(key value, lines, columns)] for keys whose pairs are more than a
-    task's fair share of all pairs.  At most ``parts`` keys."""
+    task's fair share of all pairs.  At most ``parts`` keys.  Both sides are
+    read once, and again only where there is such a key."""
     parts = parts or _parts(left)
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(
-        right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key).withColumn("_w", F.col("_l").cast("double") * F.col("_r"))
-    total = counts.agg(F.sum("_w")).first()[0] or 0.0
-    share = max(float(min_pairs), total / parts)
+    ones = lambda df, l, r: df.select(key, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    counts = ones(left, 1, 0).unionAll(ones(right, 0, 1)).groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")) \
+        .where(F.col(key).isNotNull() & (F.col("_l") > 0) & (F.col("_r") > 0)).withColumn("_w", F.col("_l").cast("double") * F.col("_r"))
+    total, most = counts.agg(F.sum("_w"), F.max("_w")).first()
+    share = max(float(min_pairs), (total or 0.0) / parts)
+    if (most or 0.0) <= share:  # the usual case: both sides have been read once
+        return []
     out = []
     for r in counts.where(F.col("_w") > share).limit(parts + 1).collect():
         pieces = math.ceil(r["_w"] / share)
