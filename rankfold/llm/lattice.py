@@ -180,7 +180,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     Texts are exchanged once, by document.  Frequent words are encoded beforehand and broadcast (a bounded number
     of bytes); the others are encoded where they stand, and all lists are put together in the same partitions,
-    so no word is exchanged.
+    so besides only each task's distinct words are exchanged, to count them.  Rows with the same id and text meet in one
+    task, which reads them as a stream and keeps one.
     """
     spark = docs.sparkSession
     given = id_and_text(docs, id_col, text_col)
