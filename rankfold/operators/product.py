@@ -54,22 +54,26 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
       short, e.g. orders with a few lines).
     * 'auto': the cheapest of the three by those counts (choose_plan).
 
-    Hot keys of the first join are salted (their cells spread over
-    sub-keys, the other side replicated).  The result is left-joined back
-    to the samples so cells whose value is 0 stay observed.
+    Both sides pass a Bloom sieve of the sampled columns first, so that cells
+    of other columns are dropped where they are scanned.  Hot keys of both
+    joins are salted (their cells spread over sub-keys, the other side
+    replicated): hot columns in the first, hot rows in the second, where a
+    (row, j) meets at most as many cells as the row has on the first side.
+    The result is left-joined back to the samples so cells whose value is 0
+    stay observed.
     """
-    from rankfold.operators.skew import grid_join, hot_keys, hot_products, salted_join
+    from rankfold.operators.skew import grid_join, hot_keys_many, hot_products, salted_join
 
-    if first == "auto":
-        first = choose_plan(cells, samples)
-    a, b = split(cells)
     s = samples.select("i", "j")
+    a, b = sampled_sides(cells, s)
+    if first == "auto":
+        first = choose_plan(a, b, s)
     if first == "A":
-        hot = hot_keys(a, "i", min_rows=min_rows) if detect_skew else []
-        part = salted_join(a, s, ["i"], "i", hot, "row").join(b, ["row", "j"])
+        hot = hot_keys_many(a, ["i", "row"], min_rows=min_rows) if detect_skew else {"i": [], "row": []}
+        part = salted_join(salted_join(a, s, ["i"], "i", hot["i"], "row"), b, ["row", "j"], "row", hot["row"], "i")
     elif first == "B":
-        hot = hot_keys(b, "j", min_rows=min_rows) if detect_skew else []
-        part = salted_join(b, s, ["j"], "j", hot, "row").join(a, ["row", "i"])
+        hot = hot_keys_many(b, ["j", "row"], min_rows=min_rows) if detect_skew else {"j": [], "row": []}
+        part = salted_join(salted_join(b, s, ["j"], "j", hot["j"], "row"), a, ["row", "i"], "row", hot["row"], "j")
     elif first == "rows":
         hot = hot_products(a, b, "row", min_pairs=min_rows) if detect_skew else []
         part = grid_join(a, b, "row", "i", "j", hot).drop("_line", "_column").join(s, ["i", "j"])
@@ -79,18 +83,23 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
     return samples.join(dots, ["i", "j"], "left").withColumn("val", F.coalesce(F.col("val"), F.lit(0.0)))
 
 
-def choose_plan(cells: DataFrame, samples: DataFrame) -> str:
+def sampled_sides(cells: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A's cells (row, i, a) and B's (row, j, b) of the sampled columns, but for a few others that a sieve lets through."""
+    from rankfold.operators.sieve import sieved
+
+    a, b = split(cells)
+    return sieved(a, "i", samples), sieved(b, "j", samples)
+
+
+def choose_plan(a: DataFrame, b: DataFrame, samples: DataFrame) -> str:
     """Pick value_exact's plan from three work estimates (two small
     aggregate jobs; only three numbers reach the driver)."""
-    a, b = split(cells)
     nnz_a = a.groupBy("i").agg(F.count(F.lit(1)).alias("na"))
     nnz_b = b.groupBy("j").agg(F.count(F.lit(1)).alias("nb"))
-    s = samples.select("i", "j")
-    est = s.join(nnz_a, "i", "left").join(nnz_b, "j", "left").agg(
+    est = samples.join(nnz_a, "i", "left").join(nnz_b, "j", "left").agg(
         F.sum(F.coalesce("na", F.lit(0))).alias("ca"), F.sum(F.coalesce("nb", F.lit(0))).alias("cb")).first()
-    per_row = cells.groupBy("row").agg(
-        F.sum(F.when(F.col("mat") == "A", 1).otherwise(0)).alias("ra"),
-        F.sum(F.when(F.col("mat") == "B", 1).otherwise(0)).alias("rb"))
+    ones = lambda df, l, r: df.select("row", F.lit(l).alias("ra"), F.lit(r).alias("rb"))
+    per_row = ones(a, 1, 0).unionAll(ones(b, 0, 1)).groupBy("row").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb"))
     cr = per_row.agg(F.sum(F.col("ra").cast("double") * F.col("rb"))).first()[0] or 0.0
     costs = {"A": float(est["ca"] or 0), "B": float(est["cb"] or 0), "rows": float(cr)}
     return min(costs, key=costs.get)

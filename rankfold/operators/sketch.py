@@ -22,6 +22,7 @@ from rankfold.functions import arrays as AR
 from rankfold.functions.hashing import gaussian, py_uniform, sign
 from rankfold.operators import hadamard as HD
 from rankfold.operators import tiles as T
+from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys, salted_join
 
 
 # ---------------------------------------------------------------------------
@@ -107,16 +108,39 @@ def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms
     return wide.select("mat", "col", F.posexplode(F.concat(F.array("norm2"), "sk")).alias("t", "s")).withColumn("t", F.col("t") - 1)
 
 
-def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int, with_norms: bool = False) -> DataFrame:
-    """T = randn(k, d)/√k applied to every column; T[t, r] is hashed from
-    (seed, t, r) on the fly and never stored.  with_norms adds the exact
-    squared column norm as t = -1 from the same scan."""
-    e = cells.select("mat", "col", "row", "val", F.explode(F.sequence(F.lit(-1 if with_norms else 0), F.lit(k - 1))).alias("t"))
-    term = gaussian(seed, "jl", F.col("t"), F.col("row")) * F.col("val")
+#: Coordinates of one slice of a Gaussian sketch: that many sums stand in one aggregation.
+SLICE = 16
+
+
+def gaussian_rows(cells: DataFrame, k: int, seed: int) -> DataFrame:
+    """(row, g[k]): the column T[:, row]·√k for every row that has a cell, drawn once per row."""
+    return cells.select("row").distinct().withColumn(
+        "g", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: gaussian(seed, "jl", t, F.col("row"))))
+
+
+def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int, with_norms: bool = False,
+                          min_rows: int = DEFAULT_MIN_ROWS) -> DataFrame:
+    """T = randn(k, d)/√k applied to every column.  T[t, r] is a hash of
+    (seed, t, r), drawn once per row (d·k draws, whatever the number of
+    cells) and joined to the row's cells; a hot row's cells are spread over
+    sub-keys.  A cell then makes k/16 rows of 16 products, summed before
+    the exchange by column.  with_norms adds the exact squared column norm
+    as t = -1 from the same scan."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    hot = hot_keys(cells, "row", min_rows=min_rows)
+    met = salted_join(cells, gaussian_rows(cells, k, seed), ["row"], "row", hot, "col")
+    slices = -(-k // SLICE)
+    first = F.col("slice") * SLICE
+    # coordinates past k (in the last slice) are null and fall out below
+    sums = [F.sum(F.get("g", first + c) * F.col("val")).alias(f"s{c}") for c in range(min(k, SLICE))]
+    norm = [F.sum(F.when(F.col("slice") == 0, F.col("val") * F.col("val"))).alias("norm2")] if with_norms else []
+    wide = met.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).groupBy("mat", "col", "slice").agg(*sums, *norm)
+    cells_t = [F.struct((first + c).alias("t"), (F.col(f"s{c}") / F.lit(math.sqrt(k))).alias("s")) for c in range(len(sums))]
     if with_norms:
-        term = F.when(F.col("t") < 0, F.col("val") * F.col("val")).otherwise(term)
-    return e.groupBy("mat", "col", "t").agg(F.sum(term).alias("s")) \
-        .withColumn("s", F.when(F.col("t") < 0, F.col("s")).otherwise(F.col("s") / F.lit(math.sqrt(k))))
+        cells_t.append(F.when(F.col("slice") == 0, F.struct(F.lit(-1).alias("t"), F.col("norm2").alias("s"))))
+    return wide.select("mat", "col", F.explode(F.array(*cells_t)).alias("e")).select("mat", "col", "e.t", "e.s") \
+        .where(F.col("t") < k)
 
 
 def sketch_wide(sketch_long: DataFrame, k: int) -> DataFrame:

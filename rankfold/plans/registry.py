@@ -36,7 +36,6 @@ SEED = 7
 RANK = 2
 SS = 2.0
 SKETCH_K = 16
-EMB_D = 64          # coordinates of an embedding
 HOURS = 24          # a user's vector of event values by hour of day: padded to 32
 POWER_ITERS = 5
 ALS_ITERS = 5
@@ -323,16 +322,22 @@ def q_pad_pow2(spark, sf_dir):
         .select("col", F.col("pos").cast("int").alias("pos"), rnd(F.col("val")).alias("val"))
 
 
-@register("hadamard_vectors", f"""
-WITH e AS (SELECT vec_id, unnest(embedding[1:{EMB_D}]) AS v, unnest(range({EMB_D})) AS r FROM embeddings)
+# the padded length of an embedding, from the data
+SQL_EMB_N = """
+npad AS (SELECT CAST(pow(2, ceil(log2(max(len(embedding))))) AS BIGINT) AS n FROM embeddings)"""
+
+
+@register("hadamard_vectors", with_(SQL_EMB_N) + f"""
+, e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS r FROM embeddings)
 SELECT CAST(vec_id AS BIGINT) AS col, CAST(h AS INTEGER) AS pos,
        ROUND(sum(v * (1 - 2 * (bit_count(CAST(h AS BIGINT) & CAST(r AS BIGINT)) % 2))), {DEC_FINE}) AS val
-FROM e, (SELECT unnest(range(64)) AS h) hh GROUP BY vec_id, h""")
+FROM e, (SELECT unnest(range(n)) AS h FROM npad) hh GROUP BY vec_id, h""")
 def q_hadamard_vectors(spark, sf_dir):
     from rankfold.functions.arrays import hadamard, pad_to
-    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
-    n = K.padded_length(EMB_D)
-    return v.select("col", F.posexplode(hadamard(pad_to(F.col("vec"), EMB_D, n), n)).alias("pos", "val")) \
+    v = X.embeddings_vecs(spark, sf_dir)
+    d = X.vector_width(v)
+    n = K.padded_length(d)
+    return v.select("col", F.posexplode(hadamard(pad_to(F.col("vec"), d, n), n)).alias("pos", "val")) \
         .select("col", F.col("pos").cast("int").alias("pos"), rnd(F.col("val"), DEC_FINE).alias("val"))
 
 
@@ -469,9 +474,9 @@ def q_gaussian_sketch(spark, sf_dir):
 def sql_emb_srht() -> str:
     sg = H.sql_sign(SEED, "sign", "e.r")
     return f"""
-npad AS (SELECT {K.padded_length(EMB_D)} AS n),
+{SQL_EMB_N.strip()},
 {sql_coords().strip()},
-e AS (SELECT vec_id, label, unnest(embedding[1:{EMB_D}]) AS v, CAST(unnest(range({EMB_D})) AS BIGINT) AS r FROM embeddings),
+e AS (SELECT vec_id, label, unnest(embedding) AS v, CAST(unnest(range(len(embedding))) AS BIGINT) AS r FROM embeddings),
 esk AS (
   SELECT CASE WHEN e.label < 5 THEN 'A' ELSE 'B' END AS mat, CAST(e.vec_id AS BIGINT) AS col, k.t,
          sum({sg} * (1 - 2 * (bit_count(k.h & e.r) % 2)) * e.v) * {1.0 / math.sqrt(SKETCH_K)!r} AS s
@@ -481,10 +486,10 @@ esk AS (
 
 @register("srht_sketch_vectors", with_(sql_emb_srht()) + f"SELECT mat, col, t, ROUND(s, {DEC_FINE}) AS s FROM esk")
 def q_srht_sketch_vectors(spark, sf_dir):
-    """B2+B3+B4+B5 as one projection (N = 64 is the data's width)."""
-    v = X.embeddings_vecs(spark, sf_dir, EMB_D)
-    n = K.padded_length(EMB_D)
-    sk = K.srht_sketch_vecs(v, EMB_D, K.pick_coords(SEED, n, SKETCH_K), SEED)
+    """B2+B3+B4+B5 as one projection (N follows the data's width)."""
+    v = X.embeddings_vecs(spark, sf_dir)
+    d = X.vector_width(v)
+    sk = K.srht_sketch_vecs(v, d, K.pick_coords(SEED, K.padded_length(d), SKETCH_K), SEED)
     return K.wide_to_long(sk).select("mat", "col", F.col("t").cast("int").alias("t"),
                                      rnd(F.col("s"), DEC_FINE).alias("s"))
 
@@ -692,16 +697,35 @@ def q_wals_half_step(spark, sf_dir):
     return u.select("id", rnd(F.get("f", 0)).alias("f"))
 
 
-@register("wals", sampling_ctes(SQL_OBSERVED, *sql_wals(ALS_ITERS)) + f"""
+SQL_WALS = sampling_ctes(SQL_OBSERVED, *sql_wals(ALS_ITERS)) + f"""
 SELECT 'u' AS side, id, CAST(0 AS INTEGER) AS k, ROUND(f, {DEC - 2}) AS val FROM u{ALS_ITERS}
-UNION ALL SELECT 'v' AS side, id, CAST(0 AS INTEGER) AS k, ROUND(f, {DEC_FINE - 2}) AS val FROM v{ALS_ITERS}""")
+UNION ALL SELECT 'v' AS side, id, CAST(0 AS INTEGER) AS k, ROUND(f, {DEC_FINE - 2}) AS val FROM v{ALS_ITERS}"""
+
+
+def _rounded_factors(u, v):
+    lu = _long_factor(u, "u").withColumn("val", rnd(F.col("val"), DEC - 2))
+    lv = _long_factor(v, "v").withColumn("val", rnd(F.col("val"), DEC_FINE - 2))
+    return lu.unionByName(lv)
+
+
+@register("wals", SQL_WALS)
 def q_wals(spark, sf_dir):
     """H3: rank-1 weighted ALS, ALS_ITERS rounds, λ = 0, unit weights."""
     c = _Ctx(spark, sf_dir)
+    return _rounded_factors(*FZ.wals(c.observed(), _ids(c.b_n, "j"), 1, ALS_ITERS, 0.0, SEED))
+
+
+@register("published_factors", SQL_WALS)
+def q_published_factors(spark, sf_dir):
+    """A3: the rank-1 factors written as a version in the shared folder and read back."""
+    from rankfold.session import ensure_checkpoint_dir
+    from rankfold.sources.sink import read_result, write_result
+    c = _Ctx(spark, sf_dir)
     u, v = FZ.wals(c.observed(), _ids(c.b_n, "j"), 1, ALS_ITERS, 0.0, SEED)
-    lu = _long_factor(u, "u").withColumn("val", rnd(F.col("val"), DEC - 2))
-    lv = _long_factor(v, "v").withColumn("val", rnd(F.col("val"), DEC_FINE - 2))
-    return lu.unionByName(lv)
+    root = f"{ensure_checkpoint_dir(spark)}/{_fresh('published')}"
+    number = write_result({"u": u, "v": v}, root, {"rank": 1, "iters": ALS_ITERS, "seed": SEED})
+    got = read_result(spark, root, number)
+    return _rounded_factors(got["u"], got["v"])
 
 
 @register("factor_matrix", sampling_ctes(SQL_OBSERVED, *sql_wals(0), sql_half("u1", "v0", "i", "j")) + f"""
@@ -1039,8 +1063,8 @@ def q_one_pass_lineitem(spark, sf_dir):
 def q_one_pass_embeddings(spark, sf_dir):
     """P2 on column-grouped vectors: fast Hadamard transform per record."""
     from rankfold.plans.jobs import one_pass_factorize_vecs
-    r = one_pass_factorize_vecs(spark, X.embeddings_vecs(spark, sf_dir), 64, rank=RANK, k=32,
-                                iters=ALS_ITERS, ss=SS, seed=SEED)
+    v = X.embeddings_vecs(spark, sf_dir)
+    r = one_pass_factorize_vecs(spark, v, X.vector_width(v), rank=RANK, k=32, iters=ALS_ITERS, ss=SS, seed=SEED)
     return _long_factor(r["u"], "u").unionByName(_long_factor(r["v"], "v"))
 
 

@@ -29,17 +29,18 @@ def embeddings_side(label_col="label"):
     return F.when(F.col(label_col) < 5, F.lit("A")).otherwise(F.lit("B"))
 
 
-def embeddings_vecs(spark: SparkSession, sf_dir: str, d: int | None = None) -> DataFrame:
-    """vecs(mat, col, vec); ``d`` keeps only the first d coordinates."""
-    emb = table(spark, sf_dir, "embeddings")
-    vec = F.col("embedding") if d is None else F.slice("embedding", 1, d)
-    return vecs_from_table(emb, "vec_id", vec, embeddings_side())
+def embeddings_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vecs(mat, col, vec), whole vectors."""
+    return vecs_from_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", embeddings_side())
 
 
-def embeddings_cells(spark: SparkSession, sf_dir: str, d: int | None = None) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings")
-    vec = F.col("embedding") if d is None else F.slice("embedding", 1, d)
-    return cells_from_vectors(emb, "vec_id", vec, embeddings_side())
+def vector_width(vecs: DataFrame) -> int:
+    """Coordinates of the longest vector (1 where there is none)."""
+    return max(1, int(vecs.agg(F.max(F.size("vec"))).first()[0] or 1))
+
+
+def embeddings_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", embeddings_side())
 
 
 def event_type_id(col="event_type"):

@@ -11,7 +11,10 @@ the same cell (events of one user in one hour).
   value of every cell is a native streaming sum (``update`` mode); each
   micro-batch writes only the cells that changed, in a folder of its own,
   and the norms are the sums of the squares of the latest values.  With a
-  watermark the state of hours that are past is dropped.
+  watermark the state of hours that are past is dropped, and deliveries
+  that come twice within it can be told by their ids and count once.  Every
+  few batches the latest values of all cells are written as a new base, so
+  that a reader opens one base and few batches.
 
 Both drivers use ``trigger(availableNow=True)`` and keep table and
 checkpoint under a stable name that the caller gives, so the same call
@@ -62,25 +65,88 @@ def stream_sketch(contrib: DataFrame, coords: list[int], seed: int, n: int | Non
         (F.sum(term) * F.lit(1.0 / math.sqrt(k))).alias("s"))
 
 
-def stream_cells(contrib: DataFrame, watermark: str | None = None, event_time: str = "ts") -> DataFrame:
+def stream_cells(contrib: DataFrame, watermark: str | None = None, event_time: str = "ts",
+                 delivery: list[str] | None = None) -> DataFrame:
     """Running value (mat, row, col, val) of every cell.
 
     With ``watermark`` (e.g. ``"2 hours"``) a contribution later than that is
     dropped and the state of older windows of an hour is freed; without it
     every contribution counts and the state has one sum per cell.
+
+    ``delivery`` names the columns that tell one contribution from another
+    (an event's id and the cell).  Rows that agree in them and come within
+    the watermark of each other are one contribution sent again, and the
+    first counts; ids are forgotten after that time, so their state is
+    bounded too.  It needs a watermark.
     """
     keys = ["mat", "row", "col"]
     if watermark is None:
+        if delivery:
+            raise ValueError("delivery needs a watermark, or the ids of all time would be kept")
         return contrib.groupBy(*keys).agg(F.sum("val").alias("val"))
     timed = contrib.withWatermark(event_time, watermark)
+    if delivery:
+        timed = timed.dropDuplicatesWithinWatermark(list(delivery))
     return timed.groupBy(F.window(event_time, "1 hour").alias("hour"), *keys).agg(F.sum("val").alias("val")).drop("hour")
 
 
+CELL = ["mat", "row", "col"]
+
+
+def _numbered(spark: SparkSession, folder: str) -> dict[int, str]:
+    """{number: path} of the complete ``name=number`` folders in ``folder``."""
+    fs, p = _file_system(spark, folder)
+    if not fs.exists(p):
+        return {}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath() for s in fs.listStatus(p)]
+    return {int(f.getName().rsplit("=", 1)[1]): f.toString() for f in found if "=" in f.getName() and fs.exists(path(f, "_SUCCESS"))}
+
+
+def _bases(out: str) -> str:
+    return out.rstrip("/") + "-base"
+
+
+def files_in_use(spark: SparkSession, path: str) -> tuple[str | None, dict[int, str]]:
+    """The newest base of a table of :func:`run_updates` and the batches after it."""
+    bases, batches = _numbered(spark, _bases(path)), _numbered(spark, path)
+    last = max(bases, default=None)
+    return bases.get(last), {b: f for b, f in batches.items() if last is None or b > last}
+
+
+def latest_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The latest value (mat, row, col, val, batch) of every cell of a table of :func:`run_updates`."""
+    base, batches = files_in_use(spark, path)
+    parts = [spark.read.parquet(base).select(*CELL, "val", "batch")] if base else []
+    if batches:
+        rows = spark.read.option("basePath", path).parquet(*[batches[b] for b in sorted(batches)])
+        parts.append(rows.select(*CELL, "val", F.col("batch").cast("bigint")))
+    if not parts:
+        raise ValueError(f"no batch has been written to {path}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if not batches:
+        return rows
+    return rows.groupBy(*CELL).agg(F.max_by("val", "batch").alias("val"), F.max("batch").alias("batch"))
+
+
 def norms_of(spark: SparkSession, path: str) -> DataFrame:
-    """Squared column norms (mat, col, norm2) from the folders of :func:`run_updates`."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    latest = rows.groupBy("mat", "row", "col").agg(F.max_by("val", "batch").alias("val"))
-    return latest.groupBy("mat", "col").agg(F.sum(F.col("val") * F.col("val")).alias("norm2"))
+    """Squared column norms (mat, col, norm2) from the table of :func:`run_updates`."""
+    return latest_cells(spark, path).groupBy("mat", "col").agg(F.sum(F.col("val") * F.col("val")).alias("norm2"))
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the latest value of every cell as a new base.  What the base
+    before it covered is removed; what only the new one covers stays until
+    the next, so that a reader that has just chosen its files finds them."""
+    bases, batches = _numbered(spark, _bases(path)), _numbered(spark, path)
+    before, newest = max(bases, default=-1), max(batches, default=-1)
+    if newest <= before:  # a repeated batch: its base stands
+        return
+    latest_cells(spark, path).write.mode("overwrite").parquet(os.path.join(_bases(path), f"through={newest}"))
+    old = [f for b, f in bases.items() if b < before] + [f for b, f in batches.items() if b <= before]
+    for folder in old:
+        fs, p = _file_system(spark, folder)
+        fs.delete(p, True)
 
 
 def _paths(spark: SparkSession, name: str, base: str | None) -> tuple[str, str]:
@@ -94,14 +160,18 @@ def _run(stream_df: DataFrame, mode: str, write, ckpt: str) -> None:
     q.awaitTermination()
 
 
-def run_updates(stream_df: DataFrame, name: str, base: str | None = None) -> str:
+def run_updates(stream_df: DataFrame, name: str, base: str | None = None, compact_every: int = 16) -> str:
     """Run a streaming aggregate over what is available; each micro-batch
-    writes the rows that changed to ``<table>/batch=<id>``.  Resumes where
+    writes the rows that changed to ``<table>/batch=<id>``, and every
+    ``compact_every``-th one is followed by :func:`compact`.  Resumes where
     the run of the same name stopped.  Returns the table path."""
-    out, ckpt = _paths(stream_df.sparkSession, name, base)
+    spark = stream_df.sparkSession
+    out, ckpt = _paths(spark, name, base)
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, out)
 
     _run(stream_df, "update", write, ckpt)
     return out

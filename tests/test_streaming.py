@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import norms as N
 from rankfold.operators import sketch as K
-from rankfold.streaming.sketch_stream import norms_of, read_table_stream, run_to_table, run_updates, stream_cells, stream_sketch
+from rankfold.streaming.sketch_stream import compact, files_in_use, norms_of, read_table_stream, run_to_table, run_updates, stream_cells, stream_sketch
 
 
 def _write_parts(spark, folder):
@@ -87,3 +87,45 @@ def test_row_ids_outside_the_row_space_are_errors(spark):
     bad = spark.createDataFrame([("A", 8, 1, 1.0)], "mat string, row bigint, col bigint, val double")
     with pytest.raises(Exception, match="row id outside"):
         K.srht_sketch_cells(bad, K.pick_coords(1, 8, 4), 1, n=8).collect()
+
+
+def test_repeated_deliveries_count_once(spark):
+    """A stream in which events are sent again equals the batch answer over distinct events."""
+    import pytest
+    folder = tempfile.mkdtemp(prefix="rankfold-stream-")
+    schema = "id bigint, mat string, row bigint, col bigint, val double, ts timestamp"
+    sent = [[(1, 0, 10), (2, 0, 20), (1, 0, 10)], [(2, 0, 20), (3, 0, 5), (4, 1, 70)], [(3, 0, 5), (4, 1, 70), (5, 1, 80)]]
+    for k, rows in enumerate(sent):
+        spark.createDataFrame([(i, "A", h, 1, float(i)) for i, h, _ in rows], "id bigint, mat string, row bigint, col bigint, val double") \
+            .join(spark.createDataFrame(list({(i, m) for i, _, m in rows}), "id bigint, m int"), "id") \
+            .withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m)")).drop("m") \
+            .coalesce(1).write.parquet(f"{folder}/p{k}")
+    src = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p*")
+    got = norms_of(spark, run_updates(stream_cells(src(), "3 hours", delivery=["id", "mat", "row", "col"]), "once", folder + "-out")).collect()
+    assert [(r["mat"], r["col"], r["norm2"]) for r in got] == [("A", 1, (1 + 2 + 3) ** 2 + (4 + 5.0) ** 2)]
+    with pytest.raises(ValueError, match="watermark"):
+        stream_cells(src(), delivery=["id"])
+
+
+def test_compaction_bounds_the_files_read(spark):
+    folder = tempfile.mkdtemp(prefix="rankfold-stream-")
+    schema = "mat string, row bigint, col bigint, val double"
+    for k in range(11):
+        spark.createDataFrame([("A", 0, 1, 1.0), ("B", k, 2, 2.0)], schema).coalesce(1).write.parquet(f"{folder}/p{k:02d}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p*")
+    path = run_updates(stream_cells(src), "c", folder + "-out", compact_every=4)
+    base, batches = files_in_use(spark, path)
+    assert base.endswith("through=7") and sorted(batches) == [8, 9, 10]
+    assert sorted(os.listdir(path + "-base")) == ["through=3", "through=7"]
+    assert sorted(int(f.split("=")[1]) for f in os.listdir(path)) == [4, 5, 6, 7, 8, 9, 10]
+    want = [("A", 1, 121.0), ("B", 2, 44.0)]
+    norms = lambda: sorted((r["mat"], r["col"], r["norm2"]) for r in norms_of(spark, path).collect())
+    assert norms() == want
+    # a base whose writing was killed is not read, and is written again
+    os.makedirs(path + "-base/through=10")
+    assert files_in_use(spark, path)[0].endswith("through=7") and norms() == want
+    compact(spark, path)
+    assert files_in_use(spark, path)[0].endswith("through=10") and files_in_use(spark, path)[1] == {} and norms() == want
+    # a batch below the base that is repeated after a stop changes nothing
+    spark.createDataFrame([("A", 0, 1, 2.0)], schema).write.mode("overwrite").parquet(f"{path}/batch=1")
+    assert norms() == want
