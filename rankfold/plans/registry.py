@@ -84,7 +84,8 @@ norms AS (
   FROM cells GROUP BY mat, col
 )"""
 
-SQL_SIDES = """
+def sql_sides(rank: int = RANK) -> str:
+    return """
 a_n AS (SELECT col AS i, norm2 AS a FROM norms WHERE mat = 'A'),
 b_n AS (SELECT col AS j, norm2 AS b FROM norms WHERE mat = 'B'),
 tot AS (
@@ -96,7 +97,10 @@ bud AS (
 ),
 bud2 AS (
   SELECT nbar, {ss}::DOUBLE * ceil(nbar * {rank}::DOUBLE * ln(nbar)) AS m FROM bud
-)""".format(ss=repr(SS), rank=RANK)
+)""".format(ss=repr(SS), rank=rank)
+
+
+SQL_SIDES = sql_sides()
 
 SQL_ALLOC = """
 alloc AS (
@@ -982,13 +986,13 @@ SELECT c.mat, c.col, k.t,
 FROM contrib c CROSS JOIN coords k GROUP BY c.mat, c.col, k.t""")
 def q_stream_sketch(spark, sf_dir):
     """Structured Streaming SRHT sketch of the event stream (final state)."""
-    from rankfold.streaming.sketch_stream import run_to_table, stream_sketch
+    from rankfold.streaming.sketch_stream import SKETCH, run_updates, sketch_of, stream_sketch
     hours = X.events_cells_rows(X.table(spark, sf_dir, "events")).agg(F.max("row")).first()[0]
     n = K.padded_length(int(hours or 0) + 1)
     coords = K.pick_coords(SEED, n, SKETCH_K)
-    path = run_to_table(stream_sketch(_event_contrib(spark, sf_dir), coords, SEED, n), _fresh("stream_sketch"))
-    return spark.read.parquet(path).select("mat", "col", F.col("t").cast("int").alias("t"),
-                                           rnd(F.col("s"), DEC_STREAM).alias("s"))
+    path = run_updates(stream_sketch(_event_contrib(spark, sf_dir), coords, SEED, n), _fresh("stream_sketch"), keys=SKETCH)
+    return sketch_of(spark, path, SKETCH_K).select("mat", "col", F.col("t").cast("int").alias("t"),
+                                                   rnd(F.col("s"), DEC_STREAM).alias("s"))
 
 
 @register("stream_norms", with_(SQL_EVENTS) + f"""
@@ -1048,6 +1052,58 @@ def q_two_pass_lineitem(spark, sf_dir):
     return r["report"]
 
 
+# Rank 1, where a whole job has an SQL twin: budget, samples, values, ALS rounds and power rounds unrolled.
+DEC_JOB = 6
+SQL_JOB_FACTORS = f"""
+uf AS (SELECT id, f FROM u{ALS_ITERS}),
+vf AS (SELECT id, f FROM v{ALS_ITERS})"""
+SQL_JOB_REPORT = f"""
+SELECT metric, round, ROUND(value, CASE WHEN metric = 'rel_error' THEN {DEC_JOB} ELSE {DEC_NORM} END) AS value FROM (
+SELECT 'n1' AS metric, 0 AS round, n1 AS value FROM tot
+UNION ALL SELECT 'n2', 0, n2 FROM tot
+UNION ALL SELECT 'budget', 0, m FROM bud2
+UNION ALL SELECT 'samples', 0, CAST(count(*) AS DOUBLE) FROM observed
+UNION ALL SELECT 'norm', round, value FROM ({_PW_SEL}) pw
+UNION ALL SELECT 'residual', round, value FROM ({_RS_SEL}) rs
+UNION ALL SELECT 'rel_error', 0, sqrt(b.nz) / sqrt(a.nz) FROM pwn{POWER_ITERS} a, rsn{POWER_ITERS} b"""
+
+
+def sql_job(*values: str) -> str:
+    """The factors and errors of a rank-1 job whose values are the cte observed of ``values``."""
+    return with_(SQL_CELLS, SQL_NORMS, sql_sides(1), SQL_ALLOC, sql_samples(), *values, *sql_wals(ALS_ITERS),
+                 SQL_JOB_FACTORS, *_PW_CTES, *_RS_CTES)
+
+
+def _rounded_report(report):
+    decimals = F.when(F.col("metric") == "rel_error", F.round("value", DEC_JOB)).otherwise(F.round("value", DEC_NORM))
+    return report.select("metric", "round", decimals.alias("value"))
+
+
+@register("two_pass_rank1", sql_job(SQL_OBSERVED) + SQL_JOB_REPORT + ") r")
+def q_two_pass_rank1(spark, sf_dir):
+    """P1 at rank 1, whole job: its report against the same job in SQL."""
+    from rankfold.plans.jobs import two_pass_factorize
+    r = two_pass_factorize(spark, X.lineitem_cells(spark, sf_dir), rank=1, iters=ALS_ITERS, ss=SS, seed=SEED,
+                           power_iters=POWER_ITERS)
+    return _rounded_report(r["report"])
+
+
+SQL_ONE_PASS_OBSERVED = """
+observed AS (SELECT s.i, s.j, s.p, resc.val, 1.0::DOUBLE AS w FROM samples s JOIN resc ON resc.i = s.i AND resc.j = s.j)"""
+
+
+@register("one_pass_rank1", sql_job(SQL_NPAD, sql_coords(), sql_srht(), SQL_SKETCH_VALUES, SQL_ONE_PASS_OBSERVED) + SQL_JOB_REPORT + f"""
+UNION ALL SELECT 'value_rms', 0, sqrt(avg(val * val)) FROM observed
+UNION ALL SELECT 'estimator_spread', 0, sqrt(avg(a_n.a * b_n.b) / {SKETCH_K}) FROM observed o JOIN a_n ON a_n.i = o.i JOIN b_n ON b_n.j = o.j) r""")
+def q_one_pass_rank1(spark, sf_dir):
+    """P2 at rank 1, cells form, whole job: its report against the same job in SQL."""
+    from rankfold.plans.jobs import one_pass_factorize
+    n_rows = int(X.table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]) + 1
+    r = one_pass_factorize(spark, X.lineitem_cells(spark, sf_dir), rank=1, k=SKETCH_K, iters=ALS_ITERS, ss=SS, seed=SEED,
+                           power_iters=POWER_ITERS, n_rows=n_rows)
+    return _rounded_report(r["report"])
+
+
 @register("one_pass_lineitem")
 def q_one_pass_lineitem(spark, sf_dir):
     """P2 on lineitem, cells form: one scan builds the SRHT sketch and norms."""

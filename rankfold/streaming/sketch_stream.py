@@ -4,9 +4,9 @@ stream of cell contributions (J1, J2).
 Input rows are ``(mat, row, col, val)`` contributions; several may add to
 the same cell (events of one user in one hour).
 
-* J1 sketch: linear, so every contribution goes straight into
-  ``groupBy(mat, col, t).sum`` (streaming state = one running sum per
-  sketch entry, n·k entries).
+* J1 sketch: linear, so every contribution goes straight into running
+  sums, 16 coordinates of a column in one row of state (``update`` mode);
+  each micro-batch writes the columns it touched and no others.
 * J2 norms: squares are not additive over contributions, so the running
   value of every cell is a native streaming sum (``update`` mode); each
   micro-batch writes only the cells that changed, in a folder of its own,
@@ -31,7 +31,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.operators.sketch import checked_row, hadamard_entry, sign_column
+from rankfold.operators.sketch import SLICE, checked_row, hadamard_entry, sign_column
 from rankfold.session import ensure_checkpoint_dir
 
 
@@ -52,17 +52,21 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: in
 
 
 def stream_sketch(contrib: DataFrame, coords: list[int], seed: int, n: int | None = None) -> DataFrame:
-    """Streaming SRHT sketch (mat, col, t, s) of all contributions.  With
+    """Streaming SRHT sketch of all contributions as rows (mat, col,
+    slice, s ARRAY<DOUBLE>) of 16 coordinates; see :func:`sketch_of`.  With
     the padded length ``n``, row ids outside 0..n-1 are an error."""
     k = len(coords)
     if n is not None:
         contrib = contrib.withColumn("row", checked_row(n))
-    items = [F.struct(F.lit(t).alias("t"), F.lit(int(h)).cast("bigint").alias("h")) for t, h in enumerate(coords)]
-    e = contrib.select("mat", "col", "row", (sign_column(seed) * F.col("val")).alias("sv"),
-                       F.explode(F.array(*items)).alias("c"))
-    term = hadamard_entry(F.col("c.h"), F.col("row")) * F.col("sv")
-    return e.groupBy("mat", "col", F.col("c.t").alias("t")).agg(
-        (F.sum(term) * F.lit(1.0 / math.sqrt(k))).alias("s"))
+    width = min(k, SLICE)
+    picked = [F.struct(F.lit(t).alias("slice"), F.array(*[F.lit(int(h)).cast("bigint") for h in coords[t * SLICE:(t + 1) * SLICE]]).alias("h"))
+              for t in range(-(-k // SLICE))]
+    # the sign is hashed once per contribution, below the explode
+    e = contrib.select("mat", "col", "row", (sign_column(seed) * F.col("val")).alias("sv")) \
+        .withColumn("c", F.explode(F.array(*picked)))
+    sums = [F.sum(hadamard_entry(F.get("c.h", F.lit(c)), F.col("row")) * F.col("sv")).alias(f"s{c}") for c in range(width)]
+    state = e.groupBy("mat", "col", F.col("c.slice").alias("slice")).agg(*sums)
+    return state.select("mat", "col", "slice", F.array(*[F.col(f"s{c}") / F.lit(math.sqrt(k)) for c in range(width)]).alias("s"))
 
 
 def stream_cells(contrib: DataFrame, watermark: str | None = None, event_time: str = "ts",
@@ -91,6 +95,7 @@ def stream_cells(contrib: DataFrame, watermark: str | None = None, event_time: s
 
 
 CELL = ["mat", "row", "col"]
+SKETCH = ["mat", "col", "slice"]
 
 
 def _numbered(spark: SparkSession, folder: str) -> dict[int, str]:
@@ -114,35 +119,43 @@ def files_in_use(spark: SparkSession, path: str) -> tuple[str | None, dict[int,
     return bases.get(last), {b: f for b, f in batches.items() if last is None or b > last}
 
 
-def latest_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The latest value (mat, row, col, val, batch) of every cell of a table of :func:`run_updates`."""
+def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row of every key of a table of :func:`run_updates`, with its batch."""
     base, batches = files_in_use(spark, path)
-    parts = [spark.read.parquet(base).select(*CELL, "val", "batch")] if base else []
+    parts = [spark.read.parquet(base)] if base else []
     if batches:
         rows = spark.read.option("basePath", path).parquet(*[batches[b] for b in sorted(batches)])
-        parts.append(rows.select(*CELL, "val", F.col("batch").cast("bigint")))
+        parts.append(rows.withColumn("batch", F.col("batch").cast("bigint")))
     if not parts:
         raise ValueError(f"no batch has been written to {path}")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not batches:
         return rows
-    return rows.groupBy(*CELL).agg(F.max_by("val", "batch").alias("val"), F.max("batch").alias("batch"))
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"), F.max("batch").alias("batch")) \
+        .select(*keys, "last.*", "batch")
 
 
 def norms_of(spark: SparkSession, path: str) -> DataFrame:
     """Squared column norms (mat, col, norm2) from the table of :func:`run_updates`."""
-    return latest_cells(spark, path).groupBy("mat", "col").agg(F.sum(F.col("val") * F.col("val")).alias("norm2"))
+    return latest_rows(spark, path, CELL).groupBy("mat", "col").agg(F.sum(F.col("val") * F.col("val")).alias("norm2"))
 
 
-def compact(spark: SparkSession, path: str) -> None:
-    """Write the latest value of every cell as a new base.  What the base
+def sketch_of(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """The sketch (mat, col, t, s) of ``k`` coordinates from the table of :func:`run_updates` (keys ``SKETCH``)."""
+    e = latest_rows(spark, path, SKETCH).select("mat", "col", "slice", F.posexplode("s").alias("c", "s"))
+    return e.select("mat", "col", (F.col("slice") * SLICE + F.col("c")).alias("t"), "s").where(F.col("t") < k)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Write the latest row of every key as a new base.  What the base
     before it covered is removed; what only the new one covers stays until
     the next, so that a reader that has just chosen its files finds them."""
     bases, batches = _numbered(spark, _bases(path)), _numbered(spark, path)
     before, newest = max(bases, default=-1), max(batches, default=-1)
     if newest <= before:  # a repeated batch: its base stands
         return
-    latest_cells(spark, path).write.mode("overwrite").parquet(os.path.join(_bases(path), f"through={newest}"))
+    latest_rows(spark, path, keys).write.mode("overwrite").parquet(os.path.join(_bases(path), f"through={newest}"))
     old = [f for b, f in bases.items() if b < before] + [f for b, f in batches.items() if b <= before]
     for folder in old:
         fs, p = _file_system(spark, folder)
@@ -160,38 +173,20 @@ def _run(stream_df: DataFrame, mode: str, write, ckpt: str) -> None:
     q.awaitTermination()
 
 
-def run_updates(stream_df: DataFrame, name: str, base: str | None = None, compact_every: int = 16) -> str:
+def run_updates(stream_df: DataFrame, name: str, base: str | None = None, compact_every: int = 16,
+                keys: list[str] = CELL) -> str:
     """Run a streaming aggregate over what is available; each micro-batch
     writes the rows that changed to ``<table>/batch=<id>``, and every
-    ``compact_every``-th one is followed by :func:`compact`.  Resumes where
-    the run of the same name stopped.  Returns the table path."""
+    ``compact_every``-th one is followed by :func:`compact`.  ``keys`` are
+    the aggregate's keys.  Resumes where the run of the same name stopped.
+    Returns the table path."""
     spark = stream_df.sparkSession
     out, ckpt = _paths(spark, name, base)
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
         if (batch_id + 1) % compact_every == 0:
-            compact(spark, out)
+            compact(spark, out, keys)
 
     _run(stream_df, "update", write, ckpt)
     return out
-
-
-def run_to_table(stream_df: DataFrame, name: str, base: str | None = None) -> str:
-    """Run a streaming aggregate over what is available and return the path of
-    its latest full result (``complete`` mode).  Resumes where the run of the
-    same name stopped; a result that is being written never replaces the one
-    before it, which is removed afterwards."""
-    spark = stream_df.sparkSession
-    out, ckpt = _paths(spark, name, base)
-
-    def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        fs, old = _file_system(spark, os.path.join(out, f"batch={batch_id - 2}"))
-        fs.delete(old, True)
-
-    _run(stream_df, "complete", write, ckpt)
-    fs, p = _file_system(spark, out)
-    done = [s.getPath().toString() for s in fs.listStatus(p)]
-    done = [d for d in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
-    return max(done, key=lambda d: int(d.rsplit("=", 1)[1]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import norms as N
 from rankfold.operators import sketch as K
-from rankfold.streaming.sketch_stream import compact, files_in_use, norms_of, read_table_stream, run_to_table, run_updates, stream_cells, stream_sketch
+from rankfold.streaming.sketch_stream import CELL, SKETCH, compact, files_in_use, norms_of, read_table_stream, run_updates, sketch_of, stream_cells, stream_sketch
 
 
 def _write_parts(spark, folder):
@@ -39,7 +39,8 @@ def test_stream_norms_and_sketch_equal_batch(spark):
 
     coords = K.pick_coords(1, 8, 4)
     src2 = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "part*"))
-    gs = {(r["mat"], r["col"], r["t"]): r["s"] for r in spark.read.parquet(run_to_table(stream_sketch(src2, coords, 1, 8), "s", folder + "-out")).collect()}
+    table = run_updates(stream_sketch(src2, coords, 1, 8), "s", folder + "-out", keys=SKETCH)
+    gs = {(r["mat"], r["col"], r["t"]): r["s"] for r in sketch_of(spark, table, 4).collect()}
     ws = {(r["mat"], r["col"], r["t"]): r["s"] for r in K.srht_sketch_cells(batch_cells, coords, 1).collect()}
     assert gs.keys() == ws.keys()
     assert all(math.isclose(gs[k], ws[k], abs_tol=1e-12) for k in ws)
@@ -124,8 +125,38 @@ def test_compaction_bounds_the_files_read(spark):
     # a base whose writing was killed is not read, and is written again
     os.makedirs(path + "-base/through=10")
     assert files_in_use(spark, path)[0].endswith("through=7") and norms() == want
-    compact(spark, path)
+    compact(spark, path, CELL)
     assert files_in_use(spark, path)[0].endswith("through=10") and files_in_use(spark, path)[1] == {} and norms() == want
     # a batch below the base that is repeated after a stop changes nothing
     spark.createDataFrame([("A", 0, 1, 2.0)], schema).write.mode("overwrite").parquet(f"{path}/batch=1")
     assert norms() == want
+
+
+def test_sketch_resumes_and_writes_touched_columns_only(spark):
+    """37 coordinates (three slices): a second run goes on from the first's sums and writes the one column it touched."""
+    folder = tempfile.mkdtemp(prefix="rankfold-stream-")
+    schema = "mat string, row bigint, col bigint, val double"
+    spark.createDataFrame([(m, r, c, float(r - c)) for m in "AB" for r in range(64) for c in range(5)], schema) \
+        .coalesce(1).write.parquet(f"{folder}/cells.parquet")
+    coords = K.pick_coords(3, 64, 37)
+
+    def run(every):
+        src = read_table_stream(spark, folder, "cells")
+        return run_updates(stream_sketch(src, coords, 3, 64), "s", folder + "-out", every, SKETCH)
+
+    def batch():
+        cells = spark.read.parquet(f"{folder}/cells.parquet").groupBy("mat", "row", "col").agg(F.sum("val").alias("val"))
+        return {(r["mat"], r["col"], r["t"]): r["s"] for r in K.srht_sketch_cells(cells, coords, 3).collect()}
+
+    def same(table):
+        got, want = {(r["mat"], r["col"], r["t"]): r["s"] for r in sketch_of(spark, table, 37).collect()}, batch()
+        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+
+    same(run(16))
+    spark.createDataFrame([("B", 9, 2, 4.0), ("B", 10, 2, 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/cells.parquet")
+    table = run(16)
+    same(table)
+    assert [spark.read.parquet(f"{table}/batch={k}").count() for k in (0, 1)] == [10 * 3, 3]
+    spark.createDataFrame([("A", 1, 7, 4.0)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/cells.parquet")
+    same(run(3))
+    assert files_in_use(spark, table)[1] == {}
