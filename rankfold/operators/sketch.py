@@ -98,6 +98,14 @@ def srht_sketch_wide(cells: DataFrame, coords: list[int], seed: int, n: int | No
     return HD.sketch_cells(cells, coords, seed, n or padded_length(max(coords, default=0) + 1))
 
 
+def append_coords(wide: DataFrame, cells: DataFrame, coords: list[int], k: int, seed: int, n: int) -> DataFrame:
+    """From the sketch for ``coords[:k]`` that for all ``coords``, by one scan of the cells for the new ones alone."""
+    new = srht_sketch_wide(cells, coords[k:], seed, n).select("mat", "col", F.col("sk").alias("_new"))
+    old, add = math.sqrt(k / len(coords)), math.sqrt((len(coords) - k) / len(coords))
+    return wide.join(new, ["mat", "col"]).select("mat", "col", F.concat(
+        F.transform("sk", lambda x: x * F.lit(old)), F.transform("_new", lambda x: x * F.lit(add))).alias("sk"), "norm2")
+
+
 def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms: bool = False,
                       n: int | None = None) -> DataFrame:
     """B6 (cells): long sketch (mat, col, t, s); with_norms adds the exact

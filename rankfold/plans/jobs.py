@@ -9,6 +9,9 @@ ALS half-step and power round).
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +75,39 @@ def _estimator_error(observed: DataFrame, norms: DataFrame, k: int) -> list:
     return [("value_rms", 0, float(got["v"] or 0.0)), ("estimator_spread", 0, float(got["e"] or 0.0))]
 
 
+def _signal(estimator_error: list) -> tuple[float, float]:
+    """The size of the values without the estimator's spread (0 where it can't
+    be told from the spread), and the spread."""
+    (_, _, value), (_, _, spread) = estimator_error
+    left = value * value - spread * spread
+    return (math.sqrt(left) if left > 0.2 * spread * spread else 0.0), spread
+
+
+def next_size(estimator_error: list, k: int, share: float, limit: int) -> int | None:
+    """The sketch size at which the spread, which falls as 1/√k, is ``share``
+    of the values; None where ``k`` is enough.  At least twice ``k``, and four
+    times where nothing but spread is seen; an error beyond ``limit``."""
+    signal, spread = _signal(estimator_error)
+    if spread <= share * signal:
+        return None
+    if k >= limit:
+        raise ValueError(f"a sketch of {k} coordinates leaves a spread of {spread:.3g} on values of {signal:.3g}, and {limit} is the "
+                         "most allowed: raise k_max, or take two_pass_factorize")
+    wanted = math.ceil(k * (spread / (share * signal)) ** 2) if signal > 0 else 4 * k
+    return min(limit, max(2 * k, wanted))
+
+
+def _warn_of_noise(rows: list, estimator_error: list, k: int) -> None:
+    """Factors of noise are not returned in silence."""
+    signal, spread = _signal(estimator_error)
+    if spread > signal:
+        warnings.warn(f"one-pass values are mostly noise at k = {k}: spread {spread:.3g}, values {signal:.3g}; let the sketch grow "
+                      "(share) or take two_pass_factorize", stacklevel=3)
+    error = [v for m, _, v in rows if m == "rel_error"]
+    if error and error[0] > 1:
+        warnings.warn(f"relative error {error[0]:.3g}: zero factors would be closer", stacklevel=3)
+
+
 def two_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, iters: int = 10,
                        lam: float = 0.0, ss: float = 2.0, seed: int = 0, power_iters: int = 5,
                        weight: str = "ones", solver: str = "wals", evaluate: bool = True,
@@ -95,11 +131,20 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
                        iters: int = 10, lam: float = 0.0, ss: float = 2.0, seed: int = 0,
                        power_iters: int = 5, estimator: str = "rescaled", sketch: str = "srht",
                        n_rows: int | None = None, weight: str = "ones", solver: str = "wals",
-                       evaluate: bool = True, partitions: int | None = None) -> dict:
+                       evaluate: bool = True, partitions: int | None = None, share: float | None = None,
+                       k_max: int | None = None) -> dict:
     """ONE scan builds sketches and exact norms together; samples are
     valued from the sketches alone.  ``n_rows`` (the row-id bound) fixes
     the padded length; if omitted it is read from the cells (a second,
-    row-column-only scan).  Evaluation re-reads the data by design."""
+    row-column-only scan).  Evaluation re-reads the data by design.
+
+    With ``share`` (SRHT only) the sketch grows until the estimator's spread
+    is at most that share of the values on the sampled cells: further scans
+    append coordinates to those there are.  ``k_max`` (and half the padded
+    length) ends this with an error.  Without it ``k`` stays, and values that
+    are mostly noise make a warning."""
+    if share is not None and (sketch != "srht" or share <= 0):
+        raise ValueError("share is a positive number and needs the srht sketch")
     if sketch == "srht":
         if n_rows is None:
             n_rows = int(cells.agg(F.max("row")).first()[0]) + 1
@@ -115,14 +160,27 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
     else:
         raise ValueError("sketch must be 'srht' or 'gaussian'")
     samples, tot, bud = _sample(norms, rank, ss, seed)
-    observed = S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight)
-    observed = cut_lineage(observed, cache=True)
+
+    def valued() -> DataFrame:
+        return cut_lineage(S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight), cache=True)
+
+    observed = valued()
+    spread = _estimator_error(observed, norms, k)
+    if share is not None:
+        limit = max(1, min(k_max or n, (n - 1) // 2))  # from half the length on, coordinates are picked anew
+        while (more := next_size(spread, k, share, limit)) is not None:
+            wide = cut_lineage(K.append_coords(wide, cells, K.pick_coords(seed, n, more), k, seed, n))
+            k = more
+            observed.unpersist()
+            observed = valued()
+            spread = _estimator_error(observed, norms, k)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
-            ("samples", 0, observed.count())]
-    rows += _estimator_error(observed, norms, k)
+            ("samples", 0, observed.count()), ("k", 0, k)]
+    rows += spread
     if evaluate:
         rows += _errors(spark, cells, u, v, rank, power_iters, seed, partitions)
+    _warn_of_noise(rows, spread, k)
     return {"u": u, "v": v, "observed": observed, "report": _report(spark, rows), "norms": norms,
             "sketch": wide}
 
@@ -144,8 +202,11 @@ def one_pass_factorize_vecs(spark: SparkSession, vecs: DataFrame, d: int, rank:
     u, v = FZ.wals(observed, v_ids, rank, iters, lam, seed)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
             ("samples", 0, observed.count())]
+    spread = _estimator_error(observed, norms, k)
+    rows += [("k", 0, k), *spread]
     if cells is not None:
         rows += _errors(spark, cells, u, v, rank, power_iters, seed, None)
+    _warn_of_noise(rows, spread, k)
     return {"u": u, "v": v, "observed": observed, "norms": norms, "sketch": sk,
             "report": _report(spark, rows)}
 

@@ -1093,6 +1093,7 @@ observed AS (SELECT s.i, s.j, s.p, resc.val, 1.0::DOUBLE AS w FROM samples s JOI
 
 
 @register("one_pass_rank1", sql_job(SQL_NPAD, sql_coords(), sql_srht(), SQL_SKETCH_VALUES, SQL_ONE_PASS_OBSERVED) + SQL_JOB_REPORT + f"""
+UNION ALL SELECT 'k', 0, {SKETCH_K}
 UNION ALL SELECT 'value_rms', 0, sqrt(avg(val * val)) FROM observed
 UNION ALL SELECT 'estimator_spread', 0, sqrt(avg(a_n.a * b_n.b) / {SKETCH_K}) FROM observed o JOIN a_n ON a_n.i = o.i JOIN b_n ON b_n.j = o.j) r""")
 def q_one_pass_rank1(spark, sf_dir):
