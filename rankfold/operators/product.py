@@ -55,7 +55,9 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
     * 'auto': the cheapest of the three by those counts (choose_plan).
 
     Both sides pass a Bloom sieve of the sampled columns first, so that cells
-    of other columns are dropped where they are scanned.  Hot keys of both
+    of other columns are dropped where they are scanned ('auto': a side with
+    over half its cells in sampled columns goes without, as that would cost
+    more than it saves).  Hot keys of both
     joins are salted (their cells spread over sub-keys, the other side
     replicated): hot columns in the first, hot rows in the second, where a
     (row, j) meets at most as many cells as the row has on the first side.
@@ -65,9 +67,10 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
     from rankfold.operators.skew import grid_join, hot_keys_many, hot_products, salted_join
 
     s = samples.select("i", "j")
-    a, b = sampled_sides(cells, s)
+    kept = {"A": 0.0, "B": 0.0}
     if first == "auto":
-        first = choose_plan(a, b, s)
+        first, kept = choose_plan(cells, s)
+    a, b = sampled_sides(cells, s, kept["A"] <= 0.5, kept["B"] <= 0.5)
     if first == "A":
         hot = hot_keys_many(a, ["i", "row"], min_rows=min_rows) if detect_skew else {"i": [], "row": []}
         part = salted_join(salted_join(a, s, ["i"], "i", hot["i"], "row"), b, ["row", "j"], "row", hot["row"], "i")
@@ -83,26 +86,31 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
     return samples.join(dots, ["i", "j"], "left").withColumn("val", F.coalesce(F.col("val"), F.lit(0.0)))
 
 
-def sampled_sides(cells: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A's cells (row, i, a) and B's (row, j, b) of the sampled columns, but for a few others that a sieve lets through."""
+def sampled_sides(cells: DataFrame, samples: DataFrame, sieve_a: bool = True, sieve_b: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A's cells (row, i, a) and B's (row, j, b); a sieved side has those of sampled columns, but for a few others let through."""
     from rankfold.operators.sieve import sieved
 
     a, b = split(cells)
-    return sieved(a, "i", samples), sieved(b, "j", samples)
-
-
-def choose_plan(a: DataFrame, b: DataFrame, samples: DataFrame) -> str:
-    """Pick value_exact's plan from three work estimates (two small
-    aggregate jobs; only three numbers reach the driver)."""
-    nnz_a = a.groupBy("i").agg(F.count(F.lit(1)).alias("na"))
-    nnz_b = b.groupBy("j").agg(F.count(F.lit(1)).alias("nb"))
-    est = samples.join(nnz_a, "i", "left").join(nnz_b, "j", "left").agg(
-        F.sum(F.coalesce("na", F.lit(0))).alias("ca"), F.sum(F.coalesce("nb", F.lit(0))).alias("cb")).first()
-    ones = lambda df, l, r: df.select("row", F.lit(l).alias("ra"), F.lit(r).alias("rb"))
-    per_row = ones(a, 1, 0).unionAll(ones(b, 0, 1)).groupBy("row").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb"))
+    return sieved(a, "i", samples) if sieve_a else a, sieved(b, "j", samples) if sieve_b else b
+
+
+def choose_plan(cells: DataFrame, samples: DataFrame) -> tuple[str, dict]:
+    """value_exact's cheapest plan by three work estimates, and the share of
+    each side's cells that lie in sampled columns (two small aggregate jobs;
+    only these numbers reach the driver)."""
+    drawn = samples.select(F.explode(F.array(F.struct(F.lit("A").alias("mat"), F.col("i").alias("col")),
+                                             F.struct(F.lit("B").alias("mat"), F.col("j").alias("col")))).alias("c")) \
+        .groupBy("c.mat", "c.col").agg(F.count(F.lit(1)).alias("drawn"))
+    columns = cells.groupBy("mat", "col").agg(F.count(F.lit(1)).alias("n")).join(drawn, ["mat", "col"], "left")
+    sides = {r["mat"]: r for r in columns.groupBy("mat").agg(
+        F.sum(F.col("n").cast("double") * F.coalesce("drawn", F.lit(0))).alias("work"), F.sum("n").alias("all"),
+        F.sum(F.when(F.col("drawn").isNotNull(), F.col("n")).otherwise(0)).alias("kept")).collect()}  # two rows
+    per_row = cells.groupBy("row").agg(
+        F.sum(F.when(F.col("mat") == "A", 1).otherwise(0)).alias("ra"),
+        F.sum(F.when(F.col("mat") == "B", 1).otherwise(0)).alias("rb"))
     cr = per_row.agg(F.sum(F.col("ra").cast("double") * F.col("rb"))).first()[0] or 0.0
-    costs = {"A": float(est["ca"] or 0), "B": float(est["cb"] or 0), "rows": float(cr)}
-    return min(costs, key=costs.get)
+    costs = {m: float(sides[m]["work"]) if m in sides else 0.0 for m in "AB"} | {"rows": float(cr)}
+    return min(costs, key=costs.get), {m: sides[m]["kept"] / sides[m]["all"] if m in sides else 0.0 for m in "AB"}
 
 
 def value_exact_vecs(vecs: DataFrame, samples: DataFrame, size: int = 4096) -> DataFrame:

@@ -65,6 +65,10 @@ def test_joins_see_sampled_columns_only(spark):
     assert {r["i"] for r in a.select("i").distinct().collect()} <= {10, *range(4001)} and a.select("i").distinct().count() < 5
     assert a.where("i = 10").count() == cells.where("mat = 'A' AND col = 10").count()
     assert b.select("j").distinct().count() < 6
+    assert P.choose_plan(cells, samples)[1] == {
+        "A": cells.where("mat = 'A' AND col = 10").count() / cells.where("mat = 'A'").count(),
+        "B": cells.where("mat = 'B' AND col IN (11, 13)").count() / cells.where("mat = 'B'").count()}
+    assert P.choose_plan(cells.where("mat = 'A'"), samples)[1]["B"] == 0.0
 
 
 @pytest.mark.parametrize("k", [1, 16, 37])
