@@ -22,3 +22,14 @@ def test_routes_of_als_are_not_broadcast(spark):
     v = FZ.random_init(spark.range(30), 1, 5)
     assert "Broadcast" not in _plan(FZ.half_step(by, v, 1))  # their size on disk says little of their number
     by.release()
+
+
+def test_observed_cells_are_stored_and_planned_by_cost(spark, monkeypatch):
+    seen = []
+    valued = R.P.value_exact
+    monkeypatch.setattr(R.P, "value_exact", lambda cells, samples, first="A", *a, **k: seen.append(first) or valued(cells, samples, first, *a, **k))
+    c = R._Ctx(spark, "/root/testdata/sf0.001")
+    got = c.observed()
+    assert seen == ["auto"] and not re.search("Join|Aggregate", got._jdf.queryExecution().logical().toString())
+    exact = {(r["i"], r["j"]): r["val"] for r in valued(c.cells, c.drawn(), "A").collect()}
+    assert {(r["i"], r["j"]): r["val"] for r in got.collect()} == exact
