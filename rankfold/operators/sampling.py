@@ -26,6 +26,8 @@ from rankfold.operators.prefix import cdf_lookup, column_cdf
 
 # rows with more draws than this are generated in chunks spread over tasks
 DRAW_CHUNK = 4096
+# draws of one task, about
+TASK_DRAWS = 500_000
 
 
 def sample_budget(n1: int, n2: int, rank: int, ss: float) -> dict:
@@ -66,11 +68,15 @@ def heavy_condition(n2: int):
 def _draws(alloc: DataFrame, seed: int) -> DataFrame:
     """One row per draw (i, t), t = 1..m_i.  Long rows are first cut into
     chunks of DRAW_CHUNK, the chunks spread by hash, then expanded, so one
-    hot column never puts all of its draws into one task."""
+    hot column never puts all of its draws into one task.  The number of
+    tasks follows the draws: of the chunks, which are few bytes, adaptive
+    execution would make one task."""
     base = alloc.where(F.col("m_i") >= 1)
+    least = int(alloc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, math.ceil((base.agg(F.sum("m_i")).first()[0] or 0) / TASK_DRAWS))
     chunks = base.select("i", "a", "m_i", F.explode(F.sequence(
         F.lit(0).cast("bigint"), ((F.col("m_i") - 1) / F.lit(DRAW_CHUNK)).cast("bigint"))).alias("chunk"))
-    chunks = chunks.repartition("i", "chunk")
+    chunks = chunks.repartition(tasks, "i", "chunk")
     lo = F.col("chunk") * F.lit(DRAW_CHUNK) + F.lit(1)
     hi = F.least(F.col("m_i"), (F.col("chunk") + F.lit(1)) * F.lit(DRAW_CHUNK))
     return chunks.select("i", "a", F.explode(F.sequence(lo, hi)).alias("t"))

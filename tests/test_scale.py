@@ -33,3 +33,11 @@ def test_observed_cells_are_stored_and_planned_by_cost(spark, monkeypatch):
     assert seen == ["auto"] and not re.search("Join|Aggregate", got._jdf.queryExecution().logical().toString())
     exact = {(r["i"], r["j"]): r["val"] for r in valued(c.cells, c.drawn(), "A").collect()}
     assert {(r["i"], r["j"]): r["val"] for r in got.collect()} == exact
+
+
+def test_draws_are_made_in_many_tasks(spark):
+    alloc = spark.createDataFrame([(i, 1.0, 300) for i in range(40)], "i bigint, a double, m_i bigint")
+    draws = S._draws(alloc, 1)
+    assert draws.count() == 12_000
+    # the chunks are a few bytes, of which adaptive execution had made one task
+    assert draws.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
