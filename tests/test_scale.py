@@ -41,3 +41,13 @@ def test_draws_are_made_in_many_tasks(spark):
     assert draws.count() == 12_000
     # the chunks are a few bytes, of which adaptive execution had made one task
     assert draws.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tasks_that_add_up_cells_follow_the_rows(spark, monkeypatch):
+    rows = [(r, r % 5, r % 3, 1.0) for r in range(60)] * 2
+    df = spark.createDataFrame(rows, "r bigint, a bigint, b bigint, v double")
+    monkeypatch.setattr(TB, "TASK_CELLS", 20)
+    cells = TB.cells_pair_from_table(df, "r", "a", "b", "v")
+    assert cells.rdd.getNumPartitions() == 12  # 240 contributions, 20 to a task
+    got = {(x["mat"], x["row"], x["col"]): x["val"] for x in cells.collect()}
+    assert got == {("A", r, r % 5): 2.0 for r in range(60)} | {("B", r, r % 3): 2.0 for r in range(60)}
