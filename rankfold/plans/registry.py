@@ -625,9 +625,11 @@ resc AS (
 
 
 def _sketch_values(spark, sf_dir, estimator):
+    """Sketches and samples are stored: the grid counts them before it deals them out."""
+    from rankfold.session import cut_lineage
     c = _Ctx(spark, sf_dir)
-    wide = K.sketch_wide(K.srht_sketch_cells(c.cells, _coords(spark, sf_dir), SEED), SKETCH_K)
-    return K.value_from_sketch(c.samples().select("i", "j"), wide, c.norms, estimator)
+    wide = cut_lineage(K.sketch_wide(K.srht_sketch_cells(c.cells, _coords(spark, sf_dir), SEED), SKETCH_K))
+    return K.value_from_sketch(c.drawn().select("i", "j"), wide, c.norms, estimator)
 
 
 @register("value_raw", sampling_ctes(SQL_NPAD, sql_coords(), sql_srht(), SQL_SKETCH_VALUES) +

@@ -51,3 +51,10 @@ def test_tasks_that_add_up_cells_follow_the_rows(spark, monkeypatch):
     assert cells.rdd.getNumPartitions() == 12  # 240 contributions, 20 to a task
     got = {(x["mat"], x["row"], x["col"]): x["val"] for x in cells.collect()}
     assert got == {("A", r, r % 5): 2.0 for r in range(60)} | {("B", r, r % 3): 2.0 for r in range(60)}
+
+
+def test_sketch_values_store_sketches_and_samples(spark):
+    got = R._sketch_values(spark, "/root/testdata/sf0.001", "raw")
+    logical = got._jdf.queryExecution().logical().toString()
+    assert not re.search(r"Window|MapInArrow _?column_batches|Relation.*l_orderkey", logical)
+    assert got.where(F.col("val").isNull()).count() == 0
