@@ -67,19 +67,20 @@ def blocks(observed: DataFrame, own: str = "i", other: str = "j", block_cells: i
         cells = cells.join(F.broadcast(salt_table(observed.sparkSession, "i", hot)), "i", "left")
         spread = F.coalesce(F.pmod(F.xxhash64("j"), F.col("_nsalt")), F.lit(0)).cast("bigint")
     cells = cells.withColumn("block", F.pmod(F.xxhash64("i") + spread, F.lit(n)).cast("int")).select("block", "i", "j", "val", "w")
-    cells, c_name = _bucketed(cells, "block", n)
-    routes, r_name = _bucketed(cells.select(F.col("j").alias("id"), F.col("block").alias("to")).distinct(), "id", n)
+    cells, c_name = bucketed(cells, "block", n)
+    routes, r_name = bucketed(cells.select(F.col("j").alias("id"), F.col("block").alias("to")).distinct(), "id", n)
     return Blocks(cells, routes, bool(hot), (c_name, r_name))
 
 
-def _bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str, n: int, dealt: bool = False) -> tuple[DataFrame, str]:
     """``df`` written below the checkpoint folder in n buckets of ``key``: later steps find it lying by that key.
+    ``dealt``: it lies in n partitions of ``key`` already.
 
     A persisted or checkpointed frame would not do, as adaptive execution forgets how it is partitioned.
     """
     spark = df.sparkSession
     name = f"rankfold_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 

@@ -12,7 +12,9 @@ partitioning they already have (never hash-partitioned by row: a row
 holding a third of the cells would land in one task).  Each product then
 moves only partially aggregated sums of size O(n), never the cells: the
 ``⋈ x`` becomes a broadcast when AQE sees a small vector at runtime, and
-keys holding more than their share of cells are salted (``skew``).
+keys holding more than their share of cells are salted (``skew``).  Large
+pairs with more rows than columns, where the sums of all rows would be
+exchanged in every product, are laid out by blocks of rows (``rowblocks``).
 """
 
 from __future__ import annotations
@@ -20,14 +22,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import Rounds
+from rankfold.operators.rowblocks import RowBlocks
+from rankfold.session import Rounds, ship_package
 from rankfold.sources.tables import split
 
+#: Pairs with fewer cells are left to joins.
+LAY_OUT_FROM = 1_000_000
+#: With at most so many rows, and ``FEW_ROWS_SHARE`` columns to each, a singular value iteration starts from the rows' Gram matrices.
+FEW_ROWS = 1024
+FEW_ROWS_SHARE = 16
+
 
 class Operands:
     """A (row, i, a) and B (row, j, b), prepared once for repeated products.
@@ -35,12 +45,18 @@ class Operands:
     Hot keys (a row or a column holding more than its share of cells) are
     found once per side and key (bounded lists, see ``skew.hot_keys``);
     every product then salts them, so no task receives a hot key whole.
+
+    ``persist`` says that many products follow.  A pair of ``lay_out_from`` cells and more rows than columns is then laid
+    out by blocks of rows when the first one is asked for; its hot rows, which no block should hold whole, stay with
+    the joins, and both parts are added.
     """
 
     def __init__(self, cells: DataFrame, partitions: int | None = None, persist: bool = True,
-                 detect_skew: bool = True, min_rows: int | None = None):
+                 detect_skew: bool = True, min_rows: int | None = None, lay_out_from: int = LAY_OUT_FROM):
         from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys_many
 
+        self.cells, self.lay_out_from, self.min_rows = cells, lay_out_from, min_rows
+        self._looked, self._laid, self._rest = False, None, None
         a, b = split(cells)
         if partitions:
             # spread by the whole cell key: a hot row is split, not concentrated
@@ -69,6 +85,32 @@ class Operands:
             return salted_join(big, other, ["row"], "row", self.hot[f"{side}_row"], col)
         return salted_join(big, other, [col], col, self.hot[f"{side}_col"], "row")
 
+    def laid(self) -> RowBlocks | None:
+        """The blocks of rows, or None where joins do as well."""
+        if self._persisted and not self._looked:
+            self._looked = True
+            n, rows, columns = self.cells.agg(F.count(F.lit(1)), F.approx_count_distinct("row"), F.approx_count_distinct(F.struct("mat", "col"))).first()
+            if n >= self.lay_out_from and rows > columns:
+                hot = sorted({k for s in ("a_row", "b_row") for k, _ in self.hot[s]})  # a bounded list
+                cells = self.cells
+                if hot:
+                    self._rest = Operands(cells.where(F.col("row").isin(hot)), persist=False, min_rows=self.min_rows)
+                    cells = cells.where(~F.col("row").isin(hot))
+                self._laid = RowBlocks(cells)
+        return self._laid
+
+    def product(self, x: DataFrame, first: str, r: int) -> DataFrame:
+        """(id, f[r]) of Aᵀ(Bx), or of Bᵀ(Ax) with ``first`` 'A'; x is (id, f[r])."""
+        if (laid := self.laid()) is None:
+            side, (inner, outer) = first.lower(), ("j", "i") if first == "B" else ("i", "j")
+            other = "a" if side == "b" else "b"
+            w = self.join(side, inner, x.select(F.col("id").alias(inner), "f")).groupBy("row").agg(_sum_block(F.col(side), r))
+            return self.join(other, "row", w).groupBy(outer).agg(_sum_block(F.col(other), r)).withColumnRenamed(outer, "id")
+        y = laid.product(x, first, r)
+        if self._rest is None:
+            return y
+        return y.unionByName(self._rest.product(x, first, r)).groupBy("id").agg(_sum_block(F.lit(1.0), r))
+
     def a_ids(self) -> DataFrame:
         return self.a.select(F.col("i").alias("id")).distinct()
 
@@ -76,6 +118,8 @@ class Operands:
         return self.b.select(F.col("j").alias("id")).distinct()
 
     def release(self):
+        if self._laid is not None:
+            self._laid.release()
         if self._persisted:
             self.a.unpersist()
             self.b.unpersist()
@@ -115,6 +159,8 @@ def axpy(alpha: float, x: DataFrame, y: DataFrame) -> DataFrame:
 
 def apply_product(ops: Operands, x: DataFrame) -> DataFrame:
     """y = Aᵀ(B x); x over B's columns, y over A's columns."""
+    if ops.laid() is not None:
+        return ops.product(x.select("id", F.array("val").alias("f")), "B", 1).select("id", F.get("f", 0).alias("val"))
     w = ops.join("b", "j", x.select(F.col("id").alias("j"), F.col("val").alias("x"))) \
         .groupBy("row").agg(F.sum(F.col("b") * F.col("x")).alias("w"))
     return ops.join("a", "row", w).groupBy("i").agg(F.sum(F.col("a") * F.col("w")).alias("val")) \
@@ -123,6 +169,8 @@ def apply_product(ops: Operands, x: DataFrame) -> DataFrame:
 
 def apply_product_t(ops: Operands, y: DataFrame) -> DataFrame:
     """z = Bᵀ(A y); y over A's columns, z over B's columns."""
+    if ops.laid() is not None:
+        return ops.product(y.select("id", F.array("val").alias("f")), "A", 1).select("id", F.get("f", 0).alias("val"))
     w = ops.join("a", "i", y.select(F.col("id").alias("i"), F.col("val").alias("y"))) \
         .groupBy("row").agg(F.sum(F.col("a") * F.col("y")).alias("w"))
     return ops.join("b", "row", w).groupBy("j").agg(F.sum(F.col("b") * F.col("w")).alias("val")) \
@@ -138,13 +186,11 @@ def _sum_block(weight, r: int):
 
 
 def apply_product_block(ops: Operands, x: DataFrame, r: int) -> DataFrame:
-    w = ops.join("b", "j", x.select(F.col("id").alias("j"), "f")).groupBy("row").agg(_sum_block(F.col("b"), r))
-    return ops.join("a", "row", w).groupBy("i").agg(_sum_block(F.col("a"), r)).withColumnRenamed("i", "id")
+    return ops.product(x, "B", r)
 
 
 def apply_product_block_t(ops: Operands, y: DataFrame, r: int) -> DataFrame:
-    w = ops.join("a", "i", y.select(F.col("id").alias("i"), "f")).groupBy("row").agg(_sum_block(F.col("a"), r))
-    return ops.join("b", "row", w).groupBy("j").agg(_sum_block(F.col("b"), r)).withColumnRenamed("j", "id")
+    return ops.product(y, "A", r)
 
 
 def factor_times(factors: DataFrame, coeffs: list[float]) -> DataFrame:
@@ -258,7 +304,9 @@ def svd(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7
     rotates both sides onto the current singular vectors (Rayleigh-Ritz),
     V = orthonormal basis of Mᵀ Q.  After that rotation the columns come in
     falling size, so small singular values are not swamped by large ones.
-    Directions lost to rounding are replaced by fresh random ones.  Stops
+    Directions lost to rounding are replaced by fresh random ones.  A pair
+    with few rows for its columns starts from :func:`start_from_rows` and
+    needs a few rounds only, others from random vectors.  Stops
     when no wanted σ moves by more than ``tol`` of itself (σ below 1e-13 of
     the largest count as zero).
 
@@ -266,7 +314,8 @@ def svd(ops: Operands, r: int, iters: int = 60, seed: int = 0, tol: float = 1e-7
     """
     rounds = Rounds(4 if checkpoint else 10 ** 9)
     q = max(1, min(int(r) + int(oversample), ops.a_ids().count(), ops.b_ids().count()))
-    v, _ = orthonormalize(rounds.keep(random_start_block(ops.b_ids(), q, seed)), q)
+    start = start_from_rows(ops, q, seed, rounds)
+    v, _ = orthonormalize(rounds.keep(random_start_block(ops.b_ids(), q, seed)) if start is None else start, q)
     v, prev, converged, k = rounds.keep(v), None, False, 0
     for k in range(1, int(iters) + 1):
         y, root = orthonormalize(rounds.keep(apply_product_block(ops, v, q)), q)
@@ -302,6 +351,62 @@ def random_start_block(ids: DataFrame, r: int, seed: int) -> DataFrame:
                       F.array(*[gaussian(seed, "block", F.col("id"), F.lit(a)) for a in range(r)]).alias("f"))
 
 
+def _gram_batches(rows: list[int], col: str, value: str):
+    """Rows (k, g[d]) of the sum of x xᵀ over a task's columns x, given as lists of cells."""
+    def run(batches):
+        known, g = np.array(rows, dtype=np.int64), np.zeros((len(rows), len(rows)))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                cells = b.column("cells").slice(lo, 1000)
+                x = np.zeros((len(cells), len(known)))
+                flat = cells.flatten()
+                of = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                x[of, np.searchsorted(known, flat.field("row").to_numpy())] = flat.field(value).to_numpy()
+                g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known)), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["k", "g"])
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    g = t.column("g").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(axis=0)
+    return pa.table({"k": t.column("k").slice(0, 1), "g": pa.array([g], pa.list_(pa.float64()))})
+
+
+def row_gram(side: DataFrame, col: str, value: str, rows: list[int]) -> np.ndarray:
+    """X Xᵀ of a side whose rows are ``rows`` (ascending, at most FEW_ROWS); a column is a list of so many cells at most."""
+    ship_package(side.sparkSession)
+    columns = side.groupBy(col).agg(F.collect_list(F.struct("row", value)).alias("cells")).select("cells")
+    parts = columns.mapInArrow(_gram_batches(rows, col, value), "k int, g array<double>").groupBy("k").applyInArrow(_added, "k int, g array<double>")
+    out = np.zeros((len(rows), len(rows)))
+    for r in parts.collect():
+        out[r["k"]] = r["g"]
+    return out
+
+
+def start_from_rows(ops: Operands, q: int, seed: int, rounds: Rounds) -> DataFrame | None:
+    """The first q right singular vectors of M as far as the Gram matrices of its rows tell them; None unless there are
+    at most FEW_ROWS rows and FEW_ROWS_SHARE columns to each.
+
+    With A Aᵀ = C Cᵀ and B Bᵀ = D Dᵀ the singular values of AᵀB are those of CᵀD, and a right singular vector q of CᵀD
+    gives Bᵀ D⁺ᵀ q.  Squares lose half the digits, so this is where an iteration starts, not its result.
+    """
+    few = ops.a.select("row").union(ops.b.select("row")).distinct().limit(FEW_ROWS + 1).collect()
+    if len(few) > FEW_ROWS or ops.a_ids().count() + ops.b_ids().count() < FEW_ROWS_SHARE * len(few):
+        return None
+    rows = sorted(r["row"] for r in few)
+    roots = []
+    for side, col, value in ((ops.a, "i", "a"), (ops.b, "j", "b")):
+        size, axes = np.linalg.eigh(row_gram(side, col, value, rows))
+        roots.append(axes * np.sqrt(np.maximum(size, 0.0)))
+    _, sigma, right = np.linalg.svd(roots[0].T @ roots[1])
+    told = min(q, int((sigma > 1e-7 * sigma[0]).sum())) if sigma[0] > 0 else 0
+    t = np.zeros((len(rows), q))
+    t[:, :told] = np.linalg.pinv(roots[1].T, rcond=1e-7) @ right.T[:, :told]
+    w = ops.a.sparkSession.createDataFrame([(r, x.tolist()) for r, x in zip(rows, t)], "row bigint, f array<double>")
+    v = rounds.keep(ops.join("b", "row", w).groupBy("j").agg(_sum_block(F.col("b"), q)).withColumnRenamed("j", "id"))
+    return refill(v, q, list(range(told, q)), seed, 0, rounds)
+
+
 def _orthonormal_factor(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """T and R with X T orthonormal and X = (X T) R, from G = XᵀX, and the
     smallest share of a column that was new.

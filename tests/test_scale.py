@@ -3,13 +3,17 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankfold.operators import factorize as FZ
+from rankfold.operators import linop as L
 from rankfold.operators import sampling as S
 from rankfold.plans import registry as R
 from rankfold.sources import tables as TB
 
+from matrices import dense_cells
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -58,3 +62,42 @@ def test_sketch_values_store_sketches_and_samples(spark):
     logical = got._jdf.queryExecution().logical().toString()
     assert not re.search(r"Window|MapInArrow _?column_batches|Relation.*l_orderkey", logical)
     assert got.where(F.col("val").isNull()).count() == 0
+
+def _tall(seed, d=400, n1=7, n2=5):
+    rng = np.random.default_rng(seed)
+    keep = rng.random((d, n1 + n2)) < 0.4
+    return np.where(keep[:, :n1], rng.normal(size=(d, n1)), 0.0), np.where(keep[:, n1:], rng.normal(size=(d, n2)), 0.0)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_products_on_blocks_of_rows_move_no_cells(spark, hot):
+    a, b = _tall(1)
+    a[3], b[3] = 1.5, -0.5  # a full row
+    cells = dense_cells(spark, a.tolist(), b.tolist()).repartition(3)
+    ops = L.Operands(cells, lay_out_from=0, min_rows=8 if hot else None)
+    if hot:
+        ops.hot = {k: [] for k in ops.hot} | {"a_row": [(3, 2)]}
+    assert ops.laid() is not None and (ops._rest is not None) == hot
+    x = spark.createDataFrame([(j, float(j + 1), [float(j + 1), 1.0 - j]) for j in range(4)], "id bigint, val double, f array<double>")  # no entry for 4
+    xs = np.array([[j + 1.0, 1.0 - j] for j in range(4)] + [[0.0, 0.0]])
+    got = {r["id"]: r["val"] for r in L.apply_product(ops, x).collect()}
+    assert np.allclose([got[i] for i in range(7)], a.T @ (b @ xs[:, 0]))
+    two = {r["id"]: r["f"] for r in L.apply_product_block(ops, x, 2).collect()}
+    assert np.allclose([two[i] for i in range(7)], a.T @ (b @ xs))
+    back = {r["id"]: r["val"] for r in L.apply_product_t(ops, L.apply_product(ops, x)).collect()}
+    assert np.allclose([back[j] for j in range(5)], b.T @ (a @ (a.T @ (b @ xs[:, 0]))))
+    if not hot:  # a block's cells come from its file to the step without an exchange
+        assert not re.search(r"Exchange[^\n]*block[^\n]*\n[^\n]*(FileScan|Project)[^\n]*\bat\b", _plan(L.apply_product(ops, x)))
+        assert "Join" not in _plan(L.apply_product(ops, x))
+    ops.release()
+
+
+def test_singular_values_of_few_rows_take_few_rounds(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(6, 80)), rng.normal(size=(6, 70))
+    b[5] = b[4]  # rank 5
+    ops = L.Operands(dense_cells(spark, a.tolist(), b.tolist()))
+    got = L.svd(ops, 3, iters=60, seed=2, tol=1e-10)
+    truth = np.linalg.svd(a.T @ b, compute_uv=False)[:3]
+    assert got["converged"] and got["rounds"] <= 4 and np.allclose(got["sigmas"], truth, rtol=1e-9)
+    ops.release()
