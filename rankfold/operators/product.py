@@ -24,8 +24,9 @@ def product_exact(cells: DataFrame, detect_skew: bool = True, min_rows: int = 20
     from rankfold.operators.skew import grid_join, hot_products
 
     a, b = split(cells)
-    hot = hot_products(a, b, "row", min_pairs=min_rows) if detect_skew else []
-    return grid_join(a, b, "row", "i", "j", hot).drop("_line", "_column").groupBy("i", "j") \
+    found: dict = {}
+    hot = hot_products(a, b, "row", min_pairs=min_rows, found=found) if detect_skew else []
+    return grid_join(a, b, "row", "i", "j", hot, found.get("tasks")).drop("_line", "_column").groupBy("i", "j") \
         .agg(F.sum(F.col("a") * F.col("b")).alias("val"))
 
 
@@ -78,8 +79,10 @@ def value_exact(cells: DataFrame, samples: DataFrame, first: str = "A", detect_s
         hot = hot_keys_many(b, ["j", "row"], min_rows=min_rows) if detect_skew else {"j": [], "row": []}
         part = salted_join(salted_join(b, s, ["j"], "j", hot["j"], "row"), a, ["row", "i"], "row", hot["row"], "j")
     elif first == "rows":
-        hot = hot_products(a, b, "row", min_pairs=min_rows) if detect_skew else []
-        part = grid_join(a, b, "row", "i", "j", hot).drop("_line", "_column").join(s, ["i", "j"])
+        found: dict = {}
+        hot = hot_products(a, b, "row", min_pairs=min_rows, found=found) if detect_skew else []
+        pairs = grid_join(a, b, "row", "i", "j", hot, found.get("tasks"))
+        part = pairs.select("i", "j", "a", "b").join(s, ["i", "j"])
     else:
         raise ValueError("first must be 'A', 'B', 'rows' or 'auto'")
     dots = part.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MIN_ROWS = 200_000
+#: Pairs that one task of a join by row makes, about.
+TASK_PAIRS = 2_000_000
 
 
 def _parts(df: DataFrame) -> int:
@@ -84,15 +86,18 @@ def hot_keys_many(df: DataFrame, keys: list[str], parts: int | None = None,
 
 
 def hot_products(left: DataFrame, right: DataFrame, key: str, parts: int | None = None,
-                 min_pairs: int = DEFAULT_MIN_ROWS) -> list:
+                 min_pairs: int = DEFAULT_MIN_ROWS, found: dict | None = None) -> list:
     """[(key value, lines, columns)] for keys whose pairs are more than a
     task's fair share of all pairs.  At most ``parts`` keys.  Both sides are
-    read once, and again only where there is such a key."""
+    read once, and again only where there is such a key.  ``found`` is told
+    the number of ``tasks`` that all pairs ask for."""
     parts = parts or _parts(left)
     ones = lambda df, l, r: df.select(key, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
     counts = ones(left, 1, 0).unionAll(ones(right, 0, 1)).groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")) \
         .where(F.col(key).isNotNull() & (F.col("_l") > 0) & (F.col("_r") > 0)).withColumn("_w", F.col("_l").cast("double") * F.col("_r"))
     total, most = counts.agg(F.sum("_w"), F.max("_w")).first()
+    if found is not None:
+        found["tasks"] = max(parts, math.ceil((total or 0.0) / TASK_PAIRS))
     share = max(float(min_pairs), (total or 0.0) / parts)
     if (most or 0.0) <= share:  # the usual case: both sides have been read once
         return []
@@ -104,10 +109,15 @@ def hot_products(left: DataFrame, right: DataFrame, key: str, parts: int | None
     return out
 
 
-def grid_join(left: DataFrame, right: DataFrame, key: str, spread_left: str, spread_right: str, hot: list) -> DataFrame:
-    """``left ⋈ right`` on ``key`` with the pairs of hot keys laid out on grids."""
+def grid_join(left: DataFrame, right: DataFrame, key: str, spread_left: str, spread_right: str, hot: list,
+              tasks: int | None = None) -> DataFrame:
+    """``left ⋈ right`` on ``key`` with the pairs of hot keys laid out on grids, in ``tasks`` tasks if given: adaptive
+    execution sizes tasks by the rows they read, of which a few MB may make many pairs."""
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(tasks, *keys) if tasks else df
+
     if not hot:
-        return left.join(right, key)
+        return dealt(left, key).join(dealt(right, key), key)
     grid = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {dict(left.dtypes)[key]}, _lines int, _columns int"))  # <= parts rows
 
     def laid(df: DataFrame, spread: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
@@ -117,4 +127,5 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, spread_left: str, spr
 
     a = laid(left, spread_left, "_line", "_column", "_lines", "_columns")
     b = laid(right, spread_right, "_column", "_line", "_columns", "_lines")
-    return a.join(b, [key, "_line", "_column"])
+    on = [key, "_line", "_column"]
+    return dealt(a, *on).join(dealt(b, *on), on)

@@ -101,3 +101,17 @@ def test_singular_values_of_few_rows_take_few_rounds(spark):
     truth = np.linalg.svd(a.T @ b, compute_uv=False)[:3]
     assert got["converged"] and got["rounds"] <= 4 and np.allclose(got["sigmas"], truth, rtol=1e-9)
     ops.release()
+
+
+def test_tasks_of_a_product_follow_its_pairs(spark, monkeypatch):
+    from rankfold.operators import product as P
+    from rankfold.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 100)
+    a = np.arange(1.0, 401.0).reshape(40, 10)  # 40 rows of 100 pairs
+    cells = dense_cells(spark, a.tolist(), a.tolist())
+    found = {}
+    assert skew.hot_products(*TB.split(cells), "row", found=found) == [] and found["tasks"] == 40
+    got = P.product_exact(cells)
+    assert _plan(got).count("hashpartitioning(row#") == 2 and ", 40), REPARTITION_BY_NUM" in _plan(got)
+    assert {(r["i"], r["j"]): r["val"] for r in got.collect()} == {(i, j): v for i, x in enumerate((a.T @ a).tolist()) for j, v in enumerate(x)}
