@@ -43,6 +43,11 @@ _ARROW = {"mat": pa.string(), "col": pa.int64(), "row": pa.int64(), "sv": pa.flo
           "sk": pa.list_(pa.float64()), "norm2": pa.float64()}
 
 
+def no_list():
+    """An array for rows without one: empty, as Spark hands null arrays to Python in a time quadratic in a batch's rows."""
+    return F.array().cast("array<double>")
+
+
 def _arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[n]) for n in (p.split()[0] for p in ddl.split(", "))])
 
@@ -157,7 +162,7 @@ def _wide_batch(mats, cols, sums, norms) -> pa.RecordBatch:
 
 
 def _column_batches(signs: Signs, scale: float):
-    """Rows of PARTIAL, sorted by (mat, col), to one wide row for each column."""
+    """Rows of PARTIAL, those of a column side by side, to one wide row for each column."""
     def run(batches):
         held = _Sums(scale)
         for whole in batches:
@@ -201,7 +206,7 @@ def _partial_batches(signs: Signs):
                 cells = b.filter(pa.array(few))
                 n = cells.num_rows
                 yield pa.RecordBatch.from_arrays([cells.column(x) for x in ("mat", "col", "row", "sv", "val")] + [
-                    pa.nulls(n, _ARROW["sk"]), pa.nulls(n, pa.float64())], schema=schema)
+                    pa.array([[]] * n, _ARROW["sk"]), pa.nulls(n, pa.float64())], schema=schema)
                 g = np.flatnonzero(size >= FEW)
                 if not len(g):
                     continue
@@ -225,11 +230,11 @@ def sketch_cells(cells: DataFrame, coords: list[int], seed: int, n: int) -> Data
     signed = cells.select("mat", F.col("col").cast("bigint").alias("col"), F.col("row").cast("bigint").alias("row"),
                           (sign(seed, "sign", F.col("row")) * F.col("val")).alias("sv"), F.col("val").cast("double").alias("val"))
     if n > 1 << SPLIT_BITS:
-        parts = signed.repartition("mat", "col", F.shiftright("row", SPLIT_BITS)).sortWithinPartitions("mat", "col")
+        parts = signed.repartition("mat", "col", F.shiftright("row", SPLIT_BITS)).sortWithinPartitions("col", "mat")
         signed = parts.mapInArrow(_partial_batches(signs), PARTIAL)
     else:
-        signed = signed.withColumn("sk", F.lit(None).cast("array<double>")).withColumn("norm2", F.lit(None).cast("double"))
-    columns = signed.repartition("mat", "col").sortWithinPartitions("mat", "col")
+        signed = signed.withColumn("sk", no_list()).withColumn("norm2", F.lit(None).cast("double"))
+    columns = signed.repartition("mat", "col").sortWithinPartitions("col", "mat")  # numbers first: sorted by prefix
     return columns.mapInArrow(_column_batches(signs, 1.0 / math.sqrt(len(coords))), WIDE)
 
 

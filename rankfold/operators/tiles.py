@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankfold.operators.hadamard import no_list
 from rankfold.session import ship_package
 
 TILE_BYTES = 32 << 20
@@ -152,7 +153,7 @@ def tiled_dots(samples: DataFrame, vectors: DataFrame, length: int, tiles: tuple
     kept = dealt.schema["rest"].dataType
     dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(chunks)).cast("bigint")))).withColumn("kind", F.lit(2)) \
         .withColumn("part", F.pmod(F.xxhash64("i", "j"), parts).cast("int")) \
-        .withColumn("vec", F.lit(None).cast("array<double>")).withColumn("norm2", F.lit(None).cast("double"))
+        .withColumn("vec", no_list()).withColumn("norm2", F.lit(None).cast("double"))
     order = ["tile", "part", "chunk", "kind"]
     names = [*order, "i", "j", "vec", "norm2", "rest"]
     rows = copied("A", 0, "i", "j", lambda c: line * columns + c, columns).select(names) \

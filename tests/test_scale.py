@@ -115,3 +115,23 @@ def test_tasks_of_a_product_follow_its_pairs(spark, monkeypatch):
     got = P.product_exact(cells)
     assert _plan(got).count("hashpartitioning(row#") == 2 and ", 40), REPARTITION_BY_NUM" in _plan(got)
     assert {(r["i"], r["j"]): r["val"] for r in got.collect()} == {(i, j): v for i, x in enumerate((a.T @ a).tolist()) for j, v in enumerate(x)}
+
+
+def test_a_sign_is_the_upper_half_of_its_hash(spark):
+    from rankfold.functions import hashing as H
+
+    signs = spark.range(500).select("id", H.sign(7, "sign", "id").alias("s"))
+    assert "conv(" not in _plan(signs)  # one hex digit, no number made of thirteen
+    assert all(r["s"] == H.py_sign(7, "sign", r["id"]) for r in signs.collect())
+
+
+def test_no_null_arrays_are_handed_to_python(spark):
+    from rankfold.operators import sketch as K
+    from rankfold.operators import tiles as T
+
+    cells = spark.range(400_000).selectExpr("'A' as mat", "id as row", "id % 40000 as col", "1.0D as val").coalesce(1)
+    samples = spark.range(400_000).selectExpr("id % 1000 as i", "id div 1000 as j")
+    vectors = spark.range(1400).selectExpr("if(id < 1000, 'A', 'B') as mat", "id % 1000 as col", "0L as chunk", "array(1.0D, 2.0D) as vec")
+    for plan in (K.srht_sketch_wide(cells, [1, 2], 3, 1 << 19), T.tiled_dots(samples, vectors, 2, (1, 1))):
+        assert "null AS sk" not in _plan(plan) and "null AS vec" not in _plan(plan)
+        plan.write.format("noop").mode("overwrite").save()
