@@ -94,8 +94,8 @@ def test_products_on_blocks_of_rows_move_no_cells(spark, hot):
 
 def test_singular_values_of_few_rows_take_few_rounds(spark):
     rng = np.random.default_rng(5)
-    a, b = rng.normal(size=(6, 80)), rng.normal(size=(6, 70))
-    b[5] = b[4]  # rank 5
+    a, b = rng.normal(size=(20, 180)), rng.normal(size=(20, 160))
+    b[5] = b[4]  # rank 19
     ops = L.Operands(dense_cells(spark, a.tolist(), b.tolist()))
     got = L.svd(ops, 3, iters=60, seed=2, tol=1e-10)
     truth = np.linalg.svd(a.T @ b, compute_uv=False)[:3]
