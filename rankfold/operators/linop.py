@@ -208,6 +208,13 @@ def factor_t_times(factors: DataFrame, x: DataFrame, r: int) -> list[float]:
     return [float(row[f"c{a}"] or 0.0) for a in range(r)]
 
 
+def factor_t_times_norm2(factors: DataFrame, x: DataFrame, r: int) -> tuple[list[float], float]:
+    """Uᵀx and ‖x‖² (over all ids of x) by one aggregate."""
+    row = x.join(factors, "id", "left").agg(F.sum(F.col("val") * F.col("val")).alias("s"),
+                                            *[F.sum(F.get("f", a) * F.col("val")).alias(f"c{a}") for a in range(r)]).first()
+    return [float(row[f"c{a}"] or 0.0) for a in range(r)], float(row["s"] or 0.0)
+
+
 def gram(block: DataFrame, r: int) -> np.ndarray:
     row = block.agg(*[F.sum(F.get("f", a) * F.get("f", b)).alias(f"g{a}_{b}")
                       for a in range(r) for b in range(r)]).first()
@@ -255,9 +262,10 @@ def spectral_norm(ops: Operands, iters: int = 5, seed: int = 0, checkpoint: bool
     return est, trace
 
 
-def apply_residual(ops: Operands, u: DataFrame, v: DataFrame, x: DataFrame, r: int) -> DataFrame:
-    """(U Vᵀ − M) x, x over B's columns."""
-    approx = factor_times(u, factor_t_times(v, x, r))
+def apply_residual(ops: Operands, u: DataFrame, v: DataFrame, x: DataFrame, r: int,
+                   vtx: list[float] | None = None) -> DataFrame:
+    """(U Vᵀ − M) x, x over B's columns; ``vtx`` is Vᵀx where it is known."""
+    approx = factor_times(u, factor_t_times(v, x, r) if vtx is None else vtx)
     exact = apply_product(ops, x)
     return axpy(-1.0, exact, approx)
 
@@ -274,19 +282,70 @@ def residual_norm(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int
     """Power iteration on RᵀR, R = U Vᵀ − M."""
     rounds = Rounds(4 if checkpoint else 10 ** 9)
     x = rounds.keep(random_start(ops.b_ids(), seed, "resid"))
-    nx = math.sqrt(norm2(x))
-    x = x.select("id", (F.col("val") / F.lit(nx if nx > 0 else 1.0)).alias("val"))
     est, trace = 0.0, []
-    for k in range(iters):
-        y = rounds.keep(apply_residual(ops, u, v, x, r))
-        z = rounds.keep(apply_residual_t(ops, u, v, y, r))
-        nz = math.sqrt(norm2(z))
-        est = math.sqrt(nz)
-        trace.append((k + 1, est))
-        x = z.select("id", (F.col("val") / F.lit(nz if nz > 0 else 1.0)).alias("val"))
+    for k in range(iters + 1):
+        vtx, square = factor_t_times_norm2(v, x, r)  # a round's norm and the next one's Vᵀx
+        n = math.sqrt(square)
+        if k:
+            est = math.sqrt(n)
+            trace.append((k, est))
+        if k == iters:
+            break
+        n = n if n > 0 else 1.0
+        x = x.select("id", (F.col("val") / F.lit(n)).alias("val"))
+        y = rounds.keep(apply_residual(ops, u, v, x, r, [c / n for c in vtx]))
+        x = rounds.keep(apply_residual_t(ops, u, v, y, r))
     return est, trace
 
 
+def _side_by_side(factors: list[DataFrame], r: int) -> DataFrame:
+    """(id, g[len · r]): the factors of all frames in one array, zeros where a frame lacks the id."""
+    tagged = [f.select("id", F.lit(k).alias("k"), "f") for k, f in enumerate(factors)]
+    all_of = tagged[0]
+    for t in tagged[1:]:
+        all_of = all_of.unionByName(t)
+    none = F.array_repeat(F.lit(0.0), r)
+    return all_of.groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("f"))).alias(f"f{k}") for k in range(len(factors))]) \
+        .select("id", F.concat(*[F.coalesce(f"f{k}", none) for k in range(len(factors))]).alias("g"))
+
+
+def residual_norms(ops: Operands, pairs: list[tuple[DataFrame, DataFrame]], r: int, iters: int = 5, seed: int = 0,
+                   checkpoint: bool = True) -> list[float]:
+    """I7 of several pairs (U, V) at a time: the rounds of :func:`residual_norm` with a column for each pair, so that
+    all pairs share the products with M."""
+    m = len(pairs)
+    rounds = Rounds(4 if checkpoint else 10 ** 9)
+    us, vs = (_side_by_side([p[k] for p in pairs], r).persist(StorageLevel.MEMORY_AND_DISK) for k in (0, 1))
+
+    def told(factors: DataFrame, x: DataFrame) -> tuple[list, np.ndarray]:
+        """Fᵀx of each pair and ‖x‖², by one aggregate."""
+        row = x.join(factors, "id", "left").agg(*[F.sum(F.get("f", k) * F.get("f", k)).alias(f"s{k}") for k in range(m)], *[
+            F.sum(F.get("g", k * r + a) * F.get("f", k)).alias(f"c{k}_{a}") for k in range(m) for a in range(r)]).first()
+        return [[float(row[f"c{k}_{a}"] or 0.0) for a in range(r)] for k in range(m)], np.sqrt([float(row[f"s{k}"] or 0.0) for k in range(m)])
+
+    def residual(factors: DataFrame, c: list, x: DataFrame, first: str) -> DataFrame:
+        approx = factors.select("id", F.array(*[sum((F.get("g", k * r + a) * F.lit(float(c[k][a])) for a in range(r)), F.lit(0.0)) for k in range(m)]).alias("f"))
+        exact = ops.product(x, first, m).select("id", F.transform("f", lambda e: -e).alias("f"))
+        return approx.unionByName(exact).groupBy("id").agg(_sum_block(F.lit(1.0), m))
+
+    start = random_start(ops.b_ids(), seed, "resid")
+    x = rounds.keep(start.select("id", F.array_repeat("val", m).alias("f")))
+    est = [0.0] * m
+    for k in range(iters + 1):
+        c, n = told(vs, x)  # a round's norms and the next one's Vᵀx
+        est = [math.sqrt(e) for e in n] if k else est
+        if k == iters:
+            break
+        n = np.where(n > 0, n, 1.0)
+        x = x.select("id", F.array(*[F.get("f", a) / F.lit(float(n[a])) for a in range(m)]).alias("f"))
+        y = rounds.keep(residual(us, [[v / n[a] for v in c[a]] for a in range(m)], x, "B"))
+        x = rounds.keep(residual(vs, told(us, y)[0], y, "A"))
+    rounds.release()
+    us.unpersist()
+    vs.unpersist()
+    return est
+
+
 def relative_error(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int = 5, seed: int = 0) -> dict:
     """I8: ‖UVᵀ − M‖₂ / ‖M‖₂, both by ``iters`` power rounds."""
     top, t1 = spectral_norm(ops, iters, seed)

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from rankfold.operators import product as P
 from rankfold.operators import sampling as S
 from rankfold.operators import sketch as K
 from rankfold.operators.prefix import column_cdf
-from rankfold.session import cut_lineage
+from rankfold.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 REPORT_SCHEMA = "metric string, round int, value double"
 
@@ -267,30 +268,40 @@ def compare_methods(spark: SparkSession, cells: DataFrame, rank: int = 2, k: int
                     svd_iters: int = 60, svd_tol: float = 1e-4) -> DataFrame:
     """Best rank-r error, one-pass (Gaussian sketch, rescaled values)
     and two-pass (exact values) on the SAME Bernoulli mask, all relative to
-    σ₁.  Returns (method, rel_error)."""
+    σ₁.  Returns (method, rel_error).
+
+    The three are chains of many small jobs that don't wait for one another's
+    results, so each is driven by a thread of its own; both residuals
+    share one power iteration."""
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
     ops = L.Operands(cells)
     try:
-        sig, _, _ = L.svd_exact(ops, rank + 1, svd_iters, seed, tol=svd_tol)
+        ops.laid()  # looked up once, before several threads ask
+        with ThreadPoolExecutor(3) as pool:
+            aside = lambda f: pool.submit(inheritable_thread_target(spark)(f))
+            best = aside(lambda: L.svd_exact(ops, rank + 1, svd_iters, seed, tol=svd_tol)[0])
+            sketched = aside(lambda: cut_lineage(K.sketch_wide(K.gaussian_sketch_cells(cells, k, seed), k)))
+            norms = N.col_norms2(cells).persist(StorageLevel.MEMORY_AND_DISK)
+            tot = N.norm_totals(norms)
+            bud = S.sample_budget(tot["n1"], tot["n2"], rank, ss)
+            a_n, b_n = S.a_side(norms), S.b_side(norms)
+            mask = cut_lineage(S.sample_bernoulli(a_n, b_n, bud["m"], tot["n1"], tot["n2"], tot["fro_a"],
+                                                  tot["fro_b"], seed))
+            v_ids = b_n.select(F.col("j").alias("id"))
+
+            def factors(values):
+                obs = cut_lineage(S.weights(values(), "ones"), cache=True)
+                return FZ.wals(obs, v_ids, rank, iters, lam, seed)
+
+            wide = sketched.result()
+            pairs = [aside(lambda: factors(lambda: K.value_from_sketch(mask, wide, norms, "rescaled"))),
+                     aside(lambda: factors(lambda: P.value_exact(cells, mask, "auto")))]
+            left = L.residual_norms(ops, [p.result() for p in pairs], rank, power_iters, seed)
+            sig = best.result()
         s1 = sig[0]
-        err_opt = sig[rank] / s1 if s1 > 0 else float("nan")
-        norms = N.col_norms2(cells).persist(StorageLevel.MEMORY_AND_DISK)
-        tot = N.norm_totals(norms)
-        bud = S.sample_budget(tot["n1"], tot["n2"], rank, ss)
-        a_n, b_n = S.a_side(norms), S.b_side(norms)
-        mask = cut_lineage(S.sample_bernoulli(a_n, b_n, bud["m"], tot["n1"], tot["n2"], tot["fro_a"],
-                                              tot["fro_b"], seed))
-        wide = cut_lineage(K.sketch_wide(K.gaussian_sketch_cells(cells, k, seed), k))
-        v_ids = b_n.select(F.col("j").alias("id"))
-        out = [("optimal", err_opt)]
-        for method, obs in (
-            ("one_pass", K.value_from_sketch(mask, wide, norms, "rescaled")),
-            ("two_pass", P.value_exact(cells, mask, "auto")),
-        ):
-            obs = cut_lineage(S.weights(obs, "ones"), cache=True)
-            u, v = FZ.wals(obs, v_ids, rank, iters, lam, seed)
-            res, _ = L.residual_norm(ops, u, v, rank, power_iters, seed)
-            out.append((method, res / s1 if s1 > 0 else float("nan")))
+        out = [(m, e / s1 if s1 > 0 else float("nan")) for m, e in zip(("optimal", "one_pass", "two_pass"), [sig[rank], *left])]
     finally:
         ops.release()
     return spark.createDataFrame(out, "method string, rel_error double")
