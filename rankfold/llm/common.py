@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,13 +103,32 @@ def forget() -> None:
     if _REMEMBERED:
         _REMEMBERED.clear()
         gc.collect()
+        give_back()
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, remembers: bool = False) -> DataFrame:
+def give_back() -> None:
+    """What this Python worker has freed goes back to the system, as its allocators would keep it while the worker
+    waits for other tasks, beside all other workers of the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+#: Rows that a step with much output a row takes at a time.
+FEW_ROWS = 500
+
+
+def slices(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows."""
+    yield from (batch.slice(a, rows) for a in range(0, batch.num_rows, rows)) if rows else (batch,)
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, remembers: bool = False,
+              rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with plain Python columns.
 
     ``make()`` runs once per task and gives a function from a dict of lists to an iterator of dicts
-    of lists (or arrays), each of which becomes one Arrow batch.
+    of lists (or arrays), each of which becomes one Arrow batch.  ``rows`` bounds the rows of such a dict.
     """
     ship_package(df.sparkSession)
     arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in _parse(schema)])
@@ -117,9 +137,12 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]
         if not remembers:
             forget()
         step = make()
-        for batch in batches:
-            for out in step({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for whole in batches:
+            for batch in slices(whole, rows):
+                for out in step({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        step = whole = batch = out = None  # noqa: F841  what they hold is to go too
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
+from rankfold.llm.common import FEW_ROWS, discard, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
 from rankfold.llm.components import components
 
 K = 256
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id",
 
         return step
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, n_shingles bigint, cls bigint, sketch array<bigint>")
+    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id bigint, n_shingles bigint, cls bigint, sketch array<bigint>", rows=FEW_ROWS)
 
 
 def least_overlap(n: Column, k: int, threshold: float) -> Column:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 85, k: int = K, id
         return step
 
     least = least_size(t)
-    sets = map_arrow(read.where("doc_id IS NOT NULL").withColumn("slot", id_slot()), make, "doc_id bigint, cls bigint, values binary")
+    sets = map_arrow(read.where("doc_id IS NOT NULL").withColumn("slot", id_slot()), make, "doc_id bigint, cls bigint, values binary", rows=FEW_ROWS)
     # partitioned by class, as the meetings are joined; the join by class needs the id as well, which may have other texts
     sets = sets.join(wanted.withColumnRenamed("doc_id", "rep"), "cls").where("doc_id = rep").select("cls", "values").dropDuplicates(["cls"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

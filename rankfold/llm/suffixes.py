@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import WORD_PATTERN, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, stored
+from rankfold.llm.common import FEW_ROWS, WORD_PATTERN, free_name, id_and_text, id_bitmap, id_slot, in_bitmap, map_arrow, slices, stored
 
 MIN_WORDS, GRAM = 50, 8
 SEEN = 500_000
@@ -102,7 +102,7 @@ def suffix_rows(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
 
         return step
 
-    return map_arrow(docs, make, "doc_id bigint, n_words bigint, cls bigint, keys array<bigint>, positions array<bigint>")
+    return map_arrow(docs, make, "doc_id bigint, n_words bigint, cls bigint, keys array<bigint>, positions array<bigint>", rows=FEW_ROWS)
 
 
 def shared_suffixes(suffixes: DataFrame) -> DataFrame:
@@ -158,9 +158,10 @@ def windows_of(docs: DataFrame, wanted: DataFrame, min_words: int, gram: int) ->
     bitmap = id_bitmap(wanted)
 
     def sieve(batches):
-        for batch in batches:
-            near = in_bitmap(bitmap.value, batch.column(2))
-            yield batch.filter(pa.array(near)).select([0, 1])
+        for whole in batches:
+            for batch in slices(whole, FEW_ROWS):
+                near = in_bitmap(bitmap.value, batch.column(2))
+                yield batch.filter(pa.array(near)).select([0, 1])
 
     # texts without a suffix that is left mostly aren't shuffled to the join
     texts = docs.withColumn("slot", id_slot()).mapInArrow(sieve, "doc_id bigint, text string")
@@ -220,7 +221,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
 
         return step
 
-    spans = map_arrow(marked, make, SPANS)
+    spans = map_arrow(marked, make, SPANS, rows=FEW_ROWS)
     copies = texts.select("doc_id", "cls").distinct().join(classes.where("copied"), "cls").where("doc_id <> rep").select(
         "doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.lit(True).alias("removed"), F.col("rep").alias("first_doc_id"))
     return spans.unionByName(copies)

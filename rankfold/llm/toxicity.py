@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import discard, id_and_text, map_arrow, remembered, stored
+from rankfold.llm.common import FEW_ROWS, discard, give_back, id_and_text, map_arrow, remembered, slices, stored
 from rankfold.session import ship_package
 
 #: Fit parameters; the sample on the driver is bounded by them.
@@ -229,7 +229,10 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches):
         scores = _scorer(shared, key)
-        for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col))) < 0.5))
+        for whole in batches:
+            for batch in slices(whole, FEW_ROWS):
+                yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col))) < 0.5))
+        whole = batch = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,0 +1,37 @@
+"""What Python workers hold: batches in parts, and freed memory given back."""
+
+import os
+import subprocess
+import sys
+
+from rankfold.llm import common
+
+HELD = """
+from rankfold.llm import common
+
+def mb():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+blocks = [bytes(1000) for _ in range(200_000)]
+last = blocks[-1]  # keeps the end of the heap
+del blocks
+before = mb()
+common.give_back()
+assert mb() < before - 100, (before, mb())
+"""
+
+
+def test_freed_memory_is_given_back():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", HELD], check=True, env=os.environ | {"PYTHONPATH": root})
+
+
+def test_batches_come_in_parts(spark):
+    def make():
+        def step(cols):
+            yield {"n": [len(cols["id"])] * len(cols["id"])}
+        return step
+
+    sizes = [r.n for r in common.map_arrow(spark.range(0, 1700, 1, 1), make, "n bigint", rows=500).collect()]
+    assert sizes == [500] * 1500 + [200] * 200
+    assert common.map_arrow(spark.range(0), make, "n bigint", rows=500).count() == 0
