@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 from rankfold.llm import unigram
 from rankfold.llm.common import id_and_text, stored
 
-#: Bytes of the words that are broadcast with their encodings, each counted with 16 bytes more.
-HOT = 64 << 20
+#: Bytes of the words that are broadcast with their encodings: each is counted twice, with HOT_ROW bytes more.
+HOT, HOT_ROW = 64 << 20, 96
 #: The longest of them, in bytes.
 HOT_WORD = 1024
+#: Levels of frequency for each doubling, and parts of a level.
+LEVELS, PARTS = 4, 64
 #: Characters of a word that are exploded together, or walked back over in one fold.
 BLOCK = 256
 #: Edges of a fold.
 STEPS = 1024
-#: Words of the documents that a task encodes, up to this many tasks.
-TASK_WORDS, TASKS = 250_000, 50_000
+#: Bytes of the documents that a task encodes, up to this many tasks.
+TASK_BYTES, TASKS = 1_600_000, 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -162,14 +164,21 @@ def encode_vocabulary(docs: DataFrame, model_path: str, id_col: str = "doc_id",
                       decode_ids(F.col("ids"), docs.sparkSession, model_path).alias("decoded"))
 
 
-def frequent_words(texts: DataFrame, n_words: int, n_bytes: int) -> DataFrame:
-    """The words so frequent that all of them take at most :data:`HOT` bytes, whatever the texts are.
+def frequent_words(texts: DataFrame) -> DataFrame:
+    """The most frequent words, as many as take at most :data:`HOT` bytes, whatever the texts are.
 
-    A word is in if its occurrences are at least (all words' bytes, with 16 each) / HOT.  The bytes of the words
-    that pass, each taken once, are then at most HOT.
+    Words are counted by themselves and stored; their bytes, added up by level of frequency and part of a level, tell
+    the last part that is in.  A word that occurs once isn't: it is encoded once, wherever that is.
     """
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return words.where((F.col("n") >= F.lit((n_bytes + 16 * n_words) / HOT)) & (F.octet_length("word") <= HOT_WORD)).select("word")
+    counted = texts.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = stored(counted.where((F.col("n") > 1) & (F.octet_length("word") <= HOT_WORD)), "counts")
+    rank = -F.floor(F.log2("n") * LEVELS) * PARTS + F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    taken, last = 0, None
+    for part, size in sorted(words.groupBy(rank.alias("part")).agg(F.sum(F.octet_length("word") * 2 + HOT_ROW)).collect()):
+        if (taken := taken + size) > HOT:
+            break
+        last = part
+    return words.where(rank <= F.lit(last)).select("word")
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +194,19 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     given = id_and_text(docs, id_col, text_col)
-    n_words, n_bytes = given.agg(F.sum(F.size(words_of(F.col("text")))).cast("long"), F.sum(F.octet_length("text")).cast("long")).first()
-    n_words, n_bytes = max(0, n_words or 0), n_bytes or 0
-    hot = stored(encode_distinct(frequent_words(given, n_words, n_bytes), model_path).select("word", "ids"), "words")
+    n_bytes = given.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
+    hot = stored(encode_distinct(frequent_words(given), model_path).select("word", "ids"), "words")
 
     # a document's keys are never null, so that its lists can be joined
     keys = ["doc", "no_id", "h"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, n_words // TASK_WORDS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, n_bytes // TASK_BYTES))
     texts = given.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
     texts = texts.repartition(parts, *keys).groupBy(*keys).agg(F.first("text").alias("text"))
     seen = texts.select(*keys, F.col("text").isNull().alias("none"), F.posexplode_outer(words_of(F.col("text"))).alias("at", "word"))
     place = F.when(F.col("ids").isNotNull(), F.struct("at", "ids"))
-    near = seen.join(F.broadcast(hot), "word", "left").groupBy(*keys, "none").agg(F.collect_list(place).alias("near"))
-    rare = seen.where("word IS NOT NULL").join(F.broadcast(hot.select("word")), "word", "left_anti").select(*keys, "at", "word")
+    known = seen.join(F.broadcast(hot), "word", "left")  # broadcast once, though read twice
+    near = known.groupBy(*keys, "none").agg(F.collect_list(place).alias("near"))
+    rare = known.where("word IS NOT NULL AND ids IS NULL").select(*keys, "at", "word")
     far = encode_words(rare, [*keys, "at"], model_path).groupBy(*keys).agg(F.collect_list(F.struct("at", "ids")).alias("far"))
     lists = near.join(far.hint("merge"), keys, "left")
     found = F.sort_array(F.when(F.col("far").isNull(), F.col("near")).otherwise(F.concat("near", "far")))

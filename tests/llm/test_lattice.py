@@ -103,3 +103,16 @@ def test_texts_are_exchanged_once(docs_of):
     plan = out._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges), exchanges
+
+
+def test_broadcast_words_fill_their_bytes(docs_of, monkeypatch):
+    """Rare words are broadcast too while there is room, the most frequent ones first, and never more than HOT bytes."""
+    pairs = [f"rare{i}" for i in range(50)]
+    docs = docs_of([(1, " ".join(["common"] * 5000 + pairs)), (2, " ".join(["often"] * 40 + pairs + ["once"]))])
+    monkeypatch.setattr(lattice, "HOT", 20_000)
+    assert sorted(r.word for r in lattice.frequent_words(docs).collect()) == sorted(["common", "often", *pairs])
+    monkeypatch.setattr(lattice, "HOT", 1_000)
+    some = {r.word for r in lattice.frequent_words(docs).collect()}
+    assert {"common", "often"} < some and sum(2 * len(w) + lattice.HOT_ROW for w in some) <= 1_000
+    monkeypatch.setattr(lattice, "HOT", 10)
+    assert lattice.frequent_words(docs).count() == 0
