@@ -22,7 +22,8 @@ from rankfold.functions import arrays as AR
 from rankfold.functions.hashing import gaussian, py_uniform, sign
 from rankfold.operators import hadamard as HD
 from rankfold.operators import tiles as T
-from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys, salted_join
+from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_counted, salted_join
+from rankfold.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -116,13 +117,16 @@ def srht_sketch_cells(cells: DataFrame, coords: list[int], seed: int, with_norms
     return wide.select("mat", "col", F.posexplode(F.concat(F.array("norm2"), "sk")).alias("t", "s")).withColumn("t", F.col("t") - 1)
 
 
+#: Cells of a task that multiplies them with the draws of their rows, about.
+TASK_CELLS = 1_000_000
+
 #: Coordinates of one slice of a Gaussian sketch: that many sums stand in one aggregation.
 SLICE = 16
 
 
-def gaussian_rows(cells: DataFrame, k: int, seed: int) -> DataFrame:
+def gaussian_rows(rows: DataFrame, k: int, seed: int) -> DataFrame:
     """(row, g[k]): the column T[:, row]·√k for every row that has a cell, drawn once per row."""
-    return cells.select("row").distinct().withColumn(
+    return rows.select("row").distinct().withColumn(
         "g", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: gaussian(seed, "jl", t, F.col("row"))))
 
 
@@ -131,13 +135,18 @@ def gaussian_sketch_cells(cells: DataFrame, k: int, seed: int, with_norms: bool
     """T = randn(k, d)/√k applied to every column.  T[t, r] is a hash of
     (seed, t, r), drawn once per row (d·k draws, whatever the number of
     cells) and joined to the row's cells; a hot row's cells are spread over
-    sub-keys.  A cell then makes k/16 rows of 16 products, summed before
+    sub-keys.  The rows are counted and stored by a first scan.  A cell then makes k/16 rows of 16 products, summed before
     the exchange by column.  with_norms adds the exact squared column norm
     as t = -1 from the same scan."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    hot = hot_keys(cells, "row", min_rows=min_rows)
-    met = salted_join(cells, gaussian_rows(cells, k, seed), ["row"], "row", hot, "col")
+    # rows are counted once: the counts tell hot rows, the tasks, and which rows are drawn
+    rows = cut_lineage(cells.where("row IS NOT NULL").groupBy("row").agg(F.count(F.lit(1)).alias("_n")))
+    total, hot = hot_counted(rows, "row", min_rows=min_rows)
+    if not hot:  # the work is in draws and products, which adaptive execution, sizing tasks by bytes, doesn't see
+        tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_CELLS))
+        cells, rows = cells.repartition(tasks, "row"), rows.repartition(tasks, "row")
+    met = salted_join(cells, gaussian_rows(rows, k, seed), ["row"], "row", hot, "col")
     slices = -(-k // SLICE)
     first = F.col("slice") * SLICE
     # coordinates past k (in the last slice) are null and fall out below

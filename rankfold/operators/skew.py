@@ -43,6 +43,17 @@ def hot_keys(df: DataFrame, key: str, parts: int | None = None, min_rows: int =
     return hot_keys_many(df, [key], parts, min_rows)[key]
 
 
+def hot_counted(counts: DataFrame, key: str, parts: int | None = None, min_rows: int = DEFAULT_MIN_ROWS) -> tuple[int, list]:
+    """All rows, and ``hot_keys``, from (key, _n), the rows of every key, where these have been counted already."""
+    parts = parts or _parts(counts)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    threshold = max(int(min_rows), int(math.ceil(total / parts)))
+    if total <= threshold:
+        return total, []
+    hot = counts.where(F.col("_n") > threshold).limit(parts + 1).collect()
+    return total, [(r[key], int(math.ceil(r["_n"] / threshold))) for r in hot]
+
+
 def salt_table(spark, key: str, hot: list, key_type: str = "bigint") -> DataFrame:
     return spark.createDataFrame([(k, n) for k, n in hot], f"{key} {key_type}, _nsalt int")
 

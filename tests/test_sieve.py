@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankfold.functions import hashing as H
 from rankfold.functions.hashing import py_uniform
 from rankfold.operators import product as P
 from rankfold.operators import sketch as K
@@ -100,3 +101,22 @@ def test_a_row_is_drawn_once(spark):
     plan = K.gaussian_sketch_cells(cells, 37, 7)._jdf.queryExecution().optimizedPlan().toString()
     with_hash = [line for line in plan.splitlines() if "md5(" in line]
     assert len(with_hash) == 1 and "Aggregate [row" in with_hash[0]
+
+
+def test_rows_are_counted_and_drawn_from_one_reading(spark):
+    """Beside the cells to be multiplied, the plan reads the rows' counts only, and draws the same as ``uniform``."""
+    _, cells = _hot(spark)
+    plan = K.gaussian_sketch_cells(cells.where("col != 987654321"), 5, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("987654321") == 1
+    u1, u2 = (H.uniform(7, f"jl.{x}", F.lit(3), F.col("id")) for x in "rt")
+    draws = spark.range(-50, 50).select(H.gaussian(7, "jl", F.lit(3), F.col("id")).alias("g"), (F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)).alias("h"))
+    assert draws.where("g = h").count() == 100
+
+
+def test_counted_rows_tell_the_same_hot_keys(spark):
+    from rankfold.operators.skew import hot_counted, hot_keys
+    _, cells = _hot(spark)
+    counts = cells.groupBy("row").agg(F.count("*").alias("_n"))
+    for least in (20, 200_000):
+        assert hot_counted(counts, "row", min_rows=least) == (cells.count(), hot_keys(cells, "row", min_rows=least))
+    assert hot_counted(counts.where("row < 0"), "row") == (0, [])
