@@ -91,9 +91,10 @@ def sample_cdf(alloc: DataFrame, cdf: DataFrame, n1: int, n2: int, fro_a: float,
     uc = uniform(seed, "col", F.col("i"), F.col("t"))
     an = F.col("a") * F.lit(float(n1))
     d = d.withColumn("_unif", ub * (an + F.lit(float(fro_a))) < an).withColumn("_uc", uc)
-    # uniform column: equi-join on the column's rank (exactly one match)
+    # uniform column: equi-join on the column's rank (exactly one match); merged, as draws look as small as their
+    # chunks to adaptive execution, which would broadcast them all
     uni = d.where(F.col("_unif")).withColumn("idx", F.floor(F.col("_uc") * F.lit(float(n2))).cast("bigint")) \
-        .join(cdf.select("idx", "j"), "idx").select("i", "j")
+        .join(cdf.select("idx", "j").hint("merge"), "idx").select("i", "j")
     # column drawn in proportion to b_j: merged lookup in the shared CDF
     fromcdf = d.where(~F.col("_unif")).withColumn("_x", F.col("_uc") * F.lit(float(fro_b)))
     hit = cdf_lookup(fromcdf.select("i", "t", "_x"), "_x", cdf, "j", float(fro_b)).select("i", "j")

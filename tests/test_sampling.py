@@ -164,3 +164,13 @@ def test_coordinates_beyond_two_to_the_32(spark):
     coords = K.pick_coords(7, 1 << 38, 300)
     assert len(set(coords)) == 300 and max(coords) > 1 << 36 and max(coords) < 1 << 38
     assert [r["h"] for r in K.coords_frame(spark, 7, 1 << 38, 300).orderBy("t").collect()] == coords
+
+
+def test_draws_are_not_broadcast(spark):
+    """However few bytes the chunks of draws take, the draws meet the columns by a merge."""
+    alloc = spark.range(50).select(F.col("id").alias("i"), F.lit(1.0).alias("a"), F.lit(40).cast("bigint").alias("m_i"))
+    cdf = column_cdf(spark.range(100).select(F.col("id").alias("j"), F.lit(1.0).alias("b")))
+    out = S.sample_cdf(alloc, cdf, 50, 100, 50.0, 100.0, 3)
+    assert out.count() > 0 and out.where("j IS NULL OR j NOT BETWEEN 0 AND 99").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [idx" in plan and "BroadcastHashJoin [idx" not in plan
