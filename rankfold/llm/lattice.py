@@ -3,7 +3,9 @@
 Texts are cut into words, each with the blank before it (see :mod:`rankfold.llm.unigram` for the model,
 why a word may be taken alone, and the tie rules), and the words are encoded by themselves:
 
-1. all substrings of a word of at most the longest piece's length are exploded;
+1. all substrings of a word that may be pieces are exploded: those of at most SHORT_PIECE characters, and up to the
+   longest piece's length where a longer piece ends with the same characters; pieces that are always beaten by others in
+   their place (:func:`rankfold.llm.unigram.winners`) are left out, since no best path has one;
 2. they are joined to the piece table on equality (the vocabulary, of fixed size, is broadcast); a single
    character without a piece stays as an unknown one, whose bytes stand in the edge;
 3. the edges are grouped by word, in the partitioning that the words have already;
@@ -36,6 +38,8 @@ LEVELS, PARTS = 4, 64
 BLOCK = 256
 #: Edges of a fold.
 STEPS = 1024
+#: Characters of a piece that is looked up at every end.
+SHORT_PIECE = 4
 #: Bytes of the documents that a task encodes, up to this many tasks.
 TASK_BYTES, TASKS = 1_600_000, 50_000
 
@@ -61,14 +65,18 @@ def lattice(words: DataFrame, keys: list[str], model_path: str) -> DataFrame:
 
     An edge is (end, minus_len, score, id); an unknown character's id is -1 less its UTF-8 bytes as a number.
     """
-    pieces, unknown, _, longest = piece_table(words.sparkSession, model_path)
+    won, unknown = unigram.winners(model_path)
+    pieces, longest = words.sparkSession.createDataFrame(won, "piece string, score double, id int"), max(len(p) for p, _, _ in won)
     spelt = words.select(*keys, unit_of(F.col("word")).alias("unit"))
     # blocks, each with the characters before it that its pieces may begin at
     blocks = spelt.select(*keys, "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(BLOCK))).alias("block")).select(
         *keys, "block", F.least(F.lit(longest - 1), F.col("block")).alias("skip"), F.least(F.lit(BLOCK), F.char_length("unit") - F.col("block")).alias("n"),
         F.substr("unit", F.greatest(F.lit(0), F.col("block") - (longest - 1)) + 1, F.lit(BLOCK + longest - 1)).alias("chars"))
+    endings = sorted({p[-SHORT_PIECE:] for p, _, _ in won if len(p) > SHORT_PIECE})
+    ending = F.substr("chars", F.greatest(F.lit(0), F.col("skip") + F.col("stop") - SHORT_PIECE) + 1, F.lit(SHORT_PIECE))
+    most = F.when(ending.isin(endings), F.lit(longest)).otherwise(F.lit(SHORT_PIECE))
     parts = (blocks.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("stop"))
-             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("skip") + F.col("stop")))).alias("len"))
+             .select("*", F.explode(F.sequence(F.lit(1), F.least(most, F.col("skip") + F.col("stop")))).alias("len"))
              .select(*keys, (F.col("block") + F.col("stop")).alias("end"), "len",
                      F.substr("chars", F.col("skip") + F.col("stop") - F.col("len") + 1, F.col("len")).alias("piece")))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR len = 1")

@@ -42,6 +42,27 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float, int]], float, int]:
     return pieces, least - UNKNOWN_PENALTY, sp.piece_to_id("<0x00>")
 
 
+@lru_cache(maxsize=2)
+def winners(path: str) -> tuple[list[tuple[str, float, int]], float]:
+    """The pieces that can be in a best path, and the score of an unknown character.
+
+    A piece whose characters have a strictly better path without it is in none: that path could take its
+    place in any other.  So it never ties either, and the best path to each end stays the same without such pieces.
+    """
+    pieces, unknown, _ = vocabulary(path)
+    score, longest = {p: s for p, s, _ in pieces}, max(len(p) for p, _, _ in pieces)
+
+    def without(piece: str) -> float:
+        best = [0.0]
+        for end in range(1, len(piece) + 1):
+            ways = [best[end - 1] + score.get(piece[end - 1:end], unknown)]
+            ways += [best[at] + score[piece[at:end]] for at in range(max(0, end - longest), end - 1) if piece[at:end] in score and end - at < len(piece)]
+            best.append(max(ways))
+        return best[-1]
+
+    return [x for x in pieces if len(x[0]) == 1 or without(x[0]) <= x[1]], unknown
+
+
 def library_model(path: str):
     """The library's own processor for this unigram model; tests compare with it."""
     import sentencepiece

@@ -116,3 +116,26 @@ def test_broadcast_words_fill_their_bytes(docs_of, monkeypatch):
     assert {"common", "often"} < some and sum(2 * len(w) + lattice.HOT_ROW for w in some) <= 1_000
     monkeypatch.setattr(lattice, "HOT", 10)
     assert lattice.frequent_words(docs).count() == 0
+
+
+def test_lattice_has_no_beaten_pieces(spark):
+    """Pieces that others beat in their place are no edges; the best paths with and without them are the same."""
+    pieces, unknown, _ = unigram.vocabulary(PATH)
+    won, penalty = unigram.winners(PATH)
+    library = unigram.library_model(PATH)
+    assert penalty == unknown and set(won) < set(pieces) and {p for p, _, _ in pieces if len(p) == 1} <= {p for p, _, _ in won}
+    beaten = sorted(set(pieces) - set(won))[::400]
+    assert all(i not in library.encode(p.replace(unigram.BLANK, " ")) for p, _, i in beaten)
+    spelt = [p.replace(unigram.BLANK, "") for p, _, _ in beaten]
+    words = spark.createDataFrame(list(enumerate(["x" * 20 + w + "x" * 300 + w for w in spelt if w])), "at int, word string").repartition(2, "at")
+    edges = lattice.lattice(words, ["at"], PATH).collect()
+    lost = {i for _, _, i in set(pieces) - set(won)}
+    assert len(edges) == words.count() and not any(e.id in lost for r in edges for e in r.edges)
+    got = {r.at: r.ids for r in lattice.encode_words(words, ["at"], PATH).collect()}
+    assert got == {r.at: library.encode(r.word) for r in words.collect()}
+
+
+def test_a_piece_is_beaten_only_by_a_strictly_better_path(monkeypatch):
+    table = [("a", -10.0, 1), ("b", -10.0, 2), ("ab", -20.0, 3), ("ba", -21.0, 4), ("abab", -40.0, 5), ("baba", -42.0, 6), ("a\u00e9", -29.0, 7), ("\u00e9a", -31.0, 8)]
+    monkeypatch.setattr(unigram, "vocabulary", lambda _: (table, -20.0, 0))
+    assert [i for _, _, i in unigram.winners.__wrapped__("x")[0]] == [1, 2, 3, 5, 7]
