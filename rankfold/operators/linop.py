@@ -48,32 +48,54 @@ class Operands:
 
     ``persist`` says that many products follow.  A pair of ``lay_out_from`` cells and more rows than columns is then laid
     out by blocks of rows when the first one is asked for; its hot rows, which no block should hold whole, stay with
-    the joins, and both parts are added.
+    the joins, and both parts are added.  Only a pair left to joins keeps its sides besides the caller's cells, and only
+    for joins are hot columns looked for.
     """
 
     def __init__(self, cells: DataFrame, partitions: int | None = None, persist: bool = True,
                  detect_skew: bool = True, min_rows: int | None = None, lay_out_from: int = LAY_OUT_FROM):
-        from rankfold.operators.skew import DEFAULT_MIN_ROWS, hot_keys_many
+        from rankfold.operators.skew import DEFAULT_MIN_ROWS
 
         self.cells, self.lay_out_from, self.min_rows = cells, lay_out_from, min_rows
-        self._looked, self._laid, self._rest = False, None, None
+        self._looked, self._laid, self._rest, self._kept = False, None, None, False
         a, b = split(cells)
         if partitions:
             # spread by the whole cell key: a hot row is split, not concentrated
             a = a.repartition(partitions, "row", "i")
             b = b.repartition(partitions, "row", "j")
-        if persist:
-            a = a.persist(StorageLevel.MEMORY_AND_DISK)
-            b = b.persist(StorageLevel.MEMORY_AND_DISK)
         self.a, self.b = a, b
         self._persisted = persist
-        mr = DEFAULT_MIN_ROWS if min_rows is None else min_rows
-        if detect_skew:
-            ha = hot_keys_many(a, ["row", "i"], min_rows=mr)
-            hb = hot_keys_many(b, ["row", "j"], min_rows=mr)
-            self.hot = {"a_row": ha["row"], "a_col": ha["i"], "b_row": hb["row"], "b_col": hb["j"]}
-        else:
-            self.hot = {"a_row": [], "a_col": [], "b_row": [], "b_col": []}
+        self._least_hot = DEFAULT_MIN_ROWS if min_rows is None else min_rows
+        self._hot = None if detect_skew else {"a_row": [], "a_col": [], "b_row": [], "b_col": []}
+
+    @property
+    def hot(self) -> dict:
+        """Hot rows and columns of both sides."""
+        from rankfold.operators.skew import hot_keys_many
+
+        if self._hot is None:
+            ha = hot_keys_many(self.a, ["row", "i"], min_rows=self._least_hot)
+            hb = hot_keys_many(self.b, ["row", "j"], min_rows=self._least_hot)
+            self._hot = {"a_row": ha["row"], "a_col": ha["i"], "b_row": hb["row"], "b_col": hb["j"]}
+        return self._hot
+
+    @hot.setter
+    def hot(self, found: dict) -> None:
+        self._hot = found
+
+    def _hot_rows(self) -> list:
+        from rankfold.operators.skew import hot_keys
+
+        if self._hot is not None:
+            return sorted({k for s in ("a_row", "b_row") for k, _ in self._hot[s]})
+        return sorted({k for side in (self.a, self.b) for k, _ in hot_keys(side, "row", min_rows=self._least_hot)})
+
+    def _keep(self) -> None:
+        """The sides stay for joins."""
+        if self._persisted and not self._kept:
+            self._kept = True
+            self.a = self.a.persist(StorageLevel.MEMORY_AND_DISK)
+            self.b = self.b.persist(StorageLevel.MEMORY_AND_DISK)
 
     def join(self, side: str, key: str, other: DataFrame) -> DataFrame:
         """side ⋈ other on key ('row' or the side's column), hot keys salted."""
@@ -91,12 +113,14 @@ class Operands:
             self._looked = True
             n, rows, columns = self.cells.agg(F.count(F.lit(1)), F.approx_count_distinct("row"), F.approx_count_distinct(F.struct("mat", "col"))).first()
             if n >= self.lay_out_from and rows > columns:
-                hot = sorted({k for s in ("a_row", "b_row") for k, _ in self.hot[s]})  # a bounded list
+                hot = self._hot_rows()  # a bounded list
                 cells = self.cells
                 if hot:
                     self._rest = Operands(cells.where(F.col("row").isin(hot)), persist=False, min_rows=self.min_rows)
                     cells = cells.where(~F.col("row").isin(hot))
                 self._laid = RowBlocks(cells)
+            else:
+                self._keep()
         return self._laid
 
     def product(self, x: DataFrame, first: str, r: int) -> DataFrame:
@@ -120,7 +144,7 @@ class Operands:
     def release(self):
         if self._laid is not None:
             self._laid.release()
-        if self._persisted:
+        if self._kept:
             self.a.unpersist()
             self.b.unpersist()
 
@@ -280,22 +304,8 @@ def apply_residual_t(ops: Operands, u: DataFrame, v: DataFrame, y: DataFrame, r:
 def residual_norm(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int = 5, seed: int = 0,
                   checkpoint: bool = True):
     """Power iteration on RᵀR, R = U Vᵀ − M."""
-    rounds = Rounds(4 if checkpoint else 10 ** 9)
-    x = rounds.keep(random_start(ops.b_ids(), seed, "resid"))
-    est, trace = 0.0, []
-    for k in range(iters + 1):
-        vtx, square = factor_t_times_norm2(v, x, r)  # a round's norm and the next one's Vᵀx
-        n = math.sqrt(square)
-        if k:
-            est = math.sqrt(n)
-            trace.append((k, est))
-        if k == iters:
-            break
-        n = n if n > 0 else 1.0
-        x = x.select("id", (F.col("val") / F.lit(n)).alias("val"))
-        y = rounds.keep(apply_residual(ops, u, v, x, r, [c / n for c in vtx]))
-        x = rounds.keep(apply_residual_t(ops, u, v, y, r))
-    return est, trace
+    trace = power_norms(ops, [(u, v)], ["resid"], r, iters, seed, checkpoint)[0]
+    return (trace[-1][1] if trace else 0.0), trace
 
 
 def _side_by_side(factors: list[DataFrame], r: int) -> DataFrame:
@@ -309,47 +319,69 @@ def _side_by_side(factors: list[DataFrame], r: int) -> DataFrame:
         .select("id", F.concat(*[F.coalesce(f"f{k}", none) for k in range(len(factors))]).alias("g"))
 
 
-def residual_norms(ops: Operands, pairs: list[tuple[DataFrame, DataFrame]], r: int, iters: int = 5, seed: int = 0,
-                   checkpoint: bool = True) -> list[float]:
-    """I7 of several pairs (U, V) at a time: the rounds of :func:`residual_norm` with a column for each pair, so that
-    all pairs share the products with M."""
-    m = len(pairs)
+def _with_factors(exact: DataFrame, factors: DataFrame | None, c: list, m: int, width: int) -> DataFrame:
+    """(id, f[m], g[width]): approximation less product, and beside it the factors ``g`` of its ids, so that the next
+    step's sums need no join.  ``c[k]``: (place in g, coefficient) of column k's approximation."""
+    sums = [F.sum(F.get("f", k)) for k in range(m)]
+    minus = exact.select("id", F.transform("f", lambda e: -e).alias("f"))
+    if factors is None:
+        return minus.groupBy("id").agg(F.array(*sums).alias("f")).withColumn("g", F.array().cast("array<double>"))
+    approx = F.array(*[sum((F.get("g", at) * F.lit(float(x)) for at, x in c[k]), F.lit(0.0)) for k in range(m)])
+    both = minus.withColumn("g", F.lit(None).cast("array<double>")).unionByName(factors.select("id", approx.alias("f"), "g"))
+    return both.groupBy("id").agg(F.array(*sums).alias("f"), F.array(*[F.coalesce(F.sum(F.get("g", k)), F.lit(0.0)) for k in range(width)]).alias("g"))
+
+
+def power_norms(ops: Operands, pairs: list, purposes: list[str], r: int, iters: int = 5, seed: int = 0,
+                checkpoint: bool = True) -> list[list]:
+    """Power iteration on RᵀR for several R = U Vᵀ − M at a time, a column of the vectors for each, so that all share the
+    products with M; ``None`` for a pair is M itself.  ``purposes`` names the columns' random starts.  Returns a trace, a
+    list of (round, estimate of ‖R‖₂), for each."""
+    m, real = len(pairs), [k for k, p in enumerate(pairs) if p is not None]
+    width = len(real) * r
+    places = {k: range(n * r, n * r + r) for n, k in enumerate(real)}
     rounds = Rounds(4 if checkpoint else 10 ** 9)
-    us, vs = (_side_by_side([p[k] for p in pairs], r).persist(StorageLevel.MEMORY_AND_DISK) for k in (0, 1))
-
-    def told(factors: DataFrame, x: DataFrame) -> tuple[list, np.ndarray]:
-        """Fᵀx of each pair and ‖x‖², by one aggregate."""
-        row = x.join(factors, "id", "left").agg(*[F.sum(F.get("f", k) * F.get("f", k)).alias(f"s{k}") for k in range(m)], *[
-            F.sum(F.get("g", k * r + a) * F.get("f", k)).alias(f"c{k}_{a}") for k in range(m) for a in range(r)]).first()
-        return [[float(row[f"c{k}_{a}"] or 0.0) for a in range(r)] for k in range(m)], np.sqrt([float(row[f"s{k}"] or 0.0) for k in range(m)])
-
-    def residual(factors: DataFrame, c: list, x: DataFrame, first: str) -> DataFrame:
-        approx = factors.select("id", F.array(*[sum((F.get("g", k * r + a) * F.lit(float(c[k][a])) for a in range(r)), F.lit(0.0)) for k in range(m)]).alias("f"))
-        exact = ops.product(x, first, m).select("id", F.transform("f", lambda e: -e).alias("f"))
-        return approx.unionByName(exact).groupBy("id").agg(_sum_block(F.lit(1.0), m))
-
-    start = random_start(ops.b_ids(), seed, "resid")
-    x = rounds.keep(start.select("id", F.array_repeat("val", m).alias("f")))
-    est = [0.0] * m
+    us, vs = (_side_by_side([pairs[k][side] for k in real], r).persist(StorageLevel.MEMORY_AND_DISK) if real else None for side in (0, 1))
+
+    def told(x: DataFrame) -> tuple[list, np.ndarray]:
+        """Fᵀx of each pair, as (place, number), and ‖x‖, by one aggregate."""
+        row = x.agg(*[F.sum(F.get("f", k) * F.get("f", k)).alias(f"s{k}") for k in range(m)],
+                    *[F.sum(F.get("g", at) * F.get("f", k)).alias(f"c{at}") for k in real for at in places[k]]).first()
+        return [[(at, float(row[f"c{at}"] or 0.0)) for at in places.get(k, ())] for k in range(m)], np.sqrt([float(row[f"s{k}"] or 0.0) for k in range(m)])
+
+    ids = ops.b_ids()
+    start = ids.select(F.col("id").cast("bigint").alias("id"), F.array(*[-gaussian(seed, p, F.col("id")) for p in purposes]).alias("f"))
+    x = rounds.keep(_with_factors(start, vs, [[]] * m, m, width))
+    traces: list[list] = [[] for _ in pairs]
     for k in range(iters + 1):
-        c, n = told(vs, x)  # a round's norms and the next one's Vᵀx
-        est = [math.sqrt(e) for e in n] if k else est
+        c, n = told(x)  # a round's norms and the next one's Vᵀx
+        if k:
+            for trace, e in zip(traces, n):
+                trace.append((k, math.sqrt(e)))
         if k == iters:
             break
         n = np.where(n > 0, n, 1.0)
         x = x.select("id", F.array(*[F.get("f", a) / F.lit(float(n[a])) for a in range(m)]).alias("f"))
-        y = rounds.keep(residual(us, [[v / n[a] for v in c[a]] for a in range(m)], x, "B"))
-        x = rounds.keep(residual(vs, told(us, y)[0], y, "A"))
+        y = rounds.keep(_with_factors(ops.product(x, "B", m), us, [[(at, v / n[a]) for at, v in c[a]] for a in range(m)], m, width))
+        x = rounds.keep(_with_factors(ops.product(y.select("id", "f"), "A", m), vs, told(y)[0] if real else [[]] * m, m, width))
     rounds.release()
-    us.unpersist()
-    vs.unpersist()
-    return est
+    for side in (us, vs):
+        if side is not None:
+            side.unpersist()
+    return traces
+
+
+def residual_norms(ops: Operands, pairs: list[tuple[DataFrame, DataFrame]], r: int, iters: int = 5, seed: int = 0,
+                   checkpoint: bool = True) -> list[float]:
+    """I7 of several pairs (U, V) at a time: the rounds of :func:`residual_norm` with a column for each pair, so that
+    all pairs share the products with M."""
+    traces = power_norms(ops, pairs, ["resid"] * len(pairs), r, iters, seed, checkpoint)
+    return [t[-1][1] if t else 0.0 for t in traces]
 
 
 def relative_error(ops: Operands, u: DataFrame, v: DataFrame, r: int, iters: int = 5, seed: int = 0) -> dict:
-    """I8: ‖UVᵀ − M‖₂ / ‖M‖₂, both by ``iters`` power rounds."""
-    top, t1 = spectral_norm(ops, iters, seed)
-    res, t2 = residual_norm(ops, u, v, r, iters, seed)
+    """I8: ‖UVᵀ − M‖₂ / ‖M‖₂, both by ``iters`` power rounds, which share the products with M."""
+    t1, t2 = power_norms(ops, [None, (u, v)], ["start", "resid"], r, iters, seed)
+    top, res = (t[-1][1] if t else 0.0 for t in (t1, t2))
     return {"norm": top, "residual": res, "rel_error": res / top if top > 0 else float("nan"),
             "norm_trace": t1, "residual_trace": t2}
 

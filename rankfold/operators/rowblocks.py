@@ -44,7 +44,7 @@ def _array(table: pa.Table, name: str, k: int) -> np.ndarray:
 def _pack(t: pa.Table) -> pa.Table:
     """A block's cells as one row for each side, its columns by bucket and id; ``at``: rows of the block, of both sides."""
     row, col, bucket, val = (t.column(n).to_numpy() for n in ("row", "col", "bucket", "val"))
-    of_a = np.array(t.column("mat").to_pylist()) == "A"
+    of_a = t.column("of_a").to_numpy()
     at = np.unique(row, return_inverse=True)[1].astype(np.int32)
     out = []
     for mat, mask in (("A", of_a), ("B", ~of_a)):
@@ -142,10 +142,11 @@ class RowBlocks:
         ship_package(cells.sparkSession)
         n = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells.count() / block_cells))
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        placed = cells.select("mat", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("val").cast("double").alias("val")) \
-            .withColumn("block", place("row")).withColumn("bucket", place("col"))
+        placed = cells.select((F.col("mat") == "A").alias("of_a"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"),
+                              F.col("val").cast("double").alias("val")).withColumn("block", place("row"))
+        dealt = placed.repartition(n, "block").withColumn("bucket", place("col"))  # what a column tells is not exchanged
         self.n, self.spark, self.names, self.routes = n, cells.sparkSession, [], {}
-        self.cells, name = bucketed(placed.repartition(n, "block").groupBy("block").applyInArrow(_pack, _PACKED), "block", n, dealt=True)
+        self.cells, name = bucketed(dealt.groupBy("block").applyInArrow(_pack, _PACKED), "block", n, dealt=True)
         self.names.append(name)
         routes = self.cells.select("mat", "block", "ids", "bucket").mapInArrow(_route, _ROUTES)
         for mat in "AB":

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MIN_ROWS = 200_000
+#: Classes of keys that are counted before the keys themselves.
+CLASSES = 1 << 16
 #: Pairs that one task of a join by row makes, about.
 TASK_PAIRS = 2_000_000
 
@@ -80,15 +82,24 @@ def hot_keys_many(df: DataFrame, keys: list[str], parts: int | None = None,
                   min_rows: int = DEFAULT_MIN_ROWS) -> dict:
     """``hot_keys`` for several key columns of one frame in one aggregation:
     every row is counted once under each key (explode), so a side's hot rows
-    and hot columns cost one pass instead of one per key."""
+    and hot columns cost one pass instead of one per key.  Keys themselves are
+    counted only in classes that have enough rows for a hot one."""
     parts = parts or _parts(df)
     total = df.count()
     threshold = max(int(min_rows), int(math.ceil(total / parts)))
     if total <= threshold:
         return {k: [] for k in keys}
     tagged = df.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kn"), F.col(k).cast("bigint").alias("kv")) for k in keys])).alias("t"))
-    counts = tagged.groupBy("t.kn", "t.kv").agg(F.count(F.lit(1)).alias("_n"))
+        F.struct(F.lit(k).alias("kn"), F.col(k).cast("bigint").alias("kv")) for k in keys])).alias("t")) \
+        .select("t.kn", "t.kv", F.pmod(F.xxhash64("t.kv"), F.lit(CLASSES)).alias("_class"))
+    # a key has no more rows than its class of keys, and classes take next to no exchange
+    full = tagged.groupBy("kn", "_class").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold).collect()  # keys * parts at most
+    if not full:
+        return {k: [] for k in keys}
+    inside = F.lit(False)
+    for k in keys:
+        inside = inside | ((F.col("kn") == k) & F.col("_class").isin([r["_class"] for r in full if r["kn"] == k]))
+    counts = tagged.where(inside).groupBy("kn", "kv").agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > threshold).limit(len(keys) * parts + 1).collect()
     out = {k: [] for k in keys}
     for r in hot:
