@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import Rounds, ensure_checkpoint_dir, ship_package
+from rankfold.session import Rounds, ensure_checkpoint_dir, freed_shuffles, ship_package
 
 FACTOR_SCHEMA = "id bigint, f array<double>"
 
@@ -80,7 +80,9 @@ def bucketed(df: DataFrame, key: str, n: int, dealt: bool = False) -> tuple[Data
     """
     spark = df.sparkSession
     name = f"rankfold_{uuid.uuid4().hex}"
-    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    with freed_shuffles(spark):
+        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", "zstd") \
+            .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 

@@ -136,9 +136,11 @@ class Operands:
         return y.unionByName(self._rest.product(x, first, r)).groupBy("id").agg(_sum_block(F.lit(1.0), r))
 
     def a_ids(self) -> DataFrame:
+        self.laid()  # what is read often is kept before
         return self.a.select(F.col("i").alias("id")).distinct()
 
     def b_ids(self) -> DataFrame:
+        self.laid()
         return self.b.select(F.col("j").alias("id")).distinct()
 
     def release(self):

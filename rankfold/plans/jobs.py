@@ -112,14 +112,16 @@ def _warn_of_noise(rows: list, estimator_error: list, k: int) -> None:
 def two_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, iters: int = 10,
                        lam: float = 0.0, ss: float = 2.0, seed: int = 0, power_iters: int = 5,
                        weight: str = "ones", solver: str = "wals", evaluate: bool = True,
-                       partitions: int | None = None) -> dict:
+                       partitions: int | None = None, stored: bool = False, by_row: bool = False) -> dict:
     """Norms (pass 1) -> sample -> exact sampled values (pass 2) -> ALS
-    -> spectral error.  Returns {'u', 'v', 'observed', 'report'}."""
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
-    norms = N.col_norms2(cells).persist(StorageLevel.MEMORY_AND_DISK)
+    -> spectral error.  Returns {'u', 'v', 'observed', 'report'}.
+
+    ``stored``: the cells lie in files and need not be kept besides; ``by_row``: these are buckets of the cells' row."""
+    cells = cells if stored else cells.persist(StorageLevel.MEMORY_AND_DISK)
+    norms = cut_lineage(N.col_norms2(cells))
     samples, tot, bud = _sample(norms, rank, ss, seed)
-    observed = S.weights(P.value_exact(cells, samples, "auto"), weight)
-    observed = cut_lineage(observed, cache=True)
+    observed = S.weights(P.value_exact(cells, samples, "auto", columns=norms, by_row=by_row), weight)
+    observed = cut_lineage(observed)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
     rows = [("n1", 0, tot["n1"]), ("n2", 0, tot["n2"]), ("budget", 0, bud["m"]),
             ("samples", 0, observed.count())]
@@ -133,7 +135,7 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
                        power_iters: int = 5, estimator: str = "rescaled", sketch: str = "srht",
                        n_rows: int | None = None, weight: str = "ones", solver: str = "wals",
                        evaluate: bool = True, partitions: int | None = None, share: float | None = None,
-                       k_max: int | None = None) -> dict:
+                       k_max: int | None = None, stored: bool = False) -> dict:
     """ONE scan builds sketches and exact norms together; samples are
     valued from the sketches alone.  ``n_rows`` (the row-id bound) fixes
     the padded length; if omitted it is read from the cells (a second,
@@ -143,7 +145,8 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
     is at most that share of the values on the sampled cells: further scans
     append coordinates to those there are.  ``k_max`` (and half the padded
     length) ends this with an error.  Without it ``k`` stays, and values that
-    are mostly noise make a warning."""
+    are mostly noise make a warning.  ``stored``: the cells lie in files and
+    are not kept besides for the evaluation."""
     if share is not None and (sketch != "srht" or share <= 0):
         raise ValueError("share is a positive number and needs the srht sketch")
     if sketch == "srht":
@@ -163,7 +166,7 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
     samples, tot, bud = _sample(norms, rank, ss, seed)
 
     def valued() -> DataFrame:
-        return cut_lineage(S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight), cache=True)
+        return cut_lineage(S.weights(K.value_from_sketch(samples, wide, norms, estimator), weight))
 
     observed = valued()
     spread = _estimator_error(observed, norms, k)
@@ -172,7 +175,6 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
         while (more := next_size(spread, k, share, limit)) is not None:
             wide = cut_lineage(K.append_coords(wide, cells, K.pick_coords(seed, n, more), k, seed, n))
             k = more
-            observed.unpersist()
             observed = valued()
             spread = _estimator_error(observed, norms, k)
     u, v = _factorize(observed, norms, rank, iters, lam, seed, solver)
@@ -180,6 +182,7 @@ def one_pass_factorize(spark: SparkSession, cells: DataFrame, rank: int = 5, k:
             ("samples", 0, observed.count()), ("k", 0, k)]
     rows += spread
     if evaluate:
+        cells = cells if stored else cells.persist(StorageLevel.MEMORY_AND_DISK)
         rows += _errors(spark, cells, u, v, rank, power_iters, seed, partitions)
     _warn_of_noise(rows, spread, k)
     return {"u": u, "v": v, "observed": observed, "report": _report(spark, rows), "norms": norms,

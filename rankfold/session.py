@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,19 +54,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3) before running loops")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Queries that begin here remove their shuffle files when they end, not when the driver happens to collect its
+    garbage: for writes, whose exchanges nobody reads again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame, cache: bool = False) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """``df`` written as Parquet below the shared checkpoint folder and read back.
 
     Used once per round of every iterative loop (power iteration, ALS), so
     plans stay short and a lost executor only recomputes the current round.
-    Keeps the output partitioning of ``df``.
+    The exchanges that made ``df`` leave the disk with the write, which those
+    of a persisted frame don't.
     """
     from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads this, not a recompute
-    out = held.checkpoint(eager=True)
-    held.unpersist()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/rankfold_{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     if cache:
         # re-read many times (e.g. by every ALS round): keep it in executor memory too
         out = out.persist(StorageLevel.MEMORY_AND_DISK)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import hash52
-from rankfold.sources.tables import cells_from_vectors, cells_pair_from_table, vecs_from_table
+from rankfold.sources.tables import cells_from_vectors, cells_pair_from_table, stored_pair_from_table, vecs_from_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_pair_from_table(li, "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
 
 
+def stored_lineitem_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """The same cells stored, for jobs that read them often; and whether they lie in buckets of their row."""
+    li = table(spark, sf_dir, "lineitem")
+    return stored_pair_from_table(li, "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+
+
 def embeddings_side(label_col="label"):
     return F.when(F.col(label_col) < 5, F.lit("A")).otherwise(F.lit("B"))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankfold.session import cut_lineage
+
 CELL_COLUMNS = ["mat", "row", "col", "val"]
 
 #: Cells that one task adds up, about: a hash table of some 100 MB.
@@ -36,28 +38,40 @@ def cells_from_table(df: DataFrame, row, col, val, mat: str | Column = "A") -> D
 def cells_pair_from_table(df: DataFrame, row, col_a, col_b, val) -> DataFrame:
     """A and B from the same table in ONE scan: each input row yields an A cell
     (row, col_a) and a B cell (row, col_b); one aggregation dedupes both."""
-    pairs = df.select(
-        _c(row).cast("bigint").alias("row"),
-        _c(val).cast("double").alias("val"),
-        F.explode(F.array(
-            F.struct(F.lit("A").alias("mat"), _c(col_a).cast("bigint").alias("col")),
-            F.struct(F.lit("B").alias("mat"), _c(col_b).cast("bigint").alias("col")),
-        )).alias("c"),
-    )
-    out = pairs.select(F.col("c.mat").alias("mat"), "row", F.col("c.col").alias("col"), "val")
-    out = out.where(F.col("row").isNotNull() & F.col("col").isNotNull() & F.col("val").isNotNull())
-    return _summed(out, 2 * df.count())
+    return _pair(df, row, col_a, col_b, val)[0]
+
+
+def stored_pair_from_table(df: DataFrame, row, col_a, col_b, val) -> tuple[DataFrame, bool]:
+    """The cells of :func:`cells_pair_from_table` written below the checkpoint folder, where they take less disk than a
+    persisted frame and the exchange behind it; and whether they lie in buckets of their row (not where a row is hot)."""
+    from rankfold.operators.factorize import bucketed
+
+    cells, tasks, by_row = _pair(df, row, col_a, col_b, val)
+    return (bucketed(cells, "row", tasks, dealt=True)[0] if by_row else cut_lineage(cells)), by_row
 
 
-def _summed(contributions: DataFrame, rows: int) -> DataFrame:
-    """One value per cell from ``rows`` contributions, exchanged before they are added up.
+def _pair(df: DataFrame, row, col_a, col_b, val) -> tuple[DataFrame, int, bool]:
+    """The cells, the tasks that add them up, and whether a row's cells lie in one task.
 
-    Few cells repeat, so adding up before the exchange would save none of it, while its hash table grows with the
-    part of a file that a task scans.
+    Rows are exchanged before they are added up, as few cells repeat: adding up before the exchange would save none of
+    it, while its hash table grows with the part of a file that a task scans.  They are dealt by their row key, before a
+    row becomes two cells; where a row key has more cells than a task's, by cell.
     """
-    least = int(contributions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contributions.repartition(max(least, -(-rows // TASK_CELLS)), "mat", "row", "col")
-    return dealt.groupBy("mat", "row", "col").agg(F.sum("val").alias("val"))
+    from rankfold.operators.skew import hot_keys
+
+    plain = df.select(_c(row).cast("bigint").alias("row"), _c(val).cast("double").alias("val"),
+                      _c(col_a).cast("bigint").alias("_a"), _c(col_b).cast("bigint").alias("_b")) \
+        .where(F.col("row").isNotNull() & F.col("val").isNotNull())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-2 * df.count() // TASK_CELLS))
+    by_row = not hot_keys(plain, "row", tasks, TASK_CELLS // 2)
+    pairs = (plain.repartition(tasks, "row") if by_row else plain).select("row", "val", F.explode(F.array(
+        F.struct(F.lit("A").alias("mat"), F.col("_a").alias("col")),
+        F.struct(F.lit("B").alias("mat"), F.col("_b").alias("col")),
+    )).alias("c"))
+    out = pairs.select(F.col("c.mat").alias("mat"), "row", F.col("c.col").alias("col"), "val").where(F.col("col").isNotNull())
+    dealt = out if by_row else out.repartition(tasks, "mat", "row", "col")
+    return dealt.groupBy("mat", "row", "col").agg(F.sum("val").alias("val")), tasks, by_row
 
 
 def cells_from_vectors(df: DataFrame, id_col, vec_col, mat: str | Column = "A") -> DataFrame:

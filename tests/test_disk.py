@@ -1,0 +1,97 @@
+"""What long queries leave on disk: stored cells, freed exchanges, packs of pairs."""
+
+import os
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rankfold.operators import pairs as PR
+from rankfold.operators import product as P
+from rankfold.operators import sampling as S
+from rankfold.plans import registry as R
+from rankfold.session import cut_lineage
+from rankfold.sources import tables as TB
+
+SF = "/root/testdata/sf0.001"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("\n").split("\n") if os.path.basename(f).startswith("shuffle_")}
+
+
+def test_a_cut_frees_its_exchanges(spark):
+    before = _shuffle_files(spark)
+    got = cut_lineage(spark.range(2000).groupBy((F.col("id") % 97).alias("k")).agg(F.sum("id").alias("s")).join(
+        spark.range(97).withColumnRenamed("id", "k").hint("merge"), "k"))
+    assert not {f for f in _shuffle_files(spark) - before if os.path.exists(f)}
+    assert got.count() == 97 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_packs_keep_numbers():
+    i, j, v = np.array([-5, 0, 0, 1 << 60]), np.array([3, -1, 1 << 61, 0]), np.array([0.1, -0.0, 1e300, -7.0])
+    got = PR.unpack(PR.pack(i, j, v, v * 2), 4, 2)
+    assert [x.tolist() for x in got] == [x.tolist() for x in (i, j, v, v * 2)]
+
+
+@pytest.mark.parametrize("p", ["double", "int"])
+def test_packed_pairs_give_every_sample_its_sum(spark, monkeypatch, p):
+    monkeypatch.setattr(PR, "SAMPLES", 50)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(j), float(a), float(b)) for i, j, a, b in zip(rng.integers(0, 30, 3000) * (1 << 40), rng.integers(0, 9, 3000) - 4, rng.normal(size=3000), rng.normal(size=3000))]
+    want = Counter()
+    for i, j, a, b in rows:
+        want[i, j] += a * b
+    asked = [(i * (1 << 40), j - 4) for i in range(40) for j in range(0, 12, 2)]
+    samples = spark.createDataFrame([(i, j, 1) for i, j in asked], "i bigint, j bigint, p int").withColumn("p", F.col("p").cast(p))
+    pairs = spark.createDataFrame(rows, "i bigint, j bigint, a double, b double").repartition(5)
+    got = PR.sampled_sums(pairs, samples, 3)
+    assert got.columns == ["i", "j", "p", "val"] and dict(got.dtypes)["p"] == p
+    got = {(r["i"], r["j"]): r["val"] for r in got.collect()}
+    assert got.keys() == set(asked) and all(abs(got[k] - want.get(k, 0.0)) < 1e-9 for k in asked)
+    assert PR.sampled_sums(pairs, samples.limit(0), 3).count() == 0
+    assert {r["val"] for r in PR.sampled_sums(pairs.limit(0), samples, 3).collect()} == {0.0}
+
+
+def test_cells_of_long_queries_lie_by_row_and_are_not_exchanged(spark):
+    c = R._Ctx(spark, SF, stored=True)
+    assert c.by_row and not c.cells.is_cached
+    same = lambda df: {(r["mat"], r["row"], r["col"], r["val"]) for r in df.collect()}
+    assert same(c.cells) == same(R.X.lineitem_cells(spark, SF))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(c.valued())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(row" not in plan and "bucket" in plan
+    got = {(r["i"], r["j"]): r["val"] for r in c.valued().collect()}
+    assert got == {(r["i"], r["j"]): r["val"] for r in P.value_exact(R.X.lineitem_cells(spark, SF), c.drawn(), "A").collect()}
+
+
+def test_a_hot_row_is_dealt_by_cell(spark, monkeypatch):
+    monkeypatch.setattr(TB, "TASK_CELLS", 40)
+    df = spark.createDataFrame([(0 if k < 300 else k, k % 50, k % 11, 1.0) for k in range(400)] + [(None, 1, 1, 1.0), (1, None, 2, 1.0), (1, 2, 3, None)],
+                               "r bigint, a bigint, b bigint, v double")
+    cells, by_row = TB.stored_pair_from_table(df, "r", "a", "b", "v")
+    assert not by_row
+    want = Counter()
+    for k in range(400):
+        want["A", 0 if k < 300 else k, k % 50] += 1.0
+        want["B", 0 if k < 300 else k, k % 11] += 1.0
+    want["B", 1, 2] += 1.0
+    assert {(r["mat"], r["row"], r["col"]): r["val"] for r in cells.collect()} == dict(want)
+
+
+def test_samples_bring_their_norms(spark):
+    c = R._Ctx(spark, SF)
+    n1, n2, fa, fb = c.args()
+    drawn = S.drawn_with_norms(c.alloc(), R.column_cdf(c.b_n), n1, n2, fa, fb, 7)
+    norms = {(r["mat"], r["col"]): r["norm2"] for r in c.norms.collect()}
+    assert all((r["a"], r["b"]) == (norms["A", r["i"]], norms["B", r["j"]]) for r in drawn.collect())
+    assert "Join" not in _plan(S.cell_probability(cut_lineage(drawn), c.a_n, c.b_n, 5.0, n1, n2, fa, fb))
