@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
-from rankfold.session import Rounds, ensure_checkpoint_dir, freed_shuffles, ship_package
+from rankfold.session import STORE_ROUNDS_FROM, Rounds, ensure_checkpoint_dir, freed_shuffles, ship_package
 
 FACTOR_SCHEMA = "id bigint, f array<double>"
 
@@ -203,11 +203,11 @@ def wals(observed: DataFrame, v_ids: DataFrame, rank: int, iters: int = 10, lam:
 
     The cells are exchanged twice, into blocks by i and by j; the rounds
     exchange factors only.  Each half-step is persisted and every
-    ``checkpoint_every``-th one is a reliable checkpoint (session.Rounds):
-    the plan stays a few rounds deep and a lost executor redoes at most
-    those rounds.  Returns (u, v).
+    ``checkpoint_every``-th one is stored (session.Rounds), with many cells
+    every one: the plan stays a few rounds deep and a lost executor redoes
+    at most those rounds.  Returns (u, v).
     """
-    rounds = Rounds(checkpoint_every)
+    rounds = Rounds(1 if observed.count() >= STORE_ROUNDS_FROM else checkpoint_every)
     by_i, by_j = blocks(observed, "i", "j"), blocks(observed, "j", "i")
     v = rounds.keep(random_init(v_ids, rank, seed))
     u = None

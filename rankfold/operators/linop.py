@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rankfold.functions.hashing import gaussian
 from rankfold.operators.rowblocks import RowBlocks
-from rankfold.session import Rounds, ship_package
+from rankfold.session import STORE_ROUNDS_FROM, Rounds, ship_package
 from rankfold.sources.tables import split
 
 #: Pairs with fewer cells are left to joins.
@@ -57,7 +57,7 @@ class Operands:
         from rankfold.operators.skew import DEFAULT_MIN_ROWS
 
         self.cells, self.lay_out_from, self.min_rows = cells, lay_out_from, min_rows
-        self._looked, self._laid, self._rest, self._kept = False, None, None, False
+        self._looked, self._laid, self._rest, self._kept, self.size = False, None, None, False, 0
         a, b = split(cells)
         if partitions:
             # spread by the whole cell key: a hot row is split, not concentrated
@@ -112,6 +112,7 @@ class Operands:
         if self._persisted and not self._looked:
             self._looked = True
             n, rows, columns = self.cells.agg(F.count(F.lit(1)), F.approx_count_distinct("row"), F.approx_count_distinct(F.struct("mat", "col"))).first()
+            self.size = n
             if n >= self.lay_out_from and rows > columns:
                 hot = self._hot_rows()  # a bounded list
                 cells = self.cells
@@ -341,7 +342,8 @@ def power_norms(ops: Operands, pairs: list, purposes: list[str], r: int, iters:
     m, real = len(pairs), [k for k, p in enumerate(pairs) if p is not None]
     width = len(real) * r
     places = {k: range(n * r, n * r + r) for n, k in enumerate(real)}
-    rounds = Rounds(4 if checkpoint else 10 ** 9)
+    ops.laid()
+    rounds = Rounds((1 if ops.size >= STORE_ROUNDS_FROM else 4) if checkpoint else 10 ** 9)
     us, vs = (_side_by_side([pairs[k][side] for k in real], r).persist(StorageLevel.MEMORY_AND_DISK) if real else None for side in (0, 1))
 
     def told(x: DataFrame) -> tuple[list, np.ndarray]:

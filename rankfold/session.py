@@ -120,12 +120,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+#: Cells from which on every round of a loop is stored: exchanges of persisted rounds stay on disk.
+STORE_ROUNDS_FROM = 10_000_000
+
+
 class Rounds:
     """Materialise the state of an iterative loop without re-running it.
 
     Every round's frame is persisted (computed once, inside the next job
-    that needs it); every ``every``-th round is also written as a reliable
-    checkpoint and the earlier persisted rounds are dropped, so the plan
+    that needs it); every ``every``-th round is stored (:func:`cut_lineage`) and the earlier persisted rounds are dropped, so the plan
     never grows beyond ``every`` rounds and a lost executor recomputes at
     most that many from the last checkpoint.
     """

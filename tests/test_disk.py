@@ -95,3 +95,24 @@ def test_samples_bring_their_norms(spark):
     norms = {(r["mat"], r["col"]): r["norm2"] for r in c.norms.collect()}
     assert all((r["a"], r["b"]) == (norms["A", r["i"]], norms["B", r["j"]]) for r in drawn.collect())
     assert "Join" not in _plan(S.cell_probability(cut_lineage(drawn), c.a_n, c.b_n, 5.0, n1, n2, fa, fb))
+
+
+def test_large_loops_store_every_round(spark, monkeypatch):
+    from rankfold import session
+    from rankfold.operators import linop as L
+
+    from matrices import dense_cells
+
+    cells = dense_cells(spark, [[1.0, 2.0], [0.0, 1.0], [3.0, 1.0]], [[1.0], [2.0], [1.0]])
+    seen, keep = [], session.Rounds.keep
+    monkeypatch.setattr(session.Rounds, "keep", lambda self, df: seen.append(self.every) or keep(self, df))
+    for least, every in ((1, 1), (10 ** 9, 4)):
+        monkeypatch.setattr(L, "STORE_ROUNDS_FROM", least)
+        ops = L.Operands(cells)
+        before = _shuffle_files(spark)
+        assert len(L.power_norms(ops, [None], ["start"], 1, 2, 5)[0]) == 2
+        if every == 1:  # only those of small sums are left
+            assert len({f for f in _shuffle_files(spark) - before if os.path.exists(f)}) < 40
+        ops.release()
+        assert set(seen) == {every}
+        seen.clear()
